@@ -38,51 +38,50 @@ def _pattern(pattern, opening: str, closing: str, ignore_case: bool) -> Column:
 
 
 _HITS = "array<struct<start:int,text:string>>"
+_CLOSE = "\ue001"
 
 
-def overlap_hits(text, pattern, ignore_case: bool = False) -> Column:
-    """Every match start of ``pattern``, overlaps included: array<struct<start,text>>.
+def _marked_hits(text: Column, pattern: Column, consumed: bool) -> Column:
+    """Hits read off a text in which every match is set between two marks.
 
-    A zero-width look-ahead puts a mark before each match in one linear pass;
-    the lengths of the pieces between marks are the distances between starts.
+    The regex runs once. A piece after the first mark is "match, closing mark, text up to
+    the next match"; lengths of the pieces give the distances between starts.
     """
-    text = _c(text)
-    p = _pattern(pattern, "(?=(", "))", ignore_case)
-    found = F.regexp_extract_all(text, p, F.lit(1))
-    pieces = F.split(F.regexp_replace(F.translate(text, MARK, "\ufffd"), p, F.lit(MARK)), MARK, -1)
-    lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.length)
-    return F.when(F.size(found) > 0, F.zip_with(running_totals(lengths), found, _hit)).otherwise(F.array().cast(_HITS))
+    safe = F.translate(text, MARK + _CLOSE, "\ufffd\ufffd")
+    pieces = F.split(F.regexp_replace(safe, pattern, F.lit(f"{MARK}$1{_CLOSE}")), MARK, -1)
 
+    def read(acc, piece):
+        found = F.substring_index(piece, _CLOSE, 1)
+        gap = F.length(piece) - 1 - (F.lit(0) if consumed else F.length(found))
+        return F.struct(
+            (acc["at"] + gap).cast("int").alias("at"),
+            F.array_append(acc["hits"], F.struct(acc["at"].alias("start"), found.alias("text"))).alias("hits"))
 
-def plain_hits(text, pattern, ignore_case: bool = False) -> Column:
-    """Left-to-right matches that do not overlap: array<struct<start,text>>."""
-    text = _c(text)
-    p = _pattern(pattern, "(", ")", ignore_case)
-    found = F.regexp_extract_all(text, p, F.lit(1))
-    gaps = F.split(F.regexp_replace(F.translate(text, MARK, "\ufffd"), p, F.lit(MARK)), MARK, -1)
-    steps = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(gaps) - 1),
-        F.concat(F.array(F.lit("")), F.slice(found, F.lit(1), F.size(found) - 1)),
-        lambda gap, before: F.length(gap) + F.length(before),
-    )
-    return F.when(F.size(found) > 0, F.zip_with(running_totals(steps), found, _hit)).otherwise(F.array().cast(_HITS))
+    def scan(all_pieces):
+        first = F.struct(F.length(all_pieces[0]).cast("int").alias("at"), F.array().cast(_HITS).alias("hits"))
+        return F.aggregate(F.slice(all_pieces, F.lit(2), F.size(all_pieces)), first, read, lambda acc: acc["hits"])
 
+    # a one-element array binds the pieces, so they are computed once
+    return F.transform(F.array(pieces), scan)[0]
 
-def _hit(start, text):
-    return F.struct(start.cast("int").alias("start"), text.alias("text"))
 
+def overlap_hits(text, pattern, ignore_case: bool = False) -> Column:
+    """Every match start of ``pattern``, overlaps included: array<struct<start,text>>.
 
-def running_totals(numbers: Column) -> Column:
-    """Cumulative sums of a short integer array."""
-    return F.aggregate(
-        numbers,
-        F.struct(F.lit(0).cast("int").alias("sum"), F.array().cast("array<int>").alias("all")),
-        lambda acc, x: F.struct(
-            (acc["sum"] + x).cast("int").alias("sum"),
-            F.array_append(acc["all"], (acc["sum"] + x).cast("int")).alias("all"),
-        ),
-        lambda acc: acc["all"],
-    )
+    A zero-width look-ahead copies each match in front of its start.
+    """
+    return _marked_hits(_c(text), _pattern(pattern, "(?=(", "))", ignore_case), consumed=False)
+
+
+def start_marks(text, pattern, ignore_case: bool = False) -> Column:
+    """Text of the same length in which the first letter of every match is a mark."""
+    safe = F.translate(_c(text), MARK, "\ufffd")
+    return F.regexp_replace(safe, _pattern(pattern, "(?=(?:", "))[\\s\\S]", ignore_case), F.lit(MARK))
+
+
+def plain_hits(text, pattern, ignore_case: bool = False) -> Column:
+    """Left-to-right matches that do not overlap: array<struct<start,text>>."""
+    return _marked_hits(_c(text), _pattern(pattern, "(", ")", ignore_case), consumed=True)
 
 
 def match_count(text, pattern: str, ignore_case: bool = False) -> Column:
@@ -168,7 +167,7 @@ def _quote(s: str) -> str:
 
 def split_multi(col, separator: str = "///") -> Column:
     """Trimmed, non-empty parts of a multi-value cell."""
-    parts = F.transform(F.split(_c(col), _quote(separator)), F.trim)
+    parts = F.transform(F.split(_c(col), _quote(separator)), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 

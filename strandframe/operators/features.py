@@ -64,9 +64,8 @@ def greedy_match(candidates: DataFrame, scope: list[str], left: str, right: str,
         best_left = remaining.groupBy(*scope, left).agg(F.min(ends).alias("_l"))
         best_right = remaining.groupBy(*scope, right).agg(F.min(ends).alias("_r"))
         mutual = cut_lineage(
-            best_left.select(*scope, "_l").join(best_right.select(*scope, "_r"), [*scope], "inner")
-            .filter("_l = _r").select(*scope, "_l.*") if not scope else
-            best_left.select(*scope, F.col("_l").alias("_p")).join(best_right.select(*scope, F.col("_r").alias("_p")), [*scope, "_p"])
+            best_left.select(*scope, F.col("_l").alias("_p"))
+            .join(best_right.select(*scope, F.col("_r").alias("_p")), [*scope, "_p"])
             .select(*scope, "_p.*"))
         accepted = mutual if accepted is None else accepted.unionByName(mutual)
         remaining = cut_lineage(

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandframe.functions.scalars import (
-    chunks, match_count, mismatch_neighbours, orientations, overlap_hits, plain_hits,
+    MARK, chunks, java_pattern, match_count, mismatch_neighbours, orientations, overlap_hits, plain_hits, start_marks,
 )
 from strandframe.operators.joins import nearest_join, pair_all, range_join
 from strandframe.operators.ordered import union_all
@@ -62,13 +62,17 @@ def scan_motifs(seqs: DataFrame, motifs: Motifs, overlap: bool = True, ignore_ca
     if bounded:
         context = max(widths[n] for n, _ in bounded)
         rows = seqs.select(*keep, F.posexplode(chunks(seq, STEP, context)).alias("_part", "_text"))
-        found = F.array(*[
-            F.struct(F.lit(n).alias("motif"),
-                     F.filter(finder("_text", r, ignore_case), lambda h: h["start"] < STEP).alias("hits"))
+        marked = F.array(*[
+            F.struct(F.lit(n).alias("motif"), start_marks("_text", r, ignore_case).alias("_marks"), F.lit(java_pattern(f"^(?:{r})", ignore_case)).alias("_re"))
             for n, r in bounded
         ])
-        rows = rows.select(*keep, "_part", F.inline(found)).select(*keep, "_part", "motif", F.explode("hits").alias("h"))
-        parts.append(rows.select(*_hits(F.col("h"), keep, F.col("_part") * STEP)))
+        rows = rows.select(*keep, "_part", "_text", F.inline(marked))
+        rows = rows.select(*keep, "_part", "_text", "motif", "_re", F.posexplode(F.split("_marks", "")).alias("_at", "_letter"))
+        rows = rows.filter((F.col("_letter") == MARK) & (F.col("_at") < STEP))
+        match = F.expr(f"regexp_extract(substring(_text, _at + 1, {context}), _re, 0)")
+        start = F.col("_part") * STEP + F.col("_at")
+        rows = rows.select(*keep, "motif", start.cast("int").alias("start"), match.alias("match"))
+        parts.append(rows.select(*keep, "motif", "start", (F.col("start") + F.length("match")).cast("int").alias("end"), "match"))
     if whole:
         found = F.array(*[F.struct(F.lit(n).alias("motif"), finder(seq, r, ignore_case).alias("hits")) for n, r in whole])
         rows = seqs.select(*keep, F.inline(found)).select(*keep, "motif", F.explode("hits").alias("h"))
@@ -146,15 +150,18 @@ def _in_range(hits: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
     return hits
 
 
-def _window_scores(seqs: DataFrame, width: int, score, seq: str = "seq") -> DataFrame:
-    """Score every placement of a ``width``-letter window: (ids…, start, word, value)."""
+def placements(seqs: DataFrame, width: int, seq: str = "seq") -> DataFrame:
+    """One row per placement of a ``width``-letter window: (ids…, start, _letters, _s).
+
+    The letters of the piece stay in the row as an array and ``_s`` is the place in it, so a
+    score over them compiles to plain array reads.
+    """
     keep = _ids(seqs, seq)
     pieces = seqs.select(*keep, F.posexplode(chunks(seq, STEP, width - 1)).alias("_part", "_text"))
-    letters = pieces.withColumn("_letters", F.split(F.col("_text"), ""))
+    letters = pieces.select(*keep, "_part", F.split("_text", "").alias("_letters"))
     last = F.least(F.lit(STEP), F.size("_letters") - width + 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(0), last - 1))
-    placed = F.transform(starts, lambda s: F.struct(s.alias("s"), score(F.col("_letters"), s).alias("value")))
-    return letters.select(*keep, "_part", "_letters", placed.alias("_placed"))
+    rows = letters.select(*keep, "_part", "_letters", F.explode(F.when(last >= 1, F.sequence(F.lit(0), last - 1))).alias("_s"))
+    return rows.withColumn("start", (F.col("_part") * STEP + F.col("_s")).cast("int")).drop("_part")
 
 
 def _class_letters(pattern: str) -> list[str]:
@@ -165,15 +172,16 @@ def _class_letters(pattern: str) -> list[str]:
     return out
 
 
-def _mismatches(classes: list[str]):
-    def score(letters: Column, s: Column) -> Column:
-        total = F.lit(0)
-        for j, allowed in enumerate(classes):
-            if allowed == ".":
-                continue
-            total = total + (F.instr(F.lit(allowed), F.get(letters, s + j)) == 0).cast("int")
-        return total
-    return score
+def _mismatches(classes: list[str]) -> Column:
+    total = F.lit(0)
+    for j, allowed in enumerate(classes):
+        if allowed != ".":
+            total = total + (~F.get("_letters", F.col("_s") + j).isin(*allowed)).cast("int")
+    return total
+
+
+def _word(width: int) -> Column:
+    return F.concat(*[F.get("_letters", F.col("_s") + j) for j in range(width)])
 
 
 def fuzzy_scan(seqs: DataFrame, pattern: str, k: int, both_strands: bool = True, seq: str = "seq") -> DataFrame:
@@ -182,20 +190,14 @@ def fuzzy_scan(seqs: DataFrame, pattern: str, k: int, both_strands: bool = True,
     ``to_end`` is the distance of the hit to the end of the original sequence.
     """
     classes = _class_letters(pattern)
-    width = len(classes)
     frame = seqs.withColumn("_len", F.length(seq))
     frame = orientations(frame, seq) if both_strands else frame.withColumn("orientation", F.lit("forward"))
     keep = [c for c in frame.columns if c not in (seq, "_len")]
-    scored = _window_scores(frame, width, _mismatches(classes), seq)
-    near = F.filter("_placed", lambda x: x["value"] <= k)
-    rows = scored.select(*keep, "_len", "_part", "_letters", F.explode(near).alias("x"))
-    start = (F.col("_part") * STEP + F.col("x.s")).cast("int")
+    rows = placements(frame, len(classes), seq).withColumn("mismatches", _mismatches(classes)).filter(F.col("mismatches") <= k)
     flipped = F.col("orientation").isin("reverse", "reverse_complement")
     return rows.select(
-        *keep, start.alias("start"), F.col("x.value").alias("mismatches"),
-        F.array_join(F.slice("_letters", F.col("x.s") + 1, F.lit(width)), "").alias("match"),
-        F.when(flipped, start).otherwise(F.col("_len") - start).cast("int").alias("to_end"),
-    )
+        *keep, "start", "mismatches", _word(len(classes)).alias("match"),
+        F.when(flipped, F.col("start")).otherwise(F.col("_len") - F.col("start")).cast("int").alias("to_end"))
 
 
 def closest_match(seqs: DataFrame, query: str, both_strands: bool = True, seq: str = "seq") -> DataFrame:
@@ -203,16 +205,8 @@ def closest_match(seqs: DataFrame, query: str, both_strands: bool = True, seq: s
     classes = list(query)
     frame = orientations(seqs, seq) if both_strands else seqs.withColumn("orientation", F.lit("forward"))
     keep = [c for c in frame.columns if c != seq]
-    scored = _window_scores(frame, len(classes), _mismatches(classes), seq)
-    low = F.array_min(F.transform("_placed", lambda x: x["value"]))
-    local = scored.withColumn("_low", low)
-    rows = local.select(*keep, "_part", "_letters",
-                        F.explode(F.filter("_placed", lambda x: x["value"] == F.col("_low"))).alias("x"))
-    rows = rows.select(
-        *keep, (F.col("_part") * STEP + F.col("x.s")).cast("int").alias("start"),
-        F.col("x.value").alias("mismatches"),
-        F.array_join(F.slice("_letters", F.col("x.s") + 1, F.lit(len(classes))), "").alias("match"),
-    )
+    rows = placements(frame, len(classes), seq).select(
+        *keep, "start", _mismatches(classes).alias("mismatches"), _word(len(classes)).alias("match"))
     w = Window.partitionBy(*keep).orderBy("mismatches")
     return rows.withColumn("_rank", F.rank().over(w)).filter("_rank = 1").drop("_rank")
 

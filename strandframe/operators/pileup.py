@@ -108,14 +108,15 @@ def homology_profile(pileup: DataFrame, keys: list[str] = [], every: int = 2) ->
     return pileup.filter(F.col("ref_pos") % every == 0).groupBy(*keys, "ref_pos").agg(F.avg(F.col("is_match").cast("double")).alias("homology"))
 
 
-def sliding_similarity(profile: DataFrame, width: int = 26, keys: list[str] = [], value: str = "homology", span: int = SPAN) -> DataFrame:
+def sliding_similarity(profile: DataFrame, width: int = 26, keys: list[str] = [], value: str = "homology", span: int = SPAN,
+                       spacing: int = 1) -> DataFrame:
     """Mean of the next ``width`` rows from each column on.
 
-    ``profile`` has one row per reference column. Rows are placed into the block of
+    ``profile`` has one row every ``spacing`` reference columns. Rows are placed into the block of
     columns they start in and, when near its beginning, into the block before as well.
     """
     step = F.floor(F.col("ref_pos") / span)
-    reach = F.array_distinct(F.array(step, F.floor((F.col("ref_pos") - width + 1) / span)))
+    reach = F.array_distinct(F.array(step, F.floor((F.col("ref_pos") - (width - 1) * spacing) / span)))
     rows = profile.withColumn("_block", F.explode(reach))
     w = Window.partitionBy(*keys, "_block").orderBy("ref_pos").rowsBetween(0, width - 1)
     return rows.withColumn("similarity", F.avg(value).over(w)).filter(F.col("_block") == step).drop("_block")

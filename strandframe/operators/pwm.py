@@ -68,9 +68,11 @@ def pwm_from_regex(spark: SparkSession, motifs: list[tuple[str, str]], alphabet:
 
 def _packed(pwm: DataFrame) -> DataFrame:
     """One row per matrix: an array of symbol → weight maps, by offset."""
-    per = pwm.groupBy("pwm_id", "offset").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "weight"))).alias("m"))
-    return per.groupBy("pwm_id").agg(F.sort_array(F.collect_list(F.struct("offset", "m"))).alias("_s")).select(
-        "pwm_id", F.transform("_s", lambda s: s["m"]).alias("_maps"))
+    entries = pwm.groupBy("pwm_id").agg(
+        F.collect_list(F.struct("offset", "symbol", "weight")).alias("_e"), F.max("offset").alias("_last"))
+    maps = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda o: F.map_from_entries(F.transform(
+        F.filter("_e", lambda e: e["offset"] == o), lambda e: F.struct(e["symbol"], e["weight"]))))
+    return entries.select("pwm_id", maps.alias("_maps"))
 
 
 def pwm_scan(seqs: DataFrame, pwm: DataFrame, missing: float | str | None = None, seq: str = "seq") -> DataFrame:
@@ -82,22 +84,26 @@ def pwm_scan(seqs: DataFrame, pwm: DataFrame, missing: float | str | None = None
     keep = [c for c in seqs.columns if c != seq]
     widest = pwm.agg(F.max("offset")).first()[0] + 1
     pieces = seqs.select(*keep, F.posexplode(chunks(seq, STEP, widest - 1)).alias("_part", "_text"))
-    paired = pair_all(_packed(pwm), pieces).withColumn("_letters", F.split("_text", "")).withColumn("_w", F.size("_maps"))
+    letters = pieces.select(*keep, "_part", F.split("_text", "").alias("_letters"))
+    paired = pair_all(_packed(pwm), letters).withColumn("_w", F.size("_maps"))
+    last = F.least(F.lit(STEP), F.size("_letters") - F.col("_w") + 1)
+    rows = paired.select(*keep, "pwm_id", "_part", "_letters", "_maps", "_w",
+                         F.explode(F.when(last >= 1, F.sequence(F.lit(0), last - 1))).alias("_s"))
 
-    def weight(s, j):
-        row = F.get(F.col("_maps"), j)
-        found = F.try_element_at(row, F.get(F.col("_letters"), s + j))
+    def weight(j: int):
+        row = F.get("_maps", F.lit(j))
+        found = F.try_element_at(row, F.get("_letters", F.col("_s") + j))
         if missing == "position":
-            return F.coalesce(found, F.try_element_at(row, F.lit(OTHER)))
-        return found if missing is None else F.coalesce(found, F.lit(float(missing)))
-
-    last = F.least(F.lit(STEP), F.size("_letters") - F.col("_w") + 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(0), last - 1))
-    offsets = F.sequence(F.lit(0), F.col("_w") - 1)
-    placed = F.transform(starts, lambda s: F.struct(
-        s.alias("s"), F.aggregate(offsets, F.lit(0.0), lambda acc, j: acc + weight(s, j)).alias("score")))
-    rows = paired.select(*keep, "pwm_id", "_part", F.inline(placed))
-    return rows.select(*keep, "pwm_id", (F.col("_part") * STEP + F.col("s")).cast("int").alias("start"), "score")
+            found = F.coalesce(found, F.try_element_at(row, F.lit(OTHER)))
+        elif missing is not None:
+            found = F.coalesce(found, F.lit(float(missing)))
+        return F.when(F.lit(j) < F.col("_w"), found).otherwise(0.0)
+
+    score = weight(0)
+    for j in range(1, widest):
+        score = score + weight(j)
+    start = (F.col("_part") * STEP + F.col("_s")).cast("int")
+    return rows.select(*keep, "pwm_id", start.alias("start"), score.alias("score"))
 
 
 def pwm_best(scores: DataFrame, keys: list[str]) -> DataFrame:

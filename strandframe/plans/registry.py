@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("lists",)
+MODULES = ("lists", "motifs")
 
 
 def query(name: str, sql: str | None = None):

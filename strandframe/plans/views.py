@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandframe.plans.registry import table
+from strandframe.session import spread
 
 #: Small motif dictionary of the registered queries.
 MOTIFS = [
@@ -14,7 +15,8 @@ MOTIFS = [
 
 
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.lower("text").alias("seq"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").alias("seq_id"), F.lower("text").alias("seq"))
 
 
 SEQS_SQL = "seqs AS (SELECT doc_id AS seq_id, lower(text) AS seq FROM documents)"

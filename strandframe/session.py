@@ -56,3 +56,13 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint when measured small; otherwise the shuffle join stands."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when the input has fewer pieces than the cluster has cores.
+
+    Matters for costly per-row work on a small file that Spark reads as one piece; a large
+    input already has many pieces and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
