@@ -32,22 +32,22 @@ def _sf(k: str, N: str, m: str, n: str) -> str:
     return (f"CASE WHEN {k} <= {low} THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(CAST({k} AS BIGINT), CAST(least({m}, {n}) AS BIGINT) + 1), lambda i: {body}))) END")
 
 
-@query("e1_hyper_pdf", f"""WITH c AS (SELECT p_type, p_brand, count(*) AS k FROM part GROUP BY 1, 2), t AS (SELECT p_type, count(*) AS m FROM part GROUP BY 1), b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), s AS (SELECT count(*) AS N FROM part)
-  SELECT p_type, p_brand, round({_pdf('k', 'N', 'm', 'n')}, 8) AS pdf, round({_sf('k', 'N', 'm', 'n')}, 8) AS sf FROM c JOIN t USING (p_type) JOIN b USING (p_brand), s""")
+@query("e1_hyper_pdf", f"""WITH c AS (SELECT p_type, p_brand, count(*) AS k FROM part GROUP BY 1, 2), t AS (SELECT p_type, count(*) AS m FROM part GROUP BY 1), b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), s AS (SELECT count(*) AS nn FROM part)
+  SELECT p_type, p_brand, round({_pdf('k', 'nn', 'm', 'n')}, 8) AS pdf, round({_sf('k', 'nn', 'm', 'n')}, 8) AS sf FROM c JOIN t USING (p_type) JOIN b USING (p_brand), s""")
 def e1(spark, d):
     p = table(spark, d, "part")
     c = p.groupBy("p_type", "p_brand").agg(F.count("*").alias("k"))
     t = p.groupBy("p_type").agg(F.count("*").alias("m"))
     b = p.groupBy("p_brand").agg(F.count("*").alias("n"))
     j = c.join(t, "p_type").join(b, "p_brand")
-    size = p.agg(F.count("*").alias("N"), F.first(F.lit(0)).alias("_k"))
+    size = p.agg(F.count("*").alias("nn"), F.first(F.lit(0)).alias("_k"))
     j = j.withColumn("_k", F.lit(0)).join(F.broadcast(size), "_k")
-    return j.select("p_type", "p_brand", F.round(sp.hyper_pdf("k", "N", "m", "n"), 8).alias("pdf"), F.round(sp.hyper_sf("k", "N", "m", "n"), 8).alias("sf"))
+    return j.select("p_type", "p_brand", F.round(sp.hyper_pdf("k", "nn", "m", "n"), 8).alias("pdf"), F.round(sp.hyper_sf("k", "nn", "m", "n"), 8).alias("sf"))
 
 
 @query("e2_overlap_test", f"""WITH a AS (SELECT DISTINCT l_partkey AS item FROM lineitem WHERE l_quantity > 48), b AS (SELECT DISTINCT l_partkey AS item FROM lineitem WHERE l_discount > 0.095),
-  c AS (SELECT (SELECT count(*) FROM a JOIN b USING (item)) AS k, (SELECT count(*) FROM part) AS N, (SELECT count(*) FROM a) AS m, (SELECT count(*) FROM b) AS n)
-  SELECT k, N, m, n, round({_sf('k', 'N', 'm', 'n')}, 8) AS p FROM c""")
+  c AS (SELECT (SELECT count(*) FROM a JOIN b USING (item)) AS k, (SELECT count(*) FROM part) AS nn, (SELECT count(*) FROM a) AS m, (SELECT count(*) FROM b) AS n)
+  SELECT k, nn AS n_total, m, n, round({_sf('k', 'nn', 'm', 'n')}, 8) AS p FROM c""")
 def e2(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), "l_quantity", "l_discount")
     bg = table(spark, d, "part").select(F.col("p_partkey").alias("item"))
@@ -59,10 +59,6 @@ def _cells(spark, d) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("gene"), terms.alias("terms"))
 
 
-_CELLS = """long AS (SELECT p_partkey AS gene, unnest([p_type, p_brand, p_name]) AS term FROM part), gl AS (SELECT DISTINCT l_partkey AS gene FROM lineitem WHERE l_quantity > 48 AND l_discount > 0.07),
-  c AS (SELECT term, count(*) AS K, count(CASE WHEN gene IN (SELECT gene FROM gl) THEN 1 END) AS k FROM long GROUP BY 1), s AS (SELECT (SELECT count(*) FROM part) AS N, (SELECT count(*) FROM gl) AS n)"""
-
-
 @query("e3_enrich_terms", """WITH long AS (SELECT p_partkey AS gene, unnest([p_type, p_brand, p_name]) AS term FROM part), gl AS (SELECT DISTINCT l_partkey AS gene FROM lineitem WHERE l_quantity > 48 AND l_discount > 0.07),
   c AS (SELECT term, count(*) AS kk, count(gl.gene) AS obs FROM long LEFT JOIN gl USING (gene) GROUP BY 1), s AS (SELECT (SELECT count(*) FROM part) AS nn, (SELECT count(*) FROM gl) AS n),
   t AS (SELECT term, obs AS observed, n * kk / nn AS expected, """ + _sf("obs", "nn", "kk", "n") + """ AS p FROM c, s WHERE obs > 0)

@@ -64,10 +64,6 @@ def v12(spark, d):
     return pu.base_calls(pileup(spark, d), _sites(spark, d))
 
 
-_DNA_PILE = """WITH docs AS (SELECT doc_id AS seq_id, string_split(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '') AS l FROM documents),
-  ref AS (SELECT l AS r FROM docs ORDER BY seq_id LIMIT 1)"""
-
-
 @query("v13_classify_mutations")
 def v13(spark, d):
     from strandframe.plans.motifs import dna
@@ -211,7 +207,7 @@ def v20(spark, d):
 @query("v21_match_features")
 def v21(spark, d):
     wanted = _ref_feats(spark, d).withColumnRenamed("feat_id", "want_id")
-    return ft.match_features(_feats(spark, d), wanted, 6).groupBy("seq_id").agg(F.count("*").alias("n_found"), F.sum("distance").alias("total_distance"))
+    return ft.match_features(_feats(spark, d), wanted, 40).groupBy("seq_id").agg(F.count("*").alias("n_found"), F.sum("distance").alias("total_distance"))
 
 
 @query("v22_nearest_feature", f"""WITH {_FEATS}, {_REF_FEATS} SELECT feat_id, other_start, other_start - start AS distance FROM (SELECT f.feat_id, f.start, r.start AS other_start,
