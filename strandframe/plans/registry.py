@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("lists", "motifs", "variants", "statistics", "clinical", "models")
+MODULES = ("lists", "motifs", "variants", "statistics", "clinical", "models", "sources")
 
 
 def query(name: str, sql: str | None = None):

@@ -172,23 +172,23 @@ def v26b(spark, d):
 
 # --- features ----------------------------------------------------------------
 
-_FEATS = """feats AS (SELECT l_orderkey AS seq_id, l_orderkey * 100 + l_linenumber AS feat_id, l_returnflag AS type, p_brand AS name, CAST(l_quantity AS INTEGER) * 10 + l_linenumber AS start
+_FEATS = """feats AS (SELECT DISTINCT l_orderkey AS seq_id, (l_orderkey * 10000000 + l_partkey) * 10 + l_linenumber AS feat_id, l_returnflag AS type, p_brand AS name, CAST(l_quantity AS INTEGER) * 10 + l_linenumber AS start
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 def _feats(spark, d) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name"))
     return table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("seq_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("feat_id"),
-        F.col("l_returnflag").alias("type"), "name", (F.col("l_quantity").cast("int") * 10 + F.col("l_linenumber")).alias("start"))
+        F.col("l_orderkey").alias("seq_id"), ((F.col("l_orderkey") * 10000000 + F.col("l_partkey")) * 10 + F.col("l_linenumber")).alias("feat_id"),
+        F.col("l_returnflag").alias("type"), "name", (F.col("l_quantity").cast("int") * 10 + F.col("l_linenumber")).alias("start")).distinct()
 
 
-_REF_FEATS = "refs AS (SELECT p_partkey AS feat_id, CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS type, p_brand AS name, p_size * 10 AS start FROM part WHERE p_retailprice > 950)"
+_REF_FEATS = "refs AS (SELECT p_partkey AS feat_id, CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS type, p_brand AS name, p_size * 10 AS start FROM part WHERE p_retailprice > 905)"
 
 
 def _ref_feats(spark, d) -> DataFrame:
     kind = F.when(F.col("p_size") % 3 == 0, "A").when(F.col("p_size") % 3 == 1, "N").otherwise("R")
-    return table(spark, d, "part").filter("p_retailprice > 950").select(
+    return table(spark, d, "part").filter("p_retailprice > 905").select(
         F.col("p_partkey").alias("feat_id"), kind.alias("type"), F.col("p_brand").alias("name"), (F.col("p_size") * 10).alias("start"))
 
 
@@ -211,7 +211,7 @@ def v21(spark, d):
 
 
 @query("v22_nearest_feature", f"""WITH {_FEATS}, {_REF_FEATS} SELECT feat_id, other_start, other_start - start AS distance FROM (SELECT f.feat_id, f.start, r.start AS other_start,
-  row_number() OVER (PARTITION BY f.feat_id ORDER BY abs(r.start - f.start), r.start) AS k FROM feats f JOIN refs r USING (type, name) WHERE abs(r.start - f.start) <= 40) WHERE k = 1""")
+  row_number() OVER (PARTITION BY f.feat_id, f.start ORDER BY abs(r.start - f.start), r.start) AS k FROM feats f JOIN refs r USING (type, name) WHERE abs(r.start - f.start) <= 40) WHERE k = 1""")
 def v22(spark, d):
     return ft.nearest_feature(_feats(spark, d), _ref_feats(spark, d), ["type", "name"], 40).select("feat_id", "other_start", "distance")
 
