@@ -21,12 +21,16 @@ def by_category(df: DataFrame) -> DataFrame:
         F.count("*").alias("count"), F.sort_array(F.collect_list("gene")).alias("genes"))
 
 
-def index_by(annots: DataFrame, key: str, other: str, only: dict[str, list] | None = None) -> DataFrame:
-    """Inverted index: spans of ``other`` under each ``key``, optionally restricted to given values."""
+def index_by(annots: DataFrame, key: str, other: str, only: dict[str, list] | None = None, piece: int = 65536) -> DataFrame:
+    """Inverted index: spans of ``other`` under each ``key``, optionally restricted to given values.
+
+    The spans of one pair come in pieces of the position axis, so that no list grows with
+    the data: (key, other, part, spans).
+    """
     for col, values in (only or {}).items():
         annots = annots.filter(F.col(col).isin(*values))
-    return annots.groupBy(key, other).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return annots.groupBy(key, other, F.floor(F.col("start") / piece).alias("part")).agg(
+        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
 def dedupe_spans(annots: DataFrame, key: list[str]) -> DataFrame:

@@ -175,16 +175,30 @@ def set_blocks(sets: DataFrame, set_col: str, item_col: str, blocks: int, parts:
     )
 
 
-def shared_counts(sets: DataFrame, set_col: str = "set_id", item_col: str = "item", blocks: int = 8,
-                  parts: int = 4) -> DataFrame:
+#: Sets per block and items per array that a pair of blocks is planned for.
+SETS_PER_BLOCK = 512
+ITEMS_PER_PART = 16_384
+
+
+def plan_blocks(sets: DataFrame, set_col: str = "set_id", item_col: str = "item") -> tuple[int, int]:
+    """(blocks, parts) so that neither a block of sets nor one set's item array outgrows a task."""
+    sizes = sets.groupBy(set_col).agg(F.count(item_col).alias("_n"))
+    n, largest = sizes.agg(F.count("*"), F.max("_n")).first()
+    return max(16, -(-n // SETS_PER_BLOCK)), max(1, -(-(largest or 1) // ITEMS_PER_PART))
+
+
+def shared_counts(sets: DataFrame, set_col: str = "set_id", item_col: str = "item", blocks: int | None = None,
+                  parts: int | None = None) -> DataFrame:
     """Number of shared items of every pair of sets with at least one: (i, j, shared), i < j.
 
     Items are never expanded to the pairs of sets that hold them. Each set is cut into
     ``parts`` item arrays (a large set is several rows), sets are cut into ``blocks``;
     a pair of blocks meets on the key (block, block, part), and two arrays are
-    intersected in place. A popular item costs no more than a rare one. Use more parts
-    for larger sets and more blocks for more sets.
+    intersected in place. A popular item costs no more than a rare one. Without ``blocks``
+    and ``parts`` the set sizes are measured first.
     """
+    if blocks is None or parts is None:
+        blocks, parts = plan_blocks(sets, set_col, item_col)
     rows = set_blocks(sets, set_col, item_col, blocks, parts)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.select(F.col("s").alias("i"), F.col("xs").alias("xi"), "part", F.col("block").alias("bi"), every.alias("bj"))
@@ -194,11 +208,14 @@ def shared_counts(sets: DataFrame, set_col: str = "set_id", item_col: str = "ite
     return shared.groupBy("i", "j").agg(F.sum("n").alias("shared"))
 
 
-def all_pairs(sets: DataFrame, set_col: str = "set_id", item_col: str = "item", blocks: int = 8, parts: int = 4) -> DataFrame:
+def all_pairs(sets: DataFrame, set_col: str = "set_id", item_col: str = "item", blocks: int | None = None,
+              parts: int | None = None) -> DataFrame:
     """Full overlap grid: shared count of every pair, -1 where nothing is shared.
 
     The grid of ids is block-paired like the counts themselves.
     """
+    if blocks is None or parts is None:
+        blocks, parts = plan_blocks(sets, set_col, item_col)
     ids = sets.select(F.col(set_col).alias("i")).distinct()
     grid = block_pairs(ids, "i", blocks)
     counted = shared_counts(sets, set_col, item_col, blocks, parts)

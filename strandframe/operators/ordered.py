@@ -11,23 +11,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_FRAMES = {
-    "last": (Window.unboundedPreceding, 0),
-    "last_before": (Window.unboundedPreceding, -1),
-    "next": (0, Window.unboundedFollowing),
-    "next_after": (1, Window.unboundedFollowing),
-    "sum": (Window.unboundedPreceding, 0),
-    "max": (Window.unboundedPreceding, 0),
-    "max_before": (Window.unboundedPreceding, -1),
+# kind: (value of the row itself counts, scan runs from the end)
+_KINDS = {
+    "last": (True, False), "last_before": (False, False), "next": (True, True), "next_after": (False, True),
+    "sum": (True, False), "max": (True, False), "max_before": (False, False),
 }
 
 
+def _over(kind: str, keys: list, order: str, value: Column, own: bool | None = None) -> Column:
+    """Window for a kind. Every frame starts at the unbounded side and grows row by row;
+    looking ahead is looking back in descending order, which keeps the scan linear."""
+    own_row, backwards = _KINDS[kind]
+    own_row = own_row if own is None else own
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc() if backwards else F.col(order))
+    return _agg(kind, value).over(w.rowsBetween(Window.unboundedPreceding, 0 if own_row else -1))
+
+
 def _agg(kind: str, value: Column) -> Column:
-    if kind.startswith("last"):
-        return F.last(value, ignorenulls=True)
-    if kind.startswith("next"):
-        return F.first(value, ignorenulls=True)
-    return F.sum(value) if kind == "sum" else F.max(value)
+    if kind in ("sum", "max", "max_before"):
+        return F.sum(value) if kind == "sum" else F.max(value)
+    return F.last(value, ignorenulls=True)
 
 
 def _merge(kind: str, inside: Column, outside: Column) -> Column:
@@ -48,8 +51,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, specs: list[tuple[s
     that form is only for groups with a fixed small size.
     """
     if span is None:
-        w = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumns({n: _agg(k, v).over(w.rowsBetween(*_FRAMES[k])) for n, k, v in specs})
+        return df.withColumns({n: _over(k, keys, order, v) for n, k, v in specs})
 
     chunk = F.floor(F.col(order) / F.lit(span)).alias("_chunk")
     valued = df.withColumn("_chunk", chunk).withColumns({f"_v{i}": v for i, (_, _, v) in enumerate(specs)})
@@ -64,23 +66,12 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, specs: list[tuple[s
         else:
             s = F.sum(v) if kind == "sum" else F.max(v)
         summaries.append(s.alias(f"_s{i}"))
-    across = Window.partitionBy(*keys).orderBy("_chunk")
     carried = valued.groupBy(*keys, "_chunk").agg(*summaries)
     carried = carried.select(
         *keys, "_chunk",
-        *[
-            _agg(kind, F.col(f"_s{i}")).over(
-                across.rowsBetween(1, Window.unboundedFollowing) if kind.startswith("next")
-                else across.rowsBetween(Window.unboundedPreceding, -1)
-            ).alias(f"_c{i}")
-            for i, (_, kind, _) in enumerate(specs)
-        ],
-    )
-
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+        *[_over(kind, keys, "_chunk", F.col(f"_s{i}"), own=False).alias(f"_c{i}") for i, (_, kind, _) in enumerate(specs)])
     scanned = valued.withColumns(
-        {f"_i{i}": _agg(k, F.col(f"_v{i}")).over(inside.rowsBetween(*_FRAMES[k])) for i, (_, k, _) in enumerate(specs)}
-    )
+        {f"_i{i}": _over(k, [*keys, "_chunk"], order, F.col(f"_v{i}")) for i, (_, k, _) in enumerate(specs)})
     joined = scanned.join(carried, [*keys, "_chunk"])
     return joined.select(
         *[c for c in df.columns if c not in {n for n, _, _ in specs}],

@@ -77,7 +77,7 @@ def snp_sites(runs: DataFrame, min_run: int = 30, run_share: float = 0.05, misma
 
 def base_calls(pileup: DataFrame, sites: DataFrame) -> DataFrame:
     """Base of each sequence at the sites, NULL outside its fragment (long form)."""
-    return mask_fragments(pileup).join(maybe_broadcast(sites.select("ref_pos").distinct()), "ref_pos").select("seq_id", "ref_pos", "base")
+    return mask_fragments(pileup).join(sites.select("ref_pos").distinct(), "ref_pos").select("seq_id", "ref_pos", "base")
 
 
 def base_call_matrix(calls: DataFrame, positions: list[int]) -> DataFrame:
@@ -192,12 +192,12 @@ def site_stats(pileup: DataFrame) -> DataFrame:
 
 
 def snps_per_sequence(pileup: DataFrame, sites: DataFrame) -> DataFrame:
-    hit = pileup.filter(~F.col("is_match")).join(maybe_broadcast(sites.select("ref_pos")), "ref_pos", "left_semi")
+    hit = pileup.filter(~F.col("is_match")).join(sites.select("ref_pos"), "ref_pos", "left_semi")
     return hit.groupBy("seq_id").agg(F.count("*").alias("n_snps"))
 
 
 def sequences_per_snp(pileup: DataFrame, sites: DataFrame) -> DataFrame:
-    hit = pileup.filter(~F.col("is_match")).join(maybe_broadcast(sites.select("ref_pos")), "ref_pos", "left_semi")
+    hit = pileup.filter(~F.col("is_match")).join(sites.select("ref_pos"), "ref_pos", "left_semi")
     return hit.groupBy("ref_pos").agg(F.count("*").alias("n_seqs"))
 
 

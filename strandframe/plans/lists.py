@@ -498,8 +498,8 @@ def _spans(spark, d):
         F.col("l_linenumber").alias("start"), F.col("l_quantity").cast("int").alias("end"), F.col("l_linestatus").alias("tool"))
 
 
-@query("a3_index_by", """SELECT l_suppkey AS gene, l_returnflag AS motif, count(*) AS n_spans, min(l_linenumber) AS first_start FROM lineitem
-  WHERE l_linestatus = 'F' GROUP BY 1, 2""")
+@query("a3_index_by", """SELECT l_suppkey AS gene, l_returnflag AS motif, count(*) AS n_spans, min(l_linenumber) AS first_start FROM
+  (SELECT DISTINCT l_suppkey, l_returnflag, l_linenumber, l_quantity FROM lineitem WHERE l_linestatus = 'F') GROUP BY 1, 2""")
 def a3(spark, d):
     idx = agg.index_by(_spans(spark, d), "gene", "motif", {"tool": ["F"]})
     return idx.select("gene", "motif", F.size("spans").cast("long").alias("n_spans"), F.col("spans")[0]["start"].alias("first_start"))

@@ -122,22 +122,27 @@ def _vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), F.col("label").alias("cls"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-_VOTE = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS sample, b.vec_id AS neighbour, b.label AS cls,
-  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0)"""
+_VOTE = f"""WITH {_SPLIT}, e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, is_train FROM embeddings JOIN lab ON vec_id = sample AND rep = 0), p AS (SELECT a.vec_id AS sample, b.vec_id AS neighbour, b.label AS cls,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank FROM e a JOIN e b ON NOT a.is_train AND b.is_train)"""
+
+
+def _held_out(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Training and test vectors of one stratified split."""
+    v = _vectors(spark, d)
+    train = ml.stratified_splits(_samples(spark, d), 2 / 3, 1).select("sample")
+    return v.join(train, "sample", "left_semi"), v.join(train, "sample", "left_anti")
 
 
 @query("l5_knn", _VOTE + """, v AS (SELECT sample, k, cls, count(*) AS c FROM p, (SELECT unnest([1, 5, 15]) AS k) WHERE rank <= k GROUP BY 1, 2, 3)
   SELECT sample, k, cls AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY sample, k ORDER BY c DESC, cls) AS r FROM v) WHERE r = 1""")
 def l5(spark, d):
-    v = _vectors(spark, d)
-    near = ml.knn(v.filter("sample % 5 <> 0"), v.filter("sample % 5 = 0").drop("cls"), 15)
-    return ml.knn_vote(near, [1, 5, 15])
+    train, test = _held_out(spark, d)
+    return ml.knn_vote(ml.knn(train, test.drop("cls"), 15), [1, 5, 15])
 
 
 @query("l5_knn_search")
 def l5b(spark, d):
-    v = _vectors(spark, d)
-    return ml.knn_search(v.filter("sample % 5 <> 0"), v.filter("sample % 5 = 0"), [1, 5, 15], [16, 64])
+    return ml.knn_search(*_held_out(spark, d), [1, 5, 15], [16, 64])
 
 
 def _runs(spark, d) -> DataFrame:

@@ -139,7 +139,7 @@ def v5(spark, d):
     return m.groupBy("seq_id").agg(F.sum("test_pos").alias("sum_test"), F.sum("ref_pos").alias("sum_ref"))
 
 
-@query("v6_lift_range", _P + """, a AS (SELECT seq_id, ref_pos AS col, CAST(base <> ' ' AS INTEGER) AS t, CAST(ref_base <> ' ' AS INTEGER) AS r FROM pileup)
+@query("v6_lift_range", _P + """, a AS (SELECT seq_id, ref_pos AS col, CAST(base NOT IN (' ', '-') AS INTEGER) AS t, CAST(ref_base NOT IN (' ', '-') AS INTEGER) AS r FROM pileup)
   , m AS (SELECT seq_id, sum(t) OVER (PARTITION BY seq_id ORDER BY col) - 1 AS test_pos, sum(r) OVER (PARTITION BY seq_id ORDER BY col) - 1 AS ref_pos FROM a)
   SELECT seq_id, 30 AS start, 90 AS "end", CAST(min(CASE WHEN ref_pos >= 30 THEN test_pos END) AS BIGINT) AS lifted_start, CAST(min(CASE WHEN ref_pos >= 90 THEN test_pos END) AS BIGINT) AS lifted_end FROM m GROUP BY 1""")
 def v6(spark, d):
