@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandframe.operators.ordered import ordered_scan
-from strandframe.session import fits_broadcast, maybe_broadcast
+from strandframe.session import cut_lineage, fits_broadcast, maybe_broadcast
 
 #: Dictionaries up to this many entries are paired with sequences by a broadcast.
 DICTIONARY_ROWS = 10_000
@@ -165,60 +165,66 @@ def asof_pair(timeline: DataFrame, times: list[int], keys: list[str], week: str
     )
 
 
-def set_blocks(sets: DataFrame, set_col: str, item_col: str, blocks: int, parts: int) -> DataFrame:
-    """Sets as bounded item arrays: one row per (set, item part), with the set's block number."""
-    return (
-        sets.select(F.col(set_col).alias("s"), F.col(item_col).alias("x")).distinct()
-        .groupBy("s", F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int").alias("part"))
-        .agg(F.collect_set("x").alias("xs"))
-        .withColumn("block", F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int"))
-    )
-
-
+#: Sets sharing an item are paired through the item up to this many sets; beyond it in blocks.
+ITEM_CAP = 64
 #: Sets per block and items per array that a pair of blocks is planned for.
 SETS_PER_BLOCK = 512
 ITEMS_PER_PART = 16_384
 
 
-def plan_blocks(sets: DataFrame, set_col: str = "set_id", item_col: str = "item") -> tuple[int, int]:
-    """(blocks, parts) so that neither a block of sets nor one set's item array outgrows a task."""
-    sizes = sets.groupBy(set_col).agg(F.count(item_col).alias("_n"))
+def _blocked_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Shared items (i, j, n) of sets met block by block.
+
+    A set is cut into item arrays of bounded size, sets into blocks; two blocks meet on the
+    key (block, block, part) and arrays are intersected in place, so an item held by very
+    many sets is never expanded.
+    """
+    sizes = left.groupBy(*keys, "i").agg(F.count("*").alias("_n"))
     n, largest = sizes.agg(F.count("*"), F.max("_n")).first()
-    return max(16, -(-n // SETS_PER_BLOCK)), max(1, -(-(largest or 1) // ITEMS_PER_PART))
+    blocks, parts = max(16, -(-n // SETS_PER_BLOCK)), max(1, -(-(largest or 1) // ITEMS_PER_PART))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
+    def packed(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int").alias("part")
+        block = F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias(own)
+        arrays = df.groupBy(*keys, name, part).agg(F.collect_set("x").alias(f"x{name}"))
+        return arrays.select(*keys, name, f"x{name}", "part", block, every.alias(other))
 
-def shared_counts(sets: DataFrame, set_col: str = "set_id", item_col: str = "item", blocks: int | None = None,
-                  parts: int | None = None) -> DataFrame:
-    """Number of shared items of every pair of sets with at least one: (i, j, shared), i < j.
+    met = packed(left, "i", "bi", "bj").join(packed(right, "j", "bj", "bi"), [*keys, "bi", "bj", "part"])
+    return met.filter(F.col("i") < F.col("j")).select(*keys, "i", "j", F.size(F.array_intersect("xi", "xj")).cast("long").alias("n"))
 
-    Items are never expanded to the pairs of sets that hold them. Each set is cut into
-    ``parts`` item arrays (a large set is several rows), sets are cut into ``blocks``;
-    a pair of blocks meets on the key (block, block, part), and two arrays are
-    intersected in place. A popular item costs no more than a rare one. Without ``blocks``
-    and ``parts`` the set sizes are measured first.
+
+def overlap_counts(left: DataFrame, right: DataFrame, keys: list[str] = [], cap: int = ITEM_CAP) -> DataFrame:
+    """Shared items of every pair with at least one: (keys, i, j, shared), i < j.
+
+    ``left(keys, i, x)``, ``right(keys, j, x)``, both distinct. Items held by few sets join
+    on the item, which makes at most ``cap`` pairs per row; the others go through blocks of
+    sets. Both counts are added, so the result is whole.
     """
-    if blocks is None or parts is None:
-        blocks, parts = plan_blocks(sets, set_col, item_col)
-    rows = set_blocks(sets, set_col, item_col, blocks, parts)
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select(F.col("s").alias("i"), F.col("xs").alias("xi"), "part", F.col("block").alias("bi"), every.alias("bj"))
-    right = rows.select(F.col("s").alias("j"), F.col("xs").alias("xj"), "part", every.alias("bi"), F.col("block").alias("bj"))
-    met = left.join(right, ["bi", "bj", "part"]).filter(F.col("i") < F.col("j"))
-    shared = met.select("i", "j", F.size(F.array_intersect("xi", "xj")).alias("n")).filter("n > 0")
-    return shared.groupBy("i", "j").agg(F.sum("n").alias("shared"))
+    on = [*keys, "x"]
+    held = left.groupBy(*on).agg(F.count("*").alias("_l")).join(right.groupBy(*on).agg(F.count("*").alias("_r")), on)
+    popular = cut_lineage(held.filter(F.greatest("_l", "_r") > cap).select(*on))
+    if popular.isEmpty():
+        return left.join(right, on).filter(F.col("i") < F.col("j")).groupBy(*keys, "i", "j").agg(F.count("*").alias("shared"))
+    rare = left.join(popular, on, "left_anti").join(right.join(popular, on, "left_anti"), on).filter(F.col("i") < F.col("j"))
+    counts = rare.groupBy(*keys, "i", "j").agg(F.count("*").alias("n")).unionByName(
+        _blocked_counts(left.join(popular, on, "left_semi"), right.join(popular, on, "left_semi"), keys))
+    return counts.groupBy(*keys, "i", "j").agg(F.sum("n").alias("shared")).filter("shared > 0")
+
+
+def shared_counts(sets: DataFrame, set_col: str = "set_id", item_col: str = "item", cap: int = ITEM_CAP) -> DataFrame:
+    """Number of shared items of every pair of sets with at least one: (i, j, shared), i < j."""
+    rows = cut_lineage(sets.select(F.col(set_col).alias("i"), F.col(item_col).alias("x")).distinct())
+    return overlap_counts(rows, rows.withColumnRenamed("i", "j"), cap=cap)
 
 
-def all_pairs(sets: DataFrame, set_col: str = "set_id", item_col: str = "item", blocks: int | None = None,
-              parts: int | None = None) -> DataFrame:
+def all_pairs(sets: DataFrame, set_col: str = "set_id", item_col: str = "item") -> DataFrame:
     """Full overlap grid: shared count of every pair, -1 where nothing is shared.
 
-    The grid of ids is block-paired like the counts themselves.
+    The grid of ids is formed block by block.
     """
-    if blocks is None or parts is None:
-        blocks, parts = plan_blocks(sets, set_col, item_col)
-    ids = sets.select(F.col(set_col).alias("i")).distinct()
-    grid = block_pairs(ids, "i", blocks)
-    counted = shared_counts(sets, set_col, item_col, blocks, parts)
+    grid = block_pairs(sets.select(F.col(set_col).alias("i")).distinct(), "i", 16)
+    counted = shared_counts(sets, set_col, item_col)
     return grid.join(counted, ["i", "j"], "left").withColumn("shared", F.coalesce("shared", F.lit(-1).cast("long")))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandframe.session import BROADCAST_ROWS
+
 
 def hash_key(*cols: str | Column, seed: int = 0) -> Column:
     """Hex digest that orders items at random."""
@@ -15,15 +17,18 @@ def hash_key(*cols: str | Column, seed: int = 0) -> Column:
 
 
 def repeat(df: DataFrame, reps: int, name: str = "rep") -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    """Every row ``reps`` times. The rows are dealt out first: the copies outweigh that shuffle."""
+    spark = df.sparkSession
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(pieces).withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
 
 
 def hash_draw(pool: DataFrame, item: str, reps: int, size: int | float, strata: list[str] | None = None,
               seed: int = 0, digits: int = 2) -> DataFrame:
     """Exactly ``size`` items (or that share of each stratum, rounded) per repetition, without replacement.
 
-    Items are counted by the leading digits of their hash. Whole buckets below the cut are
-    in; only the one bucket at the cut is ranked, so no task sorts a full pool.
+    Items are counted by the leading digits of their hash. Buckets above the cut are dropped
+    where they arise; ranks are taken within a bucket, so no task sorts a full pool.
     """
     strata = strata or []
     group = [*strata, "rep"]
@@ -34,15 +39,16 @@ def hash_draw(pool: DataFrame, item: str, reps: int, size: int | float, strata:
     total = F.sum("_n").over(Window.partitionBy(*group))
     want = F.round(total * size) if isinstance(size, float) else F.lit(size)
     cut = (
-        counts.withColumns({"_upto": F.sum("_n").over(w), "_want": want.cast("long")})
+        counts.withColumns({"_upto": F.sum("_n").over(w), "_all": total, "_want": F.least(want.cast("long"), total)})
         .filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
         .select(*group, F.col("_b").alias("_cut"), (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_left"))
     )
-    joined = rows.join(cut, group, "left")
-    below = joined.filter(F.col("_cut").isNull() | (F.col("_b") < F.col("_cut"))).select(*group, item)
-    edge = joined.filter(F.col("_b") == F.col("_cut"))
-    ranked = edge.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("_h", item)))
-    return below.unionByName(ranked.filter(F.col("_r") <= F.col("_left")).select(*group, item))
+    # one row per repetition and stratum
+    cut_rows = reps * (pool.select(*strata).distinct().count() if strata else 1)
+    joined = rows.join(F.broadcast(cut) if cut_rows <= BROADCAST_ROWS else cut, group).filter(F.col("_b") <= F.col("_cut"))
+    place = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", item))
+    ranked = joined.withColumn("_r", place)
+    return ranked.filter((F.col("_b") < F.col("_cut")) | (F.col("_r") <= F.col("_left"))).select(*group, item)
 
 
 def permute_labels(items: DataFrame, item: str, reps: int, seed: int = 0) -> DataFrame:
