@@ -150,6 +150,12 @@ def term_lists(chart: DataFrame, categories: list[str]) -> DataFrame:
     ])
 
 
+def patient_field(table: DataFrame, field: str, mode: str = "leave", key: str = "pat") -> DataFrame:
+    """One field of the patient tables: ``explode`` gives a row per value (NULL for none), ``leave`` the stored array."""
+    kept = table.select(key, field)
+    return kept.select(key, F.explode_outer(field).alias(field)) if mode == "explode" else kept
+
+
 def significant(chart: DataFrame, cut: float) -> DataFrame:
     """Genes of the terms with p below the cut."""
     return chart.filter(F.col("pvalue") < cut).select(F.explode("genes").alias("gene")).distinct()

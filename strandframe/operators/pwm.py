@@ -106,6 +106,11 @@ def pwm_scan(seqs: DataFrame, pwm: DataFrame, missing: float | str | None = None
     return rows.select(*keep, "pwm_id", start.alias("start"), score.alias("score"))
 
 
+def map_symbols(seqs: DataFrame, table: dict[str, str], seq: str = "seq") -> DataFrame:
+    """Sequence letters replaced by the symbols a matrix uses (one letter each), others kept."""
+    return seqs.withColumn(seq, F.translate(seq, "".join(table), "".join(table.values())))
+
+
 def pwm_best(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Best placement per key (the first of equals)."""
     top = F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("start")).alias("neg"))))

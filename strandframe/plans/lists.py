@@ -633,3 +633,10 @@ def a23(spark, d):
     runs = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select("feature", (F.col("l_discount") - 0.05).alias("weight"))
     out = agg.summarise_runs(runs)
     return out.select("feature", *[F.round(c, 9).alias(c) for c in ("mean_sign", "mean_abs", "sd")], "n_runs")
+
+
+@query("f6_patient_field", _with(REGIMEN_SQL) + "SELECT c_custkey AS pat, drug AS drugs FROM customer LEFT JOIN (SELECT DISTINCT pat, drug FROM regimen WHERE start >= 0) r ON r.pat = c_custkey")
+def f6(spark, d):
+    taken = regimen(spark, d).filter("start >= 0").groupBy("pat").agg(F.collect_set("drug").alias("drugs"))
+    patients = table(spark, d, "customer").select(F.col("c_custkey").alias("pat")).join(taken, "pat", "left")
+    return agg.patient_field(patients, "drugs", "explode")

@@ -297,6 +297,12 @@ def m30(spark, d):
     return mt.rollup_calls(calls)
 
 
+@query("f5_map_symbols", f"""WITH {SEQS_SQL} SELECT seq_id, CAST(len(regexp_extract_all(translate(seq, 'aeiou', '#####'), '#')) AS INTEGER) AS n_vowels FROM seqs""")
+def f5(spark, d):
+    mapped = pw.map_symbols(seqs(spark, d), {v: "#" for v in "aeiou"})
+    return mapped.select("seq_id", sc.match_count("seq", "#").alias("n_vowels"))
+
+
 # --- scalar functions over sequences ----------------------------------------------
 
 @query("p1_filter_by_ids", """SELECT doc_id AS seq_id, md5(lower(text)) AS digest FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
