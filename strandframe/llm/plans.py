@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandframe.llm import chat, lines, mixing
+from strandframe.llm import chat, html, langid, lines, mixing, quality, simhash, urls, warc
 from strandframe.plans.registry import table
 
 QUERIES: dict = {}
@@ -76,6 +76,70 @@ def op2_mix_sources(spark, sf_dir):
                       F.round("probability", 6).alias("probability"), "sampled")
 
 
+#: The rules (verdict, host, path) and the listed names, each under three endings.
+URL_RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"))
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_HOSTS = tuple(f"{n}.example.{e}" for n in LISTED_NAMES for e in ("com", "net", "org"))
+
+_values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+_URLS = f"""
+WITH rules(v, h, p) AS (VALUES {_values(URL_RULES)}), hosts(h) AS (VALUES {_values([(h,) for h in LISTED_HOSTS])}),
+u AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+fits AS (
+  SELECT u.*, (SELECT max(struct_pack(n := length(h || p), nh := length(h), v := CASE v WHEN 'allow' THEN 1 ELSE 0 END, rule := h || p)) FROM rules
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS r,
+    (SELECT max(struct_pack(n := length(h), h := h)) FROM hosts WHERE host = h OR ends_with(host, '.' || h)) AS l FROM u)
+SELECT page_id, host, path, r.rule AS rule,
+  CASE WHEN r IS NOT NULL THEN CASE r.v WHEN 1 THEN 'allow' ELSE 'block' END WHEN l IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  l.h AS listed_host
+FROM fits"""
+
+
+@query("op3_url_filters", _URLS)
+def op3_url_filters(spark, sf_dir):
+    rules = spark.createDataFrame(list(URL_RULES), "verdict string, host string, path string")
+    hosts = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "host string")
+    out = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, hosts)
+    return out.select("page_id", "host", "path", "rule", "verdict", "listed_host")
+
+
+@query("op4_warc")
+def op4_warc(spark, sf_dir):
+    manifest, folder = warc.write_archives(table(spark, sf_dir, "pages"))
+    kind = table(spark, sf_dir, "pages").schema["page_id"].dataType
+    number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
+    return warc.read_archives(spark, manifest, folder, payloads=False).select(
+        number("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+@query("op5_simhash_pivots")
+def op5_simhash_pivots(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark, sf_dir):
+    out = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      F.round("good_probability", 6).alias("good_probability"))
+
+
+@query("op9_html_density")
+def op9_html_density(spark, sf_dir):
+    return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    out = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
+
+
 _CHAT = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
