@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandframe.llm.rows import pack, unpack
 from strandframe.session import cut_lineage
 
 
@@ -56,13 +57,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     than ``width`` lines stay; a null id sorts first; rows equal in id and text are one document
     and all lose the same lines.
     """
-    taken = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in taken], F.xxhash64(text_col).alias("__hash"))
-    marks = repeated_windows(docs, id_col, text_col, width).select(
-        F.col("_id").alias("__id"), F.col("_hash").alias("__thash"), F.col("_starts").alias("__starts"))
-    joined = keyed.join(
-        marks, keyed[id_col].eqNullSafe(marks["__id"]) & (keyed["__hash"] == marks["__thash"]), "left")
-    lines, starts = F.col("__lines"), F.col("__starts")
+    keyed = pack(docs, id=F.col(id_col), hash=F.xxhash64(text_col))
+    marks = repeated_windows(docs, id_col, text_col, width)
+    joined = keyed.join(marks, keyed["id"].eqNullSafe(marks["_id"]) & (keyed["hash"] == marks["_hash"]), "left")
+    lines, starts = F.col("lines"), F.col("_starts")
 
     def gap(k: Column) -> Column:
         """Lines between the end of window k-1 and the start of window k."""
@@ -71,12 +69,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.slice(lines, begin + 1, F.greatest(end - begin, F.lit(0)))
 
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts)), gap))
-    out = joined.withColumn("__lines", F.split(text_col, "\n")).withColumn(
-        "__kept", F.when(starts.isNull(), lines).otherwise(kept))
+    cut = joined.select("row", "_starts", F.split(F.col(f"row.`{text_col}`"), "\n").alias("lines")).select(
+        "row", "lines", F.when(starts.isNull(), lines).otherwise(kept).alias("kept"))
     size = lambda a: F.when(a.isNotNull(), F.size(a)).cast("long")
-    return out.select(
-        *[F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in taken],
-        size(lines).alias("n_lines"), (size(lines) - size(F.col("__kept"))).alias("removed_lines"))
+    out = unpack(cut, docs.columns, **{
+        text_col: F.array_join("kept", "\n"), "n_lines": size(lines), "removed_lines": size(lines) - size(F.col("kept"))})
+    return out.select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "removed_lines")], "n_lines", "removed_lines")
 
 
 def line_dedup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandframe.llm.rows import pack, unpack
 from strandframe.session import cut_lineage, maybe_broadcast
 
 #: Topic rules in order; a text has the first topic whose characters make up the share.
 TOPIC_RULES = (("markup", r"[#$%&*|<>=]", 0.02), ("shout", r"!", 0.02), ("figures", r"[0-9]", 0.02))
 MARGINS = ("source", "lang", "topic")
 #: Target share of a value is its token share to this power, rescaled; 1 keeps the mix, 0 makes it even.
-TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 
 
 def n_words(text: Column) -> Column:
@@ -40,25 +41,26 @@ def tempered_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tol: float = 1e-9, max_rounds: int = 200):
     """Weights ``w`` for ``cells`` (label columns, ``n``) whose shares meet ``targets`` (label, ``share``).
 
-    One round scales the weights to each margin in turn. Rounds go on until no weight moves by more
-    than ``tol`` of itself. Targets that contradict the zero cells have no solution; then a
-    RuntimeError says how far apart the last two rounds were. Returns (cells, rounds).
+    One round scales the weights to each margin in turn. Rounds go on until no factor of a round is
+    further than ``tol`` from 1, so that all targets are met. Targets that contradict the zero cells have no
+    solution; then a RuntimeError says how far off the last round was. Returns (cells, rounds).
     """
     cells = cut_lineage(cells.filter("n > 0").withColumn("w", F.col("n").cast("double")))
     targets = {m: maybe_broadcast(cut_lineage(t)) for m, t in targets.items()}
-    moved = None
+    off = None
     for k in range(max_rounds):
-        now = cells.withColumn("_before", F.col("w"))
+        now = cells.withColumn("_off", F.lit(0.0))
         for m, share in targets.items():
             scale = now.groupBy(m).agg(F.sum("w").alias("_sum")).join(share, m).select(
                 m, (F.col("share") / F.col("_sum")).alias("_scale"))
-            now = now.join(scale, m).withColumn("w", F.col("w") * F.col("_scale")).drop("_scale")
+            now = now.join(scale, m).withColumn("w", F.col("w") * F.col("_scale")).withColumn(
+                "_off", F.greatest("_off", F.abs(F.col("_scale") - 1))).drop("_scale")
         now = cut_lineage(now)
-        moved = now.agg(F.max(F.abs(F.col("w") / F.col("_before") - 1))).first()[0]
-        cells = now.drop("_before")
-        if moved is None or (k and moved <= tol):
+        off = now.agg(F.max("_off")).first()[0]
+        cells = now.drop("_off")
+        if off is None or off <= tol:
             return cells, k + 1
-    raise RuntimeError(f"no weights meet all targets: after {max_rounds} rounds they still move by {moved}")
+    raise RuntimeError(f"no weights meet all targets: after {max_rounds} rounds they are still off by {off}")
 
 
 def uniform(key: Column) -> Column:
@@ -81,21 +83,15 @@ def mix_sources(
     rows of one id are drawn together. Columns named like the new ones are replaced.
     """
     temper = TEMPER if temper is None else temper
-    new = ("topic", "n_tokens", "weight", "probability", "sampled")
-    old = [c for c in docs.columns if c not in new]
-    facts = docs.select(
-        *[F.col(f"`{c}`") for c in old], topic(F.col(text_col)).alias("topic"), n_words(F.col(text_col)).alias("n_tokens"),
-        _label(source_col).alias("__source"), _label(lang_col).alias("__lang"))
-    facts = facts.withColumn("__topic", F.col("topic"))
-    margins = [f"__{m}" for m in MARGINS]
-    counts = cut_lineage(facts.groupBy(*margins).agg(F.sum("n_tokens").alias("n")).filter("n > 0"))
-    targets = {f"__{m}": tempered_targets(counts, f"__{m}", temper[m]) for m in MARGINS}
+    facts = pack(docs, n_tokens=n_words(F.col(text_col)), topic=topic(F.col(text_col)), source=_label(source_col),
+                 lang=_label(lang_col), draw=uniform(F.col(id_col)))
+    counts = cut_lineage(facts.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")).filter("n > 0"))
+    targets = {m: tempered_targets(counts, m, temper[m]) for m in MARGINS}
     cells, _ = rake(counts, targets, tol)
     rate = F.col("w") / F.col("n")
     total = cells.agg(F.sum("n").alias("n"), F.max(rate).alias("top")).first()
-    rates = cells.select(*margins, (rate * F.lit(total["n"])).alias("weight"), (rate / F.lit(total["top"])).alias("_p"))
-    out = facts.join(maybe_broadcast(cut_lineage(rates)), margins, "left")
-    out = out.withColumn("probability", F.when(F.col("n_tokens") > 0, F.col("_p")).otherwise(F.lit(0.0)))
-    return out.select(*[F.col(f"`{c}`") for c in old], "topic", "n_tokens",
-                      F.when(F.col("n_tokens") > 0, F.col("weight")).otherwise(F.lit(0.0)).alias("weight"), "probability",
-                      (uniform(F.col(id_col)) < F.col("probability")).alias("sampled"))
+    rates = cells.select(*MARGINS, (rate * F.lit(total["n"])).alias("w"), (rate / F.lit(total["top"])).alias("p"))
+    out = facts.join(maybe_broadcast(cut_lineage(rates)), list(MARGINS), "left")
+    if_any = lambda c: F.when(F.col("n_tokens") > 0, F.col(c)).otherwise(F.lit(0.0))
+    return unpack(out, docs.columns, topic=F.col("topic"), n_tokens=F.col("n_tokens"), weight=if_any("w"),
+                  probability=if_any("p"), sampled=F.col("draw") < if_any("p"))

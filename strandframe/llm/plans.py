@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandframe.llm import chat, html, langid, lines, mixing, quality, simhash, urls, warc
+from strandframe.llm import chat, decontam, html, langid, lines, mixing, quality, simhash, urls, warc
 from strandframe.plans.registry import table
 
 QUERIES: dict = {}
@@ -119,7 +119,13 @@ def op4_warc(spark, sf_dir):
 
 @query("op5_simhash_pivots")
 def op5_simhash_pivots(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+    found = simhash.classify(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
+
+
+@query("op6_decontaminate")
+def op6_decontaminate(spark, sf_dir):
+    return decontam.leaks_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("op7_quality_rules")

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from strandframe.llm.graph import components
+from strandframe.llm.rows import pack, unpack
 from strandframe.session import cut_lineage
 
 #: Reference fingerprints in the distance table.
@@ -139,45 +140,45 @@ def links(prints: DataFrame, fp: str = "fp", max_bits: int = 2, bucket: int = BU
     return dealt.groupBy("mask", "key", "lo", "hi").applyInPandas(of_group, "a long, b long")
 
 
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
+    """A row per document: ``id``, ``hash`` (of the text), ``fingerprint`` (16 hex digits) and ``component``.
+
+    ``component`` is the least id reachable over links, the document itself included. A null or
+    wordless text has fingerprint zero and links like any other; null ids are passed over (a
+    component of nothing else has a null id); repeated rows stay; no rows give no rows. Copies never
+    become pairs: links are drawn between different fingerprints.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = cut_lineage(with_fingerprint(texts, "text", size, "fp").select("id", "fp", F.xxhash64("text").alias("hash")))
+    comps = fingerprint_components(marked, max_bits)
+    return marked.join(comps, "fp").select("id", "hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2,
 ) -> DataFrame:
-    """``docs`` with ``fingerprint`` (16 hex digits) and ``component_id``.
+    """``docs`` with ``fingerprint`` and ``component_id`` of ``classify``; columns of those names are replaced.
 
-    ``component_id`` is the least id reachable over links, the document itself included. A null or
-    wordless text has fingerprint zero and links like any other; null ids are passed over (a
-    component of nothing else has a null id); repeated rows stay. Columns named like the new ones
-    are replaced. Copies never become pairs: links are drawn between different fingerprints.
+    Rows meet their class by (id, text hash); equal rows have equal classes.
     """
-    old = [c for c in docs.columns if c not in ("fingerprint", "component_id")]
-    marked = cut_lineage(with_fingerprint(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")),
-                                          "__text", size, "fp").select("__id", "fp", F.xxhash64("__text").alias("__hash")))
-    comps = fingerprint_components(marked, max_bits)
-    # Rows meet their fingerprint again by (id, text hash); equal rows have equal fingerprints.
-    named = marked.join(comps, "fp").select("__id", "__hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    if set(old) <= {id_col}:
-        return named.select(F.col("__id").alias(id_col), "fingerprint", "component_id")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in old], F.xxhash64(text_col).alias("__dochash"))
-    once = named.distinct()
-    return keyed.join(once, keyed[id_col].eqNullSafe(once["__id"]) & (keyed["__dochash"] == once["__hash"]), "left").select(
-        *[F.col(f"`{c}`") for c in old], "fingerprint", "component_id")
+    found = classify(docs, id_col, text_col, size, max_bits).distinct()
+    keyed = pack(docs, key=F.col(id_col), text_hash=F.xxhash64(text_col))
+    met = keyed.join(found, keyed["key"].eqNullSafe(found["id"]) & (keyed["text_hash"] == found["hash"]), "left")
+    return unpack(met, docs.columns, fingerprint=F.col("fingerprint"), component_id=F.col("component"))
 
 
 def fingerprint_components(marked: DataFrame, max_bits: int = 2) -> DataFrame:
-    """``fp`` and ``component_id`` for each different ``fp`` of ``marked`` (``__id``, ``fp``)."""
-    prints = cut_lineage(marked.groupBy("fp").agg(F.min("__id").alias("__least")))
-    comps = components(links(prints, "fp", max_bits))
-    grouped = prints.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("__root", F.coalesce("component", "fp"))
-    grouped = cut_lineage(grouped.select("fp", "__root", "__least"))
-    least = grouped.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    return cut_lineage(grouped.join(least, "__root").select("fp", "component_id"))
+    """``fp`` and ``component``, its least reachable id, for each different ``fp`` of ``marked`` (``id``, ``fp``)."""
+    prints = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("id")))
+    found = components(links(prints, "fp", max_bits)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    grouped = cut_lineage(prints.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "id"))
+    least = grouped.groupBy("root").agg(F.min("id").alias("component"))
+    return cut_lineage(grouped.join(least, "root").select("fp", "component"))
 
 
 def near_dedup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
     """One document of each component, the one of least id (of several rows with it, that of least text)."""
-    found = near_duplicates(docs, id_col, text_col, size, max_bits)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    order = F.struct(F.xxhash64(text_col), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    return first.groupBy("component_id").agg(F.min_by(row, order).alias("__row")).select(
-        *[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    rows = pack(docs, id=F.col(id_col), text=F.col(text_col))
+    found = near_duplicates(rows, "id", "text", size, max_bits).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    order = F.struct(F.xxhash64("text"), F.xxhash64("row"))
+    return unpack(found.groupBy("id").agg(F.min_by("row", order).alias("row")), docs.columns)
