@@ -41,28 +41,33 @@ _HITS = "array<struct<start:int,text:string>>"
 _CLOSE = "\ue001"
 
 
-def _marked_hits(text: Column, pattern: Column, consumed: bool) -> Column:
-    """Hits read off a text in which every match is set between two marks.
+def _bound(array: Column, use) -> Column:
+    """``use`` of an array that is computed once: a one-element array around it binds it to a name."""
+    return F.transform(F.array(array), use)[0]
 
-    The regex runs once. A piece after the first mark is "match, closing mark, text up to
-    the next match"; lengths of the pieces give the distances between starts.
-    """
-    safe = F.translate(text, MARK + _CLOSE, "\ufffd\ufffd")
-    pieces = F.split(F.regexp_replace(safe, pattern, F.lit(f"{MARK}$1{_CLOSE}")), MARK, -1)
 
-    def read(acc, piece):
-        found = F.substring_index(piece, _CLOSE, 1)
-        gap = F.length(piece) - 1 - (F.lit(0) if consumed else F.length(found))
-        return F.struct(
-            (acc["at"] + gap).cast("int").alias("at"),
-            F.array_append(acc["hits"], F.struct(acc["at"].alias("start"), found.alias("text"))).alias("hits"))
+def mark_places(marked: Column) -> Column:
+    """0-based places of all marks in a text, in one pass over its letters."""
+    return _bound(F.split(marked, ""), lambda letters: F.filter(
+        F.sequence(F.lit(0), F.size(letters) - 1), lambda i: F.get(letters, i) == F.lit(MARK)))
 
-    def scan(all_pieces):
-        first = F.struct(F.length(all_pieces[0]).cast("int").alias("at"), F.array().cast(_HITS).alias("hits"))
-        return F.aggregate(F.slice(all_pieces, F.lit(2), F.size(all_pieces)), first, read, lambda acc: acc["hits"])
 
-    # a one-element array binds the pieces, so they are computed once
-    return F.transform(F.array(pieces), scan)[0]
+def _marked_hits(text: Column, pattern: Column, starts: Column | None = None) -> Column:
+    """Hits read off a text in which every match is set between two marks.
+
+    The k-th piece after a mark is "match, closing mark, text up to the next match". Without
+    ``starts`` matches are taken out of the text, and the k-th mark lies two marks per earlier hit too
+    far right. Nothing is appended to, so the cost is linear in text and hits.
+    """
+    safe = F.translate(text, MARK + _CLOSE, "\ufffd\ufffd")
+    marked = F.regexp_replace(safe, pattern, F.lit(f"{MARK}$1{_CLOSE}"))
+    if starts is None:
+        starts = F.transform(mark_places(marked), lambda at, k: at - 2 * k)
+    pieces = F.split(marked, MARK, -1)
+    found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda piece: F.substring_index(piece, _CLOSE, 1))
+    # a match of nothing at the very end has no letter to carry a start
+    hits = F.zip_with(starts, found, lambda at, m: F.struct(F.coalesce(at, F.length(text)).cast("int").alias("start"), m.alias("text")))
+    return hits.cast(_HITS)
 
 
 def overlap_hits(text, pattern, ignore_case: bool = False) -> Column:
@@ -70,7 +75,8 @@ def overlap_hits(text, pattern, ignore_case: bool = False) -> Column:
 
     A zero-width look-ahead copies each match in front of its start.
     """
-    return _marked_hits(_c(text), _pattern(pattern, "(?=(", "))", ignore_case), consumed=False)
+    text = _c(text)
+    return _marked_hits(text, _pattern(pattern, "(?=(", "))", ignore_case), mark_places(start_marks(text, pattern, ignore_case)))
 
 
 def start_marks(text, pattern, ignore_case: bool = False) -> Column:
@@ -81,7 +87,7 @@ def start_marks(text, pattern, ignore_case: bool = False) -> Column:
 
 def plain_hits(text, pattern, ignore_case: bool = False) -> Column:
     """Left-to-right matches that do not overlap: array<struct<start,text>>."""
-    return _marked_hits(_c(text), _pattern(pattern, "(", ")", ignore_case), consumed=True)
+    return _marked_hits(_c(text), _pattern(pattern, "(", ")", ignore_case))
 
 
 def match_count(text, pattern: str, ignore_case: bool = False) -> Column:
@@ -240,18 +246,17 @@ def inv_boxcox(y, lam) -> Column:
 
 def mask_vector(length, intervals) -> Column:
     """String of 0/1 over 0..length-1 from sorted, disjoint array<struct<start,end>> (half-open)."""
-    length = _c(length)
-    built = F.aggregate(
-        _c(intervals),
-        F.struct(F.lit("").alias("mask"), F.lit(0).cast("long").alias("at")),
-        lambda acc, iv: F.struct(
-            F.concat(acc["mask"],
-                     F.repeat(F.lit("0"), (iv["start"] - acc["at"]).cast("int")),
-                     F.repeat(F.lit("1"), (F.least(iv["end"], length) - iv["start"]).cast("int"))).alias("mask"),
-            F.least(iv["end"], length).cast("long").alias("at"),
-        ),
-    )
-    return F.concat(built["mask"], F.repeat(F.lit("0"), (length - built["at"]).cast("int")))
+    length = _c(length).cast("int")
+
+    def mask(ivs):
+        def end(k):  # of the interval before the k-th
+            return F.when(k == 0, F.lit(0)).otherwise(F.least(F.get(ivs, k - 1)["end"], length)).cast("int")
+        parts = F.transform(ivs, lambda iv, k: F.concat(
+            F.repeat(F.lit("0"), iv["start"].cast("int") - end(k)),
+            F.repeat(F.lit("1"), F.least(iv["end"], length).cast("int") - iv["start"].cast("int"))))
+        return F.concat(F.array_join(parts, ""), F.repeat(F.lit("0"), length - end(F.size(ivs))))
+
+    return _bound(_c(intervals), mask)
 
 
 def pad(col, n, filler=0) -> Column:
@@ -262,20 +267,22 @@ def pad(col, n, filler=0) -> Column:
 
 def markup(seq, intervals, opening: str = "<b>", closing: str = "</b>") -> Column:
     """Sequence with the given sorted, disjoint half-open intervals wrapped in marks."""
-    seq = _c(seq)
-    built = F.aggregate(
-        _c(intervals),
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, iv: F.struct(
-            F.concat(acc["out"],
-                     seq.substr((acc["at"] + 1).cast("int"), (iv["start"] - acc["at"]).cast("int")),
-                     F.lit(opening),
-                     seq.substr((iv["start"] + 1).cast("int"), (iv["end"] - iv["start"]).cast("int")),
-                     F.lit(closing)).alias("out"),
-            iv["end"].cast("long").alias("at"),
-        ),
-    )
-    return F.concat(built["out"], seq.substr((built["at"] + 1).cast("int"), F.length(seq)))
+    both = F.struct(F.split(_c(seq), "").alias("letters"), _c(intervals).alias("ivs"))
+
+    def marked(b):
+        letters, ivs = b["letters"], b["ivs"]
+
+        def text(start, end):
+            return F.array_join(F.slice(letters, start + 1, F.greatest(end - start, F.lit(0))), "")
+
+        def end(k):
+            return F.when(k == 0, F.lit(0)).otherwise(F.get(ivs, k - 1)["end"]).cast("int")
+
+        parts = F.transform(ivs, lambda iv, k: F.concat(
+            text(end(k), iv["start"].cast("int")), F.lit(opening), text(iv["start"].cast("int"), iv["end"].cast("int")), F.lit(closing)))
+        return F.concat(F.array_join(parts, ""), text(end(F.size(ivs)), F.size(letters)))
+
+    return _bound(both, marked)
 
 
 def mark_mismatch(hit, query) -> Column:

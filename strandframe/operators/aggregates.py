@@ -136,8 +136,8 @@ def membership_matrix(df: DataFrame, terms: list[str], probe: str = "probe", ter
 
 
 def common_times(timeline: DataFrame, n: int, week: str = "week") -> DataFrame:
-    """The n-1 most common observation times and time 0."""
-    top = timeline.filter(F.col(week) != 0).groupBy(week).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), week).limit(n - 1)
+    """The n-1 most common observation times after time 0, and time 0."""
+    top = timeline.filter(F.col(week) > 0).groupBy(week).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), week).limit(n - 1)
     zero = timeline.sparkSession.range(1).select(F.lit(0).cast(timeline.schema[week].dataType).alias(week))
     return top.select(week).union(zero)
 

@@ -86,19 +86,28 @@ def responder_share(tl: DataFrame, kind: str, times: list[int], share: float = 0
     return v.select("pat", moved.alias("share"), ((moved >= share) & (unknown < max_missing)).alias("responder"))
 
 
-def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural cubic spline through the points, NaN outside their range."""
+def spline_through(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Cubic spline through the points with not-a-knot ends, NaN outside their range.
+
+    The first two pieces are one cubic, and so are the last two; three points give a parabola.
+    Fewer than three points give NaN everywhere.
+    """
     n = len(x)
     out = np.full(len(at), np.nan)
-    inside = (at >= x[0]) & (at <= x[-1])
-    if n == 1:
-        out[inside] = y[0]
+    if n < 3:
         return out
-    h = np.diff(x)
-    second = np.zeros(n)
-    if n > 2:
-        a = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-        second[1:-1] = np.linalg.solve(a, 6 * np.diff(np.diff(y) / h))
+    inside = (at >= x[0]) & (at <= x[-1])
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
+    if n == 3:
+        second = np.full(3, 2 * (slope[1] - slope[0]) / (h[0] + h[1]))
+    else:
+        a, b = np.zeros((n, n)), np.zeros(n)
+        inner = np.arange(1, n - 1)
+        a[inner, inner - 1], a[inner, inner], a[inner, inner + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
+        b[1:-1] = 6 * np.diff(slope)
+        a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+        a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+        second = np.linalg.solve(a, b)
     i = np.clip(np.searchsorted(x, at[inside], "right") - 1, 0, n - 2)
     t, hi = at[inside] - x[i], h[i]
     u = hi - t
@@ -116,7 +125,7 @@ def spline_at(tl: DataFrame, times: list[int], keys: list[str] = ["pat", "kind"]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("week")
-        v = natural_spline(pdf["week"].to_numpy(float), pdf["val"].to_numpy(float), at)
+        v = spline_through(pdf["week"].to_numpy(float), pdf["val"].to_numpy(float), at)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(at) for k in keys}, "time": times, "val": v})
 
     out = weekly.groupBy(*keys).applyInPandas(fit, f"{fields}, time int, val double")

@@ -151,9 +151,9 @@ def analyse_all(expr: DataFrame, method: str = "fold", keys: list[str] = ["datas
 
 
 def sized_sets(gene_sets: DataFrame, genes: DataFrame, low: int = 5, high: int = 500) -> DataFrame:
-    """Gene sets restricted to measured genes, with 5 to 500 of them left."""
+    """Gene sets restricted to measured genes, with more than 5 and fewer than 500 of them left."""
     known = gene_sets.select("set_name", "gene").distinct().join(genes.select("gene").distinct(), "gene", "left_semi")
-    sizes = known.groupBy("set_name").agg(F.count("*").alias("size")).filter(F.col("size").between(low, high))
+    sizes = known.groupBy("set_name").agg(F.count("*").alias("size")).filter((F.col("size") > low) & (F.col("size") < high))
     return known.join(sizes, "set_name")
 
 

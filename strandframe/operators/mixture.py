@@ -16,11 +16,12 @@ def _pdf(x: Column, m: Column, s: Column) -> Column:
     return F.exp(-0.5 * z * z) / (s * math.sqrt(2 * math.pi))
 
 
-def fit_gmm2(expr: DataFrame, rounds: int = 30, floor: float = 1e-6, cut_every: int = 5) -> DataFrame:
+def fit_gmm2(expr: DataFrame, tol: float = 1e-6, floor: float = 1e-6, cut_every: int = 5, max_rounds: int = 1000) -> DataFrame:
     """Mixture of two normals for every gene at once: (gene, w1, w2, m1, m2, s1, s2, loglik), m1 <= m2.
 
     Values never leave the executors; a round is a join with the small parameter table and
-    sums per gene. Starts at the quartiles.
+    sums per gene. Starts at the quartiles and ends when no parameter of any gene moves by more than
+    ``tol`` in a round; RuntimeError when ``max_rounds`` do not suffice.
     """
     data = cut_lineage(expr.select("gene", "value").filter("value IS NOT NULL"))
     params = data.groupBy("gene").agg(
@@ -28,9 +29,9 @@ def fit_gmm2(expr: DataFrame, rounds: int = 30, floor: float = 1e-6, cut_every:
     params = params.select(
         "gene", F.lit(0.5).alias("w1"), F.lit(0.5).alias("w2"), F.col("_q")[0].alias("m1"), F.col("_q")[1].alias("m2"),
         F.greatest(F.col("_sd") / 2, F.lit(floor)).alias("s1"), F.greatest(F.col("_sd") / 2, F.lit(floor)).alias("s2"))
-    params = cut_lineage(params)
+    params = params_before = cut_lineage(params)
     x = F.col("value")
-    for i in range(rounds):
+    for i in range(max_rounds):
         p1, p2 = F.col("w1") * _pdf(x, F.col("m1"), F.col("s1")), F.col("w2") * _pdf(x, F.col("m2"), F.col("s2"))
         r = data.join(params, "gene").withColumn("_r", F.coalesce(p1 / F.nullif(p1 + p2, F.lit(0.0)),
                                                                   (F.abs(x - F.col("m1")) < F.abs(x - F.col("m2"))).cast("double")))
@@ -45,7 +46,15 @@ def fit_gmm2(expr: DataFrame, rounds: int = 30, floor: float = 1e-6, cut_every:
             F.greatest(F.sqrt(F.greatest(v1, F.lit(0.0))), F.lit(floor)).alias("s1"),
             F.greatest(F.sqrt(F.greatest(v2, F.lit(0.0))), F.lit(floor)).alias("s2"))
         if i % cut_every == cut_every - 1:
-            params = cut_lineage(params)
+            was, params = params_before, cut_lineage(params)
+            names = ("w1", "w2", "m1", "m2", "s1", "s2")
+            moved = params.join(was.select("gene", *[F.col(c).alias(f"_{c}") for c in names]), "gene").agg(
+                F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) for c in names]))).first()[0]
+            if moved is None or moved <= tol * cut_every:
+                break
+            params_before = params
+    else:
+        raise RuntimeError(f"mixtures still move after {max_rounds} rounds")
     swap = F.col("m1") > F.col("m2")
     ordered = params.select("gene", *[
         F.when(swap, F.col(f"{c}{3 - i}")).otherwise(F.col(f"{c}{i}")).alias(f"{c}{i}") for c in "wms" for i in (1, 2)])
@@ -69,30 +78,30 @@ def bimodality(expr: DataFrame, gmm: DataFrame, alpha: float = 0.05, df: int = 6
 
 
 def gmm_threshold(gmm: DataFrame) -> DataFrame:
-    """Where the two weighted densities cross between the means, and the tail areas there.
+    """Where the lower component stops being the likelier one between the means, and the tail areas there.
 
-    The means are first scaled to distance one. NULL when no crossing lies between them.
+    With x = midpoint + u * half distance the log ratio of the weighted densities is a quadratic in u
+    that falls all the way from u = -1 (lower mean) to u = 1 (upper mean). So it has one root there
+    if it changes sign, and none otherwise (all three results are NULL then). ``area1`` is the lower
+    component's mass above the threshold, ``area2`` the upper one's below it.
     """
-    scale = F.col("m2") - F.col("m1")
-    g = gmm.withColumns({"_sc": scale, "_a1": F.col("m1"), "_a2": F.col("m1") + 1, "_v1": F.col("s1") / scale, "_v2": F.col("s2") / scale})
-    a1, a2, v1, v2 = (F.col(c) for c in ("_a1", "_a2", "_v1", "_v2"))
-    qa = v1 * v1 - v2 * v2
-    qb = 2 * (a1 * v2 * v2 - a2 * v1 * v1)
-    qc = F.pow(a2 * v1, F.lit(2)) - F.pow(a1 * v2, F.lit(2)) - 2 * F.pow(v1 * v2, F.lit(2)) * F.log(F.col("w2") * v1 / (F.col("w1") * v2))
-    root = F.sqrt(qb * qb - 4 * qa * qc)
-    linear = F.abs(qa) < 1e-12
-
-    def inside(x):
-        return F.when((x >= F.least(a1, a2)) & (x <= F.greatest(a1, a2)), x)
-
-    x1 = F.when(linear, -qc / F.nullif(qb, F.lit(0.0))).otherwise((-qb + root) / (2 * qa))
-    x2 = F.when(linear, -qc / F.nullif(qb, F.lit(0.0))).otherwise((-qb - root) / (2 * qa))
-    g = g.withColumn("_x", F.coalesce(inside(x2), inside(x1)))
-    x = F.col("_x")
-    return g.select(
-        "gene", ((x - a1) * F.col("_sc") + a1).alias("threshold"),
-        (0.5 * erfc(F.abs(x - a1) / (v1 * math.sqrt(2)))).alias("area1"),
-        (0.5 * erfc(F.abs(x - a2) / (v2 * math.sqrt(2)))).alias("area2"))
+    half = (F.col("m2") - F.col("m1")) / 2
+    p, q = half / F.col("s1"), half / F.col("s2")  # half distance in units of each deviation
+    log_odds = F.log(F.col("w1") * F.col("s2") / (F.col("w2") * F.col("s1")))
+    g = gmm.select("gene", "m1", "m2", half.alias("_half"), p.alias("_p"), q.alias("_q"), log_odds.alias("_odds"))
+    p, q, odds = F.col("_p"), F.col("_q"), F.col("_odds")
+    bend, slope = (q * q - p * p) / 2, p * p + q * q
+    level = bend + odds  # at the midpoint
+    crosses = (odds + 2 * q * q >= 0) & (odds - 2 * p * p <= 0) & (slope > 0)
+    root = 2 * level / F.nullif(slope + F.sqrt(F.greatest(slope * slope - 4 * bend * level, F.lit(0.0))), F.lit(0.0))
+    u = F.col("_u")
+
+    def above(deviations: Column) -> Column:
+        return 0.5 * erfc(deviations / math.sqrt(2))
+
+    return g.withColumn("_u", F.when(crosses, root)).select(
+        "gene", ((F.col("m1") + F.col("m2")) / 2 + u * F.col("_half")).alias("threshold"),
+        above(p * (1 + u)).alias("area1"), above(q * (1 - u)).alias("area2"))
 
 
 def _boxcox_loglik(rows: DataFrame) -> DataFrame:

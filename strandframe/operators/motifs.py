@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandframe.functions.scalars import (
-    MARK, chunks, java_pattern, match_count, mismatch_neighbours, orientations, overlap_hits, plain_hits, start_marks,
+    MARK, chunks, java_pattern, mark_places, match_count, mismatch_neighbours, orientations, overlap_hits, plain_hits, start_marks,
 )
 from strandframe.operators.joins import nearest_join, pair_all, range_join
 from strandframe.operators.ordered import union_all
@@ -67,8 +67,8 @@ def scan_motifs(seqs: DataFrame, motifs: Motifs, overlap: bool = True, ignore_ca
             for n, r in bounded
         ])
         rows = rows.select(*keep, "_part", "_text", F.inline(marked))
-        rows = rows.select(*keep, "_part", "_text", "motif", "_re", F.posexplode(F.split("_marks", "")).alias("_at", "_letter"))
-        rows = rows.filter((F.col("_letter") == MARK) & (F.col("_at") < STEP))
+        rows = rows.filter(F.contains("_marks", F.lit(MARK)))
+        rows = rows.select(*keep, "_part", "_text", "motif", "_re", F.explode(mark_places(F.col("_marks"))).alias("_at")).filter(F.col("_at") < STEP)
         match = F.expr(f"regexp_extract(substring(_text, _at + 1, {context}), _re, 0)")
         start = F.col("_part") * STEP + F.col("_at")
         rows = rows.select(*keep, "motif", start.cast("int").alias("start"), match.alias("match"))
@@ -99,10 +99,17 @@ def motif_count(seqs: DataFrame, motifs: Iterable[tuple[str, str]], lo: int | No
     return seqs.select(*keep, F.inline(rows)).withColumn("present", F.col("n_hits") > 0)
 
 
-def motif_array(hits: DataFrame, lo: int, hi: int) -> DataFrame:
-    """0/1 array over the closed range of starts, one per (seq_id, motif) with a hit there."""
+def motif_array(hits: DataFrame, lo: int, hi: int, seqs: DataFrame | None = None, motifs: Iterable[str] = ()) -> DataFrame:
+    """0/1 array over the closed range of starts per (seq_id, motif).
+
+    With ``seqs`` every sequence has an array for each of ``motifs``, else those with a hit in the range.
+    """
     inside = hits.filter(F.col("start").between(lo, hi))
     starts = inside.groupBy("seq_id", "motif").agg(F.collect_set("start").alias("_starts"))
+    if seqs is not None:
+        names = F.array(*map(F.lit, motifs)).cast("array<string>")
+        every = seqs.select("seq_id", F.explode(names).alias("motif"))
+        starts = every.join(starts, ["seq_id", "motif"], "left").withColumn("_starts", F.coalesce("_starts", F.array().cast("array<int>")))
     flags = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda p: F.array_contains("_starts", p).cast("int"))
     return starts.select("seq_id", "motif", flags.alias("presence"))
 

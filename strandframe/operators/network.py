@@ -37,17 +37,18 @@ def degree_hist(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return kept.groupBy("degree").agg(F.count("*").alias("n_nodes"))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Connected components as (id, component = smallest id).
 
     Each round takes the smallest label among the neighbours, then follows the label of
     the label, so long chains close in few rounds. The labels are written out between
-    rounds; the minimum is pre-aggregated before the shuffle, so a hub is no burden.
+    rounds; the minimum is pre-aggregated before the shuffle, so a hub is no burden. Rounds go on
+    until no label falls any more, however long a chain is.
     """
     both = cut_lineage(symmetric(edges))
     known = nodes_of(both) if nodes is None else nodes.select("id").union(nodes_of(both)).distinct()
     labels = cut_lineage(known.withColumn("component", F.col("id")))
-    for _ in range(max_rounds):
+    while True:
         heard = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("_heard"))
         lowered = labels.join(heard, "id", "left").select(
             "id", F.col("component").alias("_old"), F.least("component", F.coalesce("_heard", "component")).alias("component"))
@@ -56,10 +57,10 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
         labels = cut_lineage(
             lowered.join(jump, "component", "left").select(
                 "id", "_old", F.least("component", F.coalesce("_root", "component")).alias("component")))
-        if labels.filter("_old <> component").isEmpty():
-            break
+        settled = labels.filter("_old <> component").isEmpty()
         labels = labels.select("id", "component")
-    return labels.select("id", "component")
+        if settled:
+            return labels
 
 
 def consensus(similarity: DataFrame, cut: float, nodes: DataFrame | None = None) -> DataFrame:

@@ -22,11 +22,14 @@ def _letters(seqs: DataFrame, seq: str) -> DataFrame:
 
 
 def trivial_pileup(seqs: DataFrame, ref: DataFrame | None = None) -> DataFrame:
-    """Sequences laid letter by letter on one reference (by default the one with the lowest id)."""
+    """Sequences laid letter by letter on one reference (by default the one with the lowest id).
+
+    Every letter of every sequence has a row; past the end of the reference its letter is '-'.
+    """
     if ref is None:
         ref = seqs.groupBy().agg(F.min(F.struct("seq_id", "seq")).alias("r")).select("r.seq")
     columns = _letters(ref.select("seq"), "seq").withColumnRenamed("base", "ref_base")
-    rows = _letters(seqs, "seq").join(maybe_broadcast(columns), "ref_pos")
+    rows = _letters(seqs, "seq").join(maybe_broadcast(columns), "ref_pos", "left").withColumn("ref_base", F.coalesce("ref_base", F.lit("-")))
     return rows.select("seq_id", "ref_pos", "base", "ref_base", (F.col("base") == F.col("ref_base")).alias("is_match"))
 
 
@@ -66,11 +69,15 @@ def distance_to_next(pileup: DataFrame, keys: list[str] = ["seq_id"], span: int
 
 def snp_sites(runs: DataFrame, min_run: int = 30, run_share: float = 0.05, mismatch_share: float = 0.05,
               hidden: DataFrame | None = None) -> DataFrame:
-    """Columns where enough sequences lie in long match runs and enough differ."""
+    """Columns where enough sequences lie in long match runs and enough differ.
+
+    The run around a column is its forward and backward length together; sequences without a letter
+    there (``is_match`` NULL or no row) do not count.
+    """
     if hidden is not None:
         runs = runs.join(hidden, "seq_id", "left_anti")
-    stats = runs.groupBy("ref_pos").agg(
-        F.avg((F.greatest("forward", "backward") > min_run).cast("double")).alias("run_share"),
+    stats = runs.filter("is_match IS NOT NULL").groupBy("ref_pos").agg(
+        F.avg((F.col("forward") + F.col("backward") > min_run).cast("double")).alias("run_share"),
         F.avg((~F.col("is_match")).cast("double")).alias("mismatch_share"))
     return stats.filter((F.col("run_share") > run_share) & (F.col("mismatch_share") > mismatch_share))
 
@@ -104,8 +111,20 @@ def classify_mutations(pileup: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def homology_profile(pileup: DataFrame, keys: list[str] = [], every: int = 2) -> DataFrame:
-    """Share of matching sequences per column, every second column."""
-    return pileup.filter(F.col("ref_pos") % every == 0).groupBy(*keys, "ref_pos").agg(F.avg(F.col("is_match").cast("double")).alias("homology"))
+    """Share of all sequences that match, per column, every second column.
+
+    A sequence that does not reach a column does not match there.
+    """
+    matches = pileup.filter(F.col("ref_pos") % every == 0).groupBy(*keys, "ref_pos").agg(F.sum(F.coalesce(F.col("is_match").cast("long"), F.lit(0))).alias("_m"))
+    return _share_of_all(matches, pileup, keys, "_m").withColumnRenamed("_share", "homology").drop("_m")
+
+
+def _share_of_all(counts: DataFrame, rows: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Adds ``_share``: ``count`` divided by the number of all sequences (of the same keys)."""
+    if not keys:
+        return counts.withColumn("_share", F.col(count) / F.lit(rows.select("seq_id").distinct().count()))
+    everyone = rows.select(*keys, "seq_id").distinct().groupBy(*keys).agg(F.count("*").alias("_everyone"))
+    return counts.join(everyone, keys).withColumn("_share", F.col(count) / F.col("_everyone")).drop("_everyone")
 
 
 def sliding_similarity(profile: DataFrame, width: int = 26, keys: list[str] = [], value: str = "homology", span: int = SPAN,
@@ -123,17 +142,16 @@ def sliding_similarity(profile: DataFrame, width: int = 26, keys: list[str] = []
 
 
 def islands(runs: DataFrame, min_size: int, min_hom: float, keys: list[str] = ["ref_id"]) -> DataFrame:
-    """Conserved islands: from each column the longest stretch that enough sequences still match,
+    """Conserved islands: from each column the longest stretch that enough of all sequences still match,
     taken left to right without overlap.
 
     Stretches that overlap form a cluster; clusters do not influence each other, so the
     left-to-right pass runs per cluster.
     """
     lengths = runs.groupBy(*keys, "ref_pos", "forward").agg(F.count("*").alias("_n"))
-    total = lengths.groupBy(*keys, "ref_pos").agg(F.sum("_n").alias("_total"))
     w = Window.partitionBy(*keys, "ref_pos").orderBy(F.desc("forward")).rowsBetween(Window.unboundedPreceding, 0)
-    share = lengths.withColumn("_cum", F.sum("_n").over(w)).join(total, [*keys, "ref_pos"])
-    best = share.filter((F.col("_cum") / F.col("_total") >= min_hom) & (F.col("forward") >= min_size)).groupBy(
+    share = _share_of_all(lengths.withColumn("_cum", F.sum("_n").over(w)), runs, keys, "_cum")
+    best = share.filter((F.col("_share") >= min_hom) & (F.col("forward") >= min_size)).groupBy(
         *keys, "ref_pos").agg(F.max("forward").alias("length"))
     ends = best.withColumn("_end", F.col("ref_pos") + F.col("length"))
     seen = ordered_scan(ends, keys, "ref_pos", [("_seen", "max_before", F.col("_end"))], SPAN)
@@ -156,8 +174,8 @@ def islands(runs: DataFrame, min_size: int, min_hom: float, keys: list[str] = ["
 
 
 def islands_multi(runs: DataFrame, min_len: int, cuts: list[float], keys: list[str] = ["ref_id"]) -> DataFrame:
-    """Stretches of columns where the share of sequences in runs longer than ``min_len`` reaches each cut-off."""
-    share = runs.groupBy(*keys, "ref_pos").agg(F.avg((F.col("forward") > min_len).cast("double")).alias("_share"))
+    """Stretches of columns where the share of all sequences in runs longer than ``min_len`` reaches each cut-off."""
+    share = _share_of_all(runs.groupBy(*keys, "ref_pos").agg(F.sum((F.col("forward") > min_len).cast("long")).alias("_n")), runs, keys, "_n")
     rows = share.withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in cuts]))).filter("_share >= cutoff")
     spans = rows.select(*keys, "cutoff", F.col("ref_pos").alias("start"), (F.col("ref_pos") + 1).alias("end"))
     from strandframe.operators.features import merge_intervals

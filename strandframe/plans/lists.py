@@ -582,7 +582,7 @@ def a17(spark, d):
     return agg.membership_matrix(p, ["PROMO", "SMALL", "LARGE"])
 
 
-@query("a18_common_times", _with(TIMELINE_SQL) + """SELECT week FROM (SELECT week FROM timeline WHERE week <> 0 GROUP BY 1 ORDER BY count(*) DESC, week LIMIT 4)
+@query("a18_common_times", _with(TIMELINE_SQL) + """SELECT week FROM (SELECT week FROM timeline WHERE week > 0 GROUP BY 1 ORDER BY count(*) DESC, week LIMIT 4)
   UNION ALL SELECT 0""")
 def a18(spark, d):
     return agg.common_times(timeline(spark, d), 5)

@@ -75,9 +75,10 @@ def m3b(spark, d):
 
 
 @query("m4_motif_array", f"""WITH {_HITS} SELECT seq_id, motif, array_to_string(list_transform(range(0, 41), lambda p: CASE WHEN list_contains(s, p) THEN '1' ELSE '0' END), '') AS presence
-  FROM (SELECT seq_id, motif, list(start) AS s FROM hits WHERE start BETWEEN 0 AND 40 GROUP BY 1, 2)""")
+  FROM (SELECT a.seq_id, m.motif, coalesce(s, []) AS s FROM seqs a CROSS JOIN (SELECT DISTINCT motif FROM motifs) m
+    LEFT JOIN (SELECT seq_id, motif, list(start) AS s FROM hits WHERE start BETWEEN 0 AND 40 GROUP BY 1, 2) h ON h.seq_id = a.seq_id AND h.motif = m.motif)""")
 def m4(spark, d):
-    return mt.motif_array(_hits(spark, d), 0, 40).withColumn("presence", F.array_join("presence", ""))
+    return mt.motif_array(_hits(spark, d), 0, 40, seqs(spark, d), [n for n, _ in MOTIFS]).withColumn("presence", F.array_join("presence", ""))
 
 
 @query("m5_add_motif", f"""WITH {_HITS} SELECT motif, count(*) AS n_hits FROM hits GROUP BY 1
@@ -93,19 +94,27 @@ def m6(spark, d):
 
 
 _EDGES = [0, 250, 500, 1000, 2000, 4000]
+#: The last bin ends where the longest sequence does.
 _BIN_ROWS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:])))
-_BINS = f"bins AS (SELECT motif, bin_id, lo, hi FROM motifs, (VALUES {_BIN_ROWS}) b(bin_id, lo, hi))"
+_LAST = f"({len(_EDGES) - 1}, {_EDGES[-1]}, (SELECT CAST(greatest(max(length(text)), {_EDGES[-1] + 1}) AS INTEGER) FROM documents))"
+_BINS = f"bins AS (SELECT motif, bin_id, lo, hi FROM motifs, (VALUES {_BIN_ROWS}, {_LAST}) b(bin_id, lo, hi))"
 
 
-def _bins(spark) -> DataFrame:
-    names = spark.createDataFrame([(n, _EDGES) for n, _ in MOTIFS], "motif string, edges array<int>")
+def _longest(spark, d) -> int:
+    """Letters of the longest sequence."""
+    return seqs(spark, d).agg(F.max(F.length("seq"))).first()[0] or 0
+
+
+def _bins(spark, d, motifs=tuple(n for n, _ in MOTIFS)) -> DataFrame:
+    edges = [*_EDGES, max(_longest(spark, d), _EDGES[-1] + 1)]
+    names = spark.createDataFrame([(n, edges) for n in motifs], "motif string, edges array<int>")
     return bn.edges_to_bins(names, ["motif"])
 
 
 @query("m7_binned_presence", f"""WITH {_HITS}, {_BINS} SELECT seq_id, h.motif, bin_id, count(*) AS n_hits FROM hits h
   JOIN bins b ON h.motif = b.motif AND start >= lo AND start < hi GROUP BY 1, 2, 3""")
 def m7(spark, d):
-    return mt.binned_presence(_hits(spark, d), _bins(spark))
+    return mt.binned_presence(_hits(spark, d), _bins(spark, d))
 
 
 @query("m8_bin_quality", f"""WITH {_HITS}, {_BINS}, per AS (SELECT b.motif, b.bin_id, seq_id, count(*) AS n FROM hits h
@@ -116,27 +125,27 @@ def m7(spark, d):
   SELECT *, round((0.25 * n_empty + n_more) / (n_one + 1), 9) AS cost FROM e""")
 def m8(spark, d):
     s = seqs(spark, d)
-    return bn.bin_quality(_hits(spark, d), _bins(spark), s.count()).withColumn("cost", F.round("cost", 9))
+    return bn.bin_quality(_hits(spark, d), _bins(spark, d), s.count()).withColumn("cost", F.round("cost", 9))
 
 
 @query("m9_optimise_bins")
 def m9(spark, d):
     s = seqs(spark, d)
-    out = bn.optimise_bins(_hits(spark, d), s.count(), 4000, forced=[1000, 2500], width=3, max_rounds=3)
+    out = bn.optimise_bins(_hits(spark, d), s.count(), _longest(spark, d), forced=[1000, 2500], max_rounds=12)
     return out.withColumn("edges", F.concat_ws(",", F.col("edges").cast("array<string>")))
 
 
 @query("m10_window_bins")
 def m10(spark, d):
     s = seqs(spark, d)
-    out = bn.window_bins(_hits(spark, d), s.count(), max_ratio=0.9, grid=4)
+    out = bn.window_bins(_hits(spark, d), s.count(), max_ratio=0.9)
     return out.withColumn("edges", F.concat_ws(",", F.col("edges").cast("array<string>")))
 
 
 @query("m11_kmeans_bins")
 def m11(spark, d):
     s = seqs(spark, d)
-    return bn.kmeans_bins(_hits(spark, d), s.count(), k=4, rounds=6)
+    return bn.kmeans_bins(_hits(spark, d), s.count(), k=4)
 
 
 _TURNED = SEQS_SQL + """, turned AS (SELECT seq_id, 'forward' AS orientation, seq AS s FROM seqs UNION ALL SELECT seq_id, 'reverse', reverse(seq) FROM seqs
@@ -233,11 +242,10 @@ def m21(spark, d):
     return pw.empirical_p(asked, null).select("seq_id", "pwm_id", F.round("p", 9).alias("p"))
 
 
-@query("m22_pwm_binned_max", f"""WITH {_SCORES}, bins(motif, bin_id, lo, hi) AS (SELECT m, bin_id, lo, hi FROM (VALUES ('en_dt'), ('thx')) a(m), (VALUES {_BIN_ROWS}) b(bin_id, lo, hi))
+@query("m22_pwm_binned_max", f"""WITH {_SCORES}, bins(motif, bin_id, lo, hi) AS (SELECT m, bin_id, lo, hi FROM (VALUES ('en_dt'), ('thx')) a(m), (VALUES {_BIN_ROWS}, {_LAST}) b(bin_id, lo, hi))
   SELECT seq_id, motif, bin_id, CAST(max(score) AS DOUBLE) AS score FROM scores JOIN bins ON pwm_id = motif AND start >= lo AND start < hi GROUP BY 1, 2, 3""")
 def m22(spark, d):
-    names = spark.createDataFrame([("en_dt", _EDGES), ("thx", _EDGES)], "motif string, edges array<int>")
-    return pw.pwm_binned_max(_scores(spark, d), bn.edges_to_bins(names, ["motif"]))
+    return pw.pwm_binned_max(_scores(spark, d), _bins(spark, d, ("en_dt", "thx")))
 
 
 @query("m23_pwm_objective", f"""WITH {_SCORES} SELECT pwm_id, round(avg(CASE WHEN NOT hit THEN score END) / avg(CASE WHEN hit THEN score END), 9) AS ratio FROM

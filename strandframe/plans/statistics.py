@@ -209,7 +209,7 @@ def _gene_sets(spark, d) -> DataFrame:
 
 
 _GSETS = """gs AS (SELECT p_type AS set_name, 'g' || p_size AS gene FROM part UNION SELECT p_brand, 'g' || p_size FROM part), known AS (SELECT set_name, gene FROM gs WHERE gene IN (SELECT DISTINCT gene FROM expr)),
-  szs AS (SELECT set_name, count(*) AS size FROM known GROUP BY 1 HAVING count(*) BETWEEN 5 AND 45)"""
+  szs AS (SELECT set_name, count(*) AS size FROM known GROUP BY 1 HAVING count(*) > 5 AND count(*) < 45)"""
 
 
 @query("e15_gsea", f"""WITH {_PERM}, {_GSETS}, sn AS (SELECT rep, gene, (m1 - m0) / (sqrt(v1) + sqrt(v0)) AS snr FROM pm),
@@ -241,12 +241,12 @@ def e17(spark, d):
 
 
 def _gmm(spark, d):
-    return cut_lineage(mx.fit_gmm2(expr(spark, d), rounds=10))
+    return cut_lineage(mx.fit_gmm2(expr(spark, d)))
 
 
 @query("e18_fit_gmm2")
 def e18(spark, d):
-    return mx.fit_gmm2(expr(spark, d), rounds=10)
+    return mx.fit_gmm2(expr(spark, d))
 
 
 @query("e19_bimodality")

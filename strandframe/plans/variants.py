@@ -45,7 +45,7 @@ def v10(spark, d):
     return pu.distance_to_next(pileup(spark, d)).groupBy("seq_id").agg(F.count("to_next").alias("n"), F.sum("to_next").alias("total"))
 
 
-_SITES = _RUNS + """, sites AS (SELECT ref_pos, avg(CAST(greatest(forward, backward) > 2 AS INTEGER)) AS run_share, avg(CAST(NOT is_match AS INTEGER)) AS mismatch_share FROM runs GROUP BY 1
+_SITES = _RUNS + """, sites AS (SELECT ref_pos, avg(CAST(forward + backward > 2 AS INTEGER)) AS run_share, avg(CAST(NOT is_match AS INTEGER)) AS mismatch_share FROM runs GROUP BY 1
   HAVING run_share > 0.05 AND mismatch_share > 0.05)"""
 
 
@@ -73,19 +73,25 @@ def v13(spark, d):
     return out.groupBy("gene", "mutation_class").agg(F.count("*").alias("n"))
 
 
-@query("v14_homology_profile", _P + " SELECT ref_pos, round(avg(CAST(is_match AS INTEGER)), 9) AS homology FROM pileup WHERE ref_pos % 2 = 0 GROUP BY 1")
+@query("v14_homology_profile", _P + " SELECT ref_pos, round(sum(CAST(is_match AS INTEGER)) / any_value(n_all), 9) AS homology FROM pileup, everyone WHERE ref_pos % 2 = 0 GROUP BY 1")
 def v14(spark, d):
     return pu.homology_profile(pileup(spark, d)).withColumn("homology", F.round("homology", 9))
 
 
-@query("v15_sliding_similarity", _P + """, prof AS (SELECT ref_pos, avg(CAST(is_match AS INTEGER)) AS homology FROM pileup GROUP BY 1)
+@query("v15_sliding_similarity", _P + """, prof AS (SELECT ref_pos, sum(CAST(is_match AS INTEGER)) / any_value(n_all) AS homology FROM pileup, everyone GROUP BY 1)
   SELECT ref_pos, round(avg(homology) OVER (ORDER BY ref_pos ROWS BETWEEN CURRENT ROW AND 25 FOLLOWING), 9) AS similarity FROM prof""")
 def v15(spark, d):
     prof = pu.homology_profile(pileup(spark, d), every=1)
     return pu.sliding_similarity(prof).select("ref_pos", F.round("similarity", 9).alias("similarity"))
 
 
-@query("v16_islands")
+@query("v16_islands", _RUNS.replace("WITH", "WITH RECURSIVE", 1) + """, n AS (SELECT ref_pos, forward, count(*) AS n FROM runs GROUP BY 1, 2),
+  c AS (SELECT ref_pos, forward, sum(n) OVER (PARTITION BY ref_pos ORDER BY forward DESC) AS cum FROM n),
+  best AS (SELECT ref_pos AS s, max(ref_pos + forward) AS e FROM c, everyone WHERE cum / n_all >= 0.01 AND forward >= 2 GROUP BY 1),
+  chain AS (
+    SELECT s, e FROM (SELECT s, e FROM best ORDER BY s LIMIT 1)
+    UNION ALL SELECT b.s, b.e FROM chain c JOIN best b ON b.s = (SELECT min(x.s) FROM best x WHERE x.s >= c.e))
+  SELECT 'ref' AS ref_id, s AS start, e AS "end" FROM chain""")
 def v16(spark, d):
     return pu.islands(_runs(spark, d).withColumn("ref_id", F.lit("ref")), 2, 0.01)
 
@@ -163,7 +169,7 @@ def v26(spark, d):
     return pu.intervals_with_sites(iv, _sites(spark, d))
 
 
-@query("v26_interval_mean", _P + """, iv AS (SELECT n_nationkey * 20 AS start, n_nationkey * 20 + 10 AS stop FROM nation), prof AS (SELECT ref_pos, avg(CAST(is_match AS INTEGER)) AS homology FROM pileup GROUP BY 1)
+@query("v26_interval_mean", _P + """, iv AS (SELECT n_nationkey * 20 AS start, n_nationkey * 20 + 10 AS stop FROM nation), prof AS (SELECT ref_pos, sum(CAST(is_match AS INTEGER)) / any_value(n_all) AS homology FROM pileup, everyone GROUP BY 1)
   SELECT start, stop AS "end", round(avg(homology), 9) AS mean_value FROM iv JOIN prof ON ref_pos >= start AND ref_pos < stop GROUP BY 1, 2""")
 def v26b(spark, d):
     iv = table(spark, d, "nation").select((F.col("n_nationkey") * 20).alias("start"), (F.col("n_nationkey") * 20 + 10).alias("end"))

@@ -111,6 +111,6 @@ def pileup(spark, sf_dir) -> DataFrame:
 
 PILEUP_SQL = """docs AS (SELECT doc_id AS seq_id, string_split(lower(text), '') AS letters FROM documents),
 ref AS (SELECT letters AS ref_letters FROM docs ORDER BY seq_id LIMIT 1),
-pileup AS (SELECT seq_id, CAST(i - 1 AS INTEGER) AS ref_pos, letters[i] AS base, ref_letters[i] AS ref_base,
-  letters[i] = ref_letters[i] AS is_match
-  FROM (SELECT seq_id, letters, ref_letters, unnest(range(1, least(len(letters), len(ref_letters)) + 1)) AS i FROM docs, ref))"""
+pileup AS (SELECT seq_id, CAST(i - 1 AS INTEGER) AS ref_pos, letters[i] AS base, coalesce(ref_letters[i], '-') AS ref_base,
+  letters[i] = coalesce(ref_letters[i], '-') AS is_match
+  FROM (SELECT seq_id, letters, ref_letters, unnest(range(1, len(letters) + 1)) AS i FROM docs, ref)), everyone AS (SELECT count(DISTINCT seq_id) AS n_all FROM pileup)"""

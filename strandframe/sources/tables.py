@@ -61,7 +61,7 @@ def read_measure(spark: SparkSession, path: str, kind: str) -> DataFrame:
     cols = df.columns
     sign = F.trim(F.col(f"`{cols[3]}`")) if len(cols) > 3 else F.lit(None).cast("string")
     censor = F.when(sign == ">", 1).when(sign == "<", -1).when(sign == "=", 0)
-    return df.select(_number(cols[0], "INT").alias("pat"), _number(cols[1]).alias("week"), F.lit(kind).alias("kind"),
+    return df.select(_number(cols[0], "BIGINT").alias("pat"), _number(cols[1]).alias("week"), F.lit(kind).alias("kind"),
                      _number(cols[2]).alias("val"), censor.alias("censor"))
 
 
@@ -69,7 +69,7 @@ def read_regimen(spark: SparkSession, path: str, drugs: list[str] | None = None,
     """Regimens with one 0/1 column per drug from the seventh column on: (pat, start, stop, drug)."""
     df = spark.read.csv(path, sep="\t", header=True)
     flags = [c for c in df.columns[first_drug:] if drugs is None or c in drugs]
-    base = df.select(_number("PtID", "INT").alias("pat"), _number("StartDate").alias("start"), _number("StopDate").alias("stop"), *[F.col(f"`{c}`") for c in flags])
+    base = df.select(_number("PtID", "BIGINT").alias("pat"), _number("StartDate").alias("start"), _number("StopDate").alias("stop"), *[F.col(f"`{c}`") for c in flags])
     long = base.unpivot(["pat", "start", "stop"], flags, "drug", "taken")
     return long.filter(F.expr("try_cast(taken AS INT) = 1")).drop("taken")
 

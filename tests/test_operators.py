@@ -204,9 +204,9 @@ def test_partition_agreement(spark):
 
 def test_spline_and_value_at(spark):
     x, y = np.array([0.0, 2, 5, 9]), np.array([1.0, 3, 2, 8])
-    assert cl.natural_spline(x, y, x) == pytest.approx(y) and np.isnan(cl.natural_spline(x, y, np.array([-1.0, 10.0]))).all()
+    assert cl.spline_through(x, y, x) == pytest.approx(y) and np.isnan(cl.spline_through(x, y, np.array([-1.0, 10.0]))).all()
     line = np.array([0.0, 1, 4])
-    assert cl.natural_spline(line, 2 * line, np.array([3.0])) == pytest.approx([6.0])
+    assert cl.spline_through(line, 2 * line, np.array([3.0])) == pytest.approx([6.0])
     tl = spark.createDataFrame([(1, 0, "RNA", 78.0), (1, 4, "RNA", 140.0)], "pat int, week int, kind string, val double")
     got = {r["time"]: r["val"] for r in cl.value_at(tl, [-50, 2, 500]).collect()}
     assert got[-50] is None and got[500] is None and 78 < got[2] < 140
@@ -216,7 +216,7 @@ def test_mixture_separates_two_normals(spark):
     gen = np.random.default_rng(3)
     values = np.concatenate([gen.normal(-4, 1, 300), gen.normal(5, 0.5, 200)])
     expr = spark.createDataFrame([("g", float(v)) for v in values], "gene string, value double")
-    g = mx.fit_gmm2(expr, rounds=15)
+    g = mx.fit_gmm2(expr)
     r = g.first()
     assert r["m1"] == pytest.approx(-4, abs=0.3) and r["m2"] == pytest.approx(5, abs=0.3) and r["w1"] == pytest.approx(0.6, abs=0.05)
     assert mx.bimodality(expr, g).first()["bimodal"] and -3 < mx.gmm_threshold(g).first()["threshold"] < 5
