@@ -159,12 +159,16 @@ def onehot_base(col) -> Column:
     ])
 
 
-def clean_term(col, suffixes: tuple[str, ...] = (" (GO)", "_HUMAN")) -> Column:
-    """Trimmed term without database suffixes, commas turned into spaces."""
-    t = F.trim(_c(col))
-    for s in suffixes:
-        t = F.regexp_replace(t, f"{_quote(s)}$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, ",", " "), r"\s+", " "))
+def clean_term(col) -> Column:
+    """Term without its database ending, outer white space and outer commas.
+
+    A term that ends in ``O`` loses its last four letters; one with ``hsa`` eight to six letters from
+    the end loses its last ten. Commas inside stay.
+    """
+    t = _c(col)
+    human = F.substring(F.right(t, F.lit(8)), 1, 3) == "hsa"
+    cut = F.when(t.endswith("O"), F.lit(4)).when((F.length(t) >= 8) & human, F.lit(10)).otherwise(F.lit(0))
+    return F.btrim(F.btrim(F.left(t, F.greatest(F.length(t) - cut, F.lit(0))), F.lit(" \t\r\n")), F.lit(","))
 
 
 def _quote(s: str) -> str:

@@ -237,7 +237,7 @@ def neighbour_search(seqs: DataFrame, query: str, k: int = 1, alphabet: str = "A
 
 
 def call_sites(seqs: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, seq: str = "seq") -> DataFrame:
-    """First wild-type or mutant match of each rule ``(rule, wild, mutant)``; wild type wins."""
+    """First wild-type or mutant match of each rule ``(rule, wild, mutant)``, its start and end; wild type wins."""
     keep = _ids(seqs, seq)
     if isinstance(rules, DataFrame):
         paired = pair_all(rules.select("rule", "wild", "mutant"), seqs)
@@ -249,6 +249,8 @@ def call_sites(seqs: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, s
     called = paired.select(
         *keep, "rule",
         F.when(wt >= 0, wt).when(mut >= 0, mut).alias("start"),
+        F.when(wt >= 0, wt + F.length(F.regexp_extract(seq, F.col("wild"), 0))).when(
+            mut >= 0, mut + F.length(F.regexp_extract(seq, F.col("mutant"), 0))).alias("end"),
         F.when(wt >= 0, F.lit(True)).when(mut >= 0, F.lit(False)).alias("is_wild"),
     )
     return called.filter(F.col("start").isNotNull())
@@ -315,8 +317,7 @@ def annotate(*, motif_hits: DataFrame | None = None, site_calls: DataFrame | Non
     if motif_hits is not None:
         parts.append(shape(motif_hits, "ELM", name=F.col("motif"), **se))
     if site_calls is not None:
-        parts.append(shape(site_calls, "ResistSite", name=F.col("rule"), start=F.col("start").cast("int"),
-                           end=F.col("start").cast("int") + 1, is_wild=F.col("is_wild")))
+        parts.append(shape(site_calls, "ResistSite", name=F.col("rule"), is_wild=F.col("is_wild"), **se))
     if island_hits is not None:
         parts.append(shape(island_hits, "HomIsland", name=F.col("motif"), **se))
     if mirna_hits is not None:

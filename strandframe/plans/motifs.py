@@ -194,7 +194,8 @@ _RULES = [("r1", "the[nr]", "th[^e]n"), ("r2", "qu[ei]", "que"), ("r3", "zz", "t
 
 @query("m16_call_sites", f"""WITH {SEQS_SQL}, rules(rule, wild, mutant) AS (VALUES {", ".join(str(r) for r in _RULES)}),
   found AS (SELECT seq_id, rule, regexp_extract(seq, wild) AS w, regexp_extract(seq, mutant) AS m, seq FROM seqs, rules)
-  SELECT seq_id, rule, CAST(CASE WHEN w <> '' THEN strpos(seq, w) ELSE strpos(seq, m) END - 1 AS INTEGER) AS start, w <> '' AS is_wild FROM found WHERE w <> '' OR m <> ''""")
+  SELECT seq_id, rule, CAST(CASE WHEN w <> '' THEN strpos(seq, w) ELSE strpos(seq, m) END - 1 AS INTEGER) AS start,
+  CAST(CASE WHEN w <> '' THEN strpos(seq, w) + length(w) ELSE strpos(seq, m) + length(m) END - 1 AS INTEGER) AS "end", w <> '' AS is_wild FROM found WHERE w <> '' OR m <> ''""")
 def m16(spark, d):
     return mt.call_sites(seqs(spark, d), _RULES)
 
@@ -378,9 +379,12 @@ def p8(spark, d):
     return seqs(spark, d).select("seq_id", sc.onehot_base(F.substring("seq", 1, 1)).alias("h")).select("seq_id", "h.is_a", "h.is_c", "h.is_t")
 
 
-@query("p9_clean_term", """SELECT p_partkey, trim(replace(CASE WHEN p_name LIKE '% ring' THEN left(p_name, length(p_name) - 5) ELSE p_name END, ',', ' ')) AS term FROM part""")
+@query("p9_clean_term", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ', x' WHEN 1 THEN p_name WHEN 2 THEN p_name ELSE 'x, ' || p_name END AS term FROM part""")
 def p9(spark, d):
-    return table(spark, d, "part").select("p_partkey", sc.clean_term("p_name", (" ring",)).alias("term"))
+    key, name = F.col("p_partkey"), F.col("p_name")
+    raw = (F.when(key % 4 == 0, F.concat(F.lit(" ,"), name, F.lit(", x,"))).when(key % 4 == 1, F.concat(name, F.lit("~ GO")))
+           .when(key % 4 == 2, F.concat(name, F.lit("; hsa04110"))).otherwise(F.concat(F.lit("x, "), name, F.lit(" ,, "))))
+    return table(spark, d, "part").select("p_partkey", sc.clean_term(raw).alias("term"))
 
 
 @query("p11_split_multi", """SELECT p_partkey, trim(unnest(string_split(p_name || ' /// ' || p_brand || ' ///' || p_type, '///'))) AS term FROM part""")

@@ -49,7 +49,7 @@ def s2(spark, d):
     return tables.read_edges(spark, path)
 
 
-@query("s10_read_measure", """SELECT CAST(user_id AS INTEGER) AS pat, CAST(extract('day' FROM ts) AS DOUBLE) AS week, 'view' AS kind, value AS val, CASE WHEN value > 100 THEN 1 WHEN value < 1 THEN -1 ELSE 0 END AS censor FROM events WHERE event_type = 'view'""")
+@query("s10_read_measure", """SELECT CAST(user_id AS BIGINT) AS pat, CAST(extract('day' FROM ts) AS DOUBLE) AS week, 'view' AS kind, value AS val, CASE WHEN value > 100 THEN 1 WHEN value < 1 THEN -1 ELSE 0 END AS censor FROM events WHERE event_type = 'view'""")
 def s10(spark, d):
     path = _folder(spark)
     sign = F.when(F.col("value") > 100, ">").when(F.col("value") < 1, "<").otherwise("=")
@@ -87,12 +87,18 @@ def s15(spark, d):
     return tables.read_chart(spark, path).withColumn("genes", F.array_join("genes", ","))
 
 
-@query("s16_read_annotation_table", """SELECT 'p_type' AS category, p_type AS term, CAST(p_partkey AS VARCHAR) AS gene FROM part UNION ALL SELECT 'p_brand', p_brand, CAST(p_partkey AS VARCHAR) FROM part
-  UNION ALL SELECT 'p_name', unnest(string_split(p_name, ' ')), CAST(p_partkey AS VARCHAR) FROM part""")
+@query("s16_read_annotation_table", """SELECT 'p_type' AS category, 'T1:' || p_type AS term, CAST(p_partkey AS VARCHAR) AS gene FROM part
+  UNION ALL SELECT 'p_name', 'B' || p_size || ':' || p_name, CAST(p_partkey AS VARCHAR) FROM part
+  UNION ALL SELECT 'p_name', 'C2:' || p_brand, CAST(p_partkey AS VARCHAR) FROM part""")
 def s16(spark, d):
     path = _folder(spark)
-    table(spark, d, "part").select("p_partkey", "p_type", "p_brand", F.replace(F.col("p_name"), F.lit(" "), F.lit(",")).alias("p_name")).write.csv(path, sep="\t", header=True)
-    return tables.read_annotation_table(spark, path, "p_partkey", ["p_type", "p_brand", "p_name"])
+    cells = F.concat(F.lit("B"), "p_size", F.lit(":"), "p_name", F.lit(","))
+    two = F.concat(F.lit("C2:"), "p_brand", F.lit(" ,"))
+    p = table(spark, d, "part")
+    p.select("p_partkey", F.concat(F.lit("x T1:"), "p_type", F.lit(",")).alias("p_type"), cells.alias("p_name")).write.csv(f"{path}/a", sep="\t", header=True)
+    p.select("p_partkey", two.alias("p_name")).write.csv(f"{path}/b", sep="\t", header=True)
+    return tables.read_annotation_table(spark, f"{path}/a", "p_partkey", ["p_type", "p_name"]).union(
+        tables.read_annotation_table(spark, f"{path}/b", "p_partkey", ["p_name"]))
 
 
 @query("s17_read_gene2term", """SELECT CAST(l_partkey AS VARCHAR) AS gene, l_returnflag AS term, l_linestatus AS category FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)""")
@@ -187,14 +193,102 @@ def s31(spark, d):
     return tables.read_id_map(spark, path, ["p_name", "p_brand", "p_type"], "p_partkey")
 
 
-@query("s32_read_flat_records", "SELECT 'K' || p_partkey AS entry, p_name AS name, p_size || '.1.-.-' AS ec FROM part")
+@query("s32_read_flat_records", """SELECT 'ko:K' || p_partkey AS entry, split_part(p_name, ' ', 1) AS name, CASE WHEN p_size % 2 = 0 THEN p_size || '.1.-.-' ELSE '' END AS ec FROM part""")
 def s32(spark, d):
     path = _folder(spark)
-    text = F.concat(F.lit("ENTRY       K"), F.col("p_partkey"), F.lit("  KO\nNAME        "), F.col("p_name"), F.lit("; alias\nDEFINITION  thing [EC:"), F.col("p_size"), F.lit(".1.-.-]\n///"))
+    links = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("DBLINKS     EC: "), "p_size", F.lit(".1.-.- 9.9.9.9\n"))).otherwise(F.lit(""))
+    text = F.concat(F.lit("ENTRY       K"), F.col("p_partkey"), F.lit("  KO\nNAME        "), F.col("p_name"), F.lit("\nDEFINITION  thing [EC:7.7.7.7]\n"), links, F.lit("///"))
     table(spark, d, "part").select(text.alias("value")).write.text(path)
     return genbank.read_flat_records(spark, path)
 
 
+@query("s12_read_study_dir", """SELECT CAST(c_custkey AS BIGINT) AS pat, 'cd4' AS part, 'ST' || c_nationkey % 3 AS study, CAST(c_nationkey AS DOUBLE) AS val FROM customer
+  UNION ALL SELECT CAST(c_custkey AS BIGINT), 'rna', 'ST' || c_nationkey % 3, CAST(c_nationkey AS DOUBLE) + 1 FROM customer""")
+def s12(spark, d):
+    path = _folder(spark)
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 3).alias("study"), F.col("c_nationkey").cast("double").alias("v"))
+    for k in range(3):
+        for role, more in (("CD4", 0), ("RNA", 1)):
+            rows = c.filter(F.col("study") == k).select(F.col("c_custkey").alias("PtID"), F.lit(0).alias("Date"), (F.col("v") + more).alias("Value"))
+            rows.write.csv(f"{path}/ST{k}_{role}.txt", sep="\t", header=True)
+    found = tables.read_study_dir(spark, f"{path}/*")
+    parts = [found[r].select(F.col("pat").cast("long").alias("pat"), F.lit(r).alias("part"), "study", "val") for r in ("cd4", "rna")]
+    return parts[0].union(parts[1])
+
+
+@query("s13_read_genbank", """SELECT p_brand AS gene, p_name AS product, p_partkey - 1 AS start, p_partkey + 29 AS "end", 'MK' || p_size % 7 AS aa FROM part""")
+def s13(spark, d):
+    path = _folder(spark)
+    pad = F.lit(" " * 21)
+    text = F.concat(
+        F.lit("     CDS             join("), "p_partkey", F.lit(".."), F.col("p_partkey") + 29, F.lit(",900..905)\n"),
+        pad, F.lit('/gene="'), "p_brand", F.lit('"\n'), pad, F.lit('/product="'), "p_name", F.lit('"\n'), pad, F.lit('/translation="MK\n'), pad, F.col("p_size") % 7,
+        F.lit('"\n     CDS             1..3\n'), pad, F.lit('/gene="a-b"'))
+    table(spark, d, "part").select(text.alias("value")).write.text(path)
+    found = genbank.read_genbank(spark, path)
+    return found.select("gene", "product", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "aa")
+
+
+@query("s19_read_chip_annotation_web", """SELECT CAST(p_partkey AS VARCHAR) AS probe, p_brand AS gene, 'Pathway' AS category, p_type AS term FROM part
+  UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_brand, 'GO', p_name FROM part""")
+def s19(spark, d):
+    path = _folder(spark)
+    table(spark, d, "part").select(F.col("p_name").alias("GO"), F.col("p_brand").alias("Symbol"), F.col("p_type").alias("Pathway"), F.col("p_partkey").alias("Probe")).write.csv(
+        path, header=True, quoteAll=True)
+    return tables.read_chip_annotation(spark, path, "web")
+
+
+@query("s24_read_site_rules", """SELECT p_brand || ' ' || p_size AS rule, p_type AS gene, '[' || p_partkey || '][' || p_brand || '][' || p_name || ']' AS wild,
+  '[' || p_partkey || '][' || p_size * 2 || '][' || p_name || ']' AS mutant FROM part""")
+def s24(spark, d):
+    path = _folder(spark)
+    table(spark, d, "part").select(F.col("p_partkey").alias("prec"), F.col("p_name").alias("trail"), F.col("p_brand").alias("cons"), F.col("p_size").alias("pos"),
+                                   (F.col("p_size") * 2).alias("mut"), F.col("p_type").alias("gene")).write.csv(path, sep="\t", header=True)
+    return tables.read_site_rules(spark, path)
+
+
+@query("s25_read_mirna", "SELECT p_partkey || '-5p' AS name, upper(replace(p_name, '-', '')) AS seq FROM part")
+def s25(spark, d):
+    path = _folder(spark)
+    x = F.lit("x")
+    table(spark, d, "part").select(x.alias("#a"), x.alias("b"), x.alias("c"), F.concat("p_partkey", F.lit("-5p")).alias("d"), x.alias("e"),
+                                   F.regexp_replace("p_name", "^(..)", "$1-").alias("f")).write.csv(path, sep="\t", header=True)
+    return tables.read_mirna(spark, path)
+
+
+@query("s27_bins_round_trip", "SELECT p_brand AS motif, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS edges FROM part GROUP BY 1")
+def s27(spark, d):
+    path = _folder(spark)
+    tables.write_bins(table(spark, d, "part").groupBy(F.col("p_brand").alias("motif")).agg(F.collect_set("p_size").alias("edges")), path)
+    return tables.read_bins(spark, path).select("motif", F.array_join(F.sort_array(F.col("edges").cast("array<string>")), ",").alias("edges"))
+
+
+@query("s28_read_sites_aa", """SELECT lower(n_name) AS gene, p_size * 3 + n_nationkey * 100 AS start, (p_size + 2) * 3 + n_nationkey * 100 AS "end", p_name AS name, p_type AS match
+  FROM part JOIN nation ON n_nationkey = p_partkey % 30""")
+def s28(spark, d):
+    path = _folder(spark)
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("gene"))
+    p = table(spark, d, "part").withColumn("k", F.col("p_partkey") % 30).join(n, "k", "left")
+    p.select(F.upper(F.coalesce("gene", F.lit("unknown"))).alias("gene"), "p_size", F.col("p_size") + 2, "p_name", "p_type", F.lit("[AB]")).write.csv(path, sep="\t")
+    return tables.read_sites(spark, path, "AA", n.select("gene", (F.col("k") * 100).cast("int").alias("start")))
+
+
+@query("s28_read_sites_nt", """SELECT CAST(p_partkey AS VARCHAR) AS gene, p_size AS start, CAST(p_size + length(p_type) AS INTEGER) AS "end", p_name AS name, p_type AS match FROM part""")
+def s28b(spark, d):
+    path = _folder(spark)
+    table(spark, d, "part").select("p_partkey", "p_size", F.lit("(+)"), F.lit(0.9).alias("c"), F.lit(0.8).alias("m"), "p_type", "p_name").write.csv(path, sep="\t")
+    return tables.read_sites(spark, path, "NT")
+
+
+@query("s37_read_ontology", "SELECT n_nationkey AS id, n_name AS name, r_name AS parent FROM nation JOIN region ON r_regionkey = n_regionkey")
+def s37(spark, d):
+    path = _folder(spark)
+    table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey").write.parquet(f"{path}/term")
+    table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("parent")).write.parquet(f"{path}/term2term")
+    found = tables.read_ontology(spark, path, tables=("term", "term2term"))
+    return found["term"].join(found["term2term"], "n_regionkey").select("id", "name", "parent")
+
+
 @query("s34_feature_matrix", """SELECT c_custkey AS pat, c_mktsegment AS regimen, CASE WHEN 10 BETWEEN 0 AND c_nationkey * 10 THEN CAST(bool_or(coalesce(o_orderstatus = 'F', false)) AS INTEGER) END AS "F@10",
   CASE WHEN 100 BETWEEN 0 AND c_nationkey * 10 THEN CAST(bool_or(coalesce(o_orderstatus = 'O', false)) AS INTEGER) END AS "O@100" FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment, c_nationkey""")
 def s34(spark, d):

@@ -49,9 +49,13 @@ def standardise_names(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def read_flat_records(spark: SparkSession, path: str) -> DataFrame:
-    """``///``-separated entries: (entry, name, ec)."""
+    """``///``-separated entries: (entry, name, ec).
+
+    ``entry`` is the first word of the ENTRY line under the prefix ``ko:``, ``name`` the first word of
+    the line after it, ``ec`` the second word behind DBLINKS (empty without that line).
+    """
     records = spark.read.option("lineSep", "///").text(path).filter(F.trim(F.regexp_replace("value", r"\s+", "")) != "")
     return records.select(
-        F.regexp_extract("value", r"(?m)^ENTRY\s+(\S+)", 1).alias("entry"),
-        F.trim(F.regexp_extract("value", r"(?m)^NAME\s+([^\n;]+)", 1)).alias("name"),
-        F.regexp_extract("value", r"\[?EC:([\d.\-]+)", 1).alias("ec"))
+        F.concat(F.lit("ko:"), F.regexp_extract("value", r"^\n?\S+\s+(\S+)", 1)).alias("entry"),
+        F.regexp_extract("value", r"^\n?[^\n]*\n\S+\s+(\S+)", 1).alias("name"),
+        F.regexp_extract("value", r"(?m)^\s*DBLINKS[ \t]+\S+[ \t]+(\S+)", 1).alias("ec"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandframe.functions.scalars import split_multi
+from strandframe.functions.scalars import clean_term, split_multi
 from strandframe.operators.network import symmetric
 from strandframe.operators.ordered import union_all
 from strandframe.session import maybe_broadcast
@@ -135,11 +135,20 @@ def read_chart(spark: SparkSession, path: str) -> DataFrame:
                      _number("PValue").alias("pvalue"), genes.alias("genes"))
 
 
-def read_annotation_table(spark: SparkSession, path: str, gene: str, categories: list[str], separator: str = ",") -> DataFrame:
-    """Wide annotation with one column per category: (category, term, gene)."""
+def read_annotation_table(spark: SparkSession, path: str, gene: str, categories: list[str]) -> DataFrame:
+    """Wide annotation with one column per category: (category, term, gene).
+
+    A cell lists ``id:name`` pairs with commas between: the id is the last word before a colon, the
+    name runs to the next one. Terms are given as ``id:cleaned name``.
+    """
     df = spark.read.csv(path, sep="\t", header=True).select(F.trim(F.col(f"`{gene}`")).alias("gene"), *[F.col(f"`{c}`") for c in categories])
-    long = df.unpivot(["gene"], categories, "category", "terms").filter("terms IS NOT NULL")
-    return long.select("category", F.explode(split_multi("terms", separator)).alias("term"), "gene")
+    long = df.unpivot(["gene"], categories, "category", "cell").filter("cell IS NOT NULL")
+    parts = F.transform(F.split(F.btrim(F.trim("cell"), F.lit(",")), ":"), lambda x: F.trim(x))
+    last_word = lambda x: F.element_at(F.split(x, r"\s+"), -1)
+    terms = F.transform("_parts", lambda x, i: F.when(
+        (x != "") & (i + 1 < F.size("_parts")), F.concat(last_word(x), F.lit(":"), clean_term(F.get("_parts", i + 1)))))
+    rows = long.select("category", "gene", parts.alias("_parts")).select("category", "gene", F.explode(terms).alias("term"))
+    return rows.filter("term IS NOT NULL").select("category", "term", "gene").distinct()
 
 
 def read_gene2term(spark: SparkSession, path: str, genes: DataFrame) -> DataFrame:
@@ -198,21 +207,29 @@ def read_expression_dir(spark: SparkSession, path: str) -> DataFrame:
 # --- sites, bins, small RNAs -----------------------------------------------------
 
 def read_site_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Resistance sites (rule, preceding, wild, mutant, trailing letters) as two patterns."""
-    df = spark.read.csv(path, schema="rule string, prec string, wt string, mut string, trail string")
+    """Resistance sites as two patterns: (rule, gene, wild, mutant).
+
+    Tab-separated with a header line: preceding, trailing and wild-type letters, position, mutant
+    letters, gene. A rule is named by wild-type letters and position.
+    """
+    df = spark.read.csv(path, sep="\t", header=True, schema="prec string, trail string, cons string, pos string, mut string, gene string")
 
     def pattern(x: str):
-        return F.concat(F.lit("["), F.trim("prec"), F.lit("]["), F.trim(x), F.lit("]["), F.trim("trail"), F.lit("]"))
+        return F.concat(F.lit("["), F.col("prec"), F.lit("]["), F.col(x), F.lit("]["), F.col("trail"), F.lit("]"))
 
-    return df.select(F.trim("rule").alias("rule"), pattern("wt").alias("wild"), pattern("mut").alias("mutant"))
+    return df.select(F.concat_ws(" ", "cons", "pos").alias("rule"), F.trim("gene").alias("gene"), pattern("cons").alias("wild"), pattern("mut").alias("mutant"))
 
 
 def read_mirna(spark: SparkSession, path: str) -> DataFrame:
-    """Small RNAs: upper case, gaps removed, the last of equal names stays."""
-    raw = spark.read.csv(path, schema="name string, seq string").withColumn(
+    """Small RNAs: upper case, gaps removed, the last of equal names stays.
+
+    Tab-separated after one comment line; the name is the fourth column, the sequence the sixth.
+    """
+    columns = ", ".join(f"c{i} string" for i in range(1, 7))
+    raw = spark.read.csv(path, sep="\t", header=True, schema=columns).withColumn(
         "_order", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")))
-    seq = F.upper(F.regexp_replace("seq", r"[-\s]", ""))
-    return raw.groupBy(F.trim("name").alias("name")).agg(F.max_by(seq, "_order").alias("seq"))
+    seq = F.upper(F.replace(F.trim("c6"), F.lit("-"), F.lit("")))
+    return raw.groupBy(F.col("c4").alias("name")).agg(F.max_by(seq, "_order").alias("seq"))
 
 
 def regroup_hits(df: DataFrame) -> DataFrame:
@@ -239,14 +256,21 @@ def write_bins(edges: DataFrame, path: str) -> None:
     edges.select(F.concat(F.col("motif"), F.lit("\n"), F.concat_ws(",", F.col("edges").cast("array<string>"))).alias("value")).write.text(path)
 
 
-def read_sites(spark: SparkSession, path: str, kind: str, genes: DataFrame) -> DataFrame:
-    """External site calls in amino-acid or nucleotide coordinates: (gene, start, end, name)."""
+def read_sites(spark: SparkSession, path: str, kind: str, genes: DataFrame | None = None) -> DataFrame:
+    """External site calls: (gene, start, end, name, match), tab-separated without a header.
+
+    ``AA``: gene, start, end (amino acids of the gene), name, matched text; lifted to the genome by
+    ``genes(gene, start)``, gene names compared in lower case, unknown genes dropped. ``NT``: sequence,
+    start, two or three columns that are skipped, matched text, name; the end follows from the text.
+    """
     from strandframe.operators.features import aa_to_nt
-    df = spark.read.csv(path, sep="\t", schema="gene string, start int, end int, name string")
     if kind == "AA":
-        return aa_to_nt(df, maybe_broadcast(genes))
+        df = spark.read.csv(path, sep="\t", schema="gene string, start int, end int, name string, match string")
+        known = genes.select(F.lower("gene").alias("gene"), "start")
+        return aa_to_nt(df.withColumn("gene", F.lower("gene")), maybe_broadcast(known)).select("gene", "start", "end", "name", "match")
     if kind == "NT":
-        return df
+        df = spark.read.csv(path, sep="\t", schema="gene string, start int, c3 string, c4 string, c5 string, match string, name string")
+        return df.select("gene", "start", (F.col("start") + F.length("match")).alias("end"), "name", "match")
     raise ValueError(f"unknown coordinate kind {kind}")
 
 

@@ -52,14 +52,15 @@ def test_gene_files(spark, tmp_path):
     assert rows(got, "motif", "edges") == [("m1", [0, 10, 20]), ("m2", [5, 6])]
     tables.write_bins(got, str(tmp_path / "bins_out"))
     assert rows(tables.read_bins(spark, str(tmp_path / "bins_out")), "motif", "edges") == rows(got, "motif", "edges")
-    rules = put(tmp_path, "rules.csv", "M41L,AB,M,L,CD\n")
-    assert rows(tables.read_site_rules(spark, rules), "rule", "wild", "mutant") == [("M41L", "[AB][M][CD]", "[AB][L][CD]")]
-    mirna = put(tmp_path, "mi.csv", "x,ac-g\nx,aacc\n")
+    rules = put(tmp_path, "rules.txt", "prec\ttrail\tcons\tpos\tmut\tgene\nAB\tCD\tM\t41\tL\trt\n")
+    assert rows(tables.read_site_rules(spark, rules), "rule", "gene", "wild", "mutant") == [("M 41", "rt", "[AB][M][CD]", "[AB][L][CD]")]
+    mirna = put(tmp_path, "mi.txt", "# comment\n1\ta\tb\tx\tc\tac-g\td\n2\ta\tb\tx\tc\taa-cc\td\n")
     assert rows(tables.read_mirna(spark, mirna), "name", "seq") == [("x", "AACC")]
     genes = spark.createDataFrame([("gag", 100)], "gene string, start int")
-    sites = put(tmp_path, "sites.txt", "gag\t2\t4\tq\n")
-    assert rows(tables.read_sites(spark, sites, "AA", genes), "start", "end") == [(106, 112)]
-    assert rows(tables.read_sites(spark, sites, "NT", genes), "start", "end") == [(2, 4)]
+    sites = put(tmp_path, "sites.txt", "GAG\t2\t4\tq\tMATCH\t[A]\nno\t1\t2\tq\tX\t[A]\n")
+    assert rows(tables.read_sites(spark, sites, "AA", genes), "gene", "start", "end", "match") == [("gag", 106, 112, "MATCH")]
+    sites = put(tmp_path, "nt.txt", "s1\t7\t(+)\t0.9\t0.8\tACGT\t\"V$x\"\n")
+    assert rows(tables.read_sites(spark, sites, "NT"), "gene", "start", "end", "name", "match") == [("s1", 7, 11, "V$x", "ACGT")]
 
 
 def test_expression_dir(spark, tmp_path):
