@@ -24,7 +24,7 @@ from strandframe.session import cut_lineage, shared_dir
 DICTIONARY_MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-#: The dictionary is fitted on at most this many records, those whose ids hash lowest, and bytes of each.
+#: The dictionary is fitted on at most this many records, those that hash lowest, and bytes of each.
 SAMPLE_RECORDS, SAMPLE_BYTES = 1000, 32_768
 DICTIONARY_BYTES = 65_536
 LEVEL = 6
@@ -65,10 +65,16 @@ def record(rec_id: str, url: str | None, payload: bytes, refers_to: str | None)
 
 
 def fit_dictionary(pages: DataFrame, id_col: str, payload_col: str, sample: int = SAMPLE_RECORDS) -> bytes:
-    """A dictionary from a bounded sample of records; empty when there is too little to learn from."""
+    """A dictionary from a bounded sample of records; empty when there is too little to learn from.
+
+    Rows whose hash lies below a cut that lets about twice ``sample`` of all rows through are
+    ordered, so that tasks send the driver a few rows each and not ``sample`` rows each.
+    """
+    share = min(1.0, 2 * sample / max(pages.count(), 1))
+    draw = F.pmod(F.xxhash64(id_col, payload_col), F.lit(1 << 32))
     rows = (
-        pages.filter(F.length(payload_col) > 0)
-        .select(F.xxhash64(id_col, payload_col).alias("_h"), F.substring(payload_col, 1, SAMPLE_BYTES).alias("_p"))
+        pages.filter((F.length(payload_col) > 0) & (draw < int(share * (1 << 32))))
+        .select(draw.alias("_h"), F.substring(payload_col, 1, SAMPLE_BYTES).alias("_p"))
         .orderBy("_h", "_p").limit(sample).collect()
     )
     parts = [record(str(k), None, bytes(r["_p"]), None) for k, r in enumerate(rows)]
