@@ -33,7 +33,7 @@ CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 #: Words of a class, id or role that mark what is not the article.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs "
-    "sidebar footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup "
+    "sidebar footer header masthead toc skip login announcement disclaimer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup "
     "comment comments discussion disqus replies reply respond share sharing social related recommended "
     "pagination pager toolbar widget copyright legal complementary contentinfo search dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -60,8 +60,10 @@ def _is_noise(tag: str, attrs: list, parent: Node) -> bool:
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role") and value and NOISE & set(re.split(r"[^a-z0-9]+", value.lower())):
-            return True
+        if name in ("class", "id", "role") and value:
+            words = NOISE & set(re.split(r"[^a-z0-9]+", value.lower()))
+            if words and not (words == {"header"} and _inside(parent, {"article", "main"})):
+                return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             return True
     return False

@@ -13,7 +13,9 @@ import sys
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from strandframe.llm.rows import pack, unpack
 
 #: Length of all vectors.
 DIMENSIONS = 512
@@ -133,8 +135,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     return {r["lang"]: np.round(np.array([x["x"] for x in r["total"]]), 6) for r in sums}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", name: str = "__lang") -> DataFrame:
-    """``docs`` with a struct column ``name`` of ``lang_pred`` and ``score`` (cosine, at least 0).
+def predicted(spark: SparkSession, text: Column, prototypes: dict[str, np.ndarray]) -> Column:
+    """Struct of ``lang_pred`` and ``score`` (cosine, at least 0).
 
     ``und`` with score 0 stands for a null text, one without a letter, or one like no prototype. Of
     equal cosines the alphabetically first language wins. Only the text is looked at.
@@ -142,7 +144,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     names = sorted(prototypes)
     dimensions = len(prototypes[names[0]]) if names else DIMENSIONS
     matrix = np.array([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-12) for x in names]).reshape(-1, dimensions)
-    sent = docs.sparkSession.sparkContext.broadcast(matrix)  # at most MAX_LANGUAGES rows
+    sent = spark.sparkContext.broadcast(matrix)  # at most MAX_LANGUAGES rows
 
     def best(texts: pd.Series) -> pd.DataFrame:
         v, out = vectors(dimensions), []
@@ -154,8 +156,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             out.append((names[k], min(float(cosine[k]), 1.0)) if k >= 0 and cosine[k] > 0 else (UNKNOWN, 0.0))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    udf = F.pandas_udf(best, "lang_pred string, score double").asNondeterministic()
-    return docs.withColumn(name, udf(F.col(text_col)))
+    return F.pandas_udf(best, "lang_pred string, score double").asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -164,7 +165,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Columns named like the new ones are replaced; repeated rows stay; without any labelled row every
     prediction is ``und``.
     """
-    old = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     prototypes = learn(docs.filter(~held_out(F.col(id_col))), text_col, lang_col)
-    out = predict(docs.select(*[F.col(f"`{c}`") for c in old]), prototypes, text_col)
-    return out.select(*[F.col(f"`{c}`") for c in old], held_out(F.col(id_col)).alias("held_out"), "__lang.lang_pred", "__lang.score")
+    out = pack(docs, held_out=held_out(F.col(id_col)), found=predicted(docs.sparkSession, F.col(text_col), prototypes))
+    return unpack(out, docs.columns, held_out=F.col("held_out"), lang_pred=F.col("found.lang_pred"), score=F.col("found.score"))

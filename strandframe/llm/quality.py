@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from strandframe.llm.rows import pack, unpack
+
 #: Fixed values: (fact, good when at most, bad when at least); between the two the rule abstains.
 LOW_IS_GOOD = (
     ("symbols_per_word", 0.02, 0.1),
@@ -147,18 +149,14 @@ def quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) ->
     The texts are read twice, once to count vote patterns and once for the result, so that neither
     texts nor links between rows and facts have to be stored.
     """
-    names = [*FACTS.names[:-1], "base_failed", "good_probability", "kept"]
-    old = [c for c in docs.columns if c not in names]
     udf = F.pandas_udf(_fact_frame, FACTS).asNondeterministic()  # so that no filter above makes Spark run it twice
-    seen = docs.select(*[F.col(f"`{c}`") for c in old], udf(F.col(text_col).cast("binary")).alias("__facts"))
-    counted = {r["p"]: r["n"] for r in seen.groupBy(F.col("__facts.pattern").alias("p")).agg(F.count("*").alias("n")).collect()}
+    seen = pack(docs, facts=udf(F.col(text_col).cast("binary")))
+    counted = {r["p"]: r["n"] for r in seen.groupBy(F.col("facts.pattern").alias("p")).agg(F.count("*").alias("n")).collect()}
     _, _, posterior = estimate(counted)
     spark = docs.sparkSession
-    table = spark.createDataFrame(list(posterior.items()), "__pattern long, good_probability double")
-    joined = seen.withColumn("__pattern", F.col("__facts.pattern")).join(F.broadcast(table), "__pattern", "left")
-    n, repeated = F.col("__facts.n_words"), F.col("__facts.n_repeat_words")
+    table = spark.createDataFrame(list(posterior.items()), "pattern long, good double")
+    joined = seen.withColumn("pattern", F.col("facts.pattern")).join(F.broadcast(table), "pattern", "left")  # at most 3^10 rows
+    n, repeated = F.col("facts.n_words"), F.col("facts.n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * repeated > 50 * n)
-    return joined.select(
-        *[F.col(f"`{c}`") for c in old], *[F.col(f"__facts.{c}").alias(c) for c in FACTS.names[:-1]],
-        failed.alias("base_failed"), "good_probability",
-        (~failed & (F.col("good_probability") >= threshold)).alias("kept"))
+    return unpack(joined, docs.columns, **{c: F.col(f"facts.{c}") for c in FACTS.names[:-1]},
+                  base_failed=failed, good_probability=F.col("good"), kept=~failed & (F.col("good") >= threshold))

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from strandframe.llm.rows import pack, unpack
 from strandframe.session import cut_lineage
 
 #: Share of the other keys that a level takes for its own.
@@ -208,7 +209,7 @@ def with_membership(df: DataFrame, keys: str, cascade: Cascade, name: str) -> Da
             F.pmod(h["h2"], F.lit(len(shards))),
             *[x for k in seeds for x in (F.xxhash64(h["h1"], h["h2"], F.lit(k)), F.xxhash64(h["h2"], F.lit(k), h["h1"]))])))
         udf = F.pandas_udf(_looker(sent, s), "array<boolean>").asNondeterministic()
-        out = out.withColumn("__now", udf(flat)).withColumn(name, F.zip_with(name, "__now", lambda a, b: a | b)).drop("__now")
+        out = out.withColumn("_now", udf(flat)).withColumn(name, F.zip_with(name, "_now", lambda a, b: a | b)).drop("_now")
         if s + 1 < len(shards):
             out = cut_lineage(out)
     return out
@@ -226,11 +227,9 @@ def judge_urls(
     without ``://``, has an empty host and path and fits nothing. Empty lists fit nothing. Columns
     named like the new ones are replaced; repeated rows stay.
     """
-    new = ("host", "path", "rule", "verdict", "listed_host")
-    old = [c for c in urls.columns if c not in new]
     rules, hosts = cut_lineage(rules), cut_lineage(listed_hosts.select("host", F.lit("").alias("path")))
     by_rule, by_host = shape_of(rules), shape_of(hosts)
-    parts = urls.select(*[F.col(f"`{c}`") for c in old], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    parts = pack(urls, host=host_of(F.col(url_col)), path=path_of(F.col(url_col)))
 
     def asked(shape: Shape) -> Column:
         return keys_of(F.col("host"), F.col("path"), shape)
@@ -241,20 +240,19 @@ def judge_urls(
             key_hash(F.col("k.host"), F.col("k.path")).alias("h")).select("h.*").distinct())
 
     rule_keys, host_keys = universe(by_rule), universe(by_host)
-    out = parts.withColumn("__keys", asked(by_rule)).withColumn("__hosts", asked(by_host))
+    out = parts.withColumn("keys", asked(by_rule)).withColumn("hosts", asked(by_host))
     for verdict in ("allow", "block"):
-        out = with_membership(out, "__keys", Cascade.build(rules.filter(F.col("verdict") == verdict), rule_keys), f"__{verdict}")
-    out = with_membership(out, "__hosts", Cascade.build(hosts, host_keys), "__listed")
+        out = with_membership(out, "keys", Cascade.build(rules.filter(F.col("verdict") == verdict), rule_keys), verdict)
+    out = with_membership(out, "hosts", Cascade.build(hosts, host_keys), "listed")
 
     def first(keys: str, *flags: str) -> Column:
         zipped = F.arrays_zip(F.col(keys).alias("k"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(flags)])
         hit = lambda x: x["f0"] | x["f1"] if len(flags) > 1 else x["f0"]
         return F.get(F.filter(zipped, hit), F.lit(0))
 
-    out = out.withColumn("__rule", first("__keys", "__allow", "__block")).withColumn("__host", first("__hosts", "__listed"))
-    rule = F.col("__rule")
+    out = out.withColumn("hit", first("keys", "allow", "block")).withColumn("name", first("hosts", "listed"))
+    rule = F.col("hit")
     verdict = (F.when(rule.isNotNull(), F.when(rule["f0"], F.lit("allow")).otherwise(F.lit("block")))
-               .when(F.col("__host").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(
-        *[F.col(f"`{c}`") for c in old], "host", "path", F.concat(rule["k"]["host"], rule["k"]["path"]).alias("rule"),
-        verdict.alias("verdict"), F.col("__host.k.host").alias("listed_host"))
+               .when(F.col("name").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return unpack(out, urls.columns, host=F.col("host"), path=F.col("path"), rule=F.concat(rule["k"]["host"], rule["k"]["path"]),
+                  verdict=verdict, listed_host=F.col("name.k.host"))
