@@ -5,11 +5,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandframe.functions.special import binom_sf, t_two_sided
 from strandframe.operators.joins import pair_all
-from strandframe.operators.ordered import top_rows
+from strandframe.operators.ordered import top_rows, union_all
 from strandframe.operators.sampling import hash_draw
 from strandframe.session import cut_lineage
 
@@ -147,6 +150,13 @@ def analyse_all(expr: DataFrame, method: str = "fold", keys: list[str] = ["datas
         return fold_change(expr, keys=keys)
     if method == "ttest":
         return ttest(expr, cls, keys=keys).withColumnRenamed("is_significant", "changed")
+    if method == "sam":  # a data set at a time: each has its own permutations and its own delta
+        names = [r.asDict() for r in expr.select(*keys).distinct().orderBy(*keys).collect()]
+        parts = []
+        for name in names:
+            own = expr.filter(reduce(and_, (F.col(k).eqNullSafe(F.lit(v)) for k, v in name.items())))
+            parts.append(sam(own, cls).select(*[F.lit(v).alias(k) for k, v in name.items()], "gene", "d", F.col("called").alias("changed")))
+        return union_all(parts)
     raise ValueError(f"unknown method {method}")
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from strandframe.operators import clinical as cl
 from strandframe.operators.aggregates import avg_duplicates, initial_therapy
 from strandframe.plans.registry import query, table
 from strandframe.plans.views import REGIMEN_SQL, TIMELINE_SQL, regimen, timeline
-from strandframe.session import shared_dir
+from strandframe.session import run_path
 
 _TL = "WITH " + TIMELINE_SQL + ", tl AS (SELECT pat, kind, week, avg(val) AS val FROM timeline GROUP BY 1, 2, 3)"
 
@@ -85,7 +83,7 @@ def c8b(spark, d):
 
 @query("c12_split_groups", """SELECT DISTINCT user_id AS pat, user_id % 3 = 0 AS responder FROM events""")
 def c12(spark, d):
-    path = f"{shared_dir(spark).rstrip('/')}/strandframe/{uuid.uuid4().hex}"
+    path = run_path(spark)
     pats = table(spark, d, "events").select(F.col("user_id").alias("pat")).distinct()
     cl.split_groups(pats, pats.withColumn("responder", F.col("pat") % 3 == 0), path)
     return spark.read.parquet(path).select("pat", F.col("responder").cast("boolean").alias("responder"))

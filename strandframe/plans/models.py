@@ -8,7 +8,7 @@ from strandframe.operators import models as ml, partitions as pt
 from strandframe.plans.registry import query, table
 from strandframe.plans.views import EXPR_SQL, MOTIFS, expr, seqs
 
-REPS = 10
+REPS = 100
 
 
 def _samples(spark, d) -> DataFrame:
@@ -19,7 +19,7 @@ def _values(spark, d) -> DataFrame:
     return expr(spark, d).select("sample", F.col("gene").alias("feature"), "value")
 
 
-_SPLIT = """smp AS (SELECT vec_id AS sample, label AS cls FROM embeddings), reps AS (SELECT unnest(range(10)) AS rep),
+_SPLIT = """smp AS (SELECT vec_id AS sample, label AS cls FROM embeddings), reps AS (SELECT unnest(range(100)) AS rep),
   rk AS (SELECT rep, sample, cls, row_number() OVER (PARTITION BY rep, cls ORDER BY md5(sample || '#' || rep || '#0'), sample) AS r, count(*) OVER (PARTITION BY rep, cls) AS n FROM smp, reps),
   lab AS (SELECT rep, sample, cls, r <= round(n * 2 / 3) AS is_train FROM rk)"""
 
@@ -49,7 +49,7 @@ def l6(spark, d):
 
 @query("l7_one_vs_all")
 def l7(spark, d):
-    scores = _dlda(spark, d, targets=list(range(10)), m=(20,), reps=3)
+    scores = _dlda(spark, d, targets=list(range(10)), m=(20,), reps=20)
     return ml.confusion(ml.one_vs_all(scores))
 
 
@@ -70,7 +70,7 @@ def l9(spark, d):
     n = F.substring("feature", 2, 9).cast("int")
     s = _samples(spark, d)
     rules = {"half": s.select("sample", (F.col("cls") < 5).cast("int").alias("cls")), "odd": s.select("sample", (F.col("cls") % 2).alias("cls"))}
-    return ml.ablation({"all": v, "low": v.filter(n < 32), "high": v.filter(n >= 32)}, rules, [10], 5)
+    return ml.ablation({"all": v, "low": v.filter(n < 32), "high": v.filter(n >= 32)}, rules, [10], 20)
 
 
 def _patients(spark, d) -> dict[str, DataFrame]:

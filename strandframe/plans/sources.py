@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from strandframe.operators.motifs import best_hit
 from strandframe.plans.motifs import _HITS
 from strandframe.plans.registry import query, table
 from strandframe.plans.views import MOTIFS, TIMELINE_SQL, regimen
-from strandframe.session import shared_dir
+from strandframe.session import run_path
 from strandframe.sources import fasta, genbank, html, sinks, tables
 from strandframe.streaming import scans
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/strandframe/{uuid.uuid4().hex}"
-
-
 @query("s6_s7_fasta_round_trip", """SELECT CAST(doc_id AS VARCHAR) AS seq_id, md5(regexp_replace(lower(text), '[\\s>]', '', 'g')) AS digest FROM documents""")
 def s6(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("seq_id"), F.regexp_replace(F.lower("text"), r"[\s>]", "").alias("seq"))
     fasta.write_fasta(docs, path)
     return fasta.read_fasta(spark, path).select("seq_id", F.md5("seq").alias("digest"))
@@ -36,14 +30,14 @@ def s8(spark, d):
 
 @query("s1_s3_nodes_round_trip", "SELECT DISTINCT p_name AS id FROM part")
 def s1(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     sinks.write_nodes(table(spark, d, "part").select(F.col("p_name").alias("id")), path)
     return tables.read_nodes(spark, path)
 
 
 @query("s2_s4_edges_round_trip", """WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem) SELECT a, b FROM e UNION SELECT b, a FROM e""")
 def s2(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     li = table(spark, d, "lineitem")
     sinks.write_edges(li.select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")), path)
     return tables.read_edges(spark, path)
@@ -51,7 +45,7 @@ def s2(spark, d):
 
 @query("s10_read_measure", """SELECT CAST(user_id AS BIGINT) AS pat, CAST(extract('day' FROM ts) AS DOUBLE) AS week, 'view' AS kind, value AS val, CASE WHEN value > 100 THEN 1 WHEN value < 1 THEN -1 ELSE 0 END AS censor FROM events WHERE event_type = 'view'""")
 def s10(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     sign = F.when(F.col("value") > 100, ">").when(F.col("value") < 1, "<").otherwise("=")
     table(spark, d, "events").filter("event_type = 'view'").select(
         F.col("user_id").alias("PtID"), F.dayofmonth("ts").alias("RNADate"), F.col("value").alias("VLoad"), sign.alias("VLoadMatch")).write.csv(path, sep="\t", header=True)
@@ -61,7 +55,7 @@ def s10(spark, d):
 @query("s11_read_regimen", """SELECT o_custkey AS pat, CAST(min(l_linenumber) AS DOUBLE) AS start, CAST(max(l_linenumber) AS DOUBLE) AS stop, l_returnflag AS drug FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   GROUP BY o_custkey, l_returnflag""")
 def s11(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     per = li.groupBy("o_custkey", "l_returnflag").agg(F.min("l_linenumber").alias("StartDate"), F.max("l_linenumber").alias("StopDate"))
     flags = [(F.col("l_returnflag") == x).cast("int").alias(x) for x in ("A", "N", "R")]
@@ -72,7 +66,7 @@ def s11(spark, d):
 
 @query("s14_read_gmt", "SELECT DISTINCT p_type AS set_name, p_name AS gene FROM part")
 def s14(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     p = table(spark, d, "part").groupBy("p_type").agg(F.collect_set("p_name").alias("g"))
     p.select(F.concat_ws("\t", "p_type", F.lit("na"), F.array_join("g", "\t")).alias("value")).write.text(path)
     return tables.read_gmt(spark, path).select("set_name", "gene")
@@ -80,7 +74,7 @@ def s14(spark, d):
 
 @query("s15_read_chart", """SELECT p_type AS category, p_brand AS term, CAST(count(DISTINCT p_name) AS INTEGER) AS "count", CAST(min(p_size) AS DOUBLE) AS pvalue, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS genes FROM part GROUP BY 1, 2""")
 def s15(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     p = table(spark, d, "part").groupBy(F.col("p_type").alias("Category"), F.col("p_brand").alias("Term")).agg(
         F.countDistinct("p_name").alias("Count"), F.min("p_size").alias("PValue"), F.array_join(F.sort_array(F.collect_set("p_name")), ", ").alias("Genes"))
     p.write.csv(path, sep="\t", header=True)
@@ -91,7 +85,7 @@ def s15(spark, d):
   UNION ALL SELECT 'p_name', 'B' || p_size || ':' || p_name, CAST(p_partkey AS VARCHAR) FROM part
   UNION ALL SELECT 'p_name', 'C2:' || p_brand, CAST(p_partkey AS VARCHAR) FROM part""")
 def s16(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     cells = F.concat(F.lit("B"), "p_size", F.lit(":"), "p_name", F.lit(","))
     two = F.concat(F.lit("C2:"), "p_brand", F.lit(" ,"))
     p = table(spark, d, "part")
@@ -103,7 +97,7 @@ def s16(spark, d):
 
 @query("s17_read_gene2term", """SELECT CAST(l_partkey AS VARCHAR) AS gene, l_returnflag AS term, l_linestatus AS category FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)""")
 def s17(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     n = F.lit("x")
     table(spark, d, "lineitem").select(n.alias("tax"), F.col("l_partkey").alias("gene"), F.col("l_returnflag").alias("term"), n.alias("evidence"), n.alias("qualifier"),
                                        n.alias("name"), n.alias("pubmed"), F.col("l_linestatus").alias("category")).write.csv(path, sep="\t", header=True)
@@ -113,7 +107,7 @@ def s17(spark, d):
 
 @query("s18_read_chip_annotation", """SELECT CAST(p_partkey AS VARCHAR) AS probe, p_brand AS gene, 'Pathway' AS category, p_type AS term FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_brand, 'Pathway', p_name FROM part""")
 def s18(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     cells = F.concat(F.lit("0001 // "), F.col("p_type"), F.lit(" // x /// 0002 // "), F.col("p_name"), F.lit(" // y"))
     table(spark, d, "part").select(F.col("p_partkey").alias("Probe Set ID"), F.col("p_brand").alias("Gene Symbol"), cells.alias("Pathway")).write.csv(path, header=True)
     return tables.read_chip_annotation(spark, path, columns=("Probe Set ID", "Gene Symbol", ["Pathway"]))
@@ -121,14 +115,14 @@ def s18(spark, d):
 
 @query("s9_read_annotations", """SELECT CAST(l_suppkey AS VARCHAR) AS gene, l_linenumber - 1 AS start, CAST(l_quantity AS INTEGER) AS "end", l_returnflag AS domain FROM lineitem WHERE l_linestatus = 'O'""")
 def s9(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     table(spark, d, "lineitem").select("l_suppkey", "l_linenumber", F.col("l_quantity").cast("int"), "l_returnflag", F.lit("seq").alias("s"), "l_linestatus").write.csv(path, sep="\t")
     return tables.read_annotations(spark, path, ["O"]).select("gene", "start", "end", "domain")
 
 
 @query("s20_read_expression", """SELECT 'all' AS dataset, 'g' || (g - 1) AS probe, CAST(vec_id AS VARCHAR) AS sample, round(CAST(embedding[g] AS DOUBLE), 6) AS value, label AS cls FROM (SELECT vec_id, label, embedding, unnest(range(1, 65)) AS g FROM embeddings)""")
 def s20(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     e = table(spark, d, "embeddings")
     # a fixed width keeps one sample name from being the prefix of another
     long = e.select(F.concat(F.lit("S"), F.lpad(F.col("vec_id").cast("string"), 7, "0")).alias("sample"), "label", F.posexplode("embedding").alias("g", "v"))
@@ -173,14 +167,14 @@ def s26(spark, d):
 
 @query("s29_read_positions", "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS chrom, l_partkey AS pos FROM lineitem")
 def s29(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     table(spark, d, "lineitem").select("l_suppkey", "l_partkey").write.csv(path, sep="\t")
     return tables.read_positions(spark, path)
 
 
 @query("s30_convert", "SELECT CAST(p_partkey AS VARCHAR) AS a, p_name AS b FROM part")
 def s30(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     table(spark, d, "part").select("p_partkey", "p_name").write.csv(f"{path}/tsv", sep="\t")
     tables.convert(spark, f"{path}/tsv", f"{path}/csv")
     return spark.read.csv(f"{path}/csv", schema="a string, b string")
@@ -188,14 +182,14 @@ def s30(spark, d):
 
 @query("s31_read_id_map", "SELECT DISTINCT key, CAST(p_partkey AS VARCHAR) AS id FROM (SELECT p_partkey, unnest([p_name, p_brand, p_type]) AS key FROM part)")
 def s31(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type").write.csv(path, sep="\t", header=True)
     return tables.read_id_map(spark, path, ["p_name", "p_brand", "p_type"], "p_partkey")
 
 
 @query("s32_read_flat_records", """SELECT 'ko:K' || p_partkey AS entry, split_part(p_name, ' ', 1) AS name, CASE WHEN p_size % 2 = 0 THEN p_size || '.1.-.-' ELSE '' END AS ec FROM part""")
 def s32(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     links = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("DBLINKS     EC: "), "p_size", F.lit(".1.-.- 9.9.9.9\n"))).otherwise(F.lit(""))
     text = F.concat(F.lit("ENTRY       K"), F.col("p_partkey"), F.lit("  KO\nNAME        "), F.col("p_name"), F.lit("\nDEFINITION  thing [EC:7.7.7.7]\n"), links, F.lit("///"))
     table(spark, d, "part").select(text.alias("value")).write.text(path)
@@ -205,7 +199,7 @@ def s32(spark, d):
 @query("s12_read_study_dir", """SELECT CAST(c_custkey AS BIGINT) AS pat, 'cd4' AS part, 'ST' || c_nationkey % 3 AS study, CAST(c_nationkey AS DOUBLE) AS val FROM customer
   UNION ALL SELECT CAST(c_custkey AS BIGINT), 'rna', 'ST' || c_nationkey % 3, CAST(c_nationkey AS DOUBLE) + 1 FROM customer""")
 def s12(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     c = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 3).alias("study"), F.col("c_nationkey").cast("double").alias("v"))
     for k in range(3):
         for role, more in (("CD4", 0), ("RNA", 1)):
@@ -218,7 +212,7 @@ def s12(spark, d):
 
 @query("s13_read_genbank", """SELECT p_brand AS gene, p_name AS product, p_partkey - 1 AS start, p_partkey + 29 AS "end", 'MK' || p_size % 7 AS aa FROM part""")
 def s13(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     pad = F.lit(" " * 21)
     text = F.concat(
         F.lit("     CDS             join("), "p_partkey", F.lit(".."), F.col("p_partkey") + 29, F.lit(",900..905)\n"),
@@ -232,7 +226,7 @@ def s13(spark, d):
 @query("s19_read_chip_annotation_web", """SELECT CAST(p_partkey AS VARCHAR) AS probe, p_brand AS gene, 'Pathway' AS category, p_type AS term FROM part
   UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_brand, 'GO', p_name FROM part""")
 def s19(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     table(spark, d, "part").select(F.col("p_name").alias("GO"), F.col("p_brand").alias("Symbol"), F.col("p_type").alias("Pathway"), F.col("p_partkey").alias("Probe")).write.csv(
         path, header=True, quoteAll=True)
     return tables.read_chip_annotation(spark, path, "web")
@@ -241,7 +235,7 @@ def s19(spark, d):
 @query("s24_read_site_rules", """SELECT p_brand || ' ' || p_size AS rule, p_type AS gene, '[' || p_partkey || '][' || p_brand || '][' || p_name || ']' AS wild,
   '[' || p_partkey || '][' || p_size * 2 || '][' || p_name || ']' AS mutant FROM part""")
 def s24(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     table(spark, d, "part").select(F.col("p_partkey").alias("prec"), F.col("p_name").alias("trail"), F.col("p_brand").alias("cons"), F.col("p_size").alias("pos"),
                                    (F.col("p_size") * 2).alias("mut"), F.col("p_type").alias("gene")).write.csv(path, sep="\t", header=True)
     return tables.read_site_rules(spark, path)
@@ -249,7 +243,7 @@ def s24(spark, d):
 
 @query("s25_read_mirna", "SELECT p_partkey || '-5p' AS name, upper(replace(p_name, '-', '')) AS seq FROM part")
 def s25(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     x = F.lit("x")
     table(spark, d, "part").select(x.alias("#a"), x.alias("b"), x.alias("c"), F.concat("p_partkey", F.lit("-5p")).alias("d"), x.alias("e"),
                                    F.regexp_replace("p_name", "^(..)", "$1-").alias("f")).write.csv(path, sep="\t", header=True)
@@ -258,7 +252,7 @@ def s25(spark, d):
 
 @query("s27_bins_round_trip", "SELECT p_brand AS motif, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS edges FROM part GROUP BY 1")
 def s27(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     tables.write_bins(table(spark, d, "part").groupBy(F.col("p_brand").alias("motif")).agg(F.collect_set("p_size").alias("edges")), path)
     return tables.read_bins(spark, path).select("motif", F.array_join(F.sort_array(F.col("edges").cast("array<string>")), ",").alias("edges"))
 
@@ -266,7 +260,7 @@ def s27(spark, d):
 @query("s28_read_sites_aa", """SELECT lower(n_name) AS gene, p_size * 3 + n_nationkey * 100 AS start, (p_size + 2) * 3 + n_nationkey * 100 AS "end", p_name AS name, p_type AS match
   FROM part JOIN nation ON n_nationkey = p_partkey % 30""")
 def s28(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("gene"))
     p = table(spark, d, "part").withColumn("k", F.col("p_partkey") % 30).join(n, "k", "left")
     p.select(F.upper(F.coalesce("gene", F.lit("unknown"))).alias("gene"), "p_size", F.col("p_size") + 2, "p_name", "p_type", F.lit("[AB]")).write.csv(path, sep="\t")
@@ -275,14 +269,14 @@ def s28(spark, d):
 
 @query("s28_read_sites_nt", """SELECT CAST(p_partkey AS VARCHAR) AS gene, p_size AS start, CAST(p_size + length(p_type) AS INTEGER) AS "end", p_name AS name, p_type AS match FROM part""")
 def s28b(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     table(spark, d, "part").select("p_partkey", "p_size", F.lit("(+)"), F.lit(0.9).alias("c"), F.lit(0.8).alias("m"), "p_type", "p_name").write.csv(path, sep="\t")
     return tables.read_sites(spark, path, "NT")
 
 
 @query("s37_read_ontology", "SELECT n_nationkey AS id, n_name AS name, r_name AS parent FROM nation JOIN region ON r_regionkey = n_regionkey")
 def s37(spark, d):
-    path = _folder(spark)
+    path = run_path(spark)
     table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey").write.parquet(f"{path}/term")
     table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("parent")).write.parquet(f"{path}/term2term")
     found = tables.read_ontology(spark, path, tables=("term", "term2term"))
@@ -321,14 +315,14 @@ def _stream(spark, d, name: str) -> DataFrame:
 @query("t1_stream_scan", f"WITH {_HITS} SELECT motif, count(*) AS n_hits, CAST(sum(start) AS BIGINT) AS sum_start FROM hits GROUP BY 1")
 def t1(spark, d):
     arriving = _stream(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.lower("text").alias("seq"))
-    hits = scans.run_to_table(scans.stream_scan(arriving, MOTIFS), _folder(spark))
+    hits = scans.run_to_table(scans.stream_scan(arriving, MOTIFS), run_path(spark))
     return hits.groupBy("motif").agg(F.count("*").alias("n_hits"), F.sum("start").alias("sum_start"))
 
 
 @query("t2_stream_dedupe", "SELECT DISTINCT md5(text) AS digest FROM conversations")
 def t2(spark, d):
     turns = _stream(spark, d, "conversations").select(F.col("text").alias("seq"), F.current_timestamp().alias("arrived"))
-    return scans.run_to_table(scans.stream_dedupe(turns), _folder(spark)).select("digest")
+    return scans.run_to_table(scans.stream_dedupe(turns), run_path(spark)).select("digest")
 
 
 @query("t3_stream_responder", "WITH " + TIMELINE_SQL + """, tl AS (SELECT pat, week, avg(val) AS val FROM timeline WHERE kind = 'view' GROUP BY 1, 2), s AS (SELECT pat, val - lag(val) OVER (PARTITION BY pat ORDER BY week) AS x FROM tl)
@@ -339,7 +333,7 @@ def t3(spark, d):
     try:
         ev = _stream(spark, d, "events").filter("event_type = 'view'").select(
             F.col("user_id").alias("pat"), F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("week"), F.col("value").alias("val"))
-        out = scans.run_to_table(scans.stream_responder(ev), _folder(spark), "update")
+        out = scans.run_to_table(scans.stream_responder(ev), run_path(spark), "update")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return out.groupBy("pat").agg(F.max_by(F.struct("n_weeks", "n_steps", "responder"), "batch").alias("r")).select("pat", "r.*")

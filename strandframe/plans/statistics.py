@@ -70,12 +70,12 @@ def e3(spark, d):
 
 @query("e4_permutation_enrich", """WITH fg AS (SELECT DISTINCT l_partkey AS gene FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.08), annots AS (SELECT l_partkey AS gene, l_returnflag || l_linestatus AS motif FROM lineitem),
   obs AS (SELECT motif, count(fg.gene) AS n FROM annots LEFT JOIN fg USING (gene) GROUP BY 1), size AS (SELECT count(*) AS s FROM fg),
-  draws AS (SELECT rep, gene FROM (SELECT rep, gene, row_number() OVER (PARTITION BY rep ORDER BY md5(gene || '#' || rep || '#0'), gene) AS r FROM (SELECT p_partkey AS gene FROM part), (SELECT unnest(range(100)) AS rep)) WHERE r <= (SELECT s FROM size)),
+  draws AS (SELECT rep, gene FROM (SELECT rep, gene, row_number() OVER (PARTITION BY rep ORDER BY md5(gene || '#' || rep || '#0'), gene) AS r FROM (SELECT p_partkey AS gene FROM part), (SELECT unnest(range(1000)) AS rep)) WHERE r <= (SELECT s FROM size)),
   per AS (SELECT gene, motif, count(*) AS c FROM annots GROUP BY 1, 2), sc AS (SELECT rep, motif, sum(c) AS c FROM draws JOIN per USING (gene) GROUP BY 1, 2),
-  full_sc AS (SELECT r.rep, o.motif, coalesce(c, 0) AS c, n FROM (SELECT unnest(range(100)) AS rep) r CROSS JOIN obs o LEFT JOIN sc ON sc.rep = r.rep AND sc.motif = o.motif)
+  full_sc AS (SELECT r.rep, o.motif, coalesce(c, 0) AS c, n FROM (SELECT unnest(range(1000)) AS rep) r CROSS JOIN obs o LEFT JOIN sc ON sc.rep = r.rep AND sc.motif = o.motif)
   SELECT motif, max(n) AS observed, (SELECT s FROM size) AS list_size, count(CASE WHEN c >= n THEN 1 END) AS n_as_good FROM full_sc GROUP BY 1""")
 def e4(spark, d):
-    return permutation_query(spark, d, 100)
+    return permutation_query(spark, d, 1000)
 
 
 def permutation_query(spark, d, reps: int) -> DataFrame:
@@ -87,11 +87,14 @@ def permutation_query(spark, d, reps: int) -> DataFrame:
     return en.permutation_enrich(fg, bg, annots, annots.select("motif").distinct(), reps)
 
 
-@query("e5_enrich_changed")
+@query("e5_enrich_changed", """WITH gl AS (SELECT l_partkey AS gene FROM lineitem GROUP BY 1 HAVING avg(l_discount) > 0.06), c AS (SELECT p_brand AS term, count(*) AS kk, count(gl.gene) AS obs FROM part LEFT JOIN gl ON gene = p_partkey GROUP BY 1),
+  s AS (SELECT (SELECT count(*) FROM part) AS nn, (SELECT count(*) FROM gl) AS n), t AS (SELECT term, obs AS observed, n * kk / nn AS expected, """ + _sf("obs", "nn", "kk", "n") + """ AS p FROM c, s WHERE obs > 0)
+  SELECT term, observed, round(expected, 8) AS expected, round(p, 8) AS p FROM t WHERE p <= 0.5""")
 def e5(spark, d):
     li = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("gene")).agg(F.avg("l_discount").alias("m"))
     membership = table(spark, d, "part").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("term"))
-    return en.enrich_changed(li.filter("m > 0.06"), membership, 0.5)
+    out = en.enrich_changed(li.filter("m > 0.06"), membership, 0.5)
+    return out.select("term", "observed", F.round("expected", 8).alias("expected"), F.round("p", 8).alias("p"))
 
 
 _PAIRS = "n AS (SELECT a.set_id AS i, b.set_id AS j, count(*) AS shared FROM lists a JOIN lists b USING (item) WHERE a.set_id < b.set_id GROUP BY 1, 2), sz AS (SELECT set_id, count(*) AS c FROM lists GROUP BY 1)"
@@ -164,13 +167,16 @@ def e11(spark, d):
     return ex.ttest(expr(spark, d)).select("gene", F.round("t", 6).alias("t"), "df")
 
 
-@query("e11_ttest_p")
+@query("e11_ttest_p", f"""WITH {_TWO}, tt AS (SELECT gene, abs(m1 - m0) / sqrt((1 / n1 + 1 / n0) * ((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS t, CAST(n1 + n0 - 2 AS DOUBLE) AS df FROM mo),
+  q AS (SELECT gene, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * t / 6000 * list_sum(list_transform(range(2001), lambda i:
+    CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 2000, 2) / df, -(df + 1) / 2))) AS p FROM tt)
+  SELECT gene, round(greatest(p, 0), 6) AS p, p <= 0.001 / count(*) OVER () AS is_significant FROM q""")
 def e11b(spark, d):
     return ex.ttest(expr(spark, d)).select("gene", F.round("p", 6).alias("p"), "is_significant")
 
 
 _PERM = EXPR_SQL + """, smp AS (SELECT DISTINCT sample, cls FROM expr), k AS (SELECT count(*) AS k FROM smp WHERE cls = 1),
-  draws AS (SELECT rep, sample FROM (SELECT rep, sample, row_number() OVER (PARTITION BY rep ORDER BY md5(sample || '#' || rep || '#0'), sample) AS r FROM smp, (SELECT unnest(range(20)) AS rep)) WHERE r <= (SELECT k FROM k)
+  draws AS (SELECT rep, sample FROM (SELECT rep, sample, row_number() OVER (PARTITION BY rep ORDER BY md5(sample || '#' || rep || '#0'), sample) AS r FROM smp, (SELECT unnest(range(100)) AS rep)) WHERE r <= (SELECT k FROM k)
     UNION ALL SELECT -1, sample FROM smp WHERE cls = 1),
   reps AS (SELECT DISTINCT rep FROM draws), lab AS (SELECT r.rep, s.sample, d.sample IS NOT NULL AS one FROM reps r CROSS JOIN smp s LEFT JOIN draws d ON d.rep = r.rep AND d.sample = s.sample),
   pm AS (SELECT rep, gene, count(*) FILTER (one) AS n1, count(*) FILTER (NOT one) AS n0, avg(value) FILTER (one) AS m1, avg(value) FILTER (NOT one) AS m0,
@@ -181,13 +187,13 @@ _PERM = EXPR_SQL + """, smp AS (SELECT DISTINCT sample, cls FROM expr), k AS (SE
   rk AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY d, gene) AS r FROM dd), ex AS (SELECT r, avg(d) AS expected FROM rk WHERE rep >= 0 GROUP BY 1)
   SELECT gene, round(d, 7) AS d, round(expected, 7) AS expected FROM rk JOIN ex USING (r) WHERE rep = -1""")
 def e12(spark, d):
-    observed, _ = ex.sam_statistics(expr(spark, d), 1, 20, s0=0.01)
+    observed, _ = ex.sam_statistics(expr(spark, d), 1, 100, s0=0.01)
     return observed.select("gene", F.round("d", 7).alias("d"), F.round("expected", 7).alias("expected"))
 
 
 @query("e12_sam_calls")
 def e12b(spark, d):
-    return ex.sam(expr(spark, d), 1, 20, target=2.0)
+    return ex.sam(expr(spark, d), 1, 100, target=2.0)
 
 
 @query("e13_analyse_all", f"""WITH {EXPR_SQL}, dsn AS (SELECT *, sample % 3 AS dataset FROM expr), m AS (SELECT dataset, gene, cls, avg(value) AS m FROM dsn GROUP BY 1, 2, 3)
@@ -220,9 +226,9 @@ _GSETS = """gs AS (SELECT p_type AS set_name, 'g' || p_size AS gene FROM part UN
   es AS (SELECT rep, set_name, size, CASE WHEN max(v) >= -min(v) THEN max(v) ELSE min(v) END AS es FROM walk GROUP BY 1, 2, 3),
   scl AS (SELECT set_name, avg(es) FILTER (es > 0) AS pos, avg(abs(es)) FILTER (es <= 0) AS neg FROM es WHERE rep >= 0 GROUP BY 1),
   o AS (SELECT set_name, size, es, es / CASE WHEN es > 0 THEN pos ELSE neg END AS nes FROM es JOIN scl USING (set_name) WHERE rep = -1)
-  SELECT o.set_name, o.size, round(o.es, 6) AS es, round(o.nes, 6) AS nes, round(count(CASE WHEN (o.es > 0 AND x.es >= o.es) OR (o.es <= 0 AND x.es <= o.es) THEN 1 END) / 20, 8) AS p FROM o JOIN es x ON x.set_name = o.set_name AND x.rep >= 0 GROUP BY 1, 2, 3, 4""")
+  SELECT o.set_name, o.size, round(o.es, 6) AS es, round(o.nes, 6) AS nes, round(count(CASE WHEN (o.es > 0 AND x.es >= o.es) OR (o.es <= 0 AND x.es <= o.es) THEN 1 END) / 100, 8) AS p FROM o JOIN es x ON x.set_name = o.set_name AND x.rep >= 0 GROUP BY 1, 2, 3, 4""")
 def e15(spark, d):
-    out = ex.gsea(expr(spark, d), _gene_sets(spark, d), 1, 20, weight=1.0, high=45)
+    out = ex.gsea(expr(spark, d), _gene_sets(spark, d), 1, 100, weight=1.0, high=45)
     return out.select("set_name", "size", F.round("es", 6).alias("es"), F.round("nes", 6).alias("nes"), F.round("p", 8).alias("p"))
 
 
@@ -276,10 +282,17 @@ def e20(spark, d):
     return mx.gmm_threshold(_fixed_gmm(spark, d)).select("gene", F.round("threshold", 7).alias("threshold"))
 
 
-@query("p18_boxcox")
+_BOXCOX_LL = "-count(*) / 2.0 * ln(var_pop(CASE WHEN abs(lam) < 1e-12 THEN ln(v) ELSE (pow(v, lam) - 1) / lam END)) + (lam - 1) * sum(ln(v))"
+
+
+@query("p18_boxcox", f"""WITH {EXPR_SQL}, x AS (SELECT gene, exp(value) AS v FROM expr), g AS (SELECT CAST(-2 + i * 0.1 AS DOUBLE) AS lam FROM range(41) r(i)),
+  c AS (SELECT gene, lam, {_BOXCOX_LL} AS ll FROM x, g GROUP BY 1, 2), b AS (SELECT gene, arg_max(lam, ll) AS best FROM c GROUP BY 1),
+  near AS (SELECT gene, CAST(CAST(best AS DECIMAL(18, 4)) + i * 0.01 AS DOUBLE) AS lam FROM b, range(-10, 11) r(i)),
+  f AS (SELECT gene, lam, {_BOXCOX_LL} AS ll FROM x JOIN near USING (gene) GROUP BY 1, 2)
+  SELECT gene, round(arg_max(lam, ll), 4) AS lam, round(max(ll), 6) AS loglik FROM f GROUP BY 1""")
 def p18(spark, d):
     e = expr(spark, d).withColumn("value", F.exp("value"))
-    return mx.boxcox(e, -1.0, 1.0, 0.5, fine=5)
+    return mx.boxcox(e).select("gene", F.round("lam", 4).alias("lam"), F.round("loglik", 6).alias("loglik"))
 
 
 _SCORED = "scored AS (SELECT l_returnflag AS grp, CAST(l_linestatus = 'F' AS INTEGER) AS cls, l_discount * 10 AS score FROM lineitem)"

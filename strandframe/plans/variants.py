@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from strandframe.operators import alignment as al, features as ft, motifs as mt, pileup as pu
-from strandframe.plans.motifs import _HITS
+from strandframe.plans.motifs import _CODON_ROWS, _DNA, _HITS, dna
 from strandframe.plans.registry import query, table
 from strandframe.plans.views import MOTIFS, PILEUP_SQL, pileup, seqs
 
@@ -64,11 +64,14 @@ def v12(spark, d):
     return pu.base_calls(pileup(spark, d), _sites(spark, d))
 
 
-@query("v13_classify_mutations")
+@query("v13_classify_mutations", f"""WITH dna AS (SELECT doc_id AS seq_id, {_DNA} AS s FROM documents), codons(codon, aa) AS (VALUES {_CODON_ROWS}), ref AS (SELECT s AS r FROM dna ORDER BY seq_id LIMIT 1),
+  words AS (SELECT i // 30 + 1 AS gene, substr(s, 3 * i + 1, 3) AS c, substr(r, 3 * i + 1, 3) AS rc FROM dna, ref, unnest(range(least(length(s), length(r)) // 3)) u(i)),
+  kinds AS (SELECT gene, coalesce(a.aa, 'X') AS aa, coalesce(b.aa, 'X') AS ra FROM words LEFT JOIN codons a ON a.codon = c LEFT JOIN codons b ON b.codon = rc WHERE c <> rc AND gene IN (SELECT p_partkey FROM part))
+  SELECT gene, CAST(CASE WHEN aa = ra THEN 0 WHEN aa = '*' OR ra = '*' THEN 2 ELSE 1 END AS INTEGER) AS mutation_class, count(*) AS n FROM kinds GROUP BY 1, 2""")
 def v13(spark, d):
-    from strandframe.plans.motifs import dna
-    pile = pu.trivial_pileup(dna(spark, d))
-    genes = table(spark, d, "region").select(F.col("r_name").alias("gene"), (F.col("r_regionkey") * 90).alias("start"), (F.col("r_regionkey") * 90 + 90).alias("end"))
+    pile = pu.trivial_pileup(dna(spark, d)).filter("ref_base <> '-'")  # genes lie on the reference
+    first = (F.col("p_partkey") - 1) * 90
+    genes = table(spark, d, "part").select(F.col("p_partkey").alias("gene"), first.alias("start"), (first + 90).alias("end"))
     out = pu.classify_mutations(pile, genes)
     return out.groupBy("gene", "mutation_class").agg(F.count("*").alias("n"))
 
@@ -96,12 +99,18 @@ def v16(spark, d):
     return pu.islands(_runs(spark, d).withColumn("ref_id", F.lit("ref")), 2, 0.01)
 
 
-@query("v17_islands_multi")
+@query("v17_islands_multi", _RUNS + """, share AS (SELECT ref_pos, sum(CAST(forward > 1 AS INTEGER)) / any_value(n_all) AS share FROM runs, everyone GROUP BY 1),
+  spots AS (SELECT cutoff, ref_pos, ref_pos - row_number() OVER (PARTITION BY cutoff ORDER BY ref_pos) AS run FROM share, (SELECT CAST(unnest([0.002, 0.01]) AS DOUBLE) AS cutoff) WHERE share >= cutoff),
+  found AS (SELECT cutoff, min(ref_pos) AS start, CAST(max(ref_pos) + 2 AS INTEGER) AS stop FROM spots GROUP BY cutoff, run),
+  text AS (SELECT *, substr((SELECT lower(text) FROM documents ORDER BY doc_id LIMIT 1), start + 1, stop - start) AS island FROM found),
+  probes AS (SELECT island, avg(CAST(contains(lower(text), island) AS INTEGER)) AS containment FROM (SELECT DISTINCT island FROM text), documents d GROUP BY 1)
+  SELECT 'ref' AS ref_id, cutoff, start, stop AS "end", island, round(containment, 9) AS containment FROM text JOIN probes USING (island)""".replace("(lower(text), island)", "(lower(d.text), island)"))
 def v17(spark, d):
     s = seqs(spark, d)
     found = pu.islands_multi(_runs(spark, d).withColumn("ref_id", F.lit("ref")), 1, [0.002, 0.01])
     ref = s.groupBy().agg(F.min(F.struct("seq_id", "seq")).alias("r")).select(F.lit("ref").alias("ref_id"), F.col("r.seq").alias("seq"))
-    return pu.confirm_islands(found, ref, s)
+    out = pu.confirm_islands(found, ref, s)
+    return out.select("ref_id", "cutoff", "start", "end", "island", F.round("containment", 9).alias("containment"))
 
 
 _ORDER_SPANS = "spans AS (SELECT o_custkey AS ref_id, o_orderkey AS id, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS start, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 5 + o_orderkey % 60 AS INTEGER) AS stop FROM orders)"
@@ -210,7 +219,20 @@ def v20(spark, d):
     return ft.fuzzy_join(geneful(_feats(spark, d), 2), geneful(_ref_feats(spark, d), 3), 8, 5).select("feat_id", "feat_id_b", "distance")
 
 
-@query("v21_match_features")
+#: Pairs taken one by one in order of cost, each that has both ends free; all scopes advance together.
+_GREEDY = """, o AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY cost, a, b) AS k FROM pairs),
+  g AS (
+    SELECT DISTINCT scope, CAST(0 AS BIGINT) AS k, [a][:0] AS used_a, [b][:0] AS used_b, false AS took FROM pairs
+    UNION ALL
+    SELECT scope, k, CASE WHEN took THEN list_append(used_a, a) ELSE used_a END, CASE WHEN took THEN list_append(used_b, b) ELSE used_b END, took
+    FROM (SELECT g.scope, o.k, used_a, used_b, o.a, o.b, NOT list_contains(used_a, o.a) AND NOT list_contains(used_b, o.b) AS took
+      FROM g JOIN o ON o.scope = g.scope AND o.k = g.k + 1)),
+  taken AS (SELECT o.* FROM g JOIN o USING (scope, k) WHERE took)"""
+
+
+@query("v21_match_features", f"""WITH RECURSIVE {_FEATS}, {_REF_FEATS}, pairs AS (SELECT f.seq_id AS scope, r.feat_id AS a, f.feat_id AS b, abs(f.start - r.start) AS cost
+  FROM feats f JOIN refs r USING (type, name) WHERE abs(f.start - r.start) < 40)""" + _GREEDY + """
+  SELECT scope AS seq_id, count(*) AS n_found, CAST(sum(cost) AS BIGINT) AS total_distance FROM taken GROUP BY 1""")
 def v21(spark, d):
     wanted = _ref_feats(spark, d).withColumnRenamed("feat_id", "want_id")
     return ft.match_features(_feats(spark, d), wanted, 40).groupBy("seq_id").agg(F.count("*").alias("n_found"), F.sum("distance").alias("total_distance"))
@@ -272,7 +294,8 @@ def v3(spark, d):
     return ft.assign_gene(scores, 800)
 
 
-@query("v4_assign_unique")
+@query("v4_assign_unique", """WITH RECURSIVE pairs AS (SELECT l_suppkey AS scope, l_linenumber AS a, p_brand AS b, -max(l_extendedprice) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)"""
+  + _GREEDY + " SELECT scope AS genome, a AS orf, b AS gene, -cost AS score FROM taken")
 def v4(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("gene"))
     scores = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(
@@ -288,7 +311,7 @@ def _turns(spark, d) -> DataFrame:
 @query("v1_align_to_refs")
 def v1(spark, d):
     s = _turns(spark, d)
-    refs = s.groupBy().agg(F.min(F.struct("seq_id", "seq")).alias("r")).select(F.col("r.seq_id").cast("string").alias("ref_id"), F.col("r.seq").alias("seq"))
+    refs = s.filter("seq_id % 16 = 0").select(F.col("seq_id").cast("string").alias("ref_id"), "seq")  # several references
     pile = al.to_pileup(al.align_to_refs(s, refs), s)
     return pile.groupBy("ref_id", "seq_id").agg(F.count("*").alias("n_columns"), F.sum(F.col("is_match").cast("long")).alias("n_match"))
 

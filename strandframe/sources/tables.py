@@ -182,16 +182,20 @@ def read_expression(spark: SparkSession, matrix: str, classes: str, dataset: str
 
     The class file maps a sample name prefix to ``D<n>`` or ``<n>``.
     """
-    df = spark.read.csv(matrix, sep="\t", header=True)
-    probe, samples = df.columns[0], df.columns[1:]
-    long = df.withColumnRenamed(probe, "probe").unpivot(["probe"], samples, "sample", "value")
+    # rows stay text until they are cells: a column per sample would not plan for many samples
+    raw = spark.read.text(matrix)
+    head = raw.first()
+    head = head[0] if head else ""
+    header = spark.createDataFrame([(head,)], "head string").select(F.posexplode(F.split("head", "\t")).alias("_at", "sample")).filter("_at > 0")
+    header = header.select("_at", F.trim("sample").alias("sample"))
+    cells = raw.filter(F.col("value") != head).select(F.split("value", "\t").alias("_c")).select(F.trim(F.get("_c", F.lit(0))).alias("probe"), F.posexplode("_c").alias("_at", "value"))
+    long = cells.filter("_at > 0").join(maybe_broadcast(header), "_at").drop("_at")
     table = spark.read.text(classes).select(F.split(F.trim("value"), r"\s+").alias("f")).filter(F.size("f") == 2)
     table = table.select(F.col("f")[0].alias("prefix"), F.expr("try_cast(regexp_replace(f[1], '^D', '') AS INT)").alias("cls")).filter(
         "cls IS NOT NULL AND NOT (prefix RLIKE '^D[0-9]+$')")
-    names = spark.createDataFrame([(s,) for s in samples], "sample string")
-    known = names.join(F.broadcast(table), F.col("sample").startswith(F.col("prefix"))).groupBy("sample").agg(
+    known = header.select("sample").join(maybe_broadcast(table), F.col("sample").startswith(F.col("prefix"))).groupBy("sample").agg(
         F.max_by("cls", F.length("prefix")).alias("cls"))
-    return long.join(F.broadcast(known), "sample").select(F.lit(dataset).alias("dataset"), "probe", "sample", _number("value").alias("value"), "cls")
+    return long.join(maybe_broadcast(known), "sample").select(F.lit(dataset).alias("dataset"), "probe", "sample", _number("value").alias("value"), "cls")
 
 
 def read_expression_dir(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,8 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
+from strandframe.session import drop_run
+
 
 def make_session():
     spark = (
@@ -21,4 +23,6 @@ def make_session():
 
 @pytest.fixture(scope="session")
 def spark():
-    return make_session()
+    session = make_session()
+    yield session
+    drop_run(session)
