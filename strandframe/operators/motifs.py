@@ -246,11 +246,11 @@ def call_sites(seqs: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, s
         paired = seqs.select("*", F.inline(table))
     wt = F.regexp_instr(seq, F.col("wild")) - 1
     mut = F.regexp_instr(seq, F.col("mutant")) - 1
+    length = lambda pattern: F.length(F.call_function("regexp_extract", F.col(seq), F.col(pattern), F.lit(0)))
     called = paired.select(
         *keep, "rule",
         F.when(wt >= 0, wt).when(mut >= 0, mut).alias("start"),
-        F.when(wt >= 0, wt + F.length(F.regexp_extract(seq, F.col("wild"), 0))).when(
-            mut >= 0, mut + F.length(F.regexp_extract(seq, F.col("mutant"), 0))).alias("end"),
+        F.when(wt >= 0, wt + length("wild")).when(mut >= 0, mut + length("mutant")).alias("end"),
         F.when(wt >= 0, F.lit(True)).when(mut >= 0, F.lit(False)).alias("is_wild"),
     )
     return called.filter(F.col("start").isNotNull())

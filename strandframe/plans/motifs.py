@@ -379,7 +379,7 @@ def p8(spark, d):
     return seqs(spark, d).select("seq_id", sc.onehot_base(F.substring("seq", 1, 1)).alias("h")).select("seq_id", "h.is_a", "h.is_c", "h.is_t")
 
 
-@query("p9_clean_term", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ', x' WHEN 1 THEN p_name WHEN 2 THEN p_name ELSE 'x, ' || p_name END AS term FROM part""")
+@query("p9_clean_term", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ', x' WHEN 1 THEN p_name WHEN 2 THEN p_name ELSE 'x, ' || p_name || ' ' END AS term FROM part""")
 def p9(spark, d):
     key, name = F.col("p_partkey"), F.col("p_name")
     raw = (F.when(key % 4 == 0, F.concat(F.lit(" ,"), name, F.lit(", x,"))).when(key % 4 == 1, F.concat(name, F.lit("~ GO")))

@@ -81,7 +81,7 @@ def s15(spark, d):
     return tables.read_chart(spark, path).withColumn("genes", F.array_join("genes", ","))
 
 
-@query("s16_read_annotation_table", """SELECT 'p_type' AS category, 'T1:' || p_type AS term, CAST(p_partkey AS VARCHAR) AS gene FROM part
+@query("s16_read_annotation_table", """SELECT 'p_type' AS category, 'T1:' || CASE WHEN p_type LIKE '%O' THEN left(p_type, length(p_type) - 4) ELSE p_type END AS term, CAST(p_partkey AS VARCHAR) AS gene FROM part
   UNION ALL SELECT 'p_name', 'B' || p_size || ':' || p_name, CAST(p_partkey AS VARCHAR) FROM part
   UNION ALL SELECT 'p_name', 'C2:' || p_brand, CAST(p_partkey AS VARCHAR) FROM part""")
 def s16(spark, d):
@@ -196,6 +196,16 @@ def s32(spark, d):
     return genbank.read_flat_records(spark, path)
 
 
+def _write_named(df: DataFrame, folder: str, name: str) -> None:
+    """One delimited file of a given name, as a study's folder has them."""
+    spark, part = df.sparkSession, run_path(df.sparkSession)
+    df.coalesce(1).write.csv(part, sep="\t", header=True)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(folder))
+    fs.rename(fs.globStatus(hadoop(f"{part}/part-*"))[0].getPath(), hadoop(f"{folder}/{name}"))
+
+
 @query("s12_read_study_dir", """SELECT CAST(c_custkey AS BIGINT) AS pat, 'cd4' AS part, 'ST' || c_nationkey % 3 AS study, CAST(c_nationkey AS DOUBLE) AS val FROM customer
   UNION ALL SELECT CAST(c_custkey AS BIGINT), 'rna', 'ST' || c_nationkey % 3, CAST(c_nationkey AS DOUBLE) + 1 FROM customer""")
 def s12(spark, d):
@@ -204,8 +214,8 @@ def s12(spark, d):
     for k in range(3):
         for role, more in (("CD4", 0), ("RNA", 1)):
             rows = c.filter(F.col("study") == k).select(F.col("c_custkey").alias("PtID"), F.lit(0).alias("Date"), (F.col("v") + more).alias("Value"))
-            rows.write.csv(f"{path}/ST{k}_{role}.txt", sep="\t", header=True)
-    found = tables.read_study_dir(spark, f"{path}/*")
+            _write_named(rows, path, f"ST{k}_{role}.txt")
+    found = tables.read_study_dir(spark, path)
     parts = [found[r].select(F.col("pat").cast("long").alias("pat"), F.lit(r).alias("part"), "study", "val") for r in ("cd4", "rna")]
     return parts[0].union(parts[1])
 

@@ -139,4 +139,4 @@ def test_markup_of_many_intervals(spark):
     start = time.perf_counter()
     row = df.select(sc.markup("t", "iv", "<", ">").alias("m"), sc.mask_vector(F.length("t"), "iv").alias("v")).first()
     assert row["m"] == "<a>bc" * n and row["v"] == "100" * n
-    assert time.perf_counter() - start < 10
+    assert time.perf_counter() - start < 60  # a list copied per interval took minutes
