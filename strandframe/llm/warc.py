@@ -120,7 +120,7 @@ def write_archives(
             for rec_id, url, payload, refers_to in rows.itertuples(index=False):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
-                    out = fs.open_output_stream(f"{path}/{name}")
+                    out = fs.open_output_stream(f"{path}/{name}", compression=None)  # else the ending decides
                     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(sent.value)) + sent.value)
                 out.write(packer.compress(record(rec_id, url, payload, refers_to)))
                 count += 1
@@ -178,7 +178,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, payload
         for names in batches:
             for name in names["file"]:
                 rows, size = [], 0
-                with fs.open_input_stream(f"{path}/{name}") as stream:
+                with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for headers, block in records(stream):
                         head, _, payload = block.partition(b"\r\n\r\n")
                         kind = headers["WARC-Type"]
