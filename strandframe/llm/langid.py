@@ -121,7 +121,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
             if len(totals) > 256:
                 yield pd.DataFrame({"lang": list(totals), "total": [t.tolist() for t in totals.values()]})
                 totals = {}
-        yield pd.DataFrame({"lang": list(totals), "total": [t.tolist() for t in totals.values()]})
+        if totals:
+            yield pd.DataFrame({"lang": list(totals), "total": [t.tolist() for t in totals.values()]})
 
     sums = (
         docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))

@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from strandframe.llm.rows import pack, unpack
 from strandframe.session import cut_lineage
 
-#: Share of the other keys that a level takes for its own.
-FALSE_POSITIVES = 0.01
+#: Share of the keys asked that a level after the first takes for its own.
+FALSE_POSITIVES = 0.05
 #: Most bits of one level; a longer list is cut into shards, each looked up in a pass of its own.
 MAX_BITS = 1 << 28
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,9 +97,18 @@ def _mixed(keys: DataFrame, seed: int) -> DataFrame:
     return keys.select("h1", "h2", F.xxhash64("h1", "h2", F.lit(seed)).alias("a"), F.xxhash64("h2", F.lit(seed), "h1").alias("b"))
 
 
-def build_level(keys: DataFrame, n: int, rate: float = FALSE_POSITIVES) -> Level:
+def bits_for(n: int, rate: float) -> float:
+    return -n * math.log(rate) / math.log(2) ** 2
+
+
+def first_rate(n_inside: int, n_universe: int) -> float:
+    """Level 1 errs on about half as many keys as it holds, however large the universe is."""
+    return min(0.5, max(n_inside / max(n_universe, 1) / 2, 1e-9))
+
+
+def build_level(keys: DataFrame, n: int, rate: float) -> Level:
     """A filter over ``keys`` (``a``, ``b``): bits set by a distributed OR per word, at most MAX_BITS / 64 words."""
-    words = max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
+    words = max(1, math.ceil(bits_for(n, rate) / 64))
     if words * 64 > MAX_BITS:
         raise ValueError(f"{n} keys need more than {MAX_BITS} bits: use more shards")
     hashes = max(1, round(words * 64 / max(n, 1) * math.log(2))) if n else 1
@@ -121,8 +130,8 @@ def build_level(keys: DataFrame, n: int, rate: float = FALSE_POSITIVES) -> Level
     return Level(bits, hashes)
 
 
-def build_cascade(inside: DataFrame, universe: DataFrame) -> list[Level]:
-    """Levels for the listed keys ``inside`` over ``universe`` (both distinct ``h1``, ``h2``).
+def build_cascade(inside: DataFrame, universe: DataFrame, rate: float) -> list[Level]:
+    """Levels for the listed keys ``inside`` over ``universe`` (both distinct ``h1``, ``h2``); ``rate`` is level 1's.
 
     ``universe`` may hold listed keys; they are taken out where level 1 finds them.
     """
@@ -131,7 +140,7 @@ def build_cascade(inside: DataFrame, universe: DataFrame) -> list[Level]:
     levels: list[Level] = []
     while n := own.count():
         seed = len(levels)
-        level = build_level(_mixed(own, seed), n)
+        level = build_level(_mixed(own, seed), n, FALSE_POSITIVES if seed else rate)
         levels.append(level)
         sent = spark.sparkContext.broadcast(level)  # at most MAX_BITS
 
@@ -158,10 +167,11 @@ class Cascade:
     def build(rules: DataFrame, universe: DataFrame) -> Cascade:
         """For ``rules`` (``host``, ``path``) over ``universe`` (distinct ``h1``, ``h2``)."""
         inside = cut_lineage(rules.select(key_hash(F.col("host"), F.col("path")).alias("k")).select("k.*").distinct())
-        most = MAX_BITS * math.log(2) ** 2 / -math.log(FALSE_POSITIVES) / 2
-        n = max(1, math.ceil(inside.count() / most))
+        held = inside.count()
+        rate = first_rate(held, universe.count())
+        n = max(1, math.ceil(bits_for(held, rate) / (MAX_BITS / 2)))  # by half, as shards differ in size
         part = lambda df, k: df.filter(F.pmod("h2", F.lit(n)) == k) if n > 1 else df
-        return Cascade([build_cascade(part(inside, k), part(universe, k)) for k in range(n)])
+        return Cascade([build_cascade(part(inside, k), part(universe, k), rate) for k in range(n)])
 
 
 def follow(levels: list[Level], mixed: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:

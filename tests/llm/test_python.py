@@ -194,7 +194,6 @@ def test_cascade_is_exact_over_several_levels_and_shards(spark, monkeypatch):
     keys = spark.range(20000).select(F.concat(F.lit("h"), "id").alias("host"), F.lit("/").alias("path"))
     inside = keys.filter("pmod(xxhash64(host), 7) = 0")
     universe = keys.select(urls.key_hash(F.col("host"), F.col("path")).alias("h")).select("h.*")
-    monkeypatch.setattr(urls, "FALSE_POSITIVES", 0.3)
     monkeypatch.setattr(urls, "MAX_BITS", 1 << 13)
     cascade = urls.Cascade.build(inside, universe)
     assert len(cascade.shards) > 1 and max(map(len, cascade.shards)) > 1
