@@ -186,8 +186,7 @@ def l12(spark, d):
 
 @query("l13_gap_statistic")
 def l13(spark, d):
-    v = _vectors(spark, d).withColumn("vec", F.slice("vec", 1, 8))
-    return pt.gap_statistic(v, [2, 3, 4], refs=2)
+    return pt.gap_statistic(_vectors(spark, d), [2, 3, 4], refs=2)
 
 
 _PAIRS = """cells AS (SELECT p_type AS c0, p_brand AS c1, count(*) AS n FROM part GROUP BY 1, 2), t AS (SELECT sum(n * (n - 1) / 2) AS ss, sum(n) AS n FROM cells), a AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM cells GROUP BY c0)),
