@@ -168,17 +168,30 @@ def near_duplicates(
 
 
 def fingerprint_components(marked: DataFrame, max_bits: int = 2) -> DataFrame:
-    """``fp`` and ``component``, its least reachable id, for each different ``fp`` of ``marked`` (``id``, ``fp``)."""
+    """``fp``, the ``root`` fingerprint of its component and ``component``, the least reachable id, for each different ``fp`` of ``marked`` (``id``, ``fp``)."""
     prints = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("id")))
     found = components(links(prints, "fp", max_bits)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     grouped = cut_lineage(prints.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "id"))
     least = grouped.groupBy("root").agg(F.min("id").alias("component"))
-    return cut_lineage(grouped.join(least, "root").select("fp", "component"))
+    return cut_lineage(grouped.join(least, "root").select("fp", "root", "component"))
+
+
+def least_of_groups(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``grouped`` (``id``, ``hash`` of the text, ``root``).
+
+    It is the row of least id, null after all others; of several with that id that of least text hash,
+    then of least row hash. Groups are told apart by root, so null and repeated ids lose nothing.
+    """
+    least = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("m"))
+    least = least.select(F.col("m.id").alias("_id"), F.col("m.hash").alias("_hash"))
+    rows = pack(docs, id=F.col(id_col), hash=F.xxhash64(text_col))
+    met = rows.join(least, rows["id"].eqNullSafe(least["_id"]) & (rows["hash"] == least["_hash"]), "left_semi")
+    return unpack(met.groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")), docs.columns)
 
 
 def near_dedup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
-    """One document of each component, the one of least id (of several rows with it, that of least text)."""
-    rows = pack(docs, id=F.col(id_col), text=F.col(text_col))
-    found = near_duplicates(rows, "id", "text", size, max_bits).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    order = F.struct(F.xxhash64("text"), F.xxhash64("row"))
-    return unpack(found.groupBy("id").agg(F.min_by("row", order).alias("row")), docs.columns)
+    """One document of each component, chosen by ``least_of_groups``."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = cut_lineage(with_fingerprint(texts, "text", size, "fp").select("id", "fp", F.xxhash64("text").alias("hash")))
+    comps = fingerprint_components(marked, max_bits)
+    return least_of_groups(docs, marked.join(comps, "fp").select("id", "hash", "root"), id_col, text_col)

@@ -69,6 +69,14 @@ def test_near_duplicates_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_dedup_keeps_one_row_per_component(spark):
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five " * 9, "red green blue white " * 9)
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, "the quick brown fox " * 9), (8, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text) for r in simhash.near_dedup_stage(df).collect())
+    assert kept == sorted([("None", a), ("None", b), ("7", c), ("7", rows[4][1])])
+
+
 def test_links_in_tiles_lose_nothing(spark):
     rnd = random.Random(2)
     base = [rnd.getrandbits(64) for _ in range(12)]
