@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandframe.llm import decontam, graph, html, langid, quality, simhash, urls, warc
+from strandframe.llm import decontam, graph, html, jaccard, langid, quality, simhash, urls, warc
 from strandframe.llm.plans import LISTED_HOSTS, QUERIES, URL_RULES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -77,6 +77,48 @@ def test_near_dedup_keeps_one_row_per_component(spark):
     assert kept == sorted([("None", a), ("None", b), ("7", c), ("7", rows[4][1])])
 
 
+def brute_groups(texts):
+    """Groups by five-word Jaccard similarity of 0.8 or more, as sets of positions."""
+    sets = []
+    for t in texts:
+        words = WORD.findall((t or "").translate(LOWER))
+        sets.append({" ".join(words[k:k + 5]) for k in range(max(len(words) - 4, 1))} if words else set())
+    same = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    root = roots(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if same(sets[a], sets[b])])
+    groups = collections.defaultdict(list)
+    for k, r in enumerate(root):
+        groups[r].append(k)
+    return list(groups.values())
+
+
+def test_jaccard_dedup_brute_force(spark):
+    rnd, words = random.Random(8), [f"w{k}" for k in range(300)]
+    texts = [t for _, t in texts_of(spark)] + [None, "", "one", "One ", "a b c d", "a b c d e f"]
+    for _ in range(6):  # copies with more and more words changed, some on either side of the threshold
+        base = rnd.choices(words, k=rnd.choice([40, 150, 400]))
+        for edits in (0, 1, 2, 3, 4, 6, 8, 12):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            texts.append(" ".join(copy))
+    chain = [f"c{k}" for k in range(200)]  # neighbours are linked, ends are not
+    texts += [" ".join(chain[k:k + 100]) for k in range(0, 100, 8)]
+    texts += ["same line of boilerplate text here " + " ".join(rnd.choices(words, k=30)) for _ in range(30)]
+    ids = [None if k % 9 == 0 else k // 2 for k in range(len(texts))]  # null and repeated ids
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    groups = brute_groups(texts)
+    kept = collections.Counter((r.doc_id, r.text) for r in jaccard.near_dedup(df).collect())
+    assert sum(kept.values()) == len(groups)
+    for g in groups:
+        least = min((ids[k] for k in g if ids[k] is not None), default=None)
+        assert any(kept[least, texts[k]] for k in g if ids[k] == least)
+    texts = df.select(F.col("doc_id").alias("id"), "text")
+    marked = jaccard.marks(texts).cache()
+    ends = lambda bucket: {(r.node, r.component) for r in graph.components(jaccard.links(marked, texts, bucket=bucket)).collect()}
+    assert ends(3) == ends(2048)
+    assert jaccard.near_dedup(df.limit(0)).count() == 0
+
+
 def test_links_in_tiles_lose_nothing(spark):
     rnd = random.Random(2)
     base = [rnd.getrandbits(64) for _ in range(12)]
