@@ -83,6 +83,24 @@ def test_mixing_empty_and_contradictory(spark):
         mixing.rake(cells, {"a": share("a", ["x", "y"], [0.3, 0.7]), "b": share("b", ["p", "q"], [0.6, 0.4])}, max_rounds=4)
 
 
+def test_mixing_with_one_language_sources(spark):
+    rows = [(k, "word " * 10, "x" if k < 10 else "y", "a" if k < 10 else "b", 1) for k in range(40)]  # 100 and 300 tokens
+    with pytest.warns(UserWarning, match="no weights meet all targets"):
+        out = mixing.mix_sources(spark.createDataFrame(rows, DOC)).collect()
+    assert len(out) == 40
+    share = {t: sum(r.weight * r.n_tokens for r in out if r.source == t) / 400 for t in "ab"}
+    lang = 100**0.8 / (100**0.8 + 300**0.8)  # scaled after the source and kept by the one topic
+    source = 100**0.7 / (100**0.7 + 300**0.7)
+    assert share["a"] == pytest.approx(lang, abs=1e-9) and share["a"] + share["b"] == pytest.approx(1)
+    assert {round(r.gap.source, 9) for r in out if r.source == "a"} == {round(lang - source, 9)}
+    assert all(abs(r.gap.lang) < 1e-9 and abs(r.gap.topic) < 1e-9 for r in out)
+    # a null language that only one source has, beside languages of several sources
+    rows += [(50 + k, "word " * (k + 3), None, "c", 1) for k in range(5)] + [(60 + k, "word " * 7, "x", "b", 1) for k in range(4)]
+    with pytest.warns(UserWarning, match="no weights meet all targets"):
+        out = mixing.mix_sources(spark.createDataFrame(rows, DOC)).collect()
+    assert len(out) == 49 and all(0 < r.probability <= 1 for r in out)
+
+
 def test_chat_round_trip(spark):
     texts = ["", "hi", "<turn:user>", "</turn>", "a\\0b\\", "<part>\\1<", "line\nline", "\\\\2>>", None, "é" * 5000]
     rows, k = [], 0
