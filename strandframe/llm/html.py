@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of an article's text.
 NEVER = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea option iframe object svg canvas "
+    "script style noscript template head title nav footer aside button select textarea option iframe object svg canvas "
     "audio video map dialog menu input".split())
 #: Elements that begin a block of text of their own.
 BLOCK = frozenset(
@@ -36,18 +36,23 @@ NOISE = frozenset(
     "sidebar footer header masthead toc skip login announcement disclaimer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup "
     "comment comments discussion disqus replies reply respond share sharing social related recommended "
     "pagination pager toolbar widget copyright legal complementary contentinfo search dialog".split())
+#: What a page's head can hold; anything else ends it.
+IN_HEAD = frozenset("head title base basefont bgsound link meta noframes noscript script style template".split())
+#: Elements by which a form asks for something.
+CONTROLS = frozenset("input select textarea button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Mark-up that holds the article whatever its class says.
 _KEEP = frozenset("html body main article".split())
 
 
 class Node:
-    __slots__ = ("tag", "noise", "children", "parent", "chars", "tags", "link_chars", "link_tags", "total", "density")
+    __slots__ = ("tag", "noise", "children", "parent", "chars", "tags", "link_chars", "link_tags", "total", "density", "asks")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise, self.children = tag, parent, noise, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.total = self.density = 0.0
+        self.asks = False
 
 
 def _is_noise(tag: str, attrs: list, parent: Node) -> bool:
@@ -92,7 +97,13 @@ class _Builder(HTMLParser):
                 return
             node = node.parent
 
+    def _end_head(self) -> None:
+        if self.at.tag == "head":
+            self.at = self.at.parent
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in ("html", "body") and (tag == "html" or _inside(self.at, {"body"})):
             return
         if tag in BLOCK:
@@ -102,6 +113,7 @@ class _Builder(HTMLParser):
         if tag == "body":
             self.at = self.root
         node = Node(tag, self.at, _is_noise(tag, attrs, self.at))
+        node.asks = tag in CONTROLS and dict(attrs).get("type") != "hidden"
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -121,6 +133,8 @@ class _Builder(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         self.at.children.append(data)
 
 
@@ -141,6 +155,7 @@ def _spread_noise(root: Node) -> None:
                 continue
             node.noise = False
             holds.add(id(node.parent))
+    _mark_forms(root, holds)
     todo = [root]
     while todo:
         node = todo.pop()
@@ -150,6 +165,20 @@ def _spread_noise(root: Node) -> None:
                 todo.append(c)
 
 
+def _mark_forms(root: Node, holds: set) -> None:
+    """A form with controls is noise, unless it holds the article, its title or half of the page's text."""
+    chars, asks, forms = {}, {}, []
+    for node in _walk(root):
+        inner = [c for c in node.children if isinstance(c, Node)]
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        chars[id(node)] = 0 if node.noise else own + sum(chars[id(c)] for c in inner)
+        asks[id(node)] = node.asks or any(asks[id(c)] for c in inner)
+        if node.tag == "form" and asks[id(node)] and id(node) not in holds:
+            forms.append(node)
+    for node in forms:
+        node.noise = node.noise or 2 * chars[id(node)] < chars[id(root)]
+
+
 def _walk(root: Node):
     """Nodes with children before parents; no recursion, so that depth does not matter."""
     order, todo = [], [root]

@@ -314,6 +314,16 @@ def test_page_text(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_forms_and_heads_keep_the_page():
+    story = "<p>" + "long text here " * 20 + "</p>"
+    want = ("long text here " * 20).strip()
+    assert html.extract(f"<body><form id=aspnetForm><input type=hidden><input><div id=post>{story}{story}</div></form></body>") == want + "\n" + want
+    assert html.extract(f"<body><form><input><article><h1>Title</h1>{story}</article></form></body>") == "Title\n" + want
+    assert html.extract(f"<body><article>{story}<form><label>Your name please</label><input></form></article></body>") == want
+    assert html.extract(f"<html><head><title>T</title><meta charset=utf-8><script>x()</script>{story}{story}") == want + "\n" + want
+    assert html.extract("<head><title>T</title>bare text") == "bare text"
+
+
 def test_density_prefers_text_over_links():
     root = html.parse("<body><div><a href=1>aaaa aaaa</a><a href=2>bbbb bbbb</a></div><div><p>plain words that are no link at all</p></div></body>")
     html.measure(root)
