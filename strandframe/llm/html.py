@@ -42,7 +42,9 @@ IN_HEAD = frozenset("head title base basefont bgsound link meta noframes noscrip
 CONTROLS = frozenset("input select textarea button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Mark-up that holds the article whatever its class says.
-_KEEP = frozenset("html body main article".split())
+_KEEP = frozenset("html body main".split())
+#: Elements that can hold an article on their own; others are parts of what is around them.
+_HOLDER = frozenset("div section td article main".split())
 
 
 class Node:
@@ -217,6 +219,10 @@ def _density(node: Node, ratio: float) -> float:
     return c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base)
 
 
+def _headings(top: Node) -> int:
+    return sum(n.tag in HEADINGS and not n.noise for n in _walk(top))
+
+
 def main_node(root: Node) -> Node:
     """The node of the largest density sum among those that reach the body path's threshold.
 
@@ -237,15 +243,16 @@ def main_node(root: Node) -> Node:
         path.append(node)
         node = node.parent
     threshold = min((n.density for n in path if n.chars), default=0.0)
+    # On the path every node reaches the threshold; an article that has headings besides the winner is whole with them.
     article = best
     while article is not None and article.tag not in ("article", "main"):
         article = article.parent
-    if article is not None:
-        return article
+    if article is not None and _headings(article) > _headings(best):
+        best = article
     # Siblings of the winner that reach the threshold belong to it: then their parent is the article.
     while best.parent is not None and best.tag != "body":
         others = [c for c in best.parent.children if isinstance(c, Node) and c is not best and not c.noise]
-        if best.tag in ("div", "section", "td") and not any(c.chars and c.density >= threshold for c in others):
+        if best.tag in _HOLDER and not any(c.chars and c.density >= threshold for c in others):
             break
         best = best.parent
     return best

@@ -324,6 +324,18 @@ def test_forms_and_heads_keep_the_page():
     assert html.extract("<head><title>T</title>bare text") == "bare text"
 
 
+def test_siblings_and_marked_articles():
+    one, two, talk = "long text here " * 20, "more text there " * 15, "reader talk " * 60
+    for tag in ("article", "div"):  # a story in two parts is whole, whatever holds the parts
+        page = f"<body><main><{tag}><p>{one}</p></{tag}><{tag}><p>{two}</p></{tag}></main></body>"
+        assert html.extract(page) == one.strip() + "\n" + two.strip()
+    comments = f"<section class=comments><article class=comment><p>{talk}</p></article></section>"
+    assert html.extract(f"<body><article><p>{one}</p>{comments}</article></body>") == one.strip()
+    assert html.extract(f"<body><div><p>{one}</p></div>{comments}</body>") == one.strip()
+    assert html.extract(f"<body><article><h1>T</h1><div><p>{one}</p><p>{two}</p></div></article></body>") == "T\n" + one.strip() + "\n" + two.strip()
+    assert html.extract(f"<body><article class=share><h1>T</h1><p>{one}</p></article></body>") == "T\n" + one.strip()
+
+
 def test_density_prefers_text_over_links():
     root = html.parse("<body><div><a href=1>aaaa aaaa</a><a href=2>bbbb bbbb</a></div><div><p>plain words that are no link at all</p></div></body>")
     html.measure(root)
