@@ -139,8 +139,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
 def predicted(spark: SparkSession, text: Column, prototypes: dict[str, np.ndarray]) -> Column:
     """Struct of ``lang_pred`` and ``score`` (cosine, at least 0).
 
-    ``und`` with score 0 stands for a null text, one without a letter, or one like no prototype. Of
-    equal cosines the alphabetically first language wins. Only the text is looked at.
+    ``und`` with score 0 stands for a null text or one without a letter, or for all when there is no
+    prototype. A text like no prototype has the language of largest cosine, with score 0. Of equal cosines the alphabetically first language wins. Only the text is looked at.
     """
     names = sorted(prototypes)
     dimensions = len(prototypes[names[0]]) if names else DIMENSIONS
@@ -152,9 +152,10 @@ def predicted(spark: SparkSession, text: Column, prototypes: dict[str, np.ndarra
         for text in texts:
             one = v.bundle(*trigrams(text))
             length = np.sqrt(one @ one)
-            cosine = np.round(sent.value @ one / length, 9) if length and len(names) else np.zeros(0)
+            known = len(names) and len(letters(text or "")) > 2  # letters, even if their vectors cancel
+            cosine = np.round(sent.value @ one / (length or 1.0), 9) if known else np.zeros(0)
             k = int(cosine.argmax()) if len(cosine) else -1
-            out.append((names[k], min(float(cosine[k]), 1.0)) if k >= 0 and cosine[k] > 0 else (UNKNOWN, 0.0))
+            out.append((names[k], min(max(float(cosine[k]), 0.0), 1.0)) if k >= 0 else (UNKNOWN, 0.0))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return F.pandas_udf(best, "lang_pred string, score double").asNondeterministic()(text)

@@ -205,6 +205,15 @@ def test_language_id_on_held_out(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_every_text_with_a_letter_has_a_language(spark):
+    vector = langid.vectors(512).bundle(*langid.trigrams("the and of the"))
+    texts = [chr(c) * 3 for c in range(0x4e00, 0x4e40)] + ["q", "12 !", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    out = [r.p for r in df.select(langid.predicted(spark, F.col("text"), {"en": vector}).alias("p")).collect()]
+    assert [p.lang_pred for p in out] == ["en"] * 65 + ["und"] * 2
+    assert all(0 <= p.score <= 1 for p in out) and min(p.score for p in out[:65]) == 0
+
+
 def test_bundles_follow_the_definition():
     v = langid.Vectors(64)
     text = "Ab, añ"
