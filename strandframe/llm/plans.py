@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandframe.llm import chat, decontam, html, langid, lines, mixing, quality, simhash, urls, warc
+from strandframe.llm import chat, decontam, html, langid, lines, mixing, quality, runs, simhash, trie, urls, warc
 from strandframe.plans.registry import table
 
 QUERIES: dict = {}
@@ -146,6 +146,49 @@ def op10_language_id(spark, sf_dir):
     return out.select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
 
 
+#: CRC-32 of a text bit by bit, as a DuckDB macro would have it; the polynomial is a fixed value.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i::INT, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::BIGINT) ELSE r // 2 END)),
+  4294967295::BIGINT)"""
+
+_TRIE = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM conversations),
+h AS (SELECT c, {_CRC.format(x='c::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+b AS (
+  SELECT h.c, 0 AS part, t.k, t.r, t.x FROM h JOIN t ON t.c = h.c - h.c % 100 AND t.k <= h.h
+  UNION ALL SELECT h.c, 1, t.k, t.r, t.x FROM h JOIN t ON t.c = h.c AND t.k > h.h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, k) AS d, md5(r) || md5(x) AS turn, length(x) AS n FROM b),
+p AS (SELECT c, d, string_agg(turn, '') OVER (PARTITION BY c ORDER BY d) AS path, n FROM s
+      UNION ALL SELECT c, 0, '', 0 FROM h),
+e AS (SELECT c, max(d) AS last FROM p GROUP BY c),
+node AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, min(n) AS n,
+    string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = last) AS ends
+  FROM p JOIN e USING (c) GROUP BY path, d),
+kids AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+known AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (path)),
+up AS (SELECT left(path, u.i * 64) AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * n)::BIGINT AS saved_tokens
+       FROM known, unnest(range(d + 1)) u(i) GROUP BY 1)
+SELECT k.conv_id, k.d AS depth, above.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, sha256(coalesce(k.ends, '')) AS ends_sha256
+FROM known k JOIN up USING (path) LEFT JOIN node above ON k.d > 0 AND above.path = left(k.path, length(k.path) - 64)"""
+
+
+@query("op12_prefix_trie", _TRIE)
+def op12_prefix_trie(spark, sf_dir):
+    turns = trie.number_turns(table(spark, sf_dir, "conversations"))
+    out = trie.prefix_trie(trie.share_heads(turns))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.repeat_parts(F.col("doc_id"), F.col("text")).alias("text"))
+    out = runs.periodic_runs(docs)
+    return out.select("doc_id", *[c.alias(n) for n, c in runs.digests(F.col("runs"), F.col("collapsed")).items()])
+
+
 _CHAT = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
