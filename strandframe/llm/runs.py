@@ -256,4 +256,5 @@ def repeat_parts(doc_id: Column, text: Column) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i))), " ")
 
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    return F.when((F.pmod(h, F.lit(10)) == 0) & text.rlike(r"[^\x20\x09-\x0D]"), woven(words)).otherwise(text)
+    once = F.transform(F.array(words), woven)[0]  # as a variable of the lambda, the words are found once and not for each place
+    return F.when((F.pmod(h, F.lit(10)) == 0) & text.rlike(r"[^\x20\x09-\x0D]"), once).otherwise(text)
