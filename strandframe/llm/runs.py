@@ -169,25 +169,16 @@ def runs_of(texts: list[list], least: int = LEAST) -> list[np.ndarray]:
     """Runs of each list of words."""
     out: list = [None] * len(texts)
     order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
-    at = 0
-    while at < len(order):
-        group, total = [], 0
-        while at < len(order) and (not group or total + len(texts[order[at]]) < PASS_WORDS):
-            group.append(order[at])
-            total += len(texts[order[at]]) + 1
-            at += 1
+    for at in _parts([len(texts[k]) + 1 for k in order], PASS_WORDS):
         known: dict = {}
-        ids, first = np.empty(total, np.int64), np.empty(len(group) + 1, np.int64)
-        place = 0
-        for n, k in enumerate(group):
-            first[n], size = place, len(texts[k])
-            ids[place:place + size] = np.fromiter((known.setdefault(w, len(known)) for w in texts[k]), np.int64, size)
-            ids[place + size] = -1 - n  # occurs once
-            place += size + 1
-        first[-1] = place
-        found = runs_in_line(ids, max(map(len, (texts[k] for k in group))), least)
+        line, first = [], [0]
+        for n, k in enumerate(order[at]):
+            line += [known.setdefault(w, len(known)) for w in texts[k]]
+            line.append(-1 - n)  # occurs once
+            first.append(len(line))
+        found = runs_in_line(np.array(line, np.int64), len(texts[order[at][-1]]), least)
         cut = np.searchsorted(found[:, 0], first)
-        for n, k in enumerate(group):
+        for n, k in enumerate(order[at]):
             out[k] = found[cut[n]:cut[n + 1]] - np.array([first[n], 0, 0])
     return out
 
@@ -202,14 +193,31 @@ def collapsed(words: list, runs: np.ndarray) -> list:
     return [w for w, x in zip(words, gone.tolist()) if not x]
 
 
+def _parts(sizes: list, most: int):
+    """Slices of neighbours that add up to less than ``most``, or of one that does not."""
+    first, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > first and total + size >= most:
+            yield slice(first, k)
+            first, total = k, 0
+        total += size
+    if first < len(sizes):
+        yield slice(first, len(sizes))
+
+
 def with_runs(text: Column, least: int = LEAST) -> Column:
     """Struct of ``runs`` (array of start, length, period in words) and ``collapsed`` (text of the kept words)."""
     def find(rows: pd.Series) -> pd.DataFrame:
-        words = [(t or b"").split() for t in rows]  # bytes split at \x20 and \x09-\x0D
-        found = runs_of(words, least)
-        return pd.DataFrame({
-            "runs": [[{"start": s, "length": n, "period": q} for s, n, q in r.tolist()] for r in found],
-            "collapsed": [b" ".join(collapsed(w, r)).decode("utf-8", "replace") for w, r in zip(words, found)]})
+        texts = [t or b"" for t in rows]
+        runs, kept = [None] * len(texts), [None] * len(texts)
+        order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+        for at in _parts([len(texts[k]) for k in order], 6 * PASS_WORDS):
+            part = order[at]
+            words = [texts[k].split() for k in part]  # bytes split at \x20 and \x09-\x0D
+            for k, w, found in zip(part, words, runs_of(words, least)):
+                runs[k] = [{"start": s, "length": n, "period": q} for s, n, q in found.tolist()]
+                kept[k] = b" ".join(collapsed(w, found)).decode("utf-8", "replace")
+        return pd.DataFrame({"runs": runs, "collapsed": kept})
 
     schema = "runs array<struct<start: long, length: long, period: long>>, collapsed string"
     return F.pandas_udf(find, schema).asNondeterministic()(text.cast("binary"))
