@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandframe.llm import chat, decontam, html, langid, lines, mixing, quality, runs, simhash, trie, urls, warc
+from strandframe.llm import chat, classlm, decontam, html, langid, lines, mixing, quality, runs, simhash, trie, urls, warc
 from strandframe.plans.registry import table
 
 QUERIES: dict = {}
@@ -146,6 +146,12 @@ def op10_language_id(spark, sf_dir):
     return out.select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
 
 
+@query("op11_class_bigrams")
+def op11_class_bigrams(spark, sf_dir):
+    out = classlm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: CRC-32 of a text bit by bit, as a DuckDB macro would have it; the polynomial is a fixed value.
 _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i::INT, 1))::BIGINT)),
   lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::BIGINT) ELSE r // 2 END)),
