@@ -18,6 +18,7 @@ Both bounds are sizes of the model, and what is sent to tasks is bounded by them
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,7 +63,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 words.append(END)
                 for w in words:
                     seen[w] = seen.get(w, 0) + 1
-                if len(seen) > _HELD:
+                if len(seen) > _HELD // 2:
                     yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                     seen = {}
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
@@ -76,7 +77,7 @@ def least_count(counts: DataFrame, most: int) -> int:
     step = F.greatest(F.pow(F.lit(2.0), F.floor(F.log2("n")) - 4), F.lit(1.0))
     level = F.when(F.col("n") < 1 << 16, F.col("n")).otherwise((F.floor(F.col("n") / step) * step).cast("long"))
     least, total = None, 0
-    for row in counts.filter(F.col("word") != END).groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).toLocalIterator():
+    for row in counts.filter(F.col("word") != END).groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
         total += row["words"]
         if total > most:
             break
@@ -92,14 +93,16 @@ class Numbers:
 
     def line(self, texts) -> tuple[np.ndarray, list]:
         """The texts one after the other, each closed by an end, and the other words of each text."""
-        get, out, others = self.of.get, [], []
+        words, ends = [], []
         for text in texts:
-            words = tokens(text)
-            found = [get(w, -1) for w in words]
-            others.append([w for w, k in zip(words, found) if k < 0] if -1 in found else [])
-            out += found
-            out.append(0)
-        return np.array(out, np.int64), others
+            words += tokens(text)
+            words.append(END)
+            ends.append(len(words))
+        line = np.fromiter(map(self.of.get, words, itertools.repeat(-1)), np.int64, len(words))
+        rare = np.flatnonzero(line < 0)
+        cut = np.searchsorted(rare, ends).tolist()
+        rare = [words[k] for k in rare.tolist()]
+        return line, [rare[a:b] for a, b in itertools.pairwise([0, *cut])]
 
 
 def _before(line: np.ndarray) -> np.ndarray:
@@ -200,7 +203,7 @@ def class_bigrams(rows: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
 
 def _matrix(sums: DataFrame, size: int) -> np.ndarray:
     out = np.zeros((size, size))
-    for r in sums.groupBy("x", "y").agg(F.sum("n").alias("n")).toLocalIterator():  # at most size * size rows
+    for r in sums.groupBy("x", "y").agg(F.sum("n").alias("n")).collect():  # at most size * size rows
         out[r["x"], r["y"]] = r["n"]
     return out
 
