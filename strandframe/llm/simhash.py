@@ -182,11 +182,14 @@ def least_of_groups(docs: DataFrame, grouped: DataFrame, id_col: str, text_col:
     It is the row of least id, null after all others; of several with that id that of least text hash,
     then of least row hash. Groups are told apart by root, so null and repeated ids lose nothing.
     """
-    least = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("m"))
-    least = least.select(F.col("m.id").alias("_id"), F.col("m.hash").alias("_hash"))
+    places = grouped.groupBy("root", "id", "hash").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "times")).alias("m")
+    least = cut_lineage(places.groupBy("root").agg(first).select(F.col("m.id").alias("_id"), F.col("m.hash").alias("_hash"), F.col("m.times").alias("times")))
     rows = pack(docs, id=F.col(id_col), hash=F.xxhash64(text_col))
-    met = rows.join(least, rows["id"].eqNullSafe(least["_id"]) & (rows["hash"] == least["_hash"]), "left_semi")
-    return unpack(met.groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")), docs.columns)
+    met = rows.join(least, rows["id"].eqNullSafe(least["_id"]) & (rows["hash"] == least["_hash"]))
+    # Only rows that share id and text with others have to meet; the rest, as a rule all, stay where they are.
+    of_many = met.filter("times > 1").groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return unpack(met.filter("times = 1").select("row").unionByName(of_many.select("row")), docs.columns)
 
 
 def near_dedup_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from strandframe.llm import mixing, quality
 from tests.llm.test_native import brute_lines
-from tests.llm.test_python import brute_components, brute_edits, brute_facts
+from tests.llm.test_python import brute_edits, brute_facts, brute_groups
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -19,7 +19,8 @@ def pairs(df):
 
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    extra = spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "src0", 0)], docs.schema)
+    again = docs.filter("doc_id = 7").first()
+    extra = spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "src0", 0), tuple(again), tuple(again)], docs.schema)
     docs = docs.unionByName(extra).withColumn("weight", F.lit("clash"))
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality_rules", "line_dedup", "near_dedup", "decontaminate", "mix"]
@@ -38,8 +39,10 @@ def test_stages_against_brute_force(spark):
     assert collections.Counter(pairs(lines)) == collections.Counter(want)
 
     near = stages["near_dedup"](spark, lines, SF_DIR)
-    classes = {i: c for i, _, c in brute_components(pairs(lines))}
-    assert sorted(i for i, _ in pairs(near)) == sorted({c for c in classes.values()})
+    before = pairs(lines)
+    groups = brute_groups([t for _, t in before])
+    assert near.columns == docs.columns and len(groups) < len(before)
+    assert sorted(i for i, _ in pairs(near)) == sorted(min(before[k][0] for k in g) for g in groups)
 
     clean = stages["decontaminate"](spark, near, SF_DIR)
     items = [re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", r.text.lower()).split() for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]

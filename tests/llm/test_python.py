@@ -119,6 +119,35 @@ def test_jaccard_dedup_brute_force(spark):
     assert jaccard.near_dedup(df.limit(0)).count() == 0
 
 
+def test_jaccard_rows_and_long_texts(spark):
+    """Repeated rows, clashing columns and very long texts."""
+    long = " ".join(f"word{k}" for k in range(60_000))
+    rows = [(1, "a b c d e f g", 5), (1, "a b c d e f g", 5), (1, "a b c d e f g", 6), (2, "h i j k l m", 1), (3, long, 0), (4, long + " more words at the end", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node long").withColumn("hash", F.lit("x")).withColumn("row", F.lit(1)).withColumn("prefix", F.lit(2))
+    kept = jaccard.near_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b c d e f g"), (2, "h i j k l m"), (3, long)]
+
+
+def test_fingerprint_radius():
+    """Sets at the threshold stay far within the radius, unrelated ones far outside."""
+    rnd, linked, apart = np.random.default_rng(4), [], []
+
+    def bits(found):
+        other = found * np.uint64(0x9E3779B97F4A7C15)
+        return [simhash.fingerprint(found), simhash.fingerprint(other ^ other >> np.uint64(32))]
+
+    for _ in range(300):
+        n = int(rnd.integers(jaccard.SMALL, 400))
+        a, b = rnd.integers(0, 2**63, n, dtype=np.uint64), rnd.integers(0, 2**63, n, dtype=np.uint64)
+        same = -(-8 * n // 9)  # equal sizes at similarity 4/5
+        near = np.concatenate((a[:same], b[same:]))
+        differ = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(bits(x), bits(y)))
+        linked.append(differ(a, near))
+        apart.append(differ(a, b))
+    assert max(linked) <= jaccard.RADIUS - 3 and np.mean(np.array(apart) > jaccard.RADIUS) > 0.99
+
+
 def test_links_in_tiles_lose_nothing(spark):
     rnd = random.Random(2)
     base = [rnd.getrandbits(64) for _ in range(12)]
