@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from strandframe.functions import special as sp
@@ -246,18 +248,61 @@ def e17(spark, d):
     return ex.on_in_class(e, th).select("gene", "n_on", "n", F.round("p", 8).alias("p"))
 
 
+#: Plain rounds from the quartiles until the log-likelihood changes by at most 0.05 percent. A row has the
+#: parameters asked next, those before them with their log-likelihood, and the one before that.
+_EM = EXPR_SQL + """, fit AS (
+  SELECT gene, 0 AS k, 0.5::DOUBLE AS w, quantile_disc(value, 0.25) AS m1, quantile_disc(value, 0.75) AS m2, stddev_samp(value) / 2 AS s1, stddev_samp(value) / 2 AS s2,
+    NULL::DOUBLE AS kw, NULL::DOUBLE AS k1, NULL::DOUBLE AS k2, NULL::DOUBLE AS ks1, NULL::DOUBLE AS ks2, NULL::DOUBLE AS ll, NULL::DOUBLE AS before FROM expr GROUP BY gene
+  UNION ALL
+  SELECT gene, k + 1, a / n, m + ad / a, m + (d - ad) / (n - a), sqrt(add / a - pow(ad / a, 2)), sqrt((dd - add) / (n - a) - pow((d - ad) / (n - a), 2)),
+    w, m1, m2, s1, s2, now, ll
+  FROM (SELECT gene, k, w, m1, m2, s1, s2, ll, (m1 + m2) / 2 AS m, count(*) AS n, sum(r) AS a, sum(r * x) AS ad, sum(r * x * x) AS add, sum(x) AS d, sum(x * x) AS dd, sum(lx) AS now
+    FROM (SELECT gene, k, w, m1, m2, s1, s2, ll, x, 1 / (1 + exp(l2 - l1)) AS r, greatest(l1, l2) + ln(1 + exp(-abs(l1 - l2))) - 0.5 * ln(2 * pi()) AS lx
+      FROM (SELECT f.*, value - (m1 + m2) / 2 AS x, ln(w) - ln(s1) - 0.5 * pow((value - m1) / s1, 2) AS l1, ln(1 - w) - ln(s2) - 0.5 * pow((value - m2) / s2, 2) AS l2
+        FROM fit f JOIN expr USING (gene) WHERE k < 5000 AND (before IS NULL OR abs(100 * (ll - before)) > 0.05 * abs(before))))
+    GROUP BY gene, k, w, m1, m2, s1, s2, ll)),
+gmm AS (SELECT gene, k AS rounds, kw AS w1, 1 - kw AS w2, k1 AS m1, k2 AS m2, ks1 AS s1, ks2 AS s2, ll AS loglik FROM fit WHERE abs(100 * (ll - before)) <= 0.05 * abs(before))"""
+
+
 def _gmm(spark, d):
-    return cut_lineage(mx.fit_gmm2(expr(spark, d)))
+    return cut_lineage(mx.fit_gmm2(expr(spark, d), percent=0.05))
 
 
-@query("e18_fit_gmm2")
-def e18(spark, d):
-    return mx.fit_gmm2(expr(spark, d))
+_SIX = ["w1", "w2", "m1", "m2", "s1", "s2"]
 
 
-@query("e19_bimodality")
+@query("e18_fit_gmm2", f"""WITH RECURSIVE {_EM} SELECT gene, rounds, {", ".join(f"round({c}, 6) AS {c}" for c in _SIX)}, round(loglik, 4) AS loglik, true AS settled FROM gmm""")
+def e18(spark, d):
+    out = mx.fit_gmm2(expr(spark, d), percent=0.05)
+    return out.select("gene", "rounds", *[F.round(c, 6).alias(c) for c in _SIX], F.round("loglik", 4).alias("loglik"), "settled")
+
+
+@query("e18_stationary", f"WITH {EXPR_SQL} SELECT DISTINCT gene, true AS settled, true AS stationary, true AS above_one FROM expr")
+def e18b(spark, d):
+    """Accelerated fits held against the equations of a stationary point, by sums over all values, and against one normal.
+
+    A component at the least width allowed need not meet the equation of its width.
+    """
+    tight = cut_lineage(mx.fit_gmm2(expr(spark, d)))
+    x, one = F.col("value"), F.col("w1") * mx._pdf(F.col("value"), F.col("m1"), F.col("s1"))
+    r = one / (one + F.col("w2") * mx._pdf(x, F.col("m2"), F.col("s2")))
+    square = lambda k: F.pow((x - F.col(f"m{k}")) / F.col(f"s{k}"), F.lit(2)) - 1
+    sums = expr(spark, d).join(tight, "gene").groupBy("gene", *_SIX, "settled", "loglik").agg(
+        F.avg(r).alias("a"), F.avg(r * (x - F.col("m1"))).alias("d1"), F.avg((1 - r) * (x - F.col("m2"))).alias("d2"),
+        F.avg(r * square(1)).alias("v1"), F.avg((1 - r) * square(2)).alias("v2"), F.count("*").alias("n"), F.stddev_pop("value").alias("sd"))
+    small = lambda c: F.abs(c) <= 1e-4
+    bound = lambda k: F.col(f"s{k}") <= 0.0101 * F.col("sd")
+    still = small(F.col("a") - F.col("w1")) & small(F.col("d1") / F.col("sd")) & small(F.col("d2") / F.col("sd")) & (small("v1") | bound(1)) & (small("v2") | bound(2))
+    alone = -F.col("n") * (0.5 * math.log(2 * math.pi) + 0.5 + F.log("sd"))
+    return sums.select("gene", "settled", still.alias("stationary"), (F.col("loglik") >= alone - 1e-6).alias("above_one"))
+
+
+@query("e19_bimodality", f"""WITH RECURSIVE {_EM}, one AS (SELECT gene, count(*) AS n, -0.5 * count(*) * (ln(2 * pi()) + 1) - count(*) * ln(stddev_pop(value)) AS one FROM expr GROUP BY gene),
+  t AS (SELECT gene, 2 * (loglik - one) AS lr FROM gmm JOIN one USING (gene)), q AS (SELECT *, CASE WHEN lr <= 0 THEN 1 ELSE exp(-lr / 2) * (1 + lr / 2 + lr * lr / 8) END AS p FROM t)
+  SELECT gene, round(lr, 4) AS lr, round(p, 6) AS p, p <= 0.05 AS bimodal FROM q""")
 def e19(spark, d):
-    return mx.bimodality(expr(spark, d), _gmm(spark, d))
+    out = mx.bimodality(expr(spark, d), _gmm(spark, d))
+    return out.select("gene", F.round("lr", 4).alias("lr"), F.round("p", 6).alias("p"), "bimodal")
 
 
 _FIXED_GMM = "gmm AS (SELECT gene, 0.4 AS w1, 0.6 AS w2, quantile_cont(value, 0.25) AS m1, quantile_cont(value, 0.75) AS m2, stddev_samp(value) / 2 AS s1, stddev_samp(value) / 3 AS s2 FROM expr GROUP BY 1)"
@@ -275,9 +320,13 @@ def e19b(spark, d):
     return mx.mixture_loglik(expr(spark, d), _fixed_gmm(spark, d)).withColumn("loglik", F.round("loglik", 5))
 
 
-@query("e20_gmm_threshold", f"""WITH {EXPR_SQL}, {_FIXED_GMM}, q AS (SELECT *, s1 * s1 - s2 * s2 AS a, 2 * (m1 * s2 * s2 - m2 * s1 * s1) AS b, pow(m2 * s1, 2) - pow(m1 * s2, 2) - 2 * pow(s1 * s2, 2) * ln(w2 * s1 / (w1 * s2)) AS c FROM gmm),
-  r AS (SELECT gene, m1, m2, (-b + sqrt(b * b - 4 * a * c)) / (2 * a) AS x1, (-b - sqrt(b * b - 4 * a * c)) / (2 * a) AS x2 FROM q WHERE b * b >= 4 * a * c)
-  SELECT gene, round(CASE WHEN x2 BETWEEN m1 AND m2 THEN x2 WHEN x1 BETWEEN m1 AND m2 THEN x1 END, 7) AS threshold FROM r""")
+_RATIO = "ln(w1 / s1) - 0.5 * pow(({x} - m1) / s1, 2) - ln(w2 / s2) + 0.5 * pow(({x} - m2) / s2, 2)"
+
+
+@query("e20_gmm_threshold", f"""WITH RECURSIVE {EXPR_SQL}, {_FIXED_GMM}, ends AS (SELECT *, {_RATIO.format(x='m1')} AS at1, {_RATIO.format(x='m2')} AS at2 FROM gmm),
+  half AS (SELECT gene, w1, w2, m1, m2, s1, s2, m1 AS a, m2 AS b, 0 AS k FROM ends WHERE at1 >= 0 AND at2 <= 0
+    UNION ALL SELECT gene, w1, w2, m1, m2, s1, s2, CASE WHEN {_RATIO.format(x='(a + b) / 2')} >= 0 THEN (a + b) / 2 ELSE a END, CASE WHEN {_RATIO.format(x='(a + b) / 2')} >= 0 THEN b ELSE (a + b) / 2 END, k + 1 FROM half WHERE k < 60)
+  SELECT gene, round(CASE WHEN h.k = 60 THEN (a + b) / 2 END, 7) AS threshold FROM gmm LEFT JOIN (SELECT gene, a, b, k FROM half WHERE k = 60) h USING (gene)""")
 def e20(spark, d):
     return mx.gmm_threshold(_fixed_gmm(spark, d)).select("gene", F.round("threshold", 7).alias("threshold"))
 

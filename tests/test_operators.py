@@ -222,6 +222,25 @@ def test_mixture_separates_two_normals(spark):
     assert mx.bimodality(expr, g).first()["bimodal"] and -3 < mx.gmm_threshold(g).first()["threshold"] < 5
 
 
+def test_mixture_in_several_arrays_equals_one(spark, monkeypatch):
+    gen = np.random.default_rng(5)
+    rows = [("two", float(v)) for v in [*gen.normal(0, 1, 400), *gen.normal(4, 2, 300)]] + [("flat", float(v)) for v in gen.normal(1, 3, 500)]
+    rows += [("same", 2.0)] * 9 + [("null", None), ("one", 1.0)]
+    expr = spark.createDataFrame(rows, "gene string, value double")
+    assert mx.fit_gmm2(expr).filter("not settled").count() == 0
+    for percent in (None, 0.05):
+        whole = {r["gene"]: r for r in mx.fit_gmm2(expr, percent, max_rounds=11).collect()}
+        assert set(whole) == {"two", "flat", "same", "one"}
+        monkeypatch.setattr(mx, "CHUNK", 150)
+        parts = {r["gene"]: r for r in mx.fit_gmm2(expr, percent, max_rounds=11).collect()}
+        monkeypatch.undo()
+        for gene, r in whole.items():
+            assert parts[gene]["rounds"] == r["rounds"]
+            assert [parts[gene][c] for c in ("w1", "m1", "s2", "loglik")] == pytest.approx([r[c] for c in ("w1", "m1", "s2", "loglik")], rel=1e-6)
+    assert mx.fit_gmm2(expr, max_rounds=3).filter("not settled").count() >= 1
+    assert mx.fit_gmm2(expr.limit(0)).count() == 0
+
+
 def test_stepwise_finds_the_terms(spark):
     gen = np.random.default_rng(5)
     x = gen.normal(size=(300, 4))
