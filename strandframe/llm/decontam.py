@@ -28,8 +28,9 @@ from strandframe.llm.rows import pack, unpack
 SIMILARITY = 0.8
 #: Steps drawn in one repetition, the recall aimed at, and the share of steps at which strings at the limit agree (measured).
 DRAWN, RECALL, AGREEMENT = 2, 0.999, 0.45
-#: Most items in one index, which is sent to every task; more are worked off in several passes.
+#: Most items and words in one index, which is sent to every task; more are worked off in several passes.
 MAX_ITEMS = 20_000
+MAX_WORDS = 2_000_000
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _ODD = np.array([xxhash.xxh64_intdigest(b"place %d" % k) | 1 for k in range(64)], np.uint64)
 _CACHE_WORDS = 1 << 20
@@ -233,19 +234,20 @@ LEAK = "array<struct<item_id:{kind},start:long,end:long,edits:long>>"
 
 def with_leaks(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    name: str = "leaks", max_items: int = MAX_ITEMS,
+    name: str = "leaks", max_items: int = MAX_ITEMS, max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """``docs`` with ``name``: the passages (in words) that hold an item within its allowed edits.
 
     Rows keep their place: no shuffle, whatever a passage's or an item's frequency. Null texts and
     texts without words have no leaks; items that are null or without words match nothing; items of
     equal text are all named; overlapping places of one item are one leak, with the edits of the
-    first place found. The items are sent to every task ``max_items`` at a time, in as many passes
-    as that takes.
+    first place found. The items are sent to every task at most about ``max_items`` and
+    ``max_words`` words at a time (or one item that is longer), in as many passes as that takes.
     """
     spark = docs.sparkSession
     kind = items.schema[item_id].dataType.simpleString()
-    passes = max(1, math.ceil(items.count() / max_items))
+    size = items.agg(F.count("*").alias("n"), F.sum(F.size(F.split(F.coalesce(item_text, F.lit("")), r"\s+"))).alias("words")).first()
+    passes = max(1, math.ceil(size["n"] / max_items), math.ceil((size["words"] or 0) / max_words))
     out, parts = pack(docs, text=F.col(text_col)), []
     for k in range(passes):
         part = F.pmod(F.xxhash64(item_id, item_text), F.lit(passes)) == k

@@ -47,8 +47,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tol: float = 1e-9, max
     One round scales the weights to each margin in turn. Rounds go on until no factor of a round is
     further than ``tol`` from 1, so that all targets are met. Targets that contradict the zero cells have no
     solution; then a RuntimeError says how far off the last round was. With ``settle`` such rounds go on until
-    one leaves every weight as it was (within ``tol`` of itself, or below 1e-15 of all), at most ``max_rounds``;
-    the last margin is met then and ``margin_gaps`` has what the others lack. Returns (cells, rounds).
+    one leaves every weight as it was (within ``tol`` of itself, or below 1e-15 of all), at most ``max_rounds``,
+    and a warning says by how much weights still moved if that did not come; the last margin is met in either
+    case and ``margin_gaps`` has what the others lack. Returns (cells, rounds).
     """
     cells = cut_lineage(cells.filter("n > 0").withColumn("w", F.col("n").cast("double")))
     targets = {m: maybe_broadcast(cut_lineage(t)) for m, t in targets.items()}
@@ -67,6 +68,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tol: float = 1e-9, max
         if off is None or off <= tol or settle and moved <= tol:
             return cells, k + 1
     if settle:
+        warnings.warn(f"weights still move by a share of {moved:.3g} after {max_rounds} rounds of raking; their shares are those of the last round")
         return cells, max_rounds
     raise RuntimeError(f"no weights meet all targets: after {max_rounds} rounds they are still off by {off}")
 

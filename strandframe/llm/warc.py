@@ -18,7 +18,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandframe.session import cut_lineage, shared_dir
+from strandframe.session import cut_lineage, run_path
 
 #: Fixed values of the format: the skippable frame's magic number and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -40,6 +40,13 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri if not re.match(r"file:/[^/]", uri) else uri.replace("file:/", "file:///", 1))
 
 
+def qualified(spark, folder: str) -> str:
+    """``folder`` with the scheme and authority that Spark resolves it against, so that tasks open the same one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+
+
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -94,10 +101,12 @@ def write_archives(
     the response (all rows that share that id are) and the others revisit it. A null html is an
     empty payload. A null id sorts first among equal payloads and is written as ``null``. Every task attempt writes a file of
     its own name, and only the manifest, which Spark commits, says which files count: a task that is
-    lost or run twice leaves an unlisted file and no double record. Other columns are not read.
+    lost or run twice leaves an unlisted file and no double record. Other columns are not read. The folder
+    is one of the run folder unless named; it is returned as a full URI, a folder without a scheme
+    taken as Spark takes it.
     """
     spark = pages.sparkSession
-    folder = (folder or f"{shared_dir(spark).rstrip('/')}/strandframe/{uuid.uuid4().hex}").rstrip("/")
+    folder = qualified(spark, folder or run_path(spark)).rstrip("/")
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))

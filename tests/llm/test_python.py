@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandframe.llm import decontam, graph, html, jaccard, langid, quality, simhash, urls, warc
+from strandframe.session import run_folder
 from strandframe.llm.plans import LISTED_HOSTS, QUERIES, URL_RULES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -327,6 +328,30 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, manifest, folder).count() == 0
 
 
+def test_archive_folder_is_what_spark_means(spark):
+    """A folder without a scheme belongs to the default file system, which need not be the local disk."""
+    conf = spark._jsc.hadoopConfiguration()
+    assert warc.qualified(spark, "/shared/ckpt") == "file:/shared/ckpt"
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://127.0.0.1:1")
+    try:
+        assert warc.qualified(spark, "/shared/ckpt") == "hdfs://127.0.0.1:1/shared/ckpt"
+    finally:
+        conf.set("fs.defaultFS", before)
+    df = spark.createDataFrame([(1, "http://a.example/", "<p>x</p>")], "page_id long, url string, html string")
+    manifest, folder = warc.write_archives(df)
+    assert folder.startswith("file:") and run_folder(spark) in folder and warc.read_archives(spark, manifest, folder).count() == 1
+
+
+def test_items_in_passes_of_bounded_words(spark):
+    rnd = random.Random(1)
+    items = [(k, " ".join(f"w{rnd.randrange(999)}" for _ in range(30))) for k in range(8)] + [(99, None)]
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in items if t], "doc_id long, text string")
+    of = spark.createDataFrame(items, "item_id long, text string")
+    got = [{(r.doc_id, x.item_id) for r in decontam.with_leaks(docs, of, max_words=n).collect() for x in r.leaks} for n in (60, 1 << 20)]
+    assert got[0] == got[1] == {(k, k) for k in range(8)}
+
+
 # --- page text
 
 PAGES = [
