@@ -241,6 +241,24 @@ def test_mixture_in_several_arrays_equals_one(spark, monkeypatch):
     assert mx.fit_gmm2(expr.limit(0)).count() == 0
 
 
+def test_knn_search_ranks_features_and_takes_consensus(spark):
+    gen = np.random.default_rng(2)
+    vec = gen.normal(0, 1, (240, 20))
+    cls = np.arange(240) % 2
+    vec[:, 17] += 3 * cls  # informative features behind the first sixteen
+    vec[:, 19] -= 3 * cls
+    rows = [(k, int(c), [float(x) for x in v]) for k, (c, v) in enumerate(zip(cls, vec))]
+    df = spark.createDataFrame(rows, "sample long, cls int, vec array<double>")
+    assert set(ml.rank_features(df)[:2]) == {17, 19}
+    grid = ml.knn_search(df, max_k=5, reps=4)
+    best = grid.filter("chosen").collect()
+    assert len(best) == 1 and best[0]["rate"] > 0.95 and best[0]["n_features"] >= 2
+    whole = {(r["n_features"], r["k"]): (r["classified"], r["correct"]) for r in grid.collect()}
+    assert max(k for _, k in whole) == 5 and all(whole[f, k][0] <= whole[f, k - 1][0] for f, k in whole if k > 1 and (f, k - 1) in whole)
+    split = {(r["n_features"], r["k"]): (r["classified"], r["correct"]) for r in ml.knn_search(df, max_k=5, reps=4, block=50).collect()}
+    assert split == whole
+
+
 def test_stepwise_finds_the_terms(spark):
     gen = np.random.default_rng(5)
     x = gen.normal(size=(300, 4))
