@@ -206,7 +206,18 @@ def l12(spark, d):
 
 @query("l13_gap_statistic")
 def l13(spark, d):
-    return pt.gap_statistic(_vectors(spark, d), [2, 3, 4], refs=2)
+    return pt.gap_statistic(_vectors(spark, d))
+
+
+@query("l13_dispersion", """WITH v AS (SELECT vec_id AS sample, CAST(embedding AS DOUBLE[]) AS v, k, label % k AS cluster FROM embeddings, (SELECT unnest([2, 5, 10]) AS k))
+  SELECT a.k, round(ln(sum(list_distance(a.v, b.v)) / 128), 6) AS log_w FROM v a JOIN v b ON a.k = b.k AND a.cluster = b.cluster AND a.sample < b.sample GROUP BY 1""")
+def l13b(spark, d):
+    v = _vectors(spark, d)
+    blocks = pt.point_blocks(v, 0, block=128)
+    cls = v.select("sample", F.col("cls"), F.explode(F.array(F.lit(2), F.lit(5), F.lit(10))).alias("k"))
+    of = blocks.select("b", "part", F.posexplode("ids").alias("pos", "sample")).join(cls, "sample")
+    labels = of.groupBy("b", "part", "k").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("cls") % F.col("k")).alias("cluster")))).alias("l")).select("b", "part", "k", F.col("l.cluster").alias("labels"))
+    return pt.dispersion(blocks, labels).select("k", F.round("log_w", 6).alias("log_w"))
 
 
 _PAIRS = """cells AS (SELECT p_type AS c0, p_brand AS c1, count(*) AS n FROM part GROUP BY 1, 2), t AS (SELECT sum(n * (n - 1) / 2) AS ss, sum(n) AS n FROM cells), a AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM cells GROUP BY c0)),
