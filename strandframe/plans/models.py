@@ -110,6 +110,11 @@ def l3(spark, d):
     return spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(steps)], "step int, feature string, p double")
 
 
+@query("l3_stepwise_search")
+def l3b(spark, d):
+    return ml.stepwise_search(_vectors(spark, d).withColumn("cls", (F.col("cls") < 5).cast("int")))
+
+
 @query("l4_glm_eval")
 def l4(spark, d):
     w = _wide(spark, d)
