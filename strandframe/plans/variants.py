@@ -308,15 +308,42 @@ def _turns(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), F.lower("text").alias("seq"))
 
 
+def _ends(s: DataFrame) -> DataFrame:
+    """The shortest and the longest text as references."""
+    size = F.struct(F.length("seq"), "seq_id", "seq")
+    both = s.groupBy().agg(F.min(size).alias("a"), F.max(size).alias("b"))
+    return both.select(F.explode(F.array("a", "b")).alias("r")).select(F.col("r.seq_id").cast("string").alias("ref_id"), F.col("r.seq").alias("seq"))
+
+
+# Best score of every pair (digest, ref_id, t, r), found along the diagonals of its table of cells: a row holds
+# the score at column j of a diagonal and of the one before it.
+_SCORES = """cells AS (SELECT digest, ref_id, t, r, 0 AS d, j, CASE WHEN j = 0 THEN 0 END AS cur, CAST(NULL AS INTEGER) AS prev FROM pairs, LATERAL (SELECT unnest(range(length(r) + 1)) AS j)
+    UNION ALL
+    SELECT a.digest, a.ref_id, a.t, a.r, a.d + 1, a.j, CASE WHEN a.d + 1 < a.j OR a.d + 1 - a.j > length(a.t) THEN NULL
+      ELSE greatest(a.cur - 8, b.cur - 8, b.prev + CASE WHEN substr(a.t, a.d + 1 - a.j, 1) = substr(a.r, a.j, 1) THEN 5 ELSE -4 END) END, a.cur
+    FROM cells a LEFT JOIN cells b ON b.digest = a.digest AND b.ref_id = a.ref_id AND b.j = a.j - 1 WHERE a.d < length(a.t) + length(a.r)),
+  best AS (SELECT digest, ref_id, CAST(cur AS BIGINT) AS score FROM cells WHERE d = length(t) + length(r) AND j = length(r))"""
+_TURNS_SQL = "s AS (SELECT item_id AS seq_id, lower(text) AS seq FROM benchmark)"
+
+
 @query("v1_align_to_refs")
 def v1(spark, d):
     s = _turns(spark, d)
-    refs = s.filter("seq_id % 16 = 0").select(F.col("seq_id").cast("string").alias("ref_id"), "seq")  # several references
-    pile = al.to_pileup(al.align_to_refs(s, refs), s)
+    pile = al.to_pileup(al.align_to_refs(s, _ends(s)), s)
     return pile.groupBy("ref_id", "seq_id").agg(F.count("*").alias("n_columns"), F.sum(F.col("is_match").cast("long")).alias("n_match"))
 
 
-@query("v2_reuse_alignments")
+@query("v1_align_scores", f"""WITH RECURSIVE {_TURNS_SQL},
+  ends AS (SELECT min((length(seq), seq_id, seq)) AS a, max((length(seq), seq_id, seq)) AS b FROM s),
+  refs AS (SELECT DISTINCT CAST(q[2] AS VARCHAR) AS ref_id, q[3] AS r FROM (SELECT unnest([a, b]) AS q FROM ends)),
+  pairs AS (SELECT DISTINCT md5(seq) AS digest, seq AS t, ref_id, r FROM s, refs), {_SCORES} SELECT * FROM best""")
+def v1_scores(spark, d):
+    s = _turns(spark, d)
+    return al.align_to_refs(s, _ends(s)).select("digest", "ref_id", "score")
+
+
+@query("v2_reuse_alignments", f"""WITH RECURSIVE {_TURNS_SQL}, refs AS (SELECT CAST(seq_id AS VARCHAR) AS ref_id, seq AS r FROM s ORDER BY seq_id, seq LIMIT 1),
+  pairs AS (SELECT DISTINCT md5(seq) AS digest, seq AS t, ref_id, r FROM s, refs), {_SCORES} SELECT * FROM best""")
 def v2(spark, d):
     s = _turns(spark, d)
     refs = s.groupBy().agg(F.min(F.struct("seq_id", "seq")).alias("r")).select(F.col("r.seq_id").cast("string").alias("ref_id"), F.col("r.seq").alias("seq"))

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -166,6 +167,38 @@ def test_alignment_against_plain_programming(spark):
     assert rows(pile.groupBy("seq_id").agg(F.sum(F.col("is_match").cast("int")).alias("n"))) == [(1, 4), (2, 4), (3, 3)]
 
 
+def test_alignment_in_blocks_gives_the_same_path(monkeypatch):
+    texts = [tuple("".join(RNG.choice("ACG") for _ in range(RNG.randint(0, 40))) for _ in range(2)) for _ in range(60)]
+    whole = [al.align_pair(a, b) for a, b in texts]
+    for cells in (1, 9, 100):
+        monkeypatch.setattr(al, "CELLS", cells)
+        monkeypatch.setattr(al, "PARTS", 3)
+        assert [al.align_pair(a, b) for a, b in texts] == whole
+
+
+def test_alignment_of_long_texts_needs_little_memory():
+    a = "".join(RNG.choice("ACGT") for _ in range(12000))
+    b = a[:5000] + a[5200:]
+    tracemalloc.start()
+    x, y, s = al.align_pair(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert s == al.MATCH * len(b) + al.GAP * 200 and x == a and y.replace("-", "") == b
+    assert peak < 90_000_000  # the whole table has 141,600,000 steps
+
+
+def test_reuse_aligns_missing_pairs_only(spark):
+    seqs = spark.createDataFrame([(1, "ACGT"), (2, "ACGT"), (3, "AGT"), (4, None), (5, "")], "seq_id int, seq string")
+    refs = spark.createDataFrame([("r", "ACGT"), ("q", "AAGT"), ("none", None)], "ref_id string, seq string")
+    every = al.align_to_refs(seqs, refs)
+    assert every.count() == 6
+    one = every.filter("ref_id = 'r'").withColumn("score", F.lit(99).cast("long"))
+    other = spark.createDataFrame([("0", "r", "A", "A", 7)], one.schema)
+    got = al.reuse_alignments(seqs, refs, one.union(one).union(other))
+    assert rows(got, "digest", "ref_id") == rows(every, "digest", "ref_id")
+    assert {(r["ref_id"], r["score"] == 99) for r in got.collect()} == {("r", True), ("q", False)}
+
+
 def test_classify_mutations(spark):
     ref, seq = "ATGAAATTTTGG", "ATGAAGTATTGA"
     pile = spark.createDataFrame([(1, i, s, r, s == r) for i, (s, r) in enumerate(zip(seq, ref))], "seq_id int, ref_pos int, base string, ref_base string, is_match boolean")
