@@ -6,9 +6,11 @@ that is run again makes the same choice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
 
-from strandframe.session import BROADCAST_ROWS
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from strandframe.session import BROADCAST_ROWS, cut_lineage, maybe_broadcast
 
 
 def hash_key(*cols: str | Column, seed: int = 0) -> Column:
@@ -51,13 +53,68 @@ def hash_draw(pool: DataFrame, item: str, reps: int, size: int | float, strata:
     return ranked.filter((F.col("_b") < F.col("_cut")) | (F.col("_r") <= F.col("_left"))).select(*group, item)
 
 
+def number_items(items: DataFrame, item: str, seed: int = 0, digits: int = 3) -> DataFrame:
+    """Distinct items numbered from 0 in the order of their hashes: (item, _i).
+
+    Items are ranked inside a bucket of leading hash digits; only the 16^digits bucket sizes are summed in one task.
+    """
+    hashed = cut_lineage(items.select(item).distinct().withColumn("_h", hash_key(item, seed=seed)).withColumn("_b", F.substring("_h", 1, digits)))
+    sizes = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", item)) - 1
+    return hashed.withColumn("_p", place).join(F.broadcast(before), "_b").select(item, (F.col("_before") + F.col("_p")).alias("_i"))
+
+
+#: Rounds of the keyed permutation (even), and the two primes its round function reduces by.
+ROUNDS, P, Q = 8, 2**31 - 1, 2**31 - 19
+
+
+def permutation_keys(spark: SparkSession, reps: int, seed: int = 0) -> DataFrame:
+    """Four factors below 2^31 for each round of each repetition: (rep, keys)."""
+    def key(k: Column) -> Column:
+        h = F.md5(F.concat_ws("#", F.col("rep").cast("string"), k.cast("string"), F.lit(str(seed))))
+        part = [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
+        return F.struct(k.alias("k"), *[(v % P if i < 2 else v % Q).alias("abcd"[i]) for i, v in enumerate(part)])
+    every = F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), key)
+    return spark.range(reps).select(F.col("id").cast("int").alias("rep"), every.alias("keys"))
+
+
+def permuted_number(i: Column, keys: Column, n: int) -> Column:
+    """Number that a repetition's permutation of 0 to ``n`` - 1 puts in the place of ``i``.
+
+    A Feistel network on the grid of ``high`` x ``low`` numbers, the smallest near-square one that holds ``n``. A number
+    that leaves the range goes through the network again; fewer than ``high`` numbers lie outside, so it
+    is back after as many passes. Nothing is sorted.
+    """
+    high = max(math.isqrt(max(n, 1) - 1) + 1, 1)
+    low = -(-n // high) or 1
+
+    def turn(x: Column, k: Column) -> Column:
+        # the parts change places after each round, and with them the sides of the grid
+        top = F.when(k["k"] % 2 == 0, F.lit(high)).otherwise(F.lit(low)).cast("long")
+        bottom = F.when(k["k"] % 2 == 0, F.lit(low)).otherwise(F.lit(high)).cast("long")
+        right = x % bottom
+        mixed = ((right % P * k["a"] + k["b"]) % P * k["c"] + k["d"]) % Q
+        return right * top + (F.floor((x - right) / bottom) + mixed) % top
+
+    def through(x: Column) -> Column:
+        return F.aggregate(keys, x, turn)
+
+    first = through(i.cast("long"))
+    again = F.sequence(F.lit(1), F.lit(high))
+    return F.aggregate(again, first, lambda x, _: F.when(x < n, x).otherwise(through(x))) if high * low > n else first
+
+
 def permute_labels(items: DataFrame, item: str, reps: int, seed: int = 0) -> DataFrame:
     """Each repetition maps every item to another one at random: (rep, item, relabelled).
 
-    Two orders of the same list are matched rank by rank; a list is one chip's probes.
+    Items are numbered once; a repetition's keyed permutation turns numbers into numbers row by row, and these
+    are looked up by number, so no task sorts or holds a repetition.
     """
-    rows = repeat(items.select(item).distinct(), reps)
-    natural = rows.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(item)))
-    shuffled = rows.withColumn("_h", hash_key(item, "rep", seed=seed)).withColumn(
-        "_r", F.row_number().over(Window.partitionBy("rep").orderBy("_h", item)))
-    return natural.join(shuffled.select("rep", "_r", F.col(item).alias("relabelled")), ["rep", "_r"]).select("rep", item, "relabelled")
+    numbered = cut_lineage(number_items(items, item, seed))
+    n = numbered.count()
+    keys = permutation_keys(items.sparkSession, reps, seed)
+    rows = repeat(numbered, reps).join(F.broadcast(keys) if reps <= BROADCAST_ROWS else keys, "rep")
+    moved = rows.select("rep", item, permuted_number(F.col("_i"), F.col("keys"), n).alias("_i"))
+    names = numbered.select("_i", F.col(item).alias("relabelled"))
+    return moved.join(maybe_broadcast(names), "_i").select("rep", item, "relabelled")

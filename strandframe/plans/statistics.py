@@ -122,9 +122,25 @@ def _nation_sets(spark, d) -> DataFrame:
     return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("set_id", "item").distinct()
 
 
-_RELABEL = """u AS (SELECT p_partkey AS item FROM part), reps AS (SELECT unnest(range(10)) AS rep),
-  nat AS (SELECT rep, item, row_number() OVER (PARTITION BY rep ORDER BY item) AS r FROM u, reps), shf AS (SELECT rep, item AS relabelled, row_number() OVER (PARTITION BY rep ORDER BY md5(item || '#' || rep || '#0'), item) AS r FROM u, reps),
-  flip AS (SELECT rep, item, relabelled FROM nat JOIN shf USING (rep, r)),
+#: Repetitions of the relabelling queries.
+RELABELLINGS = 100
+
+
+def _part_of(h: str, i: int, m: str) -> str:
+    return f"CAST('0x' || substr({h}, {1 + 8 * i}, 8) AS BIGINT) % {m}"
+
+
+# A round turns the number x = left * bottom + right into right * top + (left + mixed(right)) % top.
+_RELABEL = f"""RECURSIVE u AS (SELECT item, row_number() OVER (ORDER BY md5(item || '#0'), item) - 1 AS i FROM (SELECT DISTINCT p_partkey AS item FROM part)),
+  size AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS high FROM u), grid AS (SELECT n, high, (n + high - 1) // high AS low FROM size),
+  reps AS (SELECT unnest(range({RELABELLINGS})) AS rep), hashes AS (SELECT rep, k, md5(rep || '#' || k || '#0') AS h FROM reps, (SELECT unnest(range(8)) AS k)),
+  keys AS (SELECT rep, k, {_part_of('h', 0, '2147483647')} AS a, {_part_of('h', 1, '2147483647')} AS b, {_part_of('h', 2, '2147483629')} AS c, {_part_of('h', 3, '2147483629')} AS d,
+    CASE WHEN k % 2 = 0 THEN high ELSE low END AS top, CASE WHEN k % 2 = 0 THEN low ELSE high END AS bottom, n FROM hashes, grid),
+  walk AS (SELECT rep, item, i AS x, 0 AS turn, false AS done FROM u, reps
+    UNION ALL SELECT rep, item, y, turn + 1, turn % 8 = 7 AND y < n FROM (
+      SELECT w.rep, item, turn, n, x % bottom * top + (x // bottom + ((x % bottom % 2147483647 * a + b) % 2147483647 * c + d) % 2147483629) % top AS y
+      FROM walk w JOIN keys q ON q.rep = w.rep AND q.k = w.turn % 8 WHERE NOT done)),
+  flip AS (SELECT w.rep, w.item, u.item AS relabelled FROM walk w JOIN u ON u.i = w.x WHERE done),
   sets AS (SELECT DISTINCT s_nationkey AS set_id, l_partkey AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40),
   moved AS (SELECT rep, set_id, relabelled AS item FROM sets JOIN flip USING (item)),
   nul AS (SELECT m.rep, a.set_id AS i, m.set_id AS j, count(*) AS shared FROM sets a JOIN moved m ON a.item = m.item AND a.set_id < m.set_id GROUP BY 1, 2, 3),
@@ -133,16 +149,16 @@ _RELABEL = """u AS (SELECT p_partkey AS item FROM part), reps AS (SELECT unnest(
 
 @query("e7_random_overlaps", f"WITH {_RELABEL} SELECT rep, i, j, shared FROM nul")
 def e7(spark, d):
-    return en.random_overlaps(_nation_sets(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("item")), 10)
+    return en.random_overlaps(_nation_sets(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("item")), RELABELLINGS)
 
 
-@query("e8_empirical_overlap", f"""WITH {_RELABEL} SELECT i, j, o.shared, round(count(CASE WHEN x.shared >= o.shared THEN 1 END) / 10, 8) AS p_empirical, count(CASE WHEN x.shared >= o.shared THEN 1 END) / 10 <= 0.05 AS is_significant
+@query("e8_empirical_overlap", f"""WITH {_RELABEL} SELECT i, j, o.shared, round(count(CASE WHEN x.shared >= o.shared THEN 1 END) / {RELABELLINGS}, 8) AS p_empirical, count(CASE WHEN x.shared >= o.shared THEN 1 END) / {RELABELLINGS} <= 0.05 AS is_significant
   FROM obs o LEFT JOIN nul x USING (i, j) GROUP BY 1, 2, 3""")
 def e8(spark, d):
     from strandframe.operators.joins import shared_counts
     sets = _nation_sets(spark, d)
-    null = en.random_overlaps(sets, table(spark, d, "part").select(F.col("p_partkey").alias("item")), 10)
-    return en.empirical_overlap(shared_counts(sets), null, 10).withColumn("p_empirical", F.round("p_empirical", 8))
+    null = en.random_overlaps(sets, table(spark, d, "part").select(F.col("p_partkey").alias("item")), RELABELLINGS)
+    return en.empirical_overlap(shared_counts(sets), null, RELABELLINGS).withColumn("p_empirical", F.round("p_empirical", 8))
 
 
 @query("e9_overlap_distance", f"""WITH {LISTS_SQL}, {_PAIRS}, u AS (SELECT count(*) AS nn FROM part)

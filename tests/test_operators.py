@@ -219,6 +219,24 @@ def test_hash_draw_sizes_and_rerun(spark):
     assert flip.groupBy("rep").agg(F.countDistinct("relabelled").alias("d")).filter("d <> 997").isEmpty()
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 101, 1024])
+def test_permute_labels_is_a_permutation_of_any_size(spark, n):
+    pool = spark.range(n).select(F.concat(F.lit("i"), "id").alias("item"))
+    flip = permute_labels(pool.union(pool), "item", 5, seed=3).collect()
+    names = sorted(f"i{k}" for k in range(n))
+    for rep in range(5 if n else 0):
+        assert sorted(r["item"] for r in flip if r["rep"] == rep) == sorted(r["relabelled"] for r in flip if r["rep"] == rep) == names
+    assert len(flip) == 5 * n
+
+
+def test_permute_labels_spreads_evenly(spark):
+    n, reps = 12, 3000
+    cells = permute_labels(spark.range(n).withColumnRenamed("id", "item"), "item", reps).groupBy("item", "relabelled").count().collect()
+    assert len(cells) == n * n
+    chi = sum((r["count"] - reps / n) ** 2 / (reps / n) for r in cells)
+    assert chi < 121 + 5 * (2 * 121) ** 0.5  # (n - 1)^2 degrees of freedom
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 11], "a long, b long")
     got = dict(rows(network.components(edges), "id", "component"))
