@@ -5,16 +5,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandframe.functions.special import binom_sf, t_two_sided
 from strandframe.operators.joins import pair_all
-from strandframe.operators.ordered import top_rows, union_all
+from strandframe.operators.ordered import exact_ranks
 from strandframe.operators.sampling import hash_draw
-from strandframe.session import cut_lineage
+from strandframe.session import cut_lineage, maybe_broadcast
 
 
 def fold_change(expr: DataFrame, control=0, up: float = 1.5, down: float = 0.7, keys: list[str] = []) -> DataFrame:
@@ -70,78 +67,94 @@ def _snr() -> Column:
     return (_mean(1) - _mean(0)) / (sd1 + sd0)
 
 
-def permuted_moments(expr: DataFrame, cls, reps: int, seed: int = 0) -> DataFrame:
+def permuted_moments(expr: DataFrame, cls, reps: int, seed: int = 0, keys: list[str] = []) -> DataFrame:
     """Two-group moments of every gene for the true labels (rep -1) and ``reps`` permutations.
 
     A sample carries the list of repetitions that put it into the first group, so the
-    values are shuffled once; the second group is total minus first.
+    values are shuffled once; the second group is total minus first. Data sets (``keys``) are permuted each by itself.
     """
-    samples = expr.select("sample", "cls").distinct()
-    n1 = samples.filter(F.col("cls") == cls).count()
-    drawn = hash_draw(samples, "sample", reps, n1, seed=seed).unionByName(
-        samples.filter(F.col("cls") == cls).select(F.lit(-1).alias("rep"), "sample"))
-    packed = drawn.groupBy("sample").agg(F.collect_list("rep").alias("_reps"))
-    rows = expr.join(packed, "sample").select("gene", "value", F.explode("_reps").alias("rep"))
+    samples = expr.select(*keys, "sample", "cls").distinct()
+    real = samples.filter(F.col("cls") == cls)
+    if keys:
+        sizes = real.groupBy(*keys).agg(F.count("*").alias("_size"))
+        drawn = hash_draw(samples.join(sizes, keys), "sample", reps, "_size", keys, seed)
+    else:
+        drawn = hash_draw(samples, "sample", reps, real.count(), seed=seed)
+    drawn = drawn.unionByName(real.select(*keys, F.lit(-1).alias("rep"), "sample"))
+    packed = drawn.groupBy(*keys, "sample").agg(F.collect_list("rep").alias("_reps"))
+    rows = expr.join(packed, [*keys, "sample"]).select(*keys, "gene", "value", F.explode("_reps").alias("rep"))
     v = F.col("value")
-    first = rows.groupBy("rep", "gene").agg(F.count("*").alias("n1"), F.sum(v).alias("s1"), F.sum(v * v).alias("q1"))
-    total = expr.groupBy("gene").agg(F.count("*").alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
-    return first.join(total, "gene").select(
-        "rep", "gene", "n1", "s1", "q1", (F.col("_n") - F.col("n1")).alias("n0"),
+    first = rows.groupBy(*keys, "rep", "gene").agg(F.count("*").alias("n1"), F.sum(v).alias("s1"), F.sum(v * v).alias("q1"))
+    total = expr.groupBy(*keys, "gene").agg(F.count("*").alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
+    return first.join(total, [*keys, "gene"]).select(
+        *keys, "rep", "gene", "n1", "s1", "q1", (F.col("_n") - F.col("n1")).alias("n0"),
         (F.col("_s") - F.col("s1")).alias("s0"), (F.col("_q") - F.col("q1")).alias("q0"))
 
 
-def sam_fudge(stats: DataFrame, bins: int = 10) -> float:
-    """Constant added to the standard error: the quantile of s for which the spread of d depends least on s."""
-    alphas = [i * 0.05 for i in range(21)]
-    row = stats.agg(F.percentile("s", F.array(*[F.lit(min(a, 1.0)) for a in alphas])).alias("q"),
-                    F.percentile("s", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("b")).first()
-    q, cuts = list(row["q"]), list(row["b"])
-    bucket = sum(((F.col("s") >= c).cast("int") for c in cuts), F.lit(0))
-    tried = stats.withColumn("_b", bucket).withColumn("_s0", F.explode(F.array_distinct(F.array(*[F.lit(float(x)) for x in q]))))
-    d = tried.withColumn("_d", F.col("diff") / (F.col("s") + F.col("_s0")))
-    centre = d.groupBy("_s0", "_b").agg(F.median("_d").alias("_mid"))
-    mad = d.join(centre, ["_s0", "_b"]).groupBy("_s0", "_b").agg(F.median(F.abs(F.col("_d") - F.col("_mid"))).alias("_v"))
-    cv = mad.groupBy("_s0").agg((F.stddev_samp("_v") / F.avg("_v")).alias("_cv")).filter("_cv IS NOT NULL")
-    best = cv.orderBy("_cv", "_s0").first()
-    return float(best["_s0"]) if best else 0.0
-
+def sam_fudge(stats: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+    """Constant added to the standard error: the quantile of s for which the spread of d depends least on s: (keys, s0).
 
-def sam_statistics(expr: DataFrame, cls=1, reps: int = 100, seed: int = 0, s0: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(observed, permuted) regularised differences with their order statistics.
-
-    Observed rows: gene, d, expected (mean of the permuted values of the same rank).
+    0 where no quantile has a spread.
+    """
+    alphas = F.array(*[F.lit(i / 20) for i in range(21)])
+    cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    marks = stats.groupBy(*keys).agg(F.percentile("s", alphas).alias("_q"), F.percentile("s", cuts).alias("_cuts"))
+    marks = cut_lineage(marks)
+    tried = stats.join(maybe_broadcast(marks), keys).select(
+        *keys, "diff", "s", F.size(F.filter("_cuts", lambda c: F.col("s") >= c)).alias("_b"), F.explode(F.array_distinct("_q")).alias("_s0"))
+    d = tried.withColumn("_d", F.try_divide(F.col("diff"), F.col("s") + F.col("_s0")))
+    group = [*keys, "_s0", "_b"]
+    centre = d.groupBy(*group).agg(F.median("_d").alias("_mid"))
+    mad = d.join(centre, group).groupBy(*group).agg(F.median(F.abs(F.col("_d") - F.col("_mid"))).alias("_v"))
+    cv = mad.groupBy(*keys, "_s0").agg(F.try_divide(F.stddev_samp("_v"), F.avg("_v")).alias("_cv")).filter("_cv IS NOT NULL")
+    best = cv.groupBy(*keys).agg(F.min(F.struct("_cv", "_s0")).alias("_best"))
+    return marks.select(*keys).join(best, keys, "left").select(*keys, F.coalesce("_best._s0", F.lit(0.0)).alias("s0"))
+
+
+def sam_statistics(expr: DataFrame, cls=1, reps: int = 100, seed: int = 0, s0: float | None = None,
+                   keys: list[str] = []) -> tuple[DataFrame, DataFrame]:
+    """(observed, permuted) regularised differences with their order statistics, all data sets in the same jobs.
+
+    Observed rows: keys, gene, d, expected (mean of the permuted values of the same rank). A data set
+    without samples on both sides, or with two samples in all, has no rows. Keys must not be null.
     """
-    m = cut_lineage(permuted_moments(expr, cls, reps, seed).select(
-        "rep", "gene", (_mean(1) - _mean(0)).alias("diff"), _pooled_error().alias("s")))
+    group = keys or ["_all"]
+    m = permuted_moments(expr, cls, reps, seed, keys).filter("n1 > 0 AND n0 > 0 AND n1 + n0 > 2")
+    m = cut_lineage(m.select(*(keys or [F.lit(0).alias("_all")]), "rep", "gene", (_mean(1) - _mean(0)).alias("diff"), _pooled_error().alias("s")))
     if s0 is None:
-        s0 = sam_fudge(m.filter("rep = -1"))
-    ranked = m.withColumn("d", F.col("diff") / (F.col("s") + F.lit(s0))).withColumn(
-        "_r", F.row_number().over(Window.partitionBy("rep").orderBy("d", "gene")))
+        m = m.join(maybe_broadcast(cut_lineage(sam_fudge(m.filter("rep = -1"), group))), group)
+    else:
+        m = m.withColumn("s0", F.lit(s0))
+    scored = m.select(*group, "rep", "gene", F.try_divide(F.col("diff"), F.col("s") + F.col("s0")).alias("d"))
+    ranked = cut_lineage(exact_ranks(scored, [*group, "rep"], [F.col("d"), F.col("gene")]))
     permuted = ranked.filter("rep >= 0")
-    expected = permuted.groupBy("_r").agg(F.avg("d").alias("expected"))
-    observed = ranked.filter("rep = -1").join(expected, "_r").select("gene", "d", "expected")
-    return observed, permuted.select("rep", "gene", "d")
+    expected = permuted.groupBy(*group, "rank").agg(F.avg("d").alias("expected"))
+    observed = ranked.filter("rep = -1").join(expected, [*group, "rank"]).select(*keys, "gene", "d", "expected")
+    return observed, permuted.select(*keys, "rep", "gene", "d")
 
 
-def sam(expr: DataFrame, cls=1, reps: int = 100, target: float = 1.0, seed: int = 0, steps: int = 20) -> DataFrame:
+def sam(expr: DataFrame, cls=1, reps: int = 100, target: float = 1.0, seed: int = 0, steps: int = 20, keys: list[str] = []) -> DataFrame:
     """Genes called at the smallest delta whose expected number of false calls is at most ``target``.
 
-    A table of deltas replaces a search: each gets its cut-offs and false count in one pass.
+    A table of deltas replaces a search: each gets its cut-offs and false count in one pass. Each
+    data set (``keys``) has its own permutations, constant and delta; all are keys of the same jobs.
     """
-    observed, permuted = sam_statistics(expr, cls, reps, seed)
+    observed, permuted = sam_statistics(expr, cls, reps, seed, keys=keys)
+    group = keys or ["_all"]
+    if not keys:
+        observed, permuted = (df.withColumn("_all", F.lit(0)) for df in (observed, permuted))
     observed = cut_lineage(observed)
     gap = F.col("d") - F.col("expected")
-    deltas = observed.agg(F.percentile(F.abs(gap), F.array(*[F.lit(i / steps) for i in range(steps + 1)])).alias("q")).select(
-        F.explode(F.array_distinct("q")).alias("delta"))
-    cuts = pair_all(deltas, observed).groupBy("delta").agg(
+    deltas = cut_lineage(observed.groupBy(*group).agg(F.percentile(F.abs(gap), F.array(*[F.lit(i / steps) for i in range(steps + 1)])).alias("q")).select(
+        *group, F.explode(F.array_distinct("q")).alias("delta")))
+    cuts = cut_lineage(observed.join(maybe_broadcast(deltas), group).groupBy(*group, "delta").agg(
         F.max(F.when(gap < -F.col("delta"), F.col("d"))).alias("lower"),
-        F.min(F.when(gap > F.col("delta"), F.col("d"))).alias("upper"),
-        F.sum((F.abs(gap) > F.col("delta")).cast("long")).alias("n_called"))
+        F.min(F.when(gap > F.col("delta"), F.col("d"))).alias("upper")))
     outside = F.coalesce(F.col("d") <= F.col("lower"), F.lit(False)) | F.coalesce(F.col("d") >= F.col("upper"), F.lit(False))
-    falses = pair_all(cuts, permuted).groupBy("delta").agg((F.sum(outside.cast("long")) / reps).alias("n_false"))
-    chosen = falses.filter(F.col("n_false") <= target).agg(F.min("delta").alias("delta"))
-    out = pair_all(chosen, observed)
-    return out.select("gene", "d", "expected", (F.abs(gap) > F.col("delta")).alias("called"))
+    falses = permuted.join(maybe_broadcast(cuts), group).groupBy(*group, "delta").agg((F.sum(outside.cast("long")) / reps).alias("n_false"))
+    chosen = cut_lineage(falses.filter(F.col("n_false") <= target).groupBy(*group).agg(F.min("delta").alias("delta")))
+    out = observed.join(maybe_broadcast(chosen), group, "left")
+    return out.select(*keys, "gene", "d", "expected", F.coalesce(F.abs(gap) > F.col("delta"), F.lit(False)).alias("called"))
 
 
 def analyse_all(expr: DataFrame, method: str = "fold", keys: list[str] = ["dataset"], cls=1) -> DataFrame:
@@ -150,13 +163,9 @@ def analyse_all(expr: DataFrame, method: str = "fold", keys: list[str] = ["datas
         return fold_change(expr, keys=keys)
     if method == "ttest":
         return ttest(expr, cls, keys=keys).withColumnRenamed("is_significant", "changed")
-    if method == "sam":  # a data set at a time: each has its own permutations and its own delta
-        names = [r.asDict() for r in expr.select(*keys).distinct().orderBy(*keys).collect()]
-        parts = []
-        for name in names:
-            own = expr.filter(reduce(and_, (F.col(k).eqNullSafe(F.lit(v)) for k, v in name.items())))
-            parts.append(sam(own, cls).select(*[F.lit(v).alias(k) for k, v in name.items()], "gene", "d", F.col("called").alias("changed")))
-        return union_all(parts)
+    if method == "sam":  # a struct of the keys is never null itself
+        packed = expr.select(F.struct(*keys).alias("_set"), "gene", "sample", "value", "cls")
+        return sam(packed, cls, keys=["_set"]).select("_set.*", "gene", "d", F.col("called").alias("changed"))
     raise ValueError(f"unknown method {method}")
 
 
@@ -190,9 +199,7 @@ def gsea(expr: DataFrame, gene_sets: DataFrame, cls=1, reps: int = 100, weight:
     """Gene-set enrichment with permuted labels: es, nes, p and fdr per set."""
     sets = sized_sets(gene_sets, expr, low, high)
     scores = permuted_moments(expr, cls, reps, seed).select("rep", "gene", _snr().alias("snr"))
-    by_rep = Window.partitionBy("rep")
-    ranked = scores.withColumns({
-        "rank": F.row_number().over(by_rep.orderBy(F.desc("snr"), "gene")), "n_genes": F.count("*").over(by_rep)})
+    ranked = exact_ranks(scores, ["rep"], [F.desc("snr"), F.col("gene")], total="n_genes")
     es = cut_lineage(enrichment_scores(ranked, sets, weight))
     null, observed = es.filter("rep >= 0"), es.filter("rep = -1").drop("rep")
     scale = null.groupBy("set_name").agg(

@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandframe.session import cut_lineage, maybe_broadcast
+
 # kind: (value of the row itself counts, scan runs from the end)
 _KINDS = {
     "last": (True, False), "last_before": (False, False), "next": (True, True), "next_after": (False, True),
@@ -18,6 +20,29 @@ _KINDS = {
 }
 
 
+def exact_ranks(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", total: str | None = None) -> DataFrame:
+    """``df`` with each row's place from 1 within its keys and, in ``total``, the number of rows of its keys.
+
+    Rows are cut into ranges of (keys, order) of about equal size, so a key of any size is many tasks and equal values
+    are parted by what follows in ``order``, which should be unique within a key. A row's place is that within its
+    range plus the rows of its keys in the ranges before. Null keys count as one key.
+    """
+    conf = df.sparkSession
+    pieces = max(int(conf.conf.get("spark.sql.shuffle.partitions")), 2 * conf.sparkContext.defaultParallelism)
+    # written once, as a second run might draw other range borders
+    ranged = cut_lineage(df.repartitionByRange(pieces, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))  # at most keys + ranges rows
+    w = Window.partitionBy(*keys)
+    before = cut_lineage(sizes.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range").alias("_from"),
+        (F.sum("_n").over(w.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_total")))
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], F.col("_range") == F.col("_from"))
+    out = placed.join(maybe_broadcast(before), same)
+    added = [F.col("_total").alias(total)] if total else []
+    return out.select(*df.columns, (F.col("_before") + F.col("_place")).alias(name), *added)
+
+
 def _over(kind: str, keys: list, order: str, value: Column, own: bool | None = None) -> Column:
     """Window for a kind. Every frame starts at the unbounded side and grows row by row;
     looking ahead is looking back in descending order, which keeps the scan linear."""

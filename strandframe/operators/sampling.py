@@ -25,21 +25,24 @@ def repeat(df: DataFrame, reps: int, name: str = "rep") -> DataFrame:
     return df.repartition(pieces).withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
 
 
-def hash_draw(pool: DataFrame, item: str, reps: int, size: int | float, strata: list[str] | None = None,
+def hash_draw(pool: DataFrame, item: str, reps: int, size: int | float | str, strata: list[str] | None = None,
               seed: int = 0, digits: int = 2) -> DataFrame:
     """Exactly ``size`` items (or that share of each stratum, rounded) per repetition, without replacement.
 
+    ``size`` may name a column that holds the number wanted from a stratum.
+
     Items are counted by the leading digits of their hash. Buckets above the cut are dropped
     where they arise; ranks are taken within a bucket, so no task sorts a full pool.
     """
     strata = strata or []
     group = [*strata, "rep"]
-    rows = repeat(pool.select(*strata, item), reps).withColumn("_h", hash_key(item, "rep", seed=seed))
+    named = [size] if isinstance(size, str) else []
+    rows = repeat(pool.select(*strata, item, *named), reps).withColumn("_h", hash_key(item, "rep", seed=seed))
     rows = rows.withColumn("_b", F.substring("_h", 1, digits))
-    counts = rows.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(*group, "_b").agg(F.count("*").alias("_n"), *[F.max(c).alias("_size") for c in named])
     w = Window.partitionBy(*group).orderBy("_b")
     total = F.sum("_n").over(Window.partitionBy(*group))
-    want = F.round(total * size) if isinstance(size, float) else F.lit(size)
+    want = F.col("_size") if named else F.round(total * size) if isinstance(size, float) else F.lit(size)
     cut = (
         counts.withColumns({"_upto": F.sum("_n").over(w), "_all": total, "_want": F.least(want.cast("long"), total)})
         .filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))

@@ -209,9 +209,37 @@ def e12(spark, d):
     return observed.select("gene", F.round("d", 7).alias("d"), F.round("expected", 7).alias("expected"))
 
 
-@query("e12_sam_calls")
+def _sam_sql(data_set: str, target: float) -> str:
+    """Calls of each data set: labels drawn, the constant, expected values, cut-offs and false calls, step by step."""
+    return f"""{EXPR_SQL}, ex0 AS (SELECT *, {data_set} AS ds FROM expr), smp AS (SELECT DISTINCT ds, sample, cls FROM ex0), k AS (SELECT ds, count(*) AS k FROM smp WHERE cls = 1 GROUP BY 1),
+  draws AS (SELECT ds, rep, sample FROM (SELECT ds, rep, sample, row_number() OVER (PARTITION BY ds, rep ORDER BY md5(sample || '#' || rep || '#0'), sample) AS r FROM smp, (SELECT unnest(range(100)) AS rep)) JOIN k USING (ds) WHERE r <= k
+    UNION ALL SELECT ds, -1, sample FROM smp WHERE cls = 1),
+  lab AS (SELECT s.ds, r.rep, s.sample, d.sample IS NOT NULL AS one FROM smp s CROSS JOIN (SELECT DISTINCT rep FROM draws) r LEFT JOIN draws d ON d.ds = s.ds AND d.rep = r.rep AND d.sample = s.sample),
+  pm AS (SELECT ds, rep, gene, count(*) FILTER (one) AS n1, count(*) FILTER (NOT one) AS n0, avg(value) FILTER (one) AS m1, avg(value) FILTER (NOT one) AS m0,
+    var_samp(value) FILTER (one) AS v1, var_samp(value) FILTER (NOT one) AS v0 FROM ex0 JOIN lab USING (ds, sample) GROUP BY 1, 2, 3),
+  st AS (SELECT ds, rep, gene, m1 - m0 AS diff, sqrt((1 / n1 + 1 / n0) * ((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS s FROM pm),
+  marks AS (SELECT ds, quantile_cont(s, {[i / 20 for i in range(21)]}) AS q, quantile_cont(s, {[i / 10 for i in range(1, 10)]}) AS c FROM st WHERE rep = -1 GROUP BY 1),
+  tried AS (SELECT ds, s0, len(list_filter(c, lambda e: s >= e)) AS b, diff / (s + s0) AS d FROM st JOIN marks USING (ds), LATERAL (SELECT unnest(list_distinct(q)) AS s0) WHERE rep = -1),
+  mids AS (SELECT ds, s0, b, median(d) AS mid FROM tried GROUP BY 1, 2, 3), mads AS (SELECT ds, s0, b, median(abs(d - mid)) AS v FROM tried JOIN mids USING (ds, s0, b) GROUP BY 1, 2, 3),
+  fudge AS (SELECT ds, arg_min(s0, (cv, s0)) AS s0 FROM (SELECT ds, s0, stddev_samp(v) / avg(v) AS cv FROM mads GROUP BY 1, 2) WHERE cv IS NOT NULL GROUP BY 1),
+  dd AS (SELECT ds, rep, gene, diff / (s + s0) AS d FROM st JOIN fudge USING (ds)), rk AS (SELECT *, row_number() OVER (PARTITION BY ds, rep ORDER BY d, gene) AS r FROM dd),
+  o AS (SELECT ds, gene, d, expected, d - expected AS gap FROM rk JOIN (SELECT ds, r, avg(d) AS expected FROM rk WHERE rep >= 0 GROUP BY 1, 2) USING (ds, r) WHERE rep = -1),
+  deltas AS (SELECT DISTINCT ds, unnest(q) AS delta FROM (SELECT ds, quantile_cont(abs(gap), {[i / 20 for i in range(21)]}) AS q FROM o GROUP BY 1)),
+  cuts AS (SELECT ds, delta, max(d) FILTER (gap < -delta) AS lower, min(d) FILTER (gap > delta) AS upper FROM o JOIN deltas USING (ds) GROUP BY 1, 2),
+  falses AS (SELECT ds, delta, count(*) FILTER (d <= lower OR d >= upper) / 100 AS n_false FROM dd JOIN cuts USING (ds) WHERE rep >= 0 GROUP BY 1, 2),
+  called AS (SELECT o.*, abs(gap) > delta AS called FROM o JOIN (SELECT ds, min(delta) AS delta FROM falses WHERE n_false <= {target} GROUP BY 1) USING (ds))"""
+
+
+@query("e12_sam_calls", f"WITH {_sam_sql('0', 2.0)} SELECT gene, round(d, 7) AS d, round(expected, 7) AS expected, called FROM called")
 def e12b(spark, d):
-    return ex.sam(expr(spark, d), 1, 100, target=2.0)
+    out = ex.sam(expr(spark, d), 1, 100, target=2.0)
+    return out.select("gene", F.round("d", 7).alias("d"), F.round("expected", 7).alias("expected"), "called")
+
+
+@query("e13_sam", f"WITH {_sam_sql('sample % 3', 1.0)} SELECT ds AS dataset, gene, round(d, 7) AS d, called AS changed FROM called")
+def e13b(spark, d):
+    e = expr(spark, d).withColumn("dataset", F.col("sample") % 3)
+    return ex.analyse_all(e, "sam").withColumn("d", F.round("d", 7))
 
 
 @query("e13_analyse_all", f"""WITH {EXPR_SQL}, dsn AS (SELECT *, sample % 3 AS dataset FROM expr), m AS (SELECT dataset, gene, cls, avg(value) AS m FROM dsn GROUP BY 1, 2, 3)

@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandframe.functions import scalars as sc
-from strandframe.operators import aggregates as agg, alignment as al, bins as bn, clinical as cl, enrichment as en, features as ft
+from strandframe.operators import aggregates as agg, alignment as al, bins as bn, clinical as cl, enrichment as en, expression as ex, features as ft
 from strandframe.operators import joins, mixture as mx, models as ml, motifs as mt, network, partitions as pt, pileup as pu, pwm as pw
-from strandframe.operators.ordered import ordered_scan
+from strandframe.operators.ordered import exact_ranks, ordered_scan
 from strandframe.operators.sampling import hash_draw, permute_labels
 from strandframe.sources import sinks
 
@@ -219,6 +219,32 @@ def test_hash_draw_sizes_and_rerun(spark):
     assert flip.groupBy("rep").agg(F.countDistinct("relabelled").alias("d")).filter("d <> 997").isEmpty()
 
 
+def test_exact_ranks_of_hot_and_tied_keys(spark):
+    data = [(None if i % 3 else "k", 1.0 if i % 5 else float(-i), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "key string, v double, id int").repartition(5)
+    got = exact_ranks(df, ["key"], [F.desc("v"), F.col("id")], total="n")
+    assert got.columns == ["key", "v", "id", "rank", "n"]
+    for key in (None, "k"):
+        want = sorted((-v, i) for k, v, i in data if k == key)
+        mine = sorted((r["rank"], r["id"]) for r in got.collect() if r["key"] == key)
+        assert mine == [(p + 1, i) for p, (_, i) in enumerate(want)]
+    assert {(r["key"], r["n"]) for r in got.collect()} == {(None, 2000), ("k", 1000)}
+    assert exact_ranks(df.limit(0), ["key"], [F.col("id")]).isEmpty()
+
+
+def test_sam_of_data_sets_equals_each_by_itself(spark):
+    data = [(s, f"g{g}", i, (3.0 if g < 3 and i < 5 else 0.0) + RNG.random(), int(i < 5)) for s in ("a", "b", None) for g in range(30) for i in range(10)]
+    data += [("one class", f"g{g}", i, RNG.random(), 1) for g in range(4) for i in range(4)]
+    df = spark.createDataFrame(data, "dataset string, gene string, sample int, value double, cls int")
+    got = ex.analyse_all(df, "sam")
+    for name in ("a", "b", None):
+        alone = ex.sam(df.filter(F.col("dataset").eqNullSafe(F.lit(name))).drop("dataset"))
+        mine = {r["gene"]: (r["d"], r["changed"]) for r in got.collect() if r["dataset"] == name}
+        assert mine == {r["gene"]: (pytest.approx(r["d"]), r["called"]) for r in alone.collect()}
+        assert all(mine[f"g{g}"][1] for g in range(3)) and len(mine) == 30
+    assert got.filter("dataset = 'one class'").isEmpty()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 101, 1024])
 def test_permute_labels_is_a_permutation_of_any_size(spark, n):
     pool = spark.range(n).select(F.concat(F.lit("i"), "id").alias("item"))
