@@ -133,7 +133,7 @@ def to_pileup(alignments: DataFrame, seqs: DataFrame) -> DataFrame:
     """Reference columns of each sequence: (ref_id, seq_id, ref_pos, base, ref_base, is_match)."""
     named = seqs.select("seq_id", F.md5("seq").alias("digest")).join(alignments, "digest")
     columns = F.arrays_zip(F.split("aligned", "").alias("base"), F.split("aligned_ref", "").alias("ref_base"))
-    kept = F.filter(columns, lambda x: x["ref_base"] != "-")
+    kept = F.filter(columns, lambda x: ~x["ref_base"].isin("-", ""))
     rows = named.select("ref_id", "seq_id", F.posexplode(kept).alias("ref_pos", "x"))
     return rows.select("ref_id", "seq_id", "ref_pos", F.col("x.base").alias("base"), F.col("x.ref_base").alias("ref_base"),
                        (F.col("x.base") == F.col("x.ref_base")).alias("is_match"))

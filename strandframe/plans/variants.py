@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandframe.operators import alignment as al, features as ft, motifs as mt, pileup as pu
+from strandframe.operators import alignment as al, columns as co, features as ft, motifs as mt, pileup as pu
 from strandframe.plans.motifs import _CODON_ROWS, _DNA, _HITS, dna
 from strandframe.plans.registry import query, table
 from strandframe.plans.views import MOTIFS, PILEUP_SQL, pileup, seqs
+from strandframe.session import cut_lineage
 
 _P = "WITH " + PILEUP_SQL
 _RUNS = _P + """, marks AS (SELECT *, max(CASE WHEN NOT is_match THEN ref_pos END) OVER (PARTITION BY seq_id ORDER BY ref_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prev,
@@ -36,8 +37,10 @@ def v8(spark, d):
 
 @query("v9_run_lengths", _RUNS + " SELECT seq_id, count(*) AS n, max(forward) AS longest, CAST(sum(forward) AS BIGINT) AS sum_forward, CAST(sum(backward) AS BIGINT) AS sum_backward FROM runs GROUP BY 1")
 def v9(spark, d):
-    return _runs(spark, d).groupBy("seq_id").agg(
-        F.count("*").alias("n"), F.max("forward").alias("longest"), F.sum("forward").alias("sum_forward"), F.sum("backward").alias("sum_backward"))
+    s = seqs(spark, d)
+    ref = s.groupBy().agg(F.min(F.struct("seq_id", "seq")).alias("r")).select(F.lit("ref").alias("ref_id"), "r.seq")
+    out = co.run_summary(co.pack_sequences(s, ref))
+    return out.select("seq_id", "n", F.col("longest").cast("int").alias("longest"), F.col("total").alias("sum_forward"), F.col("total").alias("sum_backward"))
 
 
 @query("v10_distance_to_next", _RUNS.replace("runs AS", "runs0 AS") + " SELECT seq_id, count(nxt) AS n, CAST(sum(nxt - ref_pos) AS BIGINT) AS total FROM marks GROUP BY 1")
@@ -317,10 +320,12 @@ def _ends(s: DataFrame) -> DataFrame:
 
 # Best score of every pair (digest, ref_id, t, r), found along the diagonals of its table of cells: a row holds
 # the score at column j of a diagonal and of the one before it.
-_SCORES = """cells AS (SELECT digest, ref_id, t, r, 0 AS d, j, CASE WHEN j = 0 THEN 0 END AS cur, CAST(NULL AS INTEGER) AS prev FROM pairs, LATERAL (SELECT unnest(range(length(r) + 1)) AS j)
+_SCORES = """cells AS (SELECT digest, ref_id, t, r, 0 AS d, j, CASE WHEN j = 0 THEN 0 END AS cur, CAST(NULL AS INTEGER) AS prev, 0 AS step FROM pairs, LATERAL (SELECT unnest(range(length(r) + 1)) AS j)
     UNION ALL
     SELECT a.digest, a.ref_id, a.t, a.r, a.d + 1, a.j, CASE WHEN a.d + 1 < a.j OR a.d + 1 - a.j > length(a.t) THEN NULL
-      ELSE greatest(a.cur - 8, b.cur - 8, b.prev + CASE WHEN substr(a.t, a.d + 1 - a.j, 1) = substr(a.r, a.j, 1) THEN 5 ELSE -4 END) END, a.cur
+      ELSE greatest(a.cur - 8, b.cur - 8, b.prev + CASE WHEN substr(a.t, a.d + 1 - a.j, 1) = substr(a.r, a.j, 1) THEN 5 ELSE -4 END) END, a.cur,
+      CASE WHEN a.d + 1 = a.j THEN 1 WHEN a.j = 0 THEN 2
+        WHEN b.prev + CASE WHEN substr(a.t, a.d + 1 - a.j, 1) = substr(a.r, a.j, 1) THEN 5 ELSE -4 END >= greatest(a.cur - 8, b.cur - 8) THEN 0 WHEN b.cur >= a.cur THEN 1 ELSE 2 END
     FROM cells a LEFT JOIN cells b ON b.digest = a.digest AND b.ref_id = a.ref_id AND b.j = a.j - 1 WHERE a.d < length(a.t) + length(a.r)),
   best AS (SELECT digest, ref_id, CAST(cur AS BIGINT) AS score FROM cells WHERE d = length(t) + length(r) AND j = length(r))"""
 _TURNS_SQL = "s AS (SELECT item_id AS seq_id, lower(text) AS seq FROM benchmark)"
@@ -347,6 +352,49 @@ def v1_scores(spark, d):
 def v2(spark, d):
     s = _turns(spark, d)
     refs = s.groupBy().agg(F.min(F.struct("seq_id", "seq")).alias("r")).select(F.col("r.seq_id").cast("string").alias("ref_id"), F.col("r.seq").alias("seq"))
-    from strandframe.session import cut_lineage
     store = cut_lineage(al.align_to_refs(s.filter(F.contains("seq", F.lit("tion"))), refs))
     return al.reuse_alignments(s, refs, store).select("digest", "ref_id", "score")
+
+
+def _chain(spark, d):
+    """Alignment of all texts to two references, packed, with the fragments."""
+    s = _turns(spark, d)
+    packed = cut_lineage(co.pack_alignments(al.align_to_refs(s, _ends(s)), s))
+    return packed, cut_lineage(co.fragments(packed))
+
+
+_CHAIN = f"""WITH RECURSIVE {_TURNS_SQL}, ends AS (SELECT min((length(seq), seq_id, seq)) AS a, max((length(seq), seq_id, seq)) AS b FROM s),
+  refs AS (SELECT DISTINCT CAST(q[2] AS VARCHAR) AS ref_id, q[3] AS r FROM (SELECT unnest([a, b]) AS q FROM ends)),
+  pairs AS (SELECT DISTINCT md5(seq) AS digest, seq AS t, ref_id, r FROM s, refs), {_SCORES},
+  moves AS (SELECT digest, ref_id, d - j AS i, list(step ORDER BY j) AS steps FROM cells WHERE cur IS NOT NULL GROUP BY 1, 2, 3),
+  path AS (SELECT digest, ref_id, t, r, length(t) AS i, length(r) AS j FROM pairs
+    UNION ALL SELECT p.digest, p.ref_id, t, r, p.i - CAST(steps[j + 1] <> 1 AS INTEGER), j - CAST(steps[j + 1] <> 2 AS INTEGER)
+      FROM path p JOIN moves m ON m.digest = p.digest AND m.ref_id = p.ref_id AND m.i = p.i WHERE p.i + j > 0),
+  pile AS (SELECT p.ref_id, seq_id, j - 1 AS ref_pos, CASE WHEN steps[j + 1] = 0 THEN substr(t, p.i, 1) ELSE '-' END AS base, substr(r, j, 1) AS ref_base
+    FROM path p JOIN moves m ON m.digest = p.digest AND m.ref_id = p.ref_id AND m.i = p.i JOIN s ON md5(seq) = p.digest WHERE j > 0 AND steps[j + 1] < 2),
+  bounds AS (SELECT ref_id, seq_id, min(ref_pos) AS lo, max(ref_pos) AS hi FROM pile WHERE regexp_full_match(base, '[A-Za-z]') GROUP BY 1, 2),
+  inside AS (SELECT * FROM pile JOIN bounds USING (ref_id, seq_id) WHERE ref_pos BETWEEN lo AND hi)"""
+
+
+@query("v12_chain_calls", _CHAIN + """, runs AS (SELECT *, base = ref_base AS same,
+    coalesce(min(CASE WHEN base <> ref_base THEN ref_pos END) OVER (PARTITION BY ref_id, seq_id ORDER BY ref_pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), hi + 1)
+    - coalesce(max(CASE WHEN base <> ref_base THEN ref_pos END) OVER (PARTITION BY ref_id, seq_id ORDER BY ref_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lo - 1) AS around FROM inside),
+  sites AS (SELECT ref_id, ref_pos FROM runs GROUP BY 1, 2 HAVING avg(CAST(around > 4 AS INTEGER)) > 0.05 AND avg(CAST(NOT same AS INTEGER)) > 0.05)
+  SELECT ref_id, seq_id, ref_pos, CASE WHEN ref_pos BETWEEN lo AND hi THEN base END AS base FROM pile JOIN sites USING (ref_id, ref_pos) LEFT JOIN bounds USING (ref_id, seq_id)""")
+def v12_chain(spark, d):
+    packed, bounds = _chain(spark, d)
+    sites = co.snp_sites(co.match_runs(packed, bounds), bounds, min_run=4)
+    return co.base_calls(packed, sites, bounds).withColumn("ref_pos", F.col("ref_pos").cast("int"))
+
+
+@query("v13_chain_mutations", _CHAIN + f""", codons(codon, aa) AS (VALUES {_CODON_ROWS}), genes AS (SELECT r_name AS gene, r_regionkey * 40 AS a, r_regionkey * 40 + 62 AS b FROM region),
+  words AS (SELECT ref_id, seq_id, gene, (ref_pos - a) // 3 AS codon, translate(string_agg(base, '' ORDER BY ref_pos), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS c,
+    translate(string_agg(ref_base, '' ORDER BY ref_pos), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS rc
+    FROM inside JOIN genes ON ref_pos >= a AND ref_pos < b GROUP BY 1, 2, 3, 4 HAVING count(*) = 3)
+  SELECT ref_id, seq_id, gene, w.codon, c AS codon_seq, rc AS codon_ref, CAST(CASE WHEN coalesce(x.aa, 'X') = coalesce(y.aa, 'X') THEN 0 WHEN x.aa = '*' OR y.aa = '*' THEN 2 ELSE 1 END AS INTEGER) AS mutation_class
+  FROM words w LEFT JOIN codons x ON x.codon = c LEFT JOIN codons y ON y.codon = rc WHERE c <> rc""")
+def v13_chain(spark, d):
+    packed, bounds = _chain(spark, d)
+    first = F.col("r_regionkey") * 40
+    genes = table(spark, d, "region").select(F.col("r_name").alias("gene"), first.alias("start"), (first + 62).alias("end"))
+    return co.classify_mutations(packed, genes, bounds).select("ref_id", "seq_id", "gene", "codon", "codon_seq", "codon_ref", "mutation_class")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandframe.functions import scalars as sc
-from strandframe.operators import aggregates as agg, alignment as al, bins as bn, clinical as cl, enrichment as en, expression as ex, features as ft
+from strandframe.operators import aggregates as agg, alignment as al, bins as bn, clinical as cl, columns as co, enrichment as en, expression as ex, features as ft
 from strandframe.operators import joins, mixture as mx, models as ml, motifs as mt, network, partitions as pt, pileup as pu, pwm as pw
 from strandframe.operators.ordered import exact_ranks, ordered_scan
 from strandframe.operators.sampling import hash_draw, permute_labels
@@ -199,6 +199,78 @@ def test_reuse_aligns_missing_pairs_only(spark):
     assert {(r["ref_id"], r["score"] == 99) for r in got.collect()} == {("r", True), ("q", False)}
 
 
+@pytest.fixture()
+def small_pieces(monkeypatch):
+    monkeypatch.setattr(co, "SPAN", 5)
+
+
+def test_packed_columns_equal_letters(spark, small_pieces):
+    texts = [(i, "".join(RNG.choice("ACG") for _ in range(RNG.randint(0, 34)))) for i in range(12)] + [(90, None), (91, "CC" * 12), (92, "--ACGAC--")]
+    refs = [("r", "C" * 20), ("q", "ACG" * 8)]
+    packed = co.pack_sequences(spark.createDataFrame(texts, "seq_id int, seq string"), spark.createDataFrame(refs, "ref_id string, seq string"))
+    bounds, letters = co.fragments(packed), {}
+    for (r, ref), (s, t) in itertools.product(refs, texts):
+        letters[r, s] = [(b, ref[p] if p < len(ref) else "-") for p, b in enumerate(t or "")]
+
+    def runs_of(cells, lo=0):
+        out, start = [], None
+        for p, (b, r) in enumerate([*cells, ("x", "y")]):
+            if b == r and start is None:
+                start = p
+            elif b != r and start is not None:
+                out.append((lo + start, lo + p))
+                start = None
+        return out
+
+    want = sorted((r, s, *x) for (r, s), c in letters.items() for x in runs_of(c))
+    assert rows(co.match_runs(packed), "ref_id", "seq_id", "start", "end") == want
+    ends = {}
+    for key, cells in letters.items():
+        mine = [p for p, (b, _) in enumerate(cells) if b.isalpha()]
+        if mine:
+            ends[key] = (mine[0], mine[-1])
+    assert rows(bounds, "ref_id", "seq_id", "first_pos", "last_pos") == sorted((*k, *v) for k, v in ends.items())
+    summary = {(r["ref_id"], r["seq_id"]): (r["n"], r["longest"], r["total"]) for r in co.run_summary(packed).collect()}
+    for key, cells in letters.items():
+        if cells:
+            sizes = [e - s for s, e in runs_of(cells)]
+            assert summary[key] == (len(cells), max(sizes, default=0), sum(n * (n + 1) // 2 for n in sizes))
+
+    inner = co.match_runs(packed, bounds)
+    assert rows(inner, "ref_id", "seq_id", "start", "end") == sorted((*k, *x) for k, (lo, hi) in ends.items() for x in runs_of(letters[k][lo:hi + 1], lo))
+    cover = {}
+    for (r, s), (lo, hi) in ends.items():
+        spans = runs_of(letters[r, s][lo:hi + 1], lo)
+        for p in range(lo, hi + 1):
+            size = next((e - b for b, e in spans if b <= p < e), 0)
+            cover.setdefault((r, p), []).append(size)
+    expected = {k: (sum(v > 0 and v + 1 > 2 for v in vs) / len(vs), sum(v == 0 for v in vs) / len(vs)) for k, vs in cover.items()}
+    sites = co.snp_sites(inner, bounds, 2)
+    got = {(r["ref_id"], r["ref_pos"]): (r["run_share"], r["mismatch_share"]) for r in sites.collect()}
+    assert got == {k: (pytest.approx(a), pytest.approx(b)) for k, (a, b) in expected.items() if a > 0.05 and b > 0.05}
+    calls = sorted((r, s, p, letters[r, s][p][0] if ends.get((r, s)) and ends[r, s][0] <= p <= ends[r, s][1] else None)
+                   for (r, p) in got for s, t in texts if p < len(t or ""))
+    assert sorted(map(str, rows(co.base_calls(packed, sites, bounds), "ref_id", "seq_id", "ref_pos", "base"))) == sorted(map(str, calls))
+    genes = spark.createDataFrame([("g", 1, 15), ("h", 7, 300), ("none", 4, 4)], "gene string, start int, end int")
+    changed = []
+    for (r, s), (lo, hi) in ends.items():
+        for g, a, e in (("g", 1, 15), ("h", 7, 300)):
+            for c in range(a, e - 2, 3):
+                if lo <= c and c + 2 <= hi and letters[r, s][c:c + 3] and any(b != x for b, x in letters[r, s][c:c + 3]):
+                    changed.append((r, s, g, (c - a) // 3, "".join(b for b, _ in letters[r, s][c:c + 3])))
+    assert rows(co.classify_mutations(packed, genes, bounds), "ref_id", "seq_id", "gene", "codon", "codon_seq") == sorted(changed)
+
+
+def test_packed_alignments_keep_reference_columns(spark, small_pieces):
+    seqs = spark.createDataFrame([(1, "ACGTACGTAC"), (2, "ACGTTTACGTAC"), (3, "ACACGTAC"), (4, "")], "seq_id int, seq string")
+    refs = spark.createDataFrame([("r", "ACGTACGTAC"), ("empty", "")], "ref_id string, seq string")
+    aligned = al.align_to_refs(seqs, refs)
+    packed = co.pack_alignments(aligned, seqs)
+    want = rows(al.to_pileup(aligned, seqs), "ref_id", "seq_id", "ref_pos", "base")
+    got = [(r["ref_id"], r["seq_id"], r["first"] + i, b) for r in packed.collect() for i, b in enumerate(r["base"][:5])]
+    assert sorted(got) == want and all(len(r["base"]) == len(r["ref_base"]) <= 7 for r in packed.collect())
+
+
 def test_classify_mutations(spark):
     ref, seq = "ATGAAATTTTGG", "ATGAAGTATTGA"
     pile = spark.createDataFrame([(1, i, s, r, s == r) for i, (s, r) in enumerate(zip(seq, ref))], "seq_id int, ref_pos int, base string, ref_base string, is_match boolean")
