@@ -148,6 +148,18 @@ def m11(spark, d):
     return bn.kmeans_bins(_hits(spark, d), s.count(), k=4)
 
 
+# With two clusters the best border is the one after which the squared sums over the counts are largest.
+@query("m11_two_bins", f"""WITH {_HITS}, often AS (SELECT motif FROM (SELECT DISTINCT motif, seq_id FROM hits) GROUP BY 1 HAVING count(*) >= 0.1 * (SELECT count(*) FROM documents)),
+  mass AS (SELECT motif, start AS x, count(*) AS n FROM hits JOIN often USING (motif) GROUP BY 1, 2),
+  sums AS (SELECT motif, x, CAST(sum(n) OVER w AS DOUBLE) AS n1, CAST(sum(n * x) OVER w AS DOUBLE) AS s1, CAST(sum(n) OVER (PARTITION BY motif) AS DOUBLE) AS n2, CAST(sum(n * x) OVER (PARTITION BY motif) AS DOUBLE) AS s2,
+    min(x) OVER (PARTITION BY motif) AS first, max(x) OVER (PARTITION BY motif) AS last FROM mass WINDOW w AS (PARTITION BY motif ORDER BY x)),
+  best AS (SELECT motif, first, last, CAST(ceil((s1 / n1 + (s2 - s1) / (n2 - n1)) / 2) AS INTEGER) AS border FROM sums WHERE x < last
+    QUALIFY row_number() OVER (PARTITION BY motif ORDER BY s1 * s1 / n1 + (s2 - s1) * (s2 - s1) / (n2 - n1) DESC, x) = 1)
+  SELECT motif, 0 AS bin_id, first AS lo, border AS hi FROM best UNION ALL SELECT motif, 1, border, last + 1 FROM best""")
+def m11_two(spark, d):
+    return bn.kmeans_bins(_hits(spark, d), seqs(spark, d).count(), k=2)
+
+
 _TURNED = SEQS_SQL + """, turned AS (SELECT seq_id, 'forward' AS orientation, seq AS s FROM seqs UNION ALL SELECT seq_id, 'reverse', reverse(seq) FROM seqs
   UNION ALL SELECT seq_id, 'complement', translate(seq, 'acgt', 'tgca') FROM seqs UNION ALL SELECT seq_id, 'reverse_complement', reverse(translate(seq, 'acgt', 'tgca')) FROM seqs),
   tchars AS (SELECT seq_id, orientation, n, unnest(l) AS c, unnest(range(len(l))) AS start FROM (SELECT seq_id, orientation, length(s) AS n, string_split(s, '') AS l FROM turned)),

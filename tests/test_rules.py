@@ -1,6 +1,8 @@
 """Hand-computed cases for rules that are easy to get almost right."""
 
+import itertools
 import math
+import random
 import time
 
 import numpy as np
@@ -58,6 +60,33 @@ def test_kmeans_bins_settle(spark):
     assert got == [(10, 32), (32, 72), (72, 94)]
 
 
+def test_kmeans_borders_are_never_beaten():
+    draw = random.Random(5)
+    for _ in range(150):
+        x = np.array(sorted(draw.sample(range(60), draw.randint(1, 9))), float)
+        n = np.array([draw.randint(1, 6) for _ in x], float)
+
+        def cost(cuts):
+            parts = zip([0, *cuts], [*cuts, len(x)])
+            return sum((n[a:b] * (x[a:b] - np.average(x[a:b], weights=n[a:b])) ** 2).sum() for a, b in parts)
+
+        for k in range(1, len(x) + 1):
+            got = bn.kmeans_borders(x, n, k)
+            assert len(got) == k - 1 and got == sorted(set(got)) and all(0 < c < len(x) for c in got)
+            assert cost(got) <= min(cost(c) for c in itertools.combinations(range(1, len(x)), k - 1)) + 1e-9
+
+
+def test_kmeans_bins_cover_all_positions(spark):
+    hits = spark.createDataFrame([("a", s, p) for s in range(6) for p in (5, 6, 100 + s, 900)] + [("a", 1, None), ("rare", 1, 3), (None, 1, 3)],
+                                 "motif string, seq_id int, start int")
+    got = bn.kmeans_bins(hits, 20, k=3).orderBy("lo").collect()
+    assert [(r["motif"], r["lo"], r["hi"]) for r in got] == [("a", 5, 54), ("a", 54, 502), ("a", 502, 901)]
+    few = bn.kmeans_bins(hits.filter("start < 7"), 20, k=9).orderBy("lo").collect()
+    assert [(r["lo"], r["hi"]) for r in few] == [(5, 6), (6, 7)]
+    assert bn.kmeans_bins(hits.limit(0), 20, k=3).isEmpty()
+
+
+
 def test_clean_term(spark):
     texts = [" apoptosis, cell death ,", "binding~ GO", "hsa04110 Cell cycle; hsa04110", "", "O"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
