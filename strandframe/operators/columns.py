@@ -73,6 +73,9 @@ def match_runs(packed: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     rows = packed.withColumns({"_lo": F.col("first"), "_hi": F.col("first") + _own()})
     if bounds is not None:
         rows = rows.join(bounds, KEYS).withColumns({"_lo": F.greatest("_lo", "first_pos"), "_hi": F.least("_hi", F.col("last_pos") + 1)})
+    # where the sequence has no '-', nothing matches past the reference's last letter
+    theirs = F.col("first") + F.length(F.rtrim("ref_base", F.lit("-")))
+    rows = rows.withColumn("_hi", F.when(F.contains("base", F.lit("-")), F.col("_hi")).otherwise(F.least("_hi", theirs)))
     here = rows.filter("_lo < _hi").select(*KEYS, "_lo", "_hi", *[
         F.split(F.substring(F.col(c), F.col("_lo") - F.col("first") + 1, F.col("_hi") - F.col("_lo")), "").alias(c) for c in ("base", "ref_base")])
     differs = F.zip_with("base", "ref_base", lambda b, r: b != r)
@@ -99,39 +102,97 @@ def run_summary(packed: DataFrame) -> DataFrame:
     return parts.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.max("longest").alias("longest"), F.sum("total").alias("total"))
 
 
+def spans(packed: DataFrame) -> DataFrame:
+    """First and last column of each piece, whatever stands there: the bounds under which every letter counts."""
+    return packed.filter(_own() > 0).select(*KEYS, F.col("first").alias("first_pos"), (F.col("first") + _own() - 1).alias("last_pos"))
+
+
+def change_points(bounds: DataFrame, runs: DataFrame | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
+    """Sums over fragments and runs for stretches of columns: ``(ref_id, ref_pos, _to, _cover, ...)``.
+
+    Of a column it counts how many fragments cover it (``_cover``) and sums each of ``counts`` over the runs that
+    cover it: starts and ends are summed by column before they are shuffled, and columns without a start or end share
+    the sums before them, up to ``_to``.
+    """
+    counts = counts or {}
+    names = ["_cover", *counts]
+
+    def events(df: DataFrame, start: str, stop: Column, values: dict[str, Column]) -> DataFrame:
+        both = F.array(F.struct(F.col(start).cast("long").alias("ref_pos"), F.lit(1).alias("s")), F.struct(stop.cast("long").alias("ref_pos"), F.lit(-1).alias("s")))
+        marked = df.select("ref_id", *[values.get(n, F.lit(0)).cast("long").alias(f"_v{n}") for n in names], F.inline(both))
+        return marked.select("ref_id", "ref_pos", *[(F.col(f"_v{n}") * F.col("s")).alias(n) for n in names])
+
+    every = events(bounds, "first_pos", F.col("last_pos") + 1, {"_cover": F.lit(1)})
+    if runs is not None:
+        every = every.unionByName(events(runs, "start", F.col("end"), counts))
+    steps = cut_lineage(every.groupBy("ref_id", "ref_pos").agg(*[F.sum(c).alias(c) for c in names]))
+    scanned = ordered_scan(steps, ["ref_id"], "ref_pos", [
+        *[(f"_s{n}", "sum", F.col(n)) for n in names], ("_to", "next_after", F.col("ref_pos"))], SPAN)
+    return scanned.filter("_s_cover > 0").select("ref_id", "ref_pos", "_to", *[F.col(f"_s{n}").alias(n) for n in names])
+
+
 def snp_sites(runs: DataFrame, bounds: DataFrame, min_run: int = 30, run_share: float = 0.05, mismatch_share: float = 0.05) -> DataFrame:
     """Columns of each reference where enough sequences lie in long match runs and enough differ.
 
-    Of a column it counts how many fragments cover it, how many runs and how many long runs: starts and ends are
-    summed by column before they are shuffled, and columns without a start or end share the counts before
-    them. As in the letter form the two lengths around a column count it twice, so n letters are n + 1.
+    As in the letter form the two lengths around a column count it twice, so n letters are n + 1.
     """
-    def events(df: DataFrame, start: str, stop: Column, *counts: Column) -> DataFrame:
-        both = F.array(F.struct(F.col(start).cast("long").alias("ref_pos"), F.lit(1).alias("s")), F.struct(stop.cast("long").alias("ref_pos"), F.lit(-1).alias("s")))
-        marked = df.select("ref_id", *[c.cast("long").alias(f"_c{i}") for i, c in enumerate(counts)], F.inline(both))
-        return marked.select("ref_id", "ref_pos", *[(F.col(f"_c{i}") * F.col("s")).alias(n) for i, n in enumerate(("_cover", "_match", "_long"))])
-
-    zero, one = F.lit(0), F.lit(1)
-    every = union_all([
-        events(bounds, "first_pos", F.col("last_pos") + 1, one, zero, zero),
-        events(runs, "start", F.col("end"), zero, one, F.col("end") - F.col("start") + 1 > min_run)])
-    steps = cut_lineage(every.groupBy("ref_id", "ref_pos").agg(*[F.sum(c).alias(c) for c in ("_cover", "_match", "_long")]))
-    counted = ordered_scan(steps, ["ref_id"], "ref_pos", [
-        ("_n", "sum", F.col("_cover")), ("_same", "sum", F.col("_match")), ("_in", "sum", F.col("_long")), ("_to", "next_after", F.col("ref_pos"))], SPAN)
-    shares = counted.filter("_n > 0").select(
-        "ref_id", "ref_pos", "_to", (F.col("_in") / F.col("_n")).alias("run_share"), ((F.col("_n") - F.col("_same")) / F.col("_n")).alias("mismatch_share"))
+    counted = change_points(bounds, runs, {"_match": F.lit(1), "_long": F.col("end") - F.col("start") + 1 > min_run})
+    shares = counted.select(
+        "ref_id", "ref_pos", "_to", (F.col("_long") / F.col("_cover")).alias("run_share"), ((F.col("_cover") - F.col("_match")) / F.col("_cover")).alias("mismatch_share"))
     kept = shares.filter((F.col("run_share") > run_share) & (F.col("mismatch_share") > mismatch_share))
     return kept.select("ref_id", F.explode(F.sequence(F.col("ref_pos"), F.col("_to") - 1)).alias("ref_pos"), "run_share", "mismatch_share")
 
 
+def log_mean_island(runs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """log2 of the mean forward run of each column that a run covers: (ref_id, ref_pos, log_run).
+
+    Forward runs at a column are the ends of its runs less the column, so the sum of ends and the number of runs say their sum.
+    """
+    counted = change_points(bounds, runs, {"_match": F.lit(1), "_ends": F.col("end")}).filter("_match > 0")
+    each = counted.select("ref_id", F.explode(F.sequence(F.col("ref_pos"), F.col("_to") - 1)).alias("ref_pos"), "_cover", "_match", "_ends")
+    return each.select("ref_id", "ref_pos", F.log2((F.col("_ends") - F.col("ref_pos") * F.col("_match")) / F.col("_cover")).alias("log_run"))
+
+
+def forward_counts(runs: DataFrame) -> DataFrame:
+    """How many sequences have a match run of each length from each column on: (ref_id, ref_pos, forward, n).
+
+    Equal runs are counted before their columns become rows, so rows grow with the different runs of a reference.
+    """
+    equal = cut_lineage(runs.groupBy("ref_id", "start", "end").agg(F.count("*").alias("n")))
+    cells = equal.select("ref_id", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("ref_pos"), "end", "n")
+    return cells.groupBy("ref_id", "ref_pos", (F.col("end") - F.col("ref_pos")).alias("forward")).agg(F.sum("n").alias("n"))
+
+
+def long_run_counts(runs: DataFrame, min_len: int) -> DataFrame:
+    """How many sequences have a match run of more than ``min_len`` letters from each column on: (ref_id, ref_pos, n); none: no row."""
+    starts = runs.filter(F.col("end") - F.col("start") > min_len).select("ref_id", "start", (F.col("end") - min_len).alias("end"))
+    covered = change_points(starts.select("ref_id", F.col("start").alias("first_pos"), (F.col("end") - 1).alias("last_pos")))
+    return covered.select("ref_id", F.explode(F.sequence(F.col("ref_pos"), F.col("_to") - 1)).alias("ref_pos"), F.col("_cover").alias("n"))
+
+
+def snps_per_sequence(packed: DataFrame, sites: DataFrame) -> DataFrame:
+    """Differing letters of each sequence at the sites: (ref_id, seq_id, n_snps); none: no row."""
+    at = F.col("_site") - F.col("first") + 1
+    letter = lambda c: F.substring(F.col(c), at.cast("int"), F.lit(1))
+    rows = packed.join(_by_piece(sites), ["ref_id", "first"]).select(*KEYS, "first", _own().alias("_n"), "base", "ref_base", F.explode("_sites").alias("_site"))
+    hit = rows.filter((at <= F.col("_n")) & (letter("base") != letter("ref_base")))
+    return hit.groupBy(*KEYS).agg(F.count("*").alias("n_snps"))
+
+
+def _by_piece(sites: DataFrame) -> DataFrame:
+    found = sites.select("ref_id", "ref_pos").distinct().groupBy("ref_id", (F.floor(F.col("ref_pos") / SPAN) * SPAN).alias("first")).agg(
+        F.collect_list("ref_pos").alias("_sites"))  # at most SPAN
+    return maybe_broadcast(cut_lineage(found))
+
+
 def base_calls(packed: DataFrame, sites: DataFrame, bounds: DataFrame) -> DataFrame:
     """Letter of each sequence at each site of its reference, NULL outside its fragment: (ref_id, seq_id, ref_pos, base)."""
-    by_piece = sites.select("ref_id", "ref_pos").distinct().groupBy("ref_id", (F.floor(F.col("ref_pos") / SPAN) * SPAN).alias("first")).agg(
-        F.collect_list("ref_pos").alias("_sites"))  # at most SPAN
-    rows = packed.join(maybe_broadcast(cut_lineage(by_piece)), ["ref_id", "first"]).join(bounds, KEYS, "left")
-    at = rows.select("*", F.explode("_sites").alias("ref_pos")).filter(F.col("ref_pos") < F.col("first") + _own())
-    letter = F.substring(F.col("base"), (F.col("ref_pos") - F.col("first") + 1).cast("int"), F.lit(1))
-    return at.select(*KEYS, "ref_pos", F.when(F.col("ref_pos").between(F.col("first_pos"), F.col("last_pos")), letter).alias("base"))
+    own = F.filter("_sites", lambda p: p < F.col("first") + _own())
+    letter = F.transform(own, lambda p: F.struct(p.alias("ref_pos"), F.substring(F.col("base"), (p - F.col("first") + 1).cast("int"), F.lit(1)).alias("base")))
+    # only the letters at sites meet the fragments, not the pieces
+    rows = packed.join(_by_piece(sites), ["ref_id", "first"]).select(*KEYS, letter.alias("_calls")).filter("size(_calls) > 0")
+    at = rows.join(bounds, KEYS, "left").select(*KEYS, "first_pos", "last_pos", F.inline("_calls"))
+    return at.select(*KEYS, "ref_pos", F.when(F.col("ref_pos").between(F.col("first_pos"), F.col("last_pos")), F.col("base")).alias("base"))
 
 
 def classify_mutations(packed: DataFrame, genes: DataFrame, bounds: DataFrame) -> DataFrame:

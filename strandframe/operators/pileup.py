@@ -50,6 +50,21 @@ def mask_fragments(pileup: DataFrame, keys: list[str] = ["seq_id"]) -> DataFrame
     return out.withColumns({c: F.when(inside, F.col(c)) for c in ("base", "is_match")}).drop("first_pos", "last_pos")
 
 
+def mask_counts(seqs: DataFrame) -> DataFrame:
+    """Columns of each sequence and those inside its fragment (seq_id, n, n_inside), as ``mask_fragments`` leaves them.
+
+    Rows of one id share a fragment. An empty text is one column without a letter.
+    """
+    size, lead, trail = F.length("seq"), F.regexp_instr("seq", F.lit("[A-Za-z]")), F.regexp_instr(F.reverse("seq"), F.lit("[A-Za-z]"))
+    facts = seqs.filter("seq_id IS NOT NULL AND seq IS NOT NULL").select(
+        "seq_id", F.greatest(size, F.lit(1)).alias("size"), F.when(lead > 0, lead).alias("lo"), F.when(lead > 0, size - trail + 1).alias("hi"))
+    sizes = facts.groupBy("seq_id", "size").agg(F.count("*").alias("_n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    w = Window.partitionBy("seq_id")  # at most the different sizes of an id
+    inside = F.greatest(F.least(F.max("hi").over(w), "size") - F.min("lo").over(w) + 1, F.lit(0))
+    each = sizes.select("seq_id", (F.col("_n") * F.col("size")).alias("n"), (F.col("_n") * F.coalesce(inside, F.lit(0))).alias("n_inside"))
+    return each.groupBy("seq_id").agg(F.sum("n").alias("n"), F.sum("n_inside").alias("n_inside"))
+
+
 def run_lengths(pileup: DataFrame, keys: list[str] = ["seq_id"], span: int = SPAN) -> DataFrame:
     """Length of the match run from each column to its end (forward) and from its start (backward)."""
     pos = F.col("ref_pos")
@@ -148,9 +163,13 @@ def islands(runs: DataFrame, min_size: int, min_hom: float, keys: list[str] = ["
     Stretches that overlap form a cluster; clusters do not influence each other, so the
     left-to-right pass runs per cluster.
     """
-    lengths = runs.groupBy(*keys, "ref_pos", "forward").agg(F.count("*").alias("_n"))
+    return islands_of_counts(runs.groupBy(*keys, "ref_pos", "forward").agg(F.count("*").alias("n")), runs, min_size, min_hom, keys)
+
+
+def islands_of_counts(lengths: DataFrame, seqs: DataFrame, min_size: int, min_hom: float, keys: list[str] = ["ref_id"]) -> DataFrame:
+    """``islands`` from the number ``n`` of sequences by column and forward run; ``seqs`` has all sequences by key."""
     w = Window.partitionBy(*keys, "ref_pos").orderBy(F.desc("forward")).rowsBetween(Window.unboundedPreceding, 0)
-    share = _share_of_all(lengths.withColumn("_cum", F.sum("_n").over(w)), runs, keys, "_cum")
+    share = _share_of_all(lengths.withColumn("_cum", F.sum("n").over(w)), seqs, keys, "_cum")
     best = share.filter((F.col("_share") >= min_hom) & (F.col("forward") >= min_size)).groupBy(
         *keys, "ref_pos").agg(F.max("forward").alias("length"))
     ends = best.withColumn("_end", F.col("ref_pos") + F.col("length"))
@@ -175,7 +194,13 @@ def islands(runs: DataFrame, min_size: int, min_hom: float, keys: list[str] = ["
 
 def islands_multi(runs: DataFrame, min_len: int, cuts: list[float], keys: list[str] = ["ref_id"]) -> DataFrame:
     """Stretches of columns where the share of all sequences in runs longer than ``min_len`` reaches each cut-off."""
-    share = _share_of_all(runs.groupBy(*keys, "ref_pos").agg(F.sum((F.col("forward") > min_len).cast("long")).alias("_n")), runs, keys, "_n")
+    counts = runs.groupBy(*keys, "ref_pos").agg(F.sum((F.col("forward") > min_len).cast("long")).alias("n"))
+    return islands_multi_of_counts(counts, runs, min_len, cuts, keys)
+
+
+def islands_multi_of_counts(counts: DataFrame, seqs: DataFrame, min_len: int, cuts: list[float], keys: list[str] = ["ref_id"]) -> DataFrame:
+    """``islands_multi`` from the number ``n`` of sequences in longer runs by column; ``seqs`` has all sequences by key."""
+    share = _share_of_all(counts, seqs, keys, "n")
     rows = share.withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in cuts]))).filter("_share >= cutoff")
     spans = rows.select(*keys, "cutoff", F.col("ref_pos").alias("start"), (F.col("ref_pos") + 1).alias("end"))
     from strandframe.operators.features import merge_intervals
@@ -236,6 +261,73 @@ def coord_map(aligned: DataFrame, keys: list[str] = ["seq_id"], span: int = SPAN
                       (letter("base") == 1).alias("has_base"))
 
 
+def _texts(seqs: DataFrame) -> DataFrame:
+    return seqs.filter("seq_id IS NOT NULL AND seq IS NOT NULL")
+
+
+def _letter_columns(ref: DataFrame, gaps: list[str]) -> DataFrame:
+    """Columns of one reference: ``col`` and ``is_letter`` (1 or 0)."""
+    return _letters(ref.select("seq"), "seq").select(F.col("ref_pos").cast("long").alias("col"), F.when(F.col("base").isin(*gaps), 0).otherwise(1).alias("is_letter"))
+
+
+def coord_sums(seqs: DataFrame, ref: DataFrame, gaps: list[str] = ["-"], span: int = SPAN) -> DataFrame:
+    """Sums of ``coord_map``'s indices over the columns of each sequence laid on ``ref(seq)``: seq_id, sum_test, sum_ref.
+
+    A letter at column i is in the index of every column from i on, so the number and the places of the letters
+    say the sums and no column becomes a row. Equal rows lie on the same columns, one after the other, as they
+    do in ``coord_map``; different texts of one id are summed each by itself.
+    """
+    pieces = _texts(seqs).select("seq_id", F.xxhash64("seq").alias("_text"), F.greatest(F.length("seq"), F.lit(1)).cast("long").alias("size"),
+                                 F.posexplode(chunks("seq", span, 0)).alias("_part", "_piece"))
+    places = F.filter(F.transform(F.split("_piece", ""), lambda x, i: F.when(~x.isin(*gaps), i.cast("long"))), lambda i: i.isNotNull())
+    here = pieces.select("seq_id", "_text", "size", "_part", places.alias("_at"))
+    of_piece = F.aggregate("_at", F.lit(0).cast("long"), lambda a, x: a + x) + F.col("_part") * span * F.size("_at")
+    m, size = F.col("_times"), F.col("size")
+    texts = here.groupBy("seq_id", "_text", "size").agg(
+        F.sum((F.col("_part") == 0).cast("long")).alias("_times"), F.sum(F.size("_at")).alias("_k"), F.sum(of_piece).alias("_s")).withColumns({
+            "_k": (F.col("_k") / m).cast("long"), "_s": (F.col("_s") / m).cast("long")})
+    cells = _letter_columns(ref, gaps).withColumn("_one", F.lit(0))
+    sums = ordered_scan(cells, ["_one"], "col", [("_rk", "sum", F.col("is_letter")), ("_rs", "sum", F.col("is_letter") * F.col("col"))], span)
+    up_to = sums.select((F.col("col") + 1).alias("_end"), "_rk", "_rs")
+    last = ref.select(F.greatest(F.length("seq"), F.lit(1)).cast("long").alias("_last"))
+    met = texts.crossJoin(F.broadcast(last)).withColumn("_end", F.least("size", "_last")).join(maybe_broadcast(up_to), "_end")
+
+    def total(k: str, s: str):
+        before = (size - 1) * F.col(k) - F.col(s)  # pairs of a letter and a later column
+        return m * m * before + (F.col(k) * m * (m + 1) / 2).cast("long") - m * size
+
+    return met.select("seq_id", total("_k", "_s").alias("sum_test"), total("_rk", "_rs").alias("sum_ref")).groupBy("seq_id").agg(
+        F.sum("sum_test").alias("sum_test"), F.sum("sum_ref").alias("sum_ref"))
+
+
+def lift_on_reference(seqs: DataFrame, ref: DataFrame, start: int, end: int, gaps: list[str] = ["-"], span: int = SPAN) -> DataFrame:
+    """``lift_range`` of one range to every sequence laid on ``ref(seq)``.
+
+    The column at which an end is reached is the same for all sequences, so only their letters up to
+    it matter. Rows of one id that are equal so far lie on the same columns, one after the other, as they do in
+    ``coord_map``; of those that differ the least result counts.
+    """
+    cells = _letter_columns(ref, gaps).withColumn("_one", F.lit(0))
+    ranked = ordered_scan(cells, ["_one"], "col", [("_r", "sum", F.col("is_letter"))], span).filter("is_letter = 1").select("_r", "col")
+    ranked = cut_lineage(ranked.filter(F.col("_r") <= max(start, end, 0) + 1))
+    wide = ranked.groupBy().agg(F.coalesce(F.max("col") + 2, F.lit(1)).cast("int").alias("_wide"))
+    heads = _texts(seqs).crossJoin(F.broadcast(wide)).select("seq_id", F.substring("seq", F.lit(1), F.col("_wide")).alias("seq"))
+    out = heads.groupBy("seq_id", "seq").agg(F.count("*").alias("_m"))
+    m = F.col("_m")
+    for name, value in (("lifted_start", start), ("lifted_end", end)):
+        # of m equal rows the letter that makes the index reach ``value`` is the k-th, in its j-th row
+        k = F.greatest(F.ceil(F.lit(value + 1) / m), F.lit(1)).cast("long")
+        out = out.withColumn("_r", k).join(maybe_broadcast(ranked), "_r", "left")
+        letters = F.transform(F.split(F.substring("seq", F.lit(1), (F.col("col") + 1).cast("int")), ""), lambda x: F.when(x.isin(*gaps), 0).otherwise(1))
+        cum = F.aggregate(F.slice(letters, 1, F.col("col").cast("int")), F.lit(0), lambda a, x: a + x)
+        own = F.element_at(letters, (F.col("col") + 1).cast("int"))
+        j = F.greatest(F.lit(value + 1) - m * (F.col("_r") - 1), F.lit(1))
+        reached = F.col("col") < F.greatest(F.length("seq"), F.lit(1))
+        out = out.withColumn(name, F.when(reached, m * cum + j * own - 1)).drop("_r", "col")
+    return out.groupBy("seq_id").agg(F.min("lifted_start").alias("lifted_start"), F.min("lifted_end").alias("lifted_end")).select(
+        "seq_id", F.lit(start).alias("start"), F.lit(end).alias("end"), "lifted_start", "lifted_end")
+
+
 def monotone(mapping: DataFrame, keys: list[str], pos: str, value: str, span: int = SPAN) -> DataFrame:
     """Mapping rows that do not fall back behind an earlier one."""
     out = ordered_scan(mapping, keys, pos, [("_m", "max_before", F.col(value))], span)
