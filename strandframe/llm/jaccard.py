@@ -6,8 +6,9 @@ Shingles that are frequent in a sample come last in the order; that keeps the ke
 At the first shared key of two sets, their places in both bound the overlap (position filter).
 
 A pair is discarded unless the sizes allow the similarity, the places do, the sets' SimHash
-fingerprints of 128 bits differ in at most ``RADIUS``, and their parities allow it; survivors are
-verified on the whole sets. A parity says for each of ``CELLS`` cells whether it holds an odd number
+fingerprints of 128 bits differ in at most ``RADIUS``, and their parities allow it. Before the bits their rows of
+the pivot table are held against each other: distances to the same reference fingerprint that differ by more than
+``RADIUS`` mean, by the triangle inequality, that the fingerprints do too. Survivors are verified on the whole sets. A parity says for each of ``CELLS`` cells whether it holds an odd number
 of the set's shingles. Shared shingles cancel in the exclusive or of two parities, so its set bits are
 at most the shingles that only one set has, of which there can be a ninth of both sizes: an exact bound. Fingerprints of sets of similarity 4/5 differ in 19 bits on average (standard deviation 4), those of
 unrelated sets in 64 (6). Sets of fewer than ``SMALL`` shingles, whose bits vary more, are not screened.
@@ -18,13 +19,15 @@ as many pairs as there are rows; then only members of different components are p
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandframe.llm.graph import components
-from strandframe.llm.simhash import BUCKET, fingerprint, least_of_groups, shingle_hashes
+from strandframe.llm.simhash import BUCKET, fingerprint, least_of_groups, pivots, shingle_hashes
 from strandframe.session import cut_lineage
 
 #: Words of a shingle.
@@ -37,6 +40,9 @@ CELLS = 512
 CROWD, NEXT = 64, 4
 #: Most bits of 128 in which fingerprints of linked sets differ, and the size from which that is asked.
 RADIUS, SMALL = 44, 32
+#: Reference fingerprints of the pivot table: two hashes for each.
+PIVOTS = 8
+_REFS = pivots(2 * PIVOTS)
 
 
 def shingle_set(text: bytes | None, size: int = SIZE) -> np.ndarray:
@@ -82,7 +88,7 @@ def parity(found: np.ndarray) -> np.ndarray:
 
 
 def marks(texts: DataFrame, size: int = SIZE) -> DataFrame:
-    """``id``, ``hash`` of the text, ``node`` (hash of the shingle set), ``n`` (its size), ``f1`` and ``f2`` (fingerprint), ``parity`` and ``prefix``."""
+    """``id``, ``hash`` of the text, ``node`` (hash of the shingle set), ``n`` (its size), ``f1`` and ``f2`` (fingerprint), ``pivots``, ``parity`` and ``prefix``."""
     sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, size))
 
     def of(rows: pd.Series) -> pd.DataFrame:
@@ -90,15 +96,22 @@ def marks(texts: DataFrame, size: int = SIZE) -> DataFrame:
         for text in rows:
             found = shingle_set(text, size)
             other = found * np.uint64(0x9E3779B97F4A7C15)  # the second half of the bits, from the shingles hashed on
-            bits = [xxhash.xxh64_intdigest(found.tobytes(), 42), fingerprint(found), fingerprint(other ^ other >> np.uint64(32))]
-            out.append((*np.array(bits, np.uint64).view(np.int64).tolist(), len(found), parity(found), signed_prefix(found, *sent.value)))
-        return pd.DataFrame(out, columns=["node", "f1", "f2", "n", "parity", "prefix"])
+            halves = fingerprint(found), fingerprint(other ^ other >> np.uint64(32))
+            bits = [xxhash.xxh64_intdigest(found.tobytes(), 42), *halves]
+            out.append((*np.array(bits, np.uint64).view(np.int64).tolist(), len(found), pivot_row(*halves), parity(found), signed_prefix(found, *sent.value)))
+        return pd.DataFrame(out, columns=["node", "f1", "f2", "n", "pivots", "parity", "prefix"])
 
-    udf = F.pandas_udf(of, "node long, f1 long, f2 long, n long, parity array<long>, prefix array<long>").asNondeterministic()
+    udf = F.pandas_udf(of, "node long, f1 long, f2 long, n long, pivots long, parity array<long>, prefix array<long>").asNondeterministic()
     return texts.select("id", F.xxhash64("text").alias("hash"), udf(F.col("text").cast("binary")).alias("s")).select("id", "hash", "s.*")
 
 
-_FACTS = ["node", "n", "f1", "f2", "place"]
+def pivot_row(f1: int, f2: int) -> int:
+    """Distances of a fingerprint to ``PIVOTS`` reference fingerprints, a byte each, as a signed long."""
+    row = [(f1 ^ int(a)).bit_count() + (f2 ^ int(b)).bit_count() for a, b in zip(_REFS[::2], _REFS[1::2])]
+    return int.from_bytes(bytes(row), "big", signed=True)
+
+
+_FACTS = ["node", "n", "f1", "f2", "pivots", "place"]
 
 
 def likely(x, y) -> Column:
@@ -110,8 +123,10 @@ def likely(x, y) -> Column:
     n, m = x["n"], y["n"]
     sizes = 5 * F.least(n, m) >= 4 * F.greatest(n, m)
     places = 9 * F.least(n - x["place"], m - y["place"]) >= 4 * (n + m)
+    byte = lambda v, k: F.shiftright(v, 8 * k).bitwiseAND(F.lit(255))
+    rows = functools.reduce(lambda a, b: a & b, [F.abs(byte(x["pivots"], k) - byte(y["pivots"], k)) <= RADIUS for k in range(PIVOTS)])
     bits = F.bit_count(x["f1"].bitwiseXOR(y["f1"])) + F.bit_count(x["f2"].bitwiseXOR(y["f2"]))
-    return sizes & places & ((F.least(n, m) < SMALL) | (bits <= RADIUS))
+    return sizes & places & ((F.least(n, m) < SMALL) | (rows & (bits <= RADIUS)))
 
 
 def sets_of(marked: DataFrame) -> DataFrame:
@@ -159,7 +174,7 @@ def extended(comps: DataFrame, more: DataFrame) -> DataFrame:
 def links(marked: DataFrame, texts: DataFrame, size: int = SIZE, bucket: int = BUCKET) -> DataFrame:
     """Links ``a``, ``b`` between different nodes whose closure is that of all pairs of similarity 4/5 or more."""
     nodes = sets_of(marked)
-    keys = marked.select("node", "n", "f1", "f2", F.posexplode("prefix").alias("place", "key"))
+    keys = marked.select("node", "n", "f1", "f2", "pivots", F.posexplode("prefix").alias("place", "key"))
     ends = keys.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("_last"))
     shared = cut_lineage(ends.filter("rep < _last").select("key", "rep"))
     kept = cut_lineage(keys.join(shared, "key").distinct())
