@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandframe.functions.scalars import (
@@ -212,12 +214,37 @@ def closest_match(seqs: DataFrame, query: str, both_strands: bool = True, seq: s
     classes = list(query)
     frame = orientations(seqs, seq) if both_strands else seqs.withColumn("orientation", F.lit("forward"))
     keep = [c for c in frame.columns if c != seq]
-    rows = placements(frame, len(classes), seq).select(
-        *keep, "start", _mismatches(classes).alias("mismatches"), _word(len(classes)).alias("match"))
+    pieces = frame.select(*keep, F.posexplode(chunks(seq, STEP, len(classes) - 1)).alias("_part", "_text"))
+    # a piece lets out its own best placements only, so few are ranked
+    best = pieces.select(*keep, "_part", "_text", _best_places(classes)("_text").alias("_b")).select(
+        *keep, "_part", "_text", F.col("_b.mismatches").alias("mismatches"), F.explode("_b.places").alias("_s"))
+    rows = best.select(*keep, (F.col("_part") * STEP + F.col("_s")).cast("int").alias("start"), "mismatches",
+                       F.substring("_text", F.col("_s") + 1, F.lit(len(classes))).alias("match"))
     w = Window.partitionBy(*keep).orderBy("mismatches")
     return rows.withColumn("_rank", F.rank().over(w)).filter("_rank = 1").drop("_rank")
 
 
+def _best_places(classes: list[str]):
+    """Fewest mismatches of a piece's placements and the places that have them."""
+    allowed = [None if c == "." else [ord(x) for x in c] for c in classes]
+    width = len(classes)
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        fewest, places = [], []
+        for text in texts:
+            letters = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+            n = min(STEP, len(letters) - width + 1)
+            total = np.zeros(max(n, 0), np.int32)
+            for j, ok in enumerate(allowed):
+                if ok is not None and n > 0:
+                    total += np.logical_and.reduce([letters[j:j + n] != x for x in ok])
+            fewest.append(int(total.min(initial=width)))
+            places.append(np.flatnonzero(total == fewest[-1]).astype(np.int32))
+        return pd.DataFrame({"mismatches": pd.array(fewest, "Int32"), "places": places})
+
+    return F.pandas_udf(of, "mismatches int, places array<int>")
+
+
 def first_pos(seqs: DataFrame, patterns: list[str] | DataFrame, seq: str = "seq") -> DataFrame:
     """1-based first position of each literal pattern, 0 when absent."""
     keep = _ids(seqs, seq)
