@@ -202,11 +202,13 @@ def overlap_counts(left: DataFrame, right: DataFrame, keys: list[str] = [], cap:
     sets. Both counts are added, so the result is whole.
     """
     on = [*keys, "x"]
-    held = left.groupBy(*on).agg(F.count("*").alias("_l")).join(right.groupBy(*on).agg(F.count("*").alias("_r")), on)
+    # repeated lists are small as files and large as rows, so Spark's guess by file size would send them whole to the driver
+    right = right.hint("merge")
+    held = left.groupBy(*on).agg(F.count("*").alias("_l")).join(right.groupBy(*on).agg(F.count("*").alias("_r")).hint("merge"), on)
     popular = cut_lineage(held.filter(F.greatest("_l", "_r") > cap).select(*on))
     if popular.isEmpty():
         return left.join(right, on).filter(F.col("i") < F.col("j")).groupBy(*keys, "i", "j").agg(F.count("*").alias("shared"))
-    rare = left.join(popular, on, "left_anti").join(right.join(popular, on, "left_anti"), on).filter(F.col("i") < F.col("j"))
+    rare = left.join(popular, on, "left_anti").join(right.join(popular, on, "left_anti").hint("merge"), on).filter(F.col("i") < F.col("j"))
     counts = rare.groupBy(*keys, "i", "j").agg(F.count("*").alias("n")).unionByName(
         _blocked_counts(left.join(popular, on, "left_semi"), right.join(popular, on, "left_semi"), keys))
     return counts.groupBy(*keys, "i", "j").agg(F.sum("n").alias("shared")).filter("shared > 0")
