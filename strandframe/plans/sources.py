@@ -123,12 +123,19 @@ def s9(spark, d):
 @query("s20_read_expression", """SELECT 'all' AS dataset, 'g' || (g - 1) AS probe, CAST(vec_id AS VARCHAR) AS sample, round(CAST(embedding[g] AS DOUBLE), 6) AS value, label AS cls FROM (SELECT vec_id, label, embedding, unnest(range(1, 65)) AS g FROM embeddings)""")
 def s20(spark, d):
     path = run_path(spark)
-    e = table(spark, d, "embeddings")
     # a fixed width keeps one sample name from being the prefix of another
-    long = e.select(F.concat(F.lit("S"), F.lpad(F.col("vec_id").cast("string"), 7, "0")).alias("sample"), "label", F.posexplode("embedding").alias("g", "v"))
-    names = [f"S{i:07d}" for i in range(e.count())]
-    long.groupBy(F.concat(F.lit("g"), "g").alias("probe")).pivot("sample", names).agg(F.first(F.col("v").cast("double"))).write.csv(f"{path}/m", sep="\t", header=True)
-    long.select(F.concat_ws(" ", "sample", F.concat(F.lit("D"), "label")).alias("value")).distinct().write.text(f"{path}/c")
+    e = table(spark, d, "embeddings").select(F.concat(F.lit("S"), F.lpad(F.col("vec_id").cast("string"), 7, "0")).alias("sample"), "label", "embedding").filter(
+        "sample IS NOT NULL AND size(embedding) > 0")
+    # a probe is a line of text, not a row with a column per sample
+    one = e.groupBy("sample").agg(F.first("embedding").alias("v"))
+    widest = one.agg(F.max(F.size("v"))).first()[0] or 1
+    cells = one.select("sample", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(widest - 1)), lambda g: F.get("v", g).cast("double"))).alias("g", "v"))
+    lines = cells.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("sample", F.coalesce(F.col("v").cast("string"), F.lit("")).alias("v")))).alias("c"))
+    lines = lines.select((F.col("g") % 8).alias("part"), (F.col("g") + 1).alias("at"), F.concat_ws("\t", F.concat(F.lit("g"), "g"), F.col("c.v")).alias("value"))
+    head = one.agg(F.concat_ws("\t", F.lit("probe"), F.array_sort(F.collect_list("sample"))).alias("value"))
+    heads = head.select(F.explode(F.sequence(F.lit(0), F.lit(min(widest, 8) - 1))).alias("part"), F.lit(0).alias("at"), "value")  # every file begins with it
+    lines.unionByName(heads).repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(f"{path}/m")
+    e.select(F.concat_ws(" ", "sample", F.concat(F.lit("D"), "label")).alias("value")).distinct().write.text(f"{path}/c")
     out = tables.read_expression(spark, f"{path}/m", f"{path}/c", "all")
     return out.select("dataset", "probe", F.expr("substring(sample, 2)").cast("int").cast("string").alias("sample"), F.round("value", 6).alias("value"), "cls")
 

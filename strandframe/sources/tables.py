@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandframe.functions.scalars import clean_term, split_multi
@@ -188,13 +190,17 @@ def read_expression(spark: SparkSession, matrix: str, classes: str, dataset: str
     head = head[0] if head else ""
     header = spark.createDataFrame([(head,)], "head string").select(F.posexplode(F.split("head", "\t")).alias("_at", "sample")).filter("_at > 0")
     header = header.select("_at", F.trim("sample").alias("sample"))
-    cells = raw.filter(F.col("value") != head).select(F.split("value", "\t").alias("_c")).select(F.trim(F.get("_c", F.lit(0))).alias("probe"), F.posexplode("_c").alias("_at", "value"))
+    # by digest, as the line of a wide matrix is no constant for a plan
+    rows = raw.filter(F.sha2("value", 256) != hashlib.sha256(head.encode()).hexdigest())
+    cells = rows.select(F.trim(F.substring_index("value", "\t", 1)).alias("probe"), F.split("value", "\t").alias("_c")).select("probe", F.posexplode("_c").alias("_at", "value"))
     long = cells.filter("_at > 0").join(maybe_broadcast(header), "_at").drop("_at")
     table = spark.read.text(classes).select(F.split(F.trim("value"), r"\s+").alias("f")).filter(F.size("f") == 2)
     table = table.select(F.col("f")[0].alias("prefix"), F.expr("try_cast(regexp_replace(f[1], '^D', '') AS INT)").alias("cls")).filter(
         "cls IS NOT NULL AND NOT (prefix RLIKE '^D[0-9]+$')")
-    known = header.select("sample").join(maybe_broadcast(table), F.col("sample").startswith(F.col("prefix"))).groupBy("sample").agg(
-        F.max_by("cls", F.length("prefix")).alias("cls"))
+    # a name is looked up by each of its beginnings: comparing every name with every prefix grows with their product
+    beginnings = header.select("sample").distinct().select("sample", F.explode(F.sequence(F.lit(0), F.length("sample"))).alias("_n"))
+    beginnings = beginnings.select("sample", F.expr("left(sample, _n)").alias("prefix"))
+    known = beginnings.join(table, "prefix").groupBy("sample").agg(F.max_by("cls", F.length("prefix")).alias("cls"))
     return long.join(maybe_broadcast(known), "sample").select(F.lit(dataset).alias("dataset"), "probe", "sample", _number("value").alias("value"), "cls")
 
 
