@@ -1,5 +1,6 @@
 """Steps whose cost must not grow faster than their input, against plain counts."""
 
+import random
 
 import pytest
 
@@ -7,7 +8,25 @@ from strandframe.operators import bins as bn, pwm as pw
 from strandframe.sources import tables
 
 
-@pytest.fixture(scope="module")
+def test_bins_are_counted_per_distinct_bin(spark):
+    r = random.Random(3)
+    hits = [(m, s, r.randrange(300)) for m in "ab" for s in [None, 1, 2, 3, 4] for _ in range(r.randrange(25))] + [("a", 1, None)]
+    cuts = {"a": [0, 3, 4, 100, 280], "b": [5, 5, 60, 299]}
+    more = [(m, lo, hi) for m in "ab" for lo in (0, 7, 64, 200) for hi in (64, 65, 250, 7)]
+    bins = [(m, lo, hi) for m, e in cuts.items() for lo, hi in zip(e, e[1:])] + more + more
+    spots = bn._spots(spark.createDataFrame(hits + hits, "motif string, seq_id int, start int"))
+    got = {tuple(x)[:3]: tuple(x)[3:] for x in bn.occupancy(spots, spark.createDataFrame(bins, "motif string, lo int, hi int")).collect()}
+
+    def plain(m, lo, hi):
+        per = {}
+        for motif, s, x in set(hits):
+            if motif == m and x is not None and lo <= x < hi:
+                per[s] = per.get(s, 0) + 1
+        return sum(n == 1 for n in per.values()), sum(n > 1 for n in per.values())
+
+    assert got == {b: plain(*b) for b in bins if any(plain(*b))}
+
+
 def scanned(spark):
     return spark.createDataFrame(SEQS, "seq_id int, seq string"), pw.pwm_from_regex(spark, [("en_dt", "en[dt]"), ("the", "the")], "adehntx")
 
