@@ -10,6 +10,7 @@ from strandframe.functions.scalars import chunks
 from strandframe.operators.joins import pair_all, range_join
 from strandframe.operators.ordered import ordered_scan, value_span
 from strandframe.operators.motifs import STEP
+from strandframe.session import cut_lineage
 
 #: Symbol whose weight applies to letters a position does not list.
 OTHER = "*"
@@ -17,9 +18,10 @@ OTHER = "*"
 
 def pwm_from_seqs(aligned: DataFrame, key: str = "pwm_id", seq: str = "seq") -> DataFrame:
     """Letter shares per column of aligned sequences."""
-    letters = aligned.select(key, F.posexplode(F.split(seq, "")).alias("offset", "symbol"))
-    counts = letters.groupBy(key, "offset", "symbol").agg(F.count("*").alias("n"))
-    totals = aligned.groupBy(key).agg(F.count("*").alias("_total"))
+    texts = cut_lineage(aligned.groupBy(key, seq).agg(F.count("*").alias("_n")))  # the rows are read once, equal ones count together
+    letters = texts.select(key, "_n", F.posexplode(F.split(seq, "")).alias("offset", "symbol"))
+    counts = letters.groupBy(key, "offset", "symbol").agg(F.sum("_n").alias("n"))
+    totals = texts.groupBy(key).agg(F.sum("_n").alias("_total"))
     return counts.join(totals, key).select(key, "offset", "symbol", (F.col("n") / F.col("_total")).alias("weight"))
 
 

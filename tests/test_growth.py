@@ -31,6 +31,12 @@ def scanned(spark):
     return spark.createDataFrame(SEQS, "seq_id int, seq string"), pw.pwm_from_regex(spark, [("en_dt", "en[dt]"), ("the", "the")], "adehntx")
 
 
+def test_equal_texts_are_counted_together(spark):
+    rows = [("p", "ab")] * 3 + [("p", "b"), ("p", None), ("q", "")]
+    got = {tuple(r)[:3]: r.weight for r in pw.pwm_from_seqs(spark.createDataFrame(rows, "pwm_id string, seq string")).collect() if r.symbol}
+    assert got == {("p", 0, "a"): 0.6, ("p", 0, "b"): 0.2, ("p", 1, "b"): 0.6}
+
+
 def test_wide_expression_matrix(spark, tmp_path):
     (tmp_path / "m").write_text("id\t" + "\t".join(f"s{i}x" for i in range(3000)) + "\ng\t" + "\t".join(str(i) for i in range(3000)) + "\n")
     (tmp_path / "c").write_text("s1 D1\ns12 D2\ns2 7\n")
