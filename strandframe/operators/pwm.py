@@ -120,12 +120,12 @@ def pwm_best(scores: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "pwm_id", F.col("_b.score").alias("score"), (-F.col("_b.neg")).alias("start"))
 
 
-def empirical_p(scores: DataFrame, null: DataFrame, key: str = "pwm_id") -> DataFrame:
+def empirical_p(scores: DataFrame, null: DataFrame, key: str = "pwm_id", times: str | None = None) -> DataFrame:
     """Share of null scores above each score, never below 1/n.
 
-    Both tables are condensed to distinct scores and counted on one axis.
+    Both tables are condensed to distinct scores and counted on one axis. A null row counts once, or ``times`` times.
     """
-    counts = null.groupBy(key, "score").agg(F.count("*").alias("_n"))
+    counts = cut_lineage(null.groupBy(key, "score").agg((F.sum(times) if times else F.count("*")).alias("_n")))
     asked = scores.select(key, "score").distinct().withColumn("_n", F.lit(0).cast("long"))
     axis = counts.unionByName(asked).groupBy(key, "score").agg(F.sum("_n").alias("_n"))
     running = ordered_scan(axis, [key], "score", [("_upto", "sum", F.col("_n"))], value_span(axis, "score"))

@@ -250,9 +250,9 @@ def m20(spark, d):
   FROM best b JOIN tot t USING (pwm_id)""")
 def m21(spark, d):
     from strandframe.session import cut_lineage
-    null = cut_lineage(_scores(spark, d).select("seq_id", "pwm_id", "score"))
-    asked = null.groupBy("seq_id", "pwm_id").agg((F.sum("score") / F.count("*")).alias("score"))
-    return pw.empirical_p(asked, null).select("seq_id", "pwm_id", F.round("p", 9).alias("p"))
+    null = cut_lineage(_scores(spark, d).groupBy("seq_id", "pwm_id", "score").agg(F.count("*").alias("n")))  # equal scores of a sequence are one row
+    asked = null.groupBy("seq_id", "pwm_id").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score"))
+    return pw.empirical_p(asked, null, times="n").select("seq_id", "pwm_id", F.round("p", 9).alias("p"))
 
 
 @query("m22_pwm_binned_max", f"""WITH {_SCORES}, bins(motif, bin_id, lo, hi) AS (SELECT m, bin_id, lo, hi FROM (VALUES ('en_dt'), ('thx')) a(m), (VALUES {_BIN_ROWS}, {_LAST}) b(bin_id, lo, hi))

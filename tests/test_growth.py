@@ -31,6 +31,13 @@ def scanned(spark):
     return spark.createDataFrame(SEQS, "seq_id int, seq string"), pw.pwm_from_regex(spark, [("en_dt", "en[dt]"), ("the", "the")], "adehntx")
 
 
+def test_null_scores_may_come_counted(spark):
+    null = spark.createDataFrame([("p", 1.0, 3), ("p", 2.0, 1), ("q", 1.0, 2)], "pwm_id string, score double, n long")
+    asked = spark.createDataFrame([("p", 0.5), ("p", 1.0), ("p", 2.0), ("q", 0.0), ("q", 9.0)], "pwm_id string, score double")
+    got = {(r.pwm_id, r.score): r.p for r in pw.empirical_p(asked, null, times="n").collect()}
+    assert got == {("p", 0.5): 1.0, ("p", 1.0): 0.25, ("p", 2.0): 0.25, ("q", 0.0): 1.0, ("q", 9.0): 0.5}
+
+
 def test_equal_texts_are_counted_together(spark):
     rows = [("p", "ab")] * 3 + [("p", "b"), ("p", None), ("q", "")]
     got = {tuple(r)[:3]: r.weight for r in pw.pwm_from_seqs(spark.createDataFrame(rows, "pwm_id string, seq string")).collect() if r.symbol}
