@@ -77,19 +77,28 @@ def _packed(pwm: DataFrame) -> DataFrame:
     return entries.select("pwm_id", maps.alias("_maps"))
 
 
-def pwm_scan(seqs: DataFrame, pwm: DataFrame, missing: float | str | None = None, seq: str = "seq") -> DataFrame:
+def pwm_scan(seqs: DataFrame, pwm: DataFrame, missing: float | str | None = None, seq: str = "seq", hits: DataFrame | None = None) -> DataFrame:
     """Score of every placement: (ids…, pwm_id, start, score).
 
     A letter without a weight makes the score NULL, counts as the number ``missing``, or
-    with ``missing='position'`` takes the weight of the position's ``*`` symbol.
+    with ``missing='position'`` takes the weight of the position's ``*`` symbol. With ``hits(seq_id, motif, start)``
+    a column ``hit`` says whether the motif of the matrix's name has one there: hits meet pieces of text, not placements.
     """
     keep = [c for c in seqs.columns if c != seq]
     widest = pwm.agg(F.max("offset")).first()[0] + 1
     pieces = seqs.select(*keep, F.posexplode(chunks(seq, STEP, widest - 1)).alias("_part", "_text"))
-    letters = pieces.select(*keep, "_part", F.split("_text", "").alias("_letters"))
+    marks, marked, hit = [], [], []
+    if hits is not None:
+        at = hits.filter("motif IS NOT NULL").groupBy("seq_id", F.floor(F.col("start") / STEP).cast("int").alias("_part"), "motif").agg(
+            F.collect_set(F.pmod("start", F.lit(STEP)).cast("int")).alias("_at"))
+        by_piece = at.groupBy("seq_id", "_part").agg(F.map_from_entries(F.collect_list(F.struct("motif", "_at"))).alias("_marks"))
+        pieces = pieces.join(by_piece, ["seq_id", "_part"], "left")
+        marks, marked = ["_marks"], [F.try_element_at("_marks", F.col("pwm_id")).alias("_at")]
+        hit = [F.coalesce(F.array_contains("_at", F.col("_s")), F.lit(False)).alias("hit")]
+    letters = pieces.select(*keep, "_part", *marks, F.split("_text", "").alias("_letters"))
     paired = pair_all(_packed(pwm), letters).withColumn("_w", F.size("_maps"))
     last = F.least(F.lit(STEP), F.size("_letters") - F.col("_w") + 1)
-    rows = paired.select(*keep, "pwm_id", "_part", "_letters", "_maps", "_w",
+    rows = paired.select(*keep, "pwm_id", "_part", "_letters", "_maps", "_w", *marked,
                          F.explode(F.when(last >= 1, F.sequence(F.lit(0), last - 1))).alias("_s"))
 
     def weight(j: int):
@@ -105,7 +114,7 @@ def pwm_scan(seqs: DataFrame, pwm: DataFrame, missing: float | str | None = None
     for j in range(1, widest):
         score = score + weight(j)
     start = (F.col("_part") * STEP + F.col("_s")).cast("int")
-    return rows.select(*keep, "pwm_id", start.alias("start"), score.alias("score"))
+    return rows.select(*keep, "pwm_id", start.alias("start"), score.alias("score"), *hit)
 
 
 def map_symbols(seqs: DataFrame, table: dict[str, str], seq: str = "seq") -> DataFrame:
@@ -141,11 +150,8 @@ def pwm_binned_max(scores: DataFrame, bins: DataFrame) -> DataFrame:
     return range_join(s, bins, ["motif"], "start", "lo", "hi").groupBy("seq_id", "motif", "bin_id").agg(F.max("score").alias("score"))
 
 
-def pwm_objective(scores: DataFrame, hits: DataFrame) -> DataFrame:
-    """Mean score off the motif's hits over mean score on them; lower separates better."""
-    marked = scores.join(
-        hits.select("seq_id", F.col("motif").alias("pwm_id"), "start").distinct().withColumn("_hit", F.lit(True)),
-        ["seq_id", "pwm_id", "start"], "left")
-    off = F.avg(F.when(F.col("_hit").isNull(), F.col("score")))
-    on = F.avg(F.when(F.col("_hit"), F.col("score")))
-    return marked.groupBy("pwm_id").agg((off / on).alias("ratio"))
+def pwm_objective(scores: DataFrame) -> DataFrame:
+    """Mean score off the motif's hits over mean score on them; lower separates better. ``scores`` is a scan with hits."""
+    off = F.avg(F.when(~F.col("hit"), F.col("score")))
+    on = F.avg(F.when(F.col("hit"), F.col("score")))
+    return scores.groupBy("pwm_id").agg((off / on).alias("ratio"))

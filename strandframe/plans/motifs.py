@@ -265,7 +265,7 @@ def m22(spark, d):
   (SELECT s.*, s.pwm_id = 'en_dt' AND score = 2.5 AS hit FROM scores s) GROUP BY 1""")
 def m23(spark, d):
     hits = mt.scan_motifs(seqs(spark, d), [("en_dt", "en[dt]")])
-    return pw.pwm_objective(_scores(spark, d), hits).withColumn("ratio", F.round("ratio", 9))
+    return pw.pwm_objective(pw.pwm_scan(seqs(spark, d), _pwm(spark), missing=0.0, hits=hits)).withColumn("ratio", F.round("ratio", 9))
 
 
 @query("m24_containment", f"""WITH {SEQS_SQL} SELECT probe, CAST(sum(CAST(contains(seq, probe) AS INTEGER)) AS BIGINT) AS n_with, round(avg(CAST(contains(seq, probe) AS INTEGER)), 9) AS share

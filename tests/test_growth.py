@@ -1,6 +1,7 @@
 """Steps whose cost must not grow faster than their input, against plain counts."""
 
 import random
+import re
 
 import pytest
 
@@ -27,6 +28,10 @@ def test_bins_are_counted_per_distinct_bin(spark):
     assert got == {b: plain(*b) for b in bins if any(plain(*b))}
 
 
+SEQS = [(1, "xx" * 1500 + "endhenthe"), (2, "then the end"), (3, ""), (4, None), (5, "en"), (1, "ent")]
+
+
+@pytest.fixture(scope="module")
 def scanned(spark):
     return spark.createDataFrame(SEQS, "seq_id int, seq string"), pw.pwm_from_regex(spark, [("en_dt", "en[dt]"), ("the", "the")], "adehntx")
 
@@ -38,6 +43,18 @@ def test_null_scores_may_come_counted(spark):
     assert got == {("p", 0.5): 1.0, ("p", 1.0): 0.25, ("p", 2.0): 0.25, ("q", 0.0): 1.0, ("q", 9.0): 0.5}
 
 
+def test_objective_does_not_shuffle_placements(spark, scanned):
+    s, m = scanned
+    hits = spark.createDataFrame([(1, "en_dt", 3000), (1, "en_dt", 3000), (2, "en_dt", 9), (2, "other", 0), (None, "en_dt", 0)], "seq_id int, motif string, start int")
+    marked = pw.pwm_scan(s, m, 0.0, hits=hits)
+    on = {(r.seq_id, r.start, r.score) for r in marked.filter("hit").collect()}
+    assert on == {(1, 3000, 2.5), (2, 9, 2.5)}
+    got = {r.pwm_id: r.ratio for r in pw.pwm_objective(marked).collect()}
+    off = [r.score for r in marked.filter("pwm_id = 'en_dt' AND NOT hit").collect()]
+    assert got["the"] is None and got["en_dt"] == pytest.approx(sum(off) / len(off) / 2.5)
+    assert not re.search(r"hashpartitioning\([^)]*pwm_id[^)]*start", marked._jdf.queryExecution().executedPlan().toString())
+
+
 def test_equal_texts_are_counted_together(spark):
     rows = [("p", "ab")] * 3 + [("p", "b"), ("p", None), ("q", "")]
     got = {tuple(r)[:3]: r.weight for r in pw.pwm_from_seqs(spark.createDataFrame(rows, "pwm_id string, seq string")).collect() if r.symbol}
