@@ -123,9 +123,14 @@ def map_symbols(seqs: DataFrame, table: dict[str, str], seq: str = "seq") -> Dat
 
 
 def pwm_best(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Best placement per key (the first of equals)."""
+    """Best placement per key (the first of equals).
+
+    Placements are first condensed to the first one of each score: plain values are aggregated by hash, a pair of
+    values only after a sort.
+    """
+    firsts = scores.groupBy(*keys, "pwm_id", "score").agg(F.min("start").alias("start"))
     top = F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("start")).alias("neg"))))
-    return scores.groupBy(*keys, "pwm_id").agg(top.alias("_b")).select(
+    return firsts.groupBy(*keys, "pwm_id").agg(top.alias("_b")).select(
         *keys, "pwm_id", F.col("_b.score").alias("score"), (-F.col("_b.neg")).alias("start"))
 
 

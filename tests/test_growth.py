@@ -69,3 +69,10 @@ def test_wide_expression_matrix(spark, tmp_path):
     want = {f"s{i}x": (float(i), 2 if str(i).startswith("12") else 1 if str(i)[0] == "1" else 7) for i in range(3000) if str(i)[0] in "12"}
     assert got == want
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_placement_is_condensed_without_a_sort_of_all(spark):
+    rows = [(1, "p", 0, 1.0), (1, "p", 4, 2.5), (1, "p", 2, 2.5), (1, "q", 3, None), (2, "p", 9, -1.0), (None, "p", 1, 0.5)]
+    best = pw.pwm_best(spark.createDataFrame(rows, "seq_id int, pwm_id string, start int, score double"), ["seq_id"])
+    assert re.search(r"HashAggregate\(keys=\[[^\]]*score", best._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r) for r in best.collect()} == {(1, "p", 2.5, 2), (1, "q", None, None), (2, "p", -1.0, 9), (None, "p", 0.5, 1)}
