@@ -86,17 +86,24 @@ def motif_count(seqs: DataFrame, motifs: Iterable[tuple[str, str]], lo: int | No
                 ignore_case: bool = False, seq: str = "seq") -> DataFrame:
     """Hits and presence of each motif per sequence, zeros included.
 
-    With ``lo``/``hi`` only starts in the closed range count.
+    With ``lo``/``hi`` only starts in the closed range count. A bounded pattern is then looked for in the range
+    and as many letters behind it as a match can have, the others in the whole text.
     """
     keep = _ids(seqs, seq)
     if lo is None and hi is None:
         per = [(n, match_count(seq, r, ignore_case)) for n, r in motifs]
     else:
         lo, hi = lo or 0, 2**31 - 1 if hi is None else hi
-        per = [
-            (n, F.size(F.filter(overlap_hits(seq, r, ignore_case), lambda h: h["start"].between(lo, hi))))
-            for n, r in motifs
-        ]
+        first, size = max(lo, 0), hi - max(lo, 0) + 1
+
+        def inside(r: str) -> Column:
+            width = pattern_width(r)
+            if not width or re._parser.parse(r).getwidth()[0] < 1:
+                return F.size(F.filter(overlap_hits(seq, r, ignore_case), lambda h: h["start"].between(lo, hi)))
+            text = F.substring(F.col(seq), first + 1, min(size + width - 1, 2**31 - 1))
+            return F.regexp_count(F.substring(start_marks(text, r, ignore_case), 1, size), F.lit(MARK))
+
+        per = [(n, inside(r)) for n, r in motifs]
     rows = F.array(*[F.struct(F.lit(n).alias("motif"), c.cast("long").alias("n_hits")) for n, c in per])
     return seqs.select(*keep, F.inline(rows)).withColumn("present", F.col("n_hits") > 0)
 

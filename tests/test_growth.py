@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from strandframe.operators import bins as bn, pwm as pw
+from strandframe.operators import bins as bn, motifs as mt, pwm as pw
 from strandframe.sources import tables
 
 
@@ -76,3 +76,15 @@ def test_best_placement_is_condensed_without_a_sort_of_all(spark):
     best = pw.pwm_best(spark.createDataFrame(rows, "seq_id int, pwm_id string, start int, score double"), ["seq_id"])
     assert re.search(r"HashAggregate\(keys=\[[^\]]*score", best._jdf.queryExecution().executedPlan().toString())
     assert {tuple(r) for r in best.collect()} == {(1, "p", 2.5, 2), (1, "q", None, None), (2, "p", -1.0, 9), (None, "p", 0.5, 1)}
+
+
+def test_counts_in_a_range_read_the_range(spark):
+    texts = ["aabaab" * 5, "b", "", None, "x" * 8 + "aab", "aa"]
+    seqs = spark.createDataFrame(list(enumerate(texts)), "seq_id int, seq string")
+    for lo, hi in ((0, 2), (3, 9), (8, 8), (5, 4), (None, 3), (2, None)):
+        got = mt.motif_count(seqs, [("aab", "a+b"), ("ab?", "ab?")], lo, hi)
+        want = {(i, n): None if t is None else sum((lo or 0) <= m.start() <= (10**6 if hi is None else hi) for m in re.finditer(f"(?={r})", t))
+                for i, t in enumerate(texts) for n, r in (("aab", "a+b"), ("ab?", "ab?"))}
+        assert {(r["seq_id"], r["motif"]): r["n_hits"] for r in got.collect()} == want
+    plan = mt.motif_count(seqs, [("ab?", "ab?")], 3, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_count" in plan and "substring" in plan
