@@ -88,3 +88,12 @@ def test_counts_in_a_range_read_the_range(spark):
         assert {(r["seq_id"], r["motif"]): r["n_hits"] for r in got.collect()} == want
     plan = mt.motif_count(seqs, [("ab?", "ab?")], 3, 9)._jdf.queryExecution().executedPlan().toString()
     assert "regexp_count" in plan and "substring" in plan
+
+
+def test_hits_for_clustered_bins_are_found_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(bn, "cut_lineage", lambda df, real=bn.cut_lineage: kept.append(df.columns) or real(df))
+    hits = spark.createDataFrame([("a", s, x) for s in range(4) for x in (1, 2, 50, 51)] + [("a", 1, None)], "motif string, seq_id int, start int")
+    bins = {(r["motif"], r["bin_id"]): (r["lo"], r["hi"]) for r in bn.kmeans_bins(hits, 4, k=2).collect()}
+    assert kept[0] == ["motif", "seq_id", "start"]
+    assert set(bins) == {("a", 0), ("a", 1)} and bins["a", 0][0] <= 1 and bins["a", 1][1] >= 51
