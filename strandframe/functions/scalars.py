@@ -46,10 +46,28 @@ def _bound(array: Column, use) -> Column:
     return F.transform(F.array(array), use)[0]
 
 
+#: Letters of a text that places are counted in at once.
+_PIECE = 256
+
+
 def mark_places(marked: Column) -> Column:
-    """0-based places of all marks in a text, in one pass over its letters."""
-    return _bound(F.split(marked, ""), lambda letters: F.filter(
-        F.sequence(F.lit(0), F.size(letters) - 1), lambda i: F.get(letters, i) == F.lit(MARK)))
+    """0-based places of all marks in a text; only pieces that hold a mark are looked at closely."""
+    def within(piece, k):
+        before = F.transform(F.sequence(F.lit(1), F.size(F.split(piece, MARK, -1)) - 1),
+                             lambda n: F.lit(_PIECE) * k + F.length(F.call_function("substring_index", piece, F.lit(MARK), n)))
+        return F.when(F.contains(piece, F.lit(MARK)), before).otherwise(F.array().cast("array<int>"))
+
+    pieces = F.regexp_extract_all(marked, F.lit(f"(?s)(.{{1,{_PIECE}}})"), F.lit(1))
+    return F.flatten(F.transform(pieces, within))
+
+
+def _without(text: Column, *marks: str) -> Column:
+    """``text`` with a replacement sign for every mark that is already in it."""
+    clean = F.translate(text, "".join(marks), "\ufffd" * len(marks))
+    found = F.contains(text, F.lit(marks[0]))
+    for m in marks[1:]:
+        found = found | F.contains(text, F.lit(m))
+    return F.when(found, clean).otherwise(text)
 
 
 def _marked_hits(text: Column, pattern: Column, starts: Column | None = None) -> Column:
@@ -57,17 +75,15 @@ def _marked_hits(text: Column, pattern: Column, starts: Column | None = None) ->
 
     The k-th piece after a mark is "match, closing mark, text up to the next match". Without
     ``starts`` matches are taken out of the text, and the k-th mark lies two marks per earlier hit too
-    far right. Nothing is appended to, so the cost is linear in text and hits.
+    far right. Nothing is appended to, so the cost is linear in text and hits; the text is searched once.
     """
-    safe = F.translate(text, MARK + _CLOSE, "\ufffd\ufffd")
-    marked = F.regexp_replace(safe, pattern, F.lit(f"{MARK}$1{_CLOSE}"))
-    if starts is None:
-        starts = F.transform(mark_places(marked), lambda at, k: at - 2 * k)
-    pieces = F.split(marked, MARK, -1)
-    found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda piece: F.substring_index(piece, _CLOSE, 1))
-    # a match of nothing at the very end has no letter to carry a start
-    hits = F.zip_with(starts, found, lambda at, m: F.struct(F.coalesce(at, F.length(text)).cast("int").alias("start"), m.alias("text")))
-    return hits.cast(_HITS)
+    def read(marked):
+        places = F.transform(mark_places(marked), lambda at, k: at - 2 * k) if starts is None else starts
+        found = F.transform(F.slice(F.split(marked, MARK, -1), 2, 2**30), lambda piece: F.substring_index(piece, _CLOSE, 1))
+        # a match of nothing at the very end has no letter to carry a start
+        return F.zip_with(places, found, lambda at, m: F.struct(F.coalesce(at, F.length(text)).cast("int").alias("start"), m.alias("text")))
+
+    return _bound(F.regexp_replace(_without(text, MARK, _CLOSE), pattern, F.lit(f"{MARK}$1{_CLOSE}")), read).cast(_HITS)
 
 
 def overlap_hits(text, pattern, ignore_case: bool = False) -> Column:
@@ -81,8 +97,7 @@ def overlap_hits(text, pattern, ignore_case: bool = False) -> Column:
 
 def start_marks(text, pattern, ignore_case: bool = False) -> Column:
     """Text of the same length in which the first letter of every match is a mark."""
-    safe = F.translate(_c(text), MARK, "\ufffd")
-    return F.regexp_replace(safe, _pattern(pattern, "(?=(?:", "))[\\s\\S]", ignore_case), F.lit(MARK))
+    return F.regexp_replace(_without(_c(text), MARK), _pattern(pattern, "(?=(?:", "))[\\s\\S]", ignore_case), F.lit(MARK))
 
 
 def plain_hits(text, pattern, ignore_case: bool = False) -> Column:

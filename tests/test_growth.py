@@ -7,6 +7,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
+from strandframe.functions import scalars as sc
 from strandframe.operators import aggregates as agg, bins as bn, mixture as mx, motifs as mt, pwm as pw
 from strandframe.sources import tables
 
@@ -125,3 +126,16 @@ def test_a_round_of_a_mixture_holds_a_slice_at_a_time():
     r, d = 1 / (1 + np.exp(l2 - l1)), x + 0.15
     want = [len(x), r.sum(), (r * d).sum(), (r * d * d).sum(), d.sum(), (d * d).sum(), np.logaddexp(l1, l2).sum() - len(x) * 0.5 * np.log(2 * np.pi)]
     assert got == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
+def test_hits_are_read_off_a_text_that_is_searched_once(spark):
+    texts = [None, "", "a", "x" * 255 + "ana" + "n" * 254 + "ana", "\U0001F600ana" * 90, "ban" * 200, "a" * 600]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for pattern in ("an", "a+", "(n)(a)?", "x|$"):
+        got = {r["i"]: r for r in df.select("i", sc.plain_hits("t", pattern).alias("p"), sc.mark_places(sc.start_marks("t", pattern)).alias("m")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i]["p"] == (None if t is None else [(m.start(), m.group()) for m in re.finditer(pattern, t)])
+            assert got[i]["m"] == (None if t is None else [k for k in range(len(t)) if re.match(pattern, t[k:])])
+    for finder, times in ((sc.plain_hits, 1), (sc.overlap_hits, 2)):  # the second reads where overlapping matches start
+        plan = df.select(finder("t", "an").alias("h"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_replace(") == times and "split(t" not in plan
