@@ -1,6 +1,9 @@
 """Steps over pairs that keep to rows and counts of bounded size, against plain Python."""
 
-from strandframe.operators import aggregates as agg, joins
+import random
+import re
+
+from strandframe.operators import aggregates as agg, features as ft, joins
 
 
 def test_partitions_are_condensed_where_their_rows_are(spark):
@@ -18,3 +21,38 @@ def test_pairs_with_a_large_dictionary_are_not_broadcast(spark, monkeypatch):
     out = joins.pair_all(spark.range(5).withColumnRenamed("id", "a"), spark.range(40).withColumnRenamed("id", "b"), 4)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in out.select("a", "b").collect()} == {(a, b) for a in range(5) for b in range(40)}
+
+
+def test_fuzzy_join_of_equal_features_grows_with_the_features(spark):
+    def feats(n, step):
+        return [(k * step, "t" if k % 5 else None, "n" * (k % 2), k % 3 * 4, "t" if k % 4 == 0 else None, k % 3 if k % 4 == 0 else None) for k in range(n)]
+    a, b = feats(240, 2), feats(180, 3)
+    as_frame = lambda rows: spark.createDataFrame(rows + rows[:1], "feat_id int, type string, name string, start int, gene string, rel_start int")
+    pairs = {(r["feat_id"], r["feat_id_b"], r["distance"]) for r in ft.fuzzy_join(as_frame(a), as_frame(b), 5, 2).collect()}
+    rows = [tuple(r) for r in ft.fuzzy_join_classes(as_frame(a), as_frame(b), 5, 2).select("part", "feat_id", "other_id", "distance").collect()]
+    members = {p: [(f, c) for part, f, c, _ in rows if part == p] for p in "ab"}
+    links = [r[1:] for r in rows if r[0] == "link"]
+    assert len(members["a"]) == 241 and len(members["b"]) == 181 and len(links) * 20 < len(pairs)
+    whole = {(f, g, d) for x, y, d in links for f, c in members["a"] if c == x for g, e in members["b"] if e == y}
+    assert whole == pairs
+
+
+def test_pairs_of_sets_are_counted_where_their_items_are(spark, monkeypatch):
+    r = random.Random(5)
+    sets = [(s, r.randrange(30)) for s in range(40) for _ in range(8)] + [(None, 1), (50, None), (51, 99)]
+    df = spark.createDataFrame(sets + sets[:9], "set_id int, item int")
+    held = {}
+    for s, x in sets:
+        held.setdefault(s, set()).add(x)
+    both = {(i, j): len((held[i] & held[j]) - {None}) for i in held for j in held if i is not None and j is not None and i < j}
+    for items in (1 << 20, 3):  # with 3 every set is a very long one
+        monkeypatch.setattr(joins, "ITEMS_PER_TASK", items)
+        out = joins.shared_counts(df)
+        assert {(x["i"], x["j"]): x["shared"] for x in out.collect()} == {p: n for p, n in both.items() if n}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("ENSURE_REQUIREMENTS" in plan.split("Generate explode(_js")[0]) == (items == 3)  # pairs are not dealt out again
+    for blocks in (512, 2):
+        monkeypatch.setattr(joins, "SETS_PER_BLOCK", blocks)
+        grid = joins.all_pairs(df)
+        assert {(x["i"], x["j"]): x["shared"] for x in grid.collect()} == {p: n or -1 for p, n in both.items()}
+        assert not re.search(r"hashpartitioning\(i#\d+L?, j#", grid._jdf.queryExecution().executedPlan().toString().split("Generate")[0])
