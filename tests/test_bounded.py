@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from strandframe.operators import aggregates as agg, features as ft, joins
 
@@ -56,3 +57,28 @@ def test_pairs_of_sets_are_counted_where_their_items_are(spark, monkeypatch):
         grid = joins.all_pairs(df)
         assert {(x["i"], x["j"]): x["shared"] for x in grid.collect()} == {p: n or -1 for p, n in both.items()}
         assert not re.search(r"hashpartitioning\(i#\d+L?, j#", grid._jdf.queryExecution().executedPlan().toString().split("Generate")[0])
+
+
+def test_fuzzy_join_query_returns_every_pair(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as contract
+    parts = [(k, f"B{k % 2}", [3, 4, 5][k % 3], 900.0 + k) for k in range(40)] + [(7, "B1", 4, 907.0), (None, "B0", 3, 990.0), (41, None, 3, 990.0)]
+    lines = [(k % 3, k, k % 4, "ANR"[k % 3], float([3, 4, 5][k % 3])) for k in range(1, 40)]
+    lines += lines[:5] + [(None, 4, 1, "A", 3.0), (1, 4, 1, None, 3.0), (1, 5, 2, "N", None)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    feats = {((o * 10000000 + p) * 10 + n if o is not None else None, f, brand, int(q) * 10 + n if q is not None else None, o)
+             for o, p, n, f, q in lines for k, brand, _, _ in parts if k == p}
+    refs = [(k, "ANR"[size % 3], brand, size * 10) for k, brand, size, price in parts if price > 905]
+    want = []
+    for f, kind, name, start, _ in feats:
+        for g, kind_b, name_b, start_b in refs:
+            if None in (kind, name, name_b) or kind != kind_b or name != name_b or start is None:
+                continue
+            relative = f is not None and g is not None and f % 2 == 0 and g % 3 == 0
+            d = abs(start % 50 - start_b % 50) if relative else abs(start - start_b)
+            want += [(f, g, d)] if d < (5 if relative else 8) else []
+    for rows in (65_536, 2):
+        monkeypatch.setattr(ft, "PLACE_ROWS", rows)
+        found = contract.queries()["v20_fuzzy_join"](spark, str(tmp_path))
+        assert Counter(tuple(r) for r in found.select("feat_id", "feat_id_b", "distance").collect()) == Counter(want)
+    assert len(want) > 100
