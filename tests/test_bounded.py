@@ -4,7 +4,8 @@ import random
 import re
 from collections import Counter
 
-from strandframe.operators import aggregates as agg, features as ft, joins
+from strandframe.operators import aggregates as agg, enrichment as en, features as ft, joins
+from strandframe.operators.sampling import permute_labels
 
 
 def test_partitions_are_condensed_where_their_rows_are(spark):
@@ -82,3 +83,35 @@ def test_fuzzy_join_query_returns_every_pair(spark, tmp_path, monkeypatch):
         found = contract.queries()["v20_fuzzy_join"](spark, str(tmp_path))
         assert Counter(tuple(r) for r in found.select("feat_id", "feat_id_b", "distance").collect()) == Counter(want)
     assert len(want) > 100
+
+
+def test_relabelled_lists_are_not_stored_for_each_repetition(spark, monkeypatch):
+    r = random.Random(7)
+    sets = [(s, f"g{r.randrange(60)}") for s in range(9) for _ in range(12)] + [(s, "g1") for s in range(9)] + [(None, "g2"), (3, None), (4, "unknown")]
+    df = spark.createDataFrame(sets + sets[:20], "set_id int, item string")
+    universe = spark.createDataFrame([(f"g{k}",) for k in range(60)] + [("g3",), (None,)], "item string")
+    flip = {(x["rep"], x["item"]): x["relabelled"] for x in permute_labels(universe, "item", 7, 2).collect()}
+    held = {s: {x for t, x in sets if t == s} - {None} for s, _ in sets if s is not None}
+    want = {}
+    for rep in range(7):
+        for i in held:
+            for j in held:
+                n = len(held[i] & ({flip.get((rep, x)) for x in held[j]} - {None}))
+                if i < j and n:
+                    want[rep, i, j] = n
+    stored = []
+
+    def cut(rows):
+        out = real(rows)
+        stored.append(out.count())
+        return out
+
+    real = en.cut_lineage
+    monkeypatch.setattr(en, "cut_lineage", cut)
+    for cap in (64, 4):  # with 4 most items are in too many lists to be paired directly
+        monkeypatch.setattr(en, "ITEM_CAP", cap, raising=False)
+        found = en.random_overlaps(df, universe, 7, 2)
+        assert {(x["rep"], x["i"], x["j"]): x["shared"] for x in found.collect()} == want
+        if cap == 64:
+            assert max(stored) <= 61
+    assert len(want) > 100
