@@ -102,6 +102,26 @@ def run_summary(packed: DataFrame) -> DataFrame:
     return parts.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.max("longest").alias("longest"), F.sum("total").alias("total"))
 
 
+def mismatch_gaps(packed: DataFrame) -> DataFrame:
+    """Columns of each sequence with a mismatch at or behind them, and their summed distances to it: (ref_id, seq_id, n, total).
+
+    Gaps inside a piece are summed there; of a piece only its first and last mismatch meet those of its neighbours.
+    ``total`` is null for a sequence without a mismatch.
+    """
+    own = [F.split(F.substring(F.col(c), F.lit(1), _own()), "") for c in ("base", "ref_base")]
+    marks = F.array_join(F.zip_with(*own, lambda b, r: F.when(b == r, ".").otherwise("x")), "")
+    at = packed.select(*KEYS, "first", marks.alias("_m"))
+    lead, trail = F.instr("_m", "x"), F.instr(F.reverse("_m"), "x")
+    runs = F.regexp_extract_all("_m", F.lit("(?<=x)[.]+(?=x)"), F.lit(0))
+    within = F.aggregate(runs, F.lit(0).cast("long"), lambda s, x: s + F.floor(F.length(x) * (F.length(x) + 1) / 2))
+    ends = at.select(*KEYS, "first", *[F.when(lead > 0, v).alias(c) for c, v in (
+        ("_from", F.col("first") + lead - 1), ("_to", F.col("first") + F.length("_m") - trail), ("_in", within))])
+    before = F.coalesce(F.max("_to").over(Window.partitionBy(*KEYS).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    gap = (F.col("_from") - before - 1).cast("long")
+    each = ends.select(*KEYS, "_to", (F.col("_in") + F.floor(gap * (gap + 1) / 2)).alias("_sum"))
+    return each.groupBy(*KEYS).agg(F.coalesce(F.max("_to") + 1, F.lit(0)).cast("long").alias("n"), F.sum("_sum").alias("total"))
+
+
 def spans(packed: DataFrame) -> DataFrame:
     """First and last column of each piece, whatever stands there: the bounds under which every letter counts."""
     return packed.filter(_own() > 0).select(*KEYS, F.col("first").alias("first_pos"), (F.col("first") + _own() - 1).alias("last_pos"))
@@ -195,18 +215,29 @@ def base_calls(packed: DataFrame, sites: DataFrame, bounds: DataFrame) -> DataFr
     return at.select(*KEYS, "ref_pos", F.when(F.col("ref_pos").between(F.col("first_pos"), F.col("last_pos")), F.col("base")).alias("base"))
 
 
-def classify_mutations(packed: DataFrame, genes: DataFrame, bounds: DataFrame) -> DataFrame:
+def classify_mutations(packed: DataFrame, genes: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Changed codons of ``genes(gene, start, end)`` inside the fragments: 0 silent, 1 mis-sense, 2 non-sense.
 
-    A codon is judged in the piece it begins in; only changed ones leave it.
+    A codon is judged in the piece it begins in; only changed ones leave it. Without ``bounds`` the columns count in
+    which the reference has a letter, and a piece says so itself.
     """
-    placed = genes.filter("end > start").withColumn("first", F.explode(F.sequence(F.floor(F.col("start") / SPAN) * SPAN, F.floor((F.col("end") - 1) / SPAN) * SPAN, F.lit(SPAN).cast("long"))))
     upper = packed.select(*KEYS, "first", *[F.translate(c, *CASES).alias(c) for c in ("base", "ref_base")])
-    rows = upper.join(maybe_broadcast(placed), "first").join(bounds, KEYS)
+    if bounds is None:
+        known = F.length(F.rtrim("ref_base", F.lit("-")))
+        upper = upper.withColumns({"first_pos": F.lit(0), "last_pos": F.col("first") + known - 1})
+    reach = packed.agg(F.max("first")).first()[0]  # genes that begin behind the last piece meet none
+    starts = F.sequence(F.floor(F.col("start") / SPAN) * SPAN, F.floor((F.col("end") - 1) / SPAN) * SPAN, F.lit(SPAN).cast("long"))
+    placed = genes.filter((F.col("end") > F.col("start")) & (F.col("start") < F.lit(reach) + SPAN)).withColumn("first", F.explode(starts))
+    rows = upper.join(maybe_broadcast(placed), "first")
+    if bounds is not None:
+        rows = rows.join(bounds, KEYS)
     rows = rows.withColumn("_lo", F.greatest("first", "first_pos", "start")).withColumn("_lo", F.expr("start + (_lo - start + 2) div 3 * 3"))
     rows = rows.withColumn("_hi", F.least(F.col("first") + _own() - 1, F.col("end") - 3, F.col("last_pos") - 2)).filter("_lo <= _hi")
+    # the gene's part of a piece is cut out before its codons are
+    cut = [F.substring(c, (F.col("_lo") - F.col("first") + 1).cast("int"), (F.col("_hi") - F.col("_lo") + 3).cast("int")).alias(c) for c in ("base", "ref_base")]
+    rows = rows.select(*KEYS, "gene", "start", "_lo", "_hi", *cut)
     words = F.expr("""filter(transform(sequence(bigint(_lo), bigint(_hi), 3L), c -> struct((c - start) div 3 AS codon,
-      substring(base, int(c - first) + 1, 3) AS codon_seq, substring(ref_base, int(c - first) + 1, 3) AS codon_ref)), x -> x.codon_seq <> x.codon_ref)""")
+      substring(base, int(c - _lo) + 1, 3) AS codon_seq, substring(ref_base, int(c - _lo) + 1, 3) AS codon_ref)), x -> x.codon_seq <> x.codon_ref)""")
     changed = rows.select(*KEYS, "gene", F.inline(words))
     changed = changed.withColumns({"aa": translate_codons("codon_seq", False), "ref_aa": translate_codons("codon_ref", False)})
     kind = F.when(F.col("aa") == F.col("ref_aa"), 0).when((F.col("aa") == "*") | (F.col("ref_aa") == "*"), 2).otherwise(1)

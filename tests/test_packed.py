@@ -1,11 +1,13 @@
 """Queries on packed columns against the letter form, on odd documents: repeated rows, empty, null and long texts, gaps."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from strandframe.functions.scalars import CODONS
 from strandframe.operators import pileup as pu
 from strandframe.plans.motifs import MOTIFS
 from strandframe.plans.views import pileup, seqs
@@ -88,3 +90,52 @@ def test_streams_read_folders_of_files(spark, folder):
     assert {r.motif for r in hits.collect()} <= {n for n, _ in MOTIFS}
     assert bag(hits.select("motif", "n_hits")) == bag(want.groupBy("motif").agg(F.count("*").alias("n_hits")))
     assert contract.queries()["t2_stream_dedupe"](spark, folder).count() == 7
+
+
+def _texts(spark, path, docs, parts=()):
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(p,) for p in parts], "p_partkey long").write.parquet(f"{path}/part.parquet")
+
+
+def test_distances_to_the_next_mismatch_are_summed_in_pieces(spark, tmp_path):
+    r = random.Random(3)
+    ref = "".join(r.choice("ab") for _ in range(9000))
+    docs = [(1, ref), (2, ref[:8500] + "zz"), (3, "".join(c if r.random() < 0.999 else "z" for c in ref)), (4, "z" * 4096 + ref[4096:5000]),
+            (5, ref[:4096]), (6, ref + "--"), (7, ""), (8, None), (None, ref), (9, ref[:4095] + "z" + ref[4096:4200] + "y")]
+    docs += docs[2:3]
+    _texts(spark, tmp_path, docs)
+    want = {}
+    for k, text in docs:
+        if k is not None and text is not None:
+            n, total = want.get(k, (0, None))
+            nxt, dist = None, []
+            for i in range(max(len(text), 1) - 1, -1, -1):
+                nxt = i if text[i:i + 1] != (ref[i] if i < len(ref) else "-") else nxt
+                dist += [] if nxt is None else [nxt - i]
+            want[k] = (n + len(dist), (total or 0) + sum(dist) if dist else total)
+    out = contract.queries()["v10_distance_to_next"](spark, str(tmp_path))
+    assert {x["seq_id"]: (x["n"], x["total"]) for x in out.collect()} == want
+    assert "posexplode(split(" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mutations_are_judged_in_pieces(spark, tmp_path):
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    docs = [(1, text(8300)), (2, text(8290)), (3, text(4097)), (4, text(50)), (5, ""), (6, None)]
+    for again in (False, True):
+        some = docs + ([(2, docs[1][1]), (None, docs[3][1])] if again else [])
+        folder = tmp_path / str(again)
+        _texts(spark, str(folder), some, [*range(1, 95), 5, 10**9, None])
+        rows = {k: (t or "").upper().translate(str.maketrans("ABCD", "ACGT")) for k, t in some}
+        ref = rows[None] if again else rows[1]
+        want = Counter()
+        for s in rows.values():
+            for i in range(min(len(s), len(ref)) // 3):
+                a, b = s[3 * i:3 * i + 3], ref[3 * i:3 * i + 3]
+                if a != b and i // 30 + 1 < 95:
+                    x, y = CODONS[a], CODONS[b]
+                    want[i // 30 + 1, 0 if x == y else 2 if "*" in (x, y) else 1] += 1
+        out = contract.queries()["v13_classify_mutations"](spark, str(folder))
+        assert {(x["gene"], x["mutation_class"]): x["n"] for x in out.collect()} == want
+        if not again:
+            assert "posexplode(split(" not in out._jdf.queryExecution().executedPlan().toString()
