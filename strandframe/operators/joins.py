@@ -109,11 +109,14 @@ def pair_all(dictionary: DataFrame, rows: DataFrame, cells: int = 32) -> DataFra
 
 def range_join(points: DataFrame, ranges: DataFrame, on: list[str], pos: str, lo: str, hi: str,
                closed: str = "left", bucket: int = 256) -> DataFrame:
-    """Points inside ranges: equi keys plus a position bucket, so it plans as a hash or merge join."""
+    """Points inside ranges: equi keys plus a position bucket, so it plans as a hash or merge join.
+
+    Ranges measured small go to the points, which then are not shuffled.
+    """
     p = points.withColumn("_bucket", F.floor(F.col(pos) / bucket))
     r = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))
     upper = F.col(pos) <= F.col(hi) if closed == "both" else F.col(pos) < F.col(hi)
-    return p.join(r, [*on, "_bucket"]).filter((F.col(pos) >= F.col(lo)) & upper).drop("_bucket")
+    return p.join(maybe_broadcast(r), [*on, "_bucket"]).filter((F.col(pos) >= F.col(lo)) & upper).drop("_bucket")
 
 
 def band_join(a: DataFrame, b: DataFrame, on: list[str], col_a: str, col_b: str, tol: float) -> DataFrame:
