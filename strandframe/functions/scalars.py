@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The standard genetic code, bases in T, C, A, G order.
@@ -143,19 +145,43 @@ def translate_codons(col, to_stop: bool = True) -> Column:
     return F.substring_index(protein, "*", 1) if to_stop else protein
 
 
+_LETTERS = sorted({c for codon in CODONS for c in codon})
+#: Place of a letter's code point among the codons' letters, one past them for all others; amino acid of three places.
+_PLACE = np.full(256, len(_LETTERS))
+_PLACE[[ord(c) for c in _LETTERS]] = np.arange(len(_LETTERS))
+_AMINO_AT = np.array([ord(CODONS.get("".join(c), "X")) for c in product([*_LETTERS, "?"], repeat=3)], np.uint8)
+
+
+def _protein(text: str) -> np.ndarray:
+    """``translate_codons`` to the end, a byte per amino acid."""
+    points = np.frombuffer(text.upper().encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = _PLACE[np.minimum(points, 255)][:len(points) // 3 * 3].reshape(-1, 3)
+    return _AMINO_AT[places @ np.array([(len(_LETTERS) + 1) ** 2, len(_LETTERS) + 1, 1])]
+
+
+def _frames(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text in texts:
+        frames, starts, proteins = [], [], []
+        for f in range(3 if text else 0):
+            amino = _protein(text[f:])
+            begins, stops = np.flatnonzero(amino == ord("M")), np.append(np.flatnonzero(amino == ord("*")), len(amino))
+            letters = amino.tobytes().decode("ascii")
+            frames += [f] * len(begins)
+            starts += (begins * 3 + f).tolist()
+            proteins += [letters[i:j] for i, j in zip(begins.tolist(), stops[np.searchsorted(stops, begins)].tolist())]
+        rows.append((frames, starts, proteins))
+    return pd.DataFrame(rows, columns=["frame", "start", "protein"])
+
+
 def orfs(seqs: DataFrame, seq: str = "seq") -> DataFrame:
-    """Open frames beginning at every start codon: (frame, start, protein)."""
+    """Open frames beginning at every start codon: (frame, start, protein).
+
+    Codons are looked up a text at a time, in Arrow batches.
+    """
     keep = [c for c in seqs.columns if c != seq]
-    frames = F.array(*[
-        F.struct(F.lit(f).alias("frame"),
-                 overlap_hits(translate_codons(F.substring(F.col(seq), f + 1, 2**31 - 1), False), "M[^*]*").alias("hits"))
-        for f in range(3)
-    ])
-    return (
-        seqs.select(*keep, F.inline(frames))
-        .select(*keep, "frame", F.inline("hits"))
-        .select(*keep, "frame", (F.col("start") * 3 + F.col("frame")).alias("start"), F.col("text").alias("protein"))
-    )
+    found = F.pandas_udf(_frames, "struct<frame: array<int>, start: array<int>, protein: array<string>>")(F.col(seq))
+    return seqs.select(*keep, found.alias("_f")).select(*keep, F.inline(F.arrays_zip("_f.frame", "_f.start", "_f.protein")))
 
 
 def base_weights(spark: SparkSession) -> DataFrame:

@@ -9,6 +9,7 @@ from strandframe.operators import bins as bn, motifs as mt, pwm as pw
 from strandframe.operators.joins import range_join
 from strandframe.plans.registry import query, table
 from strandframe.plans.views import MOTIFS, SEQS_SQL, seqs
+from strandframe.session import spread
 
 _MOTIF_ROWS = ", ".join(f"('{n}', '{r}')" for n, r in MOTIFS)
 _MOTIFS_SQL = f"motifs(motif, regex) AS (VALUES {_MOTIF_ROWS})"
@@ -350,7 +351,7 @@ _DNA = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklm
 
 def dna(spark, d) -> DataFrame:
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(
         F.col("doc_id").alias("seq_id"), F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGT" * 6 + "AC").alias("seq"))
 
 

@@ -4,7 +4,10 @@ import random
 import re
 from collections import Counter
 
-from strandframe.operators import aggregates as agg, enrichment as en, features as ft, joins
+from pyspark.sql import functions as F
+
+from strandframe.functions import scalars as sc
+from strandframe.operators import aggregates as agg, bins, enrichment as en, features as ft, joins, pwm
 from strandframe.operators.sampling import permute_labels
 
 
@@ -115,3 +118,43 @@ def test_relabelled_lists_are_not_stored_for_each_repetition(spark, monkeypatch)
         if cap == 64:
             assert max(stored) <= 61
     assert len(want) > 100
+
+
+def test_open_frames_equal_the_search_by_pattern(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for letters in ("ACGT", "ATG", "acgtN", "ATGß\u0130é\U0001f600", "TAGM*") for n in (0, 2, 3, 5, 300, 2000)]
+    df = spark.createDataFrame(list(enumerate([*texts, None, "ATG", "ATGTAA", "xxATGATGA"])), "seq_id int, seq string")
+    frames = F.array(*[F.struct(F.lit(f).alias("frame"), sc.overlap_hits(sc.translate_codons(F.substring("seq", f + 1, 2**31 - 1), False), "M[^*]*").alias("hits")) for f in range(3)])
+    want = df.select("seq_id", F.inline(frames)).select("seq_id", "frame", F.inline("hits")).select("seq_id", "frame", F.col("start") * 3 + F.col("frame"), "text")
+    found = sc.orfs(df)
+    assert found.columns == ["seq_id", "frame", "start", "protein"]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "element_at" not in found._jdf.queryExecution().executedPlan().toString()  # codons are not looked up one by one
+
+
+def test_small_ranges_go_to_the_points(spark):
+    points = spark.range(5000).select((F.col("id") % 7).alias("seq_id"), F.lit("m").alias("pwm_id"), F.col("id").cast("int").alias("start"), (F.col("id") * 7919 % 1009).cast("double").alias("score"))
+    bins = spark.createDataFrame([("m", 0, 0, 900), ("m", 1, 900, 4999), ("o", 0, 0, 50)], "motif string, bin_id int, lo int, hi int")
+    found = pwm.pwm_binned_max(points, bins)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    want = {}
+    for k in range(4999):
+        key = (k % 7, int(k >= 900))
+        want[key] = max(want.get(key, -1.0), float(k * 7919 % 1009))
+    assert {(x["seq_id"], x["bin_id"]): x["score"] for x in found.collect()} == want
+
+
+def test_bins_are_counted_from_steps_that_sequences_share(spark):
+    r = random.Random(11)
+    base = sorted(r.sample(range(400), 12))
+    hits = [("m", s, x + s % 2) for s in range(60) for x in base if r.random() < 0.9] + [("n", 1, 5), ("n", 2, None)]
+    bins_ = [("m", lo, lo + w) for lo in range(0, 400, 35) for w in (1, 20, 64, 150)] + [("n", 0, 9)]
+    spots = bins._spots(spark.createDataFrame(hits + hits[:40], "motif string, seq_id int, start int"))
+    steps = bins._steps(spots)
+    assert steps.count() * 3 < spots.count() * 2
+    got = {tuple(x)[:3]: tuple(x)[3:] for x in bins.occupancy(steps, spark.createDataFrame(bins_, "motif string, lo int, hi int")).collect()}
+    for motif, lo, hi in bins_:
+        per = Counter(s for m, s, x in set(hits) if m == motif and x is not None and lo <= x < hi)
+        one, more = sum(n == 1 for n in per.values()), sum(n > 1 for n in per.values())
+        assert got.get((motif, lo, hi), (0, 0)) == (one, more)
